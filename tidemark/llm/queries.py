@@ -1,6 +1,9 @@
 """The registered queries of this package, and SQL for those that SQL can express."""
 
-from tidemark.llm import simhash
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, chat, contamination, ring, simhash
 from tidemark.llm.common import table
 
 
@@ -8,5 +11,67 @@ def op1_simhash_bktree(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash_bktree": op1_simhash_bktree}
-SQL: dict = {}
+def op2_bounded_ring(spark, sf_dir):
+    """The law is "rows": with load factor 1, counts are at most one apart."""
+    found = ring.shard(table(spark, sf_dir, "documents"), n_shards=8, load_factor=1.0)
+    return found.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op4_preference_pairs(spark, sf_dir):
+    """Masks as text, "start-end" by commas, so that SQL can give the same."""
+    found = chat.preference_pairs(*chat.paired_by_answer(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
+    return found.select(F.col("id").alias("conv_id"), "n_common", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
+
+
+OP4_SQL = """
+WITH own AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv_id, max(k) AS k FROM own WHERE role = 'assistant' GROUP BY 1),
+answer AS (SELECT o.conv_id, o.text FROM own o JOIN last l ON o.conv_id = l.conv_id AND o.k = l.k),
+rejected AS (
+  SELECT o.conv_id, o.k, o.role, CASE WHEN o.k = l.k THEN a.text ELSE o.text END AS text
+  FROM own o JOIN last l ON o.conv_id = l.conv_id AND o.k <= l.k JOIN answer a ON a.conv_id = xor(o.conv_id, 1::BIGINT)),
+differ AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, min(coalesce(c.k, r.k)) FILTER (WHERE c.k IS NULL OR r.k IS NULL OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text) AS k, max(coalesce(c.k, r.k)) AS n
+  FROM own c FULL JOIN rejected r ON c.conv_id = r.conv_id AND c.k = r.k GROUP BY 1),
+common AS (SELECT conv_id, coalesce(k - 1, n) AS n FROM differ),
+lined AS (
+  SELECT side, s.conv_id, s.k, s.k > c.n AS tail, s.role, '<|' || coalesce(s.role, '') || '|>' || chr(10) || coalesce(s.text, '') || '<|end|>' || chr(10) AS line
+  FROM (SELECT 'c' AS side, conv_id, k, role, text FROM own UNION ALL SELECT 'r', conv_id, k, role, text FROM rejected) s JOIN common c ON s.conv_id = c.conv_id),
+spanned AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY side, conv_id, tail ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM lined),
+done AS (
+  SELECT side, conv_id, coalesce(string_agg(line, '' ORDER BY k) FILTER (WHERE NOT tail), '') AS prompt, coalesce(string_agg(line, '' ORDER BY k) FILTER (WHERE tail), '') AS rest,
+    coalesce(string_agg(CAST(pos + length(role) + 5 AS BIGINT) || '-' || CAST(pos + length(line) - 1 AS BIGINT), ',' ORDER BY k) FILTER (WHERE tail AND role = 'assistant'), '') AS mask
+  FROM spanned GROUP BY 1, 2)
+SELECT c.conv_id, CAST(m.n AS INTEGER) AS n_common, c.prompt, c.rest AS chosen, r.rest AS rejected, c.mask AS chosen_mask, r.mask AS rejected_mask
+FROM done c JOIN common m ON m.conv_id = c.conv_id LEFT JOIN done r ON r.side = 'r' AND r.conv_id = c.conv_id WHERE c.side = 'c'
+"""
+
+def op7_minhash_containment(spark, sf_dir):
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\v\f\r]+') AS w FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\v\f\r]+') FROM benchmark),
+s AS (SELECT DISTINCT side, id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT side, id, w, unnest(range(1, len(w) - 3)) AS k FROM w)),
+n AS (SELECT id, count(*) AS n FROM s WHERE side = 'i' GROUP BY 1),
+m AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_found FROM s d JOIN s i ON d.s = i.s AND d.side = 'd' AND i.side = 'i' GROUP BY 1, 2)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(n_found AS INTEGER) AS n_found, n_found / n AS containment
+FROM m JOIN n ON m.item_id = n.id WHERE n_found >= 0.8 * n
+"""
+
+
+def op10_bpe_transducer(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+QUERIES = {
+    "op1_simhash_bktree": op1_simhash_bktree,
+    "op2_bounded_ring": op2_bounded_ring,
+    "op4_preference_pairs": op4_preference_pairs,
+    "op7_minhash_containment": op7_minhash_containment,
+    "op10_bpe_transducer": op10_bpe_transducer,
+}
+SQL = {"op4_preference_pairs": OP4_SQL, "op7_minhash_containment": OP7_SQL}
