@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, contamination, ring, simhash
+from tidemark.llm import bpe, chat, contamination, ring, simhash, winnow
 from tidemark.llm.common import table
 
 
@@ -47,6 +47,10 @@ SELECT c.conv_id, CAST(m.n AS INTEGER) AS n_common, c.prompt, c.rest AS chosen,
 FROM done c JOIN common m ON m.conv_id = c.conv_id LEFT JOIN done r ON r.side = 'r' AND r.conv_id = c.conv_id WHERE c.side = 'c'
 """
 
+def op5_winnowing(spark, sf_dir):
+    return winnow.edited(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_containment(spark, sf_dir):
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op1_simhash_bktree": op1_simhash_bktree,
     "op2_bounded_ring": op2_bounded_ring,
     "op4_preference_pairs": op4_preference_pairs,
+    "op5_winnowing": op5_winnowing,
     "op7_minhash_containment": op7_minhash_containment,
     "op10_bpe_transducer": op10_bpe_transducer,
 }
