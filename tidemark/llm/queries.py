@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, contamination, ring, simhash, winnow
+from tidemark.llm import bpe, chat, contamination, importance, langid, ring, simhash, winnow
 from tidemark.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op5_winnowing(spark, sf_dir):
     return winnow.edited(table(spark, sf_dir, "documents"))
 
 
+def op6_bigru_language(spark, sf_dir):
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_containment(spark, sf_dir):
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +70,10 @@ FROM m JOIN n ON m.item_id = n.id WHERE n_found >= 0.8 * n
 """
 
 
+def op8_importance_resampling(spark, sf_dir):
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe_transducer(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -76,7 +84,9 @@ QUERIES = {
     "op2_bounded_ring": op2_bounded_ring,
     "op4_preference_pairs": op4_preference_pairs,
     "op5_winnowing": op5_winnowing,
+    "op6_bigru_language": op6_bigru_language,
     "op7_minhash_containment": op7_minhash_containment,
+    "op8_importance_resampling": op8_importance_resampling,
     "op10_bpe_transducer": op10_bpe_transducer,
 }
 SQL = {"op4_preference_pairs": OP4_SQL, "op7_minhash_containment": OP7_SQL}
