@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, contamination, importance, langid, ring, simhash, winnow
+from tidemark.llm import bpe, chat, contamination, importance, langid, ppm, ring, simhash, winnow
 from tidemark.llm.common import table
 
 
@@ -74,6 +74,11 @@ def op8_importance_resampling(spark, sf_dir):
     return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_ppm_scores(spark, sf_dir):
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    return ppm.scored(table(spark, sf_dir, "documents"), held_out)
+
+
 def op10_bpe_transducer(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -87,6 +92,7 @@ QUERIES = {
     "op6_bigru_language": op6_bigru_language,
     "op7_minhash_containment": op7_minhash_containment,
     "op8_importance_resampling": op8_importance_resampling,
+    "op9_ppm_scores": op9_ppm_scores,
     "op10_bpe_transducer": op10_bpe_transducer,
 }
 SQL = {"op4_preference_pairs": OP4_SQL, "op7_minhash_containment": OP7_SQL}
