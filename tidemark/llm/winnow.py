@@ -8,8 +8,8 @@ linear in native column functions, since a position in a UTF-8 string is found b
 it from its start.
 
 All steps are array functions inside one row; a text is never split over rows. The next
-document is found by ranges of ids: rows meet their neighbour in one sorted range, and the
-first row of each range is handed to the last of the range before.
+document is found by ranges of ids: rows meet their neighbour in one sorted range, and the first row
+of each range is sent to the range before as well, as its end.
 
 Defined results: a null text is an empty one; a text of fewer than k words has one hash of
 all of its words, and of none, no hash; two fingerprints without hashes are alike (1.0);
@@ -34,8 +34,12 @@ def let(value: Column, body) -> Column:
 
 def pairs(values: Column, gap: int, join) -> Column:
     """join(v[i], v[i + gap]) for every i that has both."""
-    n = F.greatest(F.size(values) - gap, F.lit(0))
-    return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(gap + 1), n), join)
+
+    def zipped(v: Column) -> Column:
+        n = F.greatest(F.size(v) - gap, F.lit(0))
+        return F.zip_with(F.slice(v, F.lit(1), n), F.slice(v, F.lit(gap + 1), n), join)
+
+    return let(values, zipped)
 
 
 def chosen(text: Column, k: int = K, w: int = WINDOW) -> Column:
@@ -106,13 +110,15 @@ def with_next(docs: DataFrame, order: list[str], columns: list[str], ranges: int
     cuts = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>")
     part = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c < F.col(key).cast("double"))))
     rows = docs.withColumn("part", part.cast("int"))
-    # the row after each range is the least row of the ranges after it, or of all for the last
-    heads = rows.groupBy("part").agg(F.min(F.struct(*order, *[c for c in columns if c not in order])).alias("head"))
-    last = W.orderBy("part")
-    after = heads.select("part", F.coalesce(F.lead("head").over(last), F.first("head").over(last.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
-    own = W.partitionBy("part").orderBy(*order)
-    found = rows.join(F.broadcast(after), "part")
-    return found.withColumns({f"next_{c}": F.when(F.lead(F.lit(1)).over(own) == 1, F.lead(c).over(own)).otherwise(F.col("after")[c]) for c in columns}).drop("after")
+    # the first row of each range, found by its id, also ends the range before; that of the first range ends the last
+    least = rows.groupBy("part").agg(F.min(key).alias("least"))
+    first = rows.join(F.broadcast(least.withColumnRenamed("part", "own")), (F.col("part") == F.col("own")) & F.col(key).eqNullSafe(F.col("least")))
+    heads = first.groupBy("part").agg(F.min(F.struct(*order, *[c for c in columns if c not in order])).alias("head"))
+    every = W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ends = heads.select(F.coalesce(F.lag("part").over(W.orderBy("part")), F.last("part").over(every)).alias("part"), "head.*")
+    both = rows.withColumn("end", F.lit(False)).unionByName(ends.withColumn("end", F.lit(True)), allowMissingColumns=True)
+    own = W.partitionBy("part").orderBy("end", *order)
+    return both.withColumns({f"next_{c}": F.lead(c).over(own) for c in columns}).where("not end").drop("end", "part")
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = WINDOW, ranges: int | None = None) -> DataFrame:
