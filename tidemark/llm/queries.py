@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, contamination, importance, langid, ppm, ring, simhash, winnow
+from tidemark.llm import bpe, chat, contamination, importance, langid, passages, ppm, ring, simhash, winnow
 from tidemark.llm.common import table
 
 
@@ -17,6 +17,13 @@ def op2_bounded_ring(spark, sf_dir):
     return found.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op3_shared_passages(spark, sf_dir):
+    """One row for each passage, and for each of its repeated stretches that has one."""
+    found = passages.shared_passages(table(spark, sf_dir, "documents"))
+    span = F.explode_outer("repeated")
+    return found.select("doc_id", "start", "end", "n_words", span.alias("cut")).select("doc_id", "start", "end", "n_words", F.col("cut.start").alias("cut_start"), F.col("cut.end").alias("cut_end"))
+
+
 def op4_preference_pairs(spark, sf_dir):
     """Masks as text, "start-end" by commas, so that SQL can give the same."""
     found = chat.preference_pairs(*chat.paired_by_answer(table(spark, sf_dir, "conversations")))
@@ -87,6 +94,7 @@ def op10_bpe_transducer(spark, sf_dir):
 QUERIES = {
     "op1_simhash_bktree": op1_simhash_bktree,
     "op2_bounded_ring": op2_bounded_ring,
+    "op3_shared_passages": op3_shared_passages,
     "op4_preference_pairs": op4_preference_pairs,
     "op5_winnowing": op5_winnowing,
     "op6_bigru_language": op6_bigru_language,
