@@ -9,8 +9,8 @@ it is the one vocabulary token ending there that may follow the last token of th
 where it starts, and two tokens may stand together if merging their bytes gives the two
 again. A position stays open while some token could start there and reach past the end.
 Tokens on which the paths to all open positions agree are emitted, so the lookahead is
-bounded by the longest token. States and moves are made when first reached and kept in a
-bounded table that is emptied when full.
+bounded by the longest token. States and moves are made when first reached and kept in
+tables of bounded size, of which those not used for long are let go.
 
 Decoding takes ids one by one and keeps a state of at most three bytes: the unfinished
 UTF-8 sequence. Bytes that no continuation can make valid become U+FFFD.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -33,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATES, PIECES = 50_000, 300_000
+STATES, PIECES = 200_000, 200_000
 #: What the two pattern languages call white space differs in four control characters.
 SPACES = {r"\s": r"\p{White_Space}", r"\S": r"\P{White_Space}"}
 
@@ -46,7 +47,9 @@ class Transducer:
         self.longest = max(map(len, ranks), default=1)
         self.starts = {t[:i] for t in ranks for i in range(1, len(t))}  # proper prefixes of tokens
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.moves: dict[tuple, dict[int, tuple[tuple, tuple[bytes, ...]]]] = {}
+        self.same = {t: t for t in ranks}  # one object for each token, however it was cut out
+        self.nodes: dict[tuple, dict] = {}
+        self.older: dict[tuple, dict] = {}
 
     def merged(self, piece: bytes) -> list[bytes]:
         """The definition: merge the leftmost pair of least rank until none is left. Only for pairs of tokens."""
@@ -69,55 +72,77 @@ class Transducer:
         return ok
 
     def move(self, state: tuple, byte: int) -> tuple[tuple, tuple[bytes, ...]]:
-        """state: (last settled token, open bytes, last token at each position after the first)."""
-        settled, text, lasts = state
+        """state: (last settled token, bytes since, last token at each position after the first, open positions).
+
+        What no open position depends on is left out of the state, so that equal futures share one.
+        """
+        settled, text, lasts, live = state
         text += bytes((byte,))
-        n = len(text)
-        last = None
-        for start in range(max(0, n - self.longest), n):
+        last = b""
+        for start in live:
             token = text[start:]
-            if token in self.ranks:
-                before = settled if start == 0 else lasts[start - 1]
-                if before is not None and self.may_follow(before, token):
-                    last = token
-                    break
-        lasts += (last,)
-        path = lambda end: [] if end == 0 else [*path(end - len(lasts[end - 1])), lasts[end - 1]]
-        live = [i for i in range(n) if (i == 0 or lasts[i - 1] is not None) and text[i:] in self.starts]
-        if last is not None:
-            live.append(n)
-        paths = [path(i) for i in live]
-        out: list[bytes] = []
-        for step in zip(*paths, strict=False):
-            if any(t != step[0] for t in step):
+            if (own := self.same.get(token)) is not None and self.may_follow(lasts[start - 1] if start else settled, own):
+                last = own
                 break
-            out.append(step[0])
-        cut = sum(map(len, out))
-        return (out[-1] if out else settled, text[cut:], lasts[cut:]), tuple(out)
+        lasts = (*lasts, last)
+        live = [i for i in live if text[i:] in self.starts]
+        live.append(len(text))
+        ends = set(live)  # the paths to the open positions part at one position
+        needed = set(live)
+        while len(ends) > 1:
+            end = max(ends)
+            ends.remove(end)
+            end -= len(lasts[end - 1])
+            ends.add(end)
+            needed.add(end)
+        (cut,) = ends
+        out, end = [], cut
+        while end:
+            out.append(lasts[end - 1])
+            end -= len(out[-1])
+        out.reverse()
+        settled = (out[-1] if out else settled) if cut in live else b""
+        lasts = tuple(lasts[i - 1] if i in needed else b"" for i in range(cut + 1, len(text) + 1))
+        return (settled, text[cut:], lasts, tuple(i - cut for i in live)), tuple(out)
+
+    def node(self, state: tuple) -> dict:
+        """The moves made from a state so far, and under -1 the state itself.
+
+        Nodes are kept in two generations of bounded size, so that what is in use stays.
+        """
+        found = self.nodes.get(state)
+        if found is None:
+            if len(self.nodes) >= STATES:
+                self.nodes, self.older = {}, self.nodes
+            found = self.nodes[state] = {-1: state}
+        return found
+
+    def step(self, node: dict, byte: int) -> tuple[dict, tuple[bytes, ...]]:
+        before = self.older.get(node[-1])
+        known = before.get(byte) if before else None
+        state, emitted = (known[0][-1], known[1]) if known else self.move(node[-1], byte)
+        node[byte] = found = (self.node(state), emitted)
+        return found
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of a piece; the state at its end gives the rest."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        state, out = (b"", b"", ()), []
+        node, out = self.node((b"", b"", (), (0,))), []
         for byte in piece:
-            known = self.moves.get(state)
-            if known is None:
-                if len(self.moves) >= STATES:
-                    self.moves.clear()
-                known = self.moves[state] = {}
-            step = known.get(byte)
-            if step is None:
-                step = known[byte] = self.move(state, byte)
-            state, emitted = step
+            found = node.get(byte)
+            if found is None:
+                found = self.step(node, byte)
+            node, emitted = found
             if emitted:
                 out += emitted
-        _, text, lasts = state
-        rest, end = [], len(text)
+        _, text, lasts, _ = node[-1]
+        end, rest = len(text), []
         while end:
             rest.append(lasts[end - 1])
             end -= len(rest[-1])
-        return [self.ranks[t] for t in [*out, *reversed(rest)]]
+        rest.reverse()
+        return [self.ranks[t] for t in (*out, *rest)]
 
 
 class Codec:
@@ -130,6 +155,7 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.whole = {i: (t.decode(), b"") for t, i in ranks.items() if _complete(t)}
 
     def encode(self, text: str) -> np.ndarray:
@@ -139,8 +165,13 @@ class Codec:
             ids = known.get(p)
             if ids is None:
                 if len(known) >= PIECES:
-                    known.clear()
-                ids = known[p] = np.array(self.transducer.encode(p.encode()), "<u4").tobytes()
+                    self.older, known = known, {}
+                    self.pieces = known
+                ids = self.older.get(p)
+                if ids is None:
+                    found = self.transducer.encode(p.encode("utf-8", "surrogatepass"))
+                    ids = struct.pack(f"<{len(found)}I", *found)
+                known[p] = ids
             parts.append(ids)
         return np.frombuffer(b"".join(parts), "<u4")
 
