@@ -35,7 +35,7 @@ from tidemark.llm.words import hashed_words, in_parts, mixed
 
 ORDER, START, END = 5, 0xFE, 0xFF  # two bytes that UTF-8 never has
 SYMBOLS = 255  # bytes and the end mark, without the start mark
-WORD, RUN = 0, 1
+WORD, RUN, PART = 0, 1, 1 << 20  # PART: bytes of text taken at once
 
 
 def runs(texts: list[bytes]) -> np.ndarray:
@@ -70,7 +70,7 @@ def block_features(texts: list[str | None], train: np.ndarray) -> dict[int, tupl
     """By kind: the distinct keys of all texts, sorted, and their counts in the texts to learn from."""
     found: dict[int, list] = {WORD: [], RUN: []}
     done = 0
-    for part in in_parts(texts):
+    for part in in_parts(texts, PART):
         own = train[done : done + len(part)]
         words, n = hashed_words(part)
         for kind, keys, flags in ((WORD, words, np.repeat(own, n)), (RUN, runs(part), np.repeat(own, [len(t) + 1 for t in part]))):
@@ -152,7 +152,7 @@ def totals(docs: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
     return pairs.reshape(256, 256), dict(zip(("bytes", "docs", "train_docs", "train_words"), (by_key.get(-1 - i, 0) for i in range(4)), strict=True))
 
 
-def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (~held_out).alias("train"))
@@ -202,7 +202,7 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             return lookup[kind][1][np.searchsorted(lookup[kind][0], unique)][codes] if len(wanted) else np.zeros(0)
 
         out = []
-        for part in in_parts(texts):
+        for part in in_parts(texts, PART):
             words, n = hashed_words(part)
             c, owner = of(WORD, words), np.repeat(np.arange(len(part)), n)
             sizes = np.array([len(t) + 1 for t in part])
