@@ -8,9 +8,13 @@ passage reaches into the chunks on either side, which differ somewhere, is found
 hashes of the words next to the run: the longest row of words that some other document
 has next to the same chunk. A run with its ends is a passage if it has ``min_words`` words.
 
-The first occurrence of a chunk among passages, by id and place, is kept; stretches of at
-least ``min_words`` words whose chunks all have an earlier occurrence are ``repeated``, and
-``without`` cuts them out.
+The first occurrence of a chunk among passages, by id and place, is kept; stretches whose
+chunks all have an earlier occurrence, and that may have ``min_words`` words with the part
+of the chunks beside them, are ``repeated``, and ``without`` cuts them out.
+
+A passage of 51 words has its two cuts, and so is found, in all but a few of a thousand
+cases; longer ones nearly always. Text that repeats a few bytes throughout has its cuts at
+places that depend on where it begins, so such runs may be missed.
 
 Chunk rows are (digest, id, place). Digests are counted by partial aggregation and joined
 back, so a passage that very many documents share is split like any skewed join. Texts are
@@ -114,30 +118,42 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def likely_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, runs: array of (first, last) chunk numbers) where a run of shared chunks may be long enough."""
+    """(id, runs, marks) where a run of shared chunks may be long enough.
+
+    runs: (first, last) chunk numbers. marks: (nth, side) of the chunks that begin (side 0)
+    or end (side 1) a run in any document; inside a longer run, what stands beside such a
+    chunk still tells another document how far its own passage reaches.
+    """
     every = chunks(docs)
     shared = every.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("digest")
-    hits = every.join(shared, "digest", "left_semi").select("id", F.shiftright("place", 32).alias("nth"), "place").distinct()
+    hits = written(every.join(shared, "digest", "left_semi").distinct(), "hits").withColumn("nth", F.shiftright("place", 32).cast("int"))
     island = F.col("nth") - F.row_number().over(W.partitionBy("id").orderBy("nth"))
     words = F.shiftright("place", 16).bitwiseAND(F.lit(WORDS_MASK))
     around = F.col("place").bitwiseAND(F.lit(WORDS_MASK))
     found = (
         hits.withColumn("island", island)
         .groupBy("id", "island")
-        .agg(F.min("nth").alias("first"), F.max("nth").alias("last"), (F.sum(words) + F.min_by(around, "nth") + F.max_by(around, "nth") + 2).alias("most"))
+        .agg(
+            F.min("nth").alias("first"), F.max("nth").alias("last"), F.min_by("digest", "nth").alias("begins"), F.max_by("digest", "nth").alias("ends"),
+            (F.sum(words) + F.min_by(around, "nth") + F.max_by(around, "nth") + 2).alias("most"),
+        )
         .where(F.col("most") >= min_words)
-    )
-    return found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    )
+    edge = lambda c, side: F.struct(F.col(c).alias("digest"), F.lit(side).alias("side"))
+    edges = found.select(F.explode(F.array(edge("begins", 0), edge("ends", 1))).alias("e")).select("e.*").distinct()
+    marks = hits.join(edges, "digest").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("nth", "side"))).alias("marks"))
+    return found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs")).join(marks, "id")
 
 
 ENDS = "id long, run int, digests array<long>, starts array<long>, ends array<long>, words array<int>, before array<long>, before_at array<long>, after array<long>, after_at array<long>"
 
 
 def run_ends(docs: DataFrame) -> DataFrame:
-    """For each run of docs (id, text, runs): its chunks, and what stands before and after it.
+    """For each run of docs (id, text, runs, marks): its chunks, and what stands before and after it.
 
     before[j] is the hash of the j + 1 words before the run together with the run's first
-    chunk, before_at[j] the place of the first of them; after and after_at likewise.
+    chunk, before_at[j] the place of the first of them; after and after_at likewise. Marks
+    give rows with run -1 and no chunks.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,25 +163,38 @@ def run_ends(docs: DataFrame) -> DataFrame:
                 c = Chunked(part)
                 raw = c.data.tobytes()
                 for k in range(len(part)):
-                    begin, end, f = int(c.begin[k]), int(c.end[k]), int(c.first[k])
+                    begin, f = int(c.begin[k]), int(c.first[k])
+                    one, at = b["id"].iloc[done + k], lambda x: [int(v) - begin for v in x]  # noqa: B023
                     for number, r in enumerate(b["runs"].iloc[done + k]):
                         i, j = f + int(r["first"]), f + int(r["last"])
-                        s, e = int(c.starts[i]), int(c.ends[j])
-                        a, z = int(np.searchsorted(c.word_starts, s)), int(np.searchsorted(c.word_ends, e, "right"))
-                        lo = int(np.searchsorted(c.word_starts, int(c.starts[i - 1]) if i > f else begin)) - (i > f)
-                        hi = int(np.searchsorted(c.word_ends, int(c.ends[j + 1]) if j + 1 < f + c.counts[k] else end, "right")) + 1
-                        lo, hi = max(lo, int(np.searchsorted(c.word_starts, begin))), min(hi, int(np.searchsorted(c.word_starts, end)))
-                        before, before_at = ends(raw, c, range(a - 1, lo - 1, -1), (int(c.digests[i]), 0, int(c.word_starts[a]) - s if a < len(c.word_starts) else -1), c.word_starts)
-                        after, after_at = ends(raw, c, range(z, hi), (int(c.digests[j]), 1, e - int(c.word_ends[z - 1]) if z else -1), c.word_ends)
-                        at = lambda x: [int(v) - begin for v in x]  # noqa: B023, E731
-                        own = [max(0, min(int(n), z) - max(int(m), a)) for m, n in zip(np.searchsorted(c.word_starts, c.starts[i : j + 1]), np.searchsorted(c.word_starts, c.ends[i : j + 1]), strict=True)]
-                        out.append((b["id"].iloc[done + k], number, c.digests[i : j + 1].view(np.int64).tolist(), at(c.starts[i : j + 1]), at(c.ends[i : j + 1]), own, before, at(before_at), after, at(after_at)))
+                        a, z = np.searchsorted(c.word_starts, c.starts[i]), np.searchsorted(c.word_ends, c.ends[j], "right")
+                        lo, hi = np.searchsorted(c.word_starts, c.starts[i : j + 1]), np.searchsorted(c.word_starts, c.ends[i : j + 1])
+                        own = np.maximum(np.minimum(hi, z) - np.maximum(lo, a), 0).tolist()
+                        (before, before_at), (after, after_at) = beside(raw, c, k, i, 0), beside(raw, c, k, j, 1)
+                        out.append((one, number, c.digests[i : j + 1].view(np.int64).tolist(), at(c.starts[i : j + 1]), at(c.ends[i : j + 1]), own, before, at(before_at), after, at(after_at)))
+                    for m in b["marks"].iloc[done + k]:
+                        keys = beside(raw, c, k, f + int(m["nth"]), int(m["side"]))[0]
+                        out.append((one, -1, [], [], [], [], [] if m["side"] else keys, [], keys if m["side"] else [], []))
                 done += len(part)
             yield pd.DataFrame(out, columns=[x.split()[0] for x in ENDS.split(", ")])
 
     return docs.mapInPandas(rows, ENDS)
 
 
+def beside(raw: bytes, c: Chunked, k: int, i: int, side: int) -> tuple[list[int], list[int]]:
+    """Words before (side 0) or after (side 1) chunk i of text k, as far as the next chunk reaches."""
+    f, n = int(c.first[k]), int(c.counts[k])
+    least, most = np.searchsorted(c.word_starts, c.begin[k]), np.searchsorted(c.word_starts, c.end[k])
+    if side == 0:
+        a = int(np.searchsorted(c.word_starts, c.starts[i]))
+        lo = max(int(np.searchsorted(c.word_starts, c.starts[max(i - 1, f)])) - 1, int(least))
+        apart = int(c.word_starts[a] - c.starts[i]) if a < most else -1
+        return ends(raw, c, range(a - 1, lo - 1, -1), (int(c.digests[i]), 0, apart), c.word_starts)
+    z = int(np.searchsorted(c.word_ends, c.ends[i], "right"))
+    hi = min(int(np.searchsorted(c.word_ends, c.ends[min(i + 1, f + n - 1)], "right")) + 1, int(most))
+    return ends(raw, c, range(z, hi), (int(c.digests[i]), 1, int(c.ends[i] - c.word_ends[z - 1]) if z > least else -1), c.word_ends)
+
+
 def ends(raw: bytes, c: Chunked, order: range, start: tuple, places: np.ndarray) -> tuple[list[int], list[int]]:
     """Hash of each row of words taken in order, begun with start, and the outer place of its last word."""
     h, hashes, at = hash_of(start), [], []
@@ -191,7 +220,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = sides[0].unionByName(sides[1])
     known = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
     reach = keys.join(known, "key", "left_semi").groupBy("id", "run").agg(*(F.max(F.when(F.col("side") == s, F.col("nth") + 1)).alias(f"n_{s}") for s in ("before", "after")))
-    found = runs.join(reach, ["id", "run"], "left").withColumns({f"n_{s}": F.coalesce(f"n_{s}", F.lit(0)) for s in ("before", "after")})
+    found = runs.where("run >= 0").join(reach, ["id", "run"], "left").withColumns({f"n_{s}": F.coalesce(f"n_{s}", F.lit(0)) for s in ("before", "after")})
     inner = F.aggregate("words", F.lit(0), lambda s, x: s + x)
     sized = found.select(
         "id", "run", "digests", "starts", "ends", "words", "n_before", "n_after", (inner + F.col("n_before") + F.col("n_after")).cast("int").alias("n_words"),
@@ -226,7 +255,8 @@ def _stretches(min_words: int):
             F.when(begun == 0, F.col("start")).otherwise(F.get("starts", begun)).alias("start"), F.when(i == last, F.col("end")).otherwise(F.get("ends", i)).alias("end")
         )
         ends_here = (i == last) | ~is_later(i + 1)
-        done = F.when(ends_here & (n >= min_words), F.concat(s["done"], F.array(span))).otherwise(s["done"])
+        beside = F.when(begun > 0, F.get("words", begun - 1)).otherwise(0) + F.when(i < last, F.get("words", i + 1)).otherwise(0)
+        done = F.when(ends_here & (n + beside >= min_words), F.concat(s["done"], F.array(span))).otherwise(s["done"])
         going = F.struct(done.alias("done"), F.when(ends_here, -1).otherwise(begun).alias("from"), F.when(ends_here, 0).otherwise(n).alias("words")).cast(kind)
         return F.when(is_later(i), going).otherwise(s)
 
