@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -47,7 +48,7 @@ _GEAR = _RANDOM.integers(0, 1 << 16, 256, np.uint16)
 _VALUES = _RANDOM.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _GEAR[0] = _VALUES[0] = 0  # texts stand apart by NUL bytes
 _BASE, _INVERSE = wd._BASE, wd._INVERSE
-WORDS_MASK = (1 << 16) - 1
+WORDS_MASK, FILTER_BITS = (1 << 16) - 1, 25
 
 
 class Chunked:
@@ -93,8 +94,11 @@ class Chunked:
         return np.searchsorted(self.word_starts, self.ends) - np.searchsorted(self.word_starts, self.starts)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(digest, id, place) of docs (id, text); place holds the chunk's number, its words, and those of the chunks beside it."""
+def chunks(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
+    """(digest, id, place) of docs (id, text); place holds the chunk's number, its words, and those of the chunks beside it.
+
+    With wanted, the bits of a filter, chunks that it rules out are left out.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -110,13 +114,30 @@ def chunks(docs: DataFrame) -> DataFrame:
                 around = np.where(head, 0, padded[:-2]) + np.where(last, 0, padded[2:])
                 nth = np.arange(len(n)) - np.repeat(c.first, c.counts)
                 place = (nth << 32) | (np.minimum(n, WORDS_MASK) << 16) | np.minimum(around, WORDS_MASK)
-                ids = b["id"].to_numpy()[done : done + len(part)]
-                yield pd.DataFrame({"digest": c.digests.view(np.int64), "id": np.repeat(ids, c.counts), "place": place})
+                ids = np.repeat(b["id"].to_numpy()[done : done + len(part)], c.counts)
+                found = pd.DataFrame({"digest": c.digests.view(np.int64), "id": ids, "place": place})
+                if wanted is not None:
+                    at = c.digests >> np.uint64(64 - FILTER_BITS)
+                    found = found[(wanted.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                yield found
                 done += len(part)
 
     return docs.mapInPandas(rows, "digest long, id long, place long")
 
 
+def filter_of(digests: DataFrame) -> np.ndarray:
+    """A bit for each value of the digests' first bits: 4 MB, however many digests there are.
+
+    It only spares rows a shuffle; the join with the digests themselves decides.
+    """
+    at = F.shiftrightunsigned("digest", 64 - FILTER_BITS)
+    words = digests.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def likely_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """(id, runs, marks) where a run of shared chunks may be long enough.
 
@@ -124,10 +145,11 @@ def likely_runs(docs: DataFrame, min_words: int) -> DataFrame:
     or end (side 1) a run in any document; inside a longer run, what stands beside such a
     chunk still tells another document how far its own passage reaches.
     """
-    every = chunks(docs)
-    shared = every.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("digest")
-    hits = written(every.join(shared, "digest", "left_semi").distinct(), "hits").withColumn("nth", F.shiftright("place", 32).cast("int"))
-    island = F.col("nth") - F.row_number().over(W.partitionBy("id").orderBy("nth"))
+    shared = chunks(docs).groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("digest")
+    shared = written(shared, "shared")
+    wanted = docs.sparkSession.sparkContext.broadcast(filter_of(shared))
+    hits = written(chunks(docs, wanted).join(shared, "digest", "left_semi"), "hits").withColumn("nth", F.shiftright("place", 32).cast("int"))
+    island = F.col("nth") - F.dense_rank().over(W.partitionBy("id").orderBy("nth"))  # of rows with equal ids, chunks occur again
     words = F.shiftright("place", 16).bitwiseAND(F.lit(WORDS_MASK))
     around = F.col("place").bitwiseAND(F.lit(WORDS_MASK))
     found = (
