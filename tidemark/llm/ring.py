@@ -18,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,8 @@ def shard(
     waiting = written(keys.join(F.broadcast(ring(spark, n_shards, vnodes)), "position"), "ring").withColumn("home_shard", F.col("prefs")[0])
     n = left = waiting.count()
     share, extra = divmod(n, n_shards)
-    room = [max(share + (s < extra), -(-int(n * load_factor) // n_shards)) for s in range(n_shards)]
+    spare = math.ceil(n * (load_factor - 1) / n_shards)
+    room = [share + (s < extra) + spare for s in range(n_shards)]
     turn, placed = ["turn", "doc_id", "text_crc32"], []
     while left:
         full = F.array(*(F.lit(s) for s in range(n_shards) if not room[s])).cast("array<int>")
