@@ -1,0 +1,365 @@
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidemark.llm import bpe, chat, common, contamination, importance, langid, passages, ppm, ring, simhash, winnow
+from tidemark.llm.words import hashed_words
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, n, lang="en"):
+    rng = np.random.default_rng(seed)
+    parts = {"en": ["the", "ing", "er", "th", "an", "on", "sh"], "fr": ["é", "eau", "ou", "ai", "è", "ç", "tion"], "de": ["sch", "ü", "ein", "ung", "ß", "ver", "keit"]}[lang]
+    return " ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(n))
+
+
+def frame(spark, rows):
+    """Rows (id, text, lang), with extra columns whose names clash with those that operators use inside."""
+    full = [(i, t, lang, "s", None if t is None else len(t)) for i, t, lang in rows]
+    df = spark.createDataFrame(full, SCHEMA)
+    return df.withColumns({c: F.lit("x") for c in ("id", "fp", "bucket", "key", "block", "part", "words", "held_out", "position")})
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Nulls, empties, ties, repeated rows, copies, a shared passage and a long text."""
+    rows = [(i, prose(i, 30 + 9 * i, "en fr de".split()[i % 3]), "en fr de".split()[i % 3]) for i in range(24)]
+    shared = prose(999, 60)
+    rows += [(30, prose(30, 40) + " " + shared + " " + prose(31, 40), "en"), (31, shared + "\n" + prose(32, 30), "en"), (32, prose(33, 80) + " " + shared, None)]
+    rows += [(40, rows[5][1], "de"), (41, rows[5][1] + " end", "de"), (42, None, None), (43, "", "en"), (44, " \n\t", "en"), (45, "123 456 !!", "en"), (46, "a", "en")]
+    rows += [(47, prose(47, 6000), "en"), (46, "a", "en"), (None, prose(48, 50), "en"), (None, None, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return frame(spark, corpus).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [(0, "a", "en")]).where("false")
+
+
+def simhash_by_hand(text):
+    w = (text or "").encode().lower().split()
+    grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_components_equal_all_pairs(docs, corpus, empty):
+    got = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs, tree_size=4).collect()]
+    fps = [simhash_by_hand(t) for _, t, _ in corpus]
+    up = list(range(len(fps)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i, j in combinations(range(len(fps)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 3:
+            up[root(i)] = root(j)
+    least = {}
+    for i, (d, _, _) in enumerate(corpus):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    want = [(d, f"{fps[i]:016x}", least.get(root(i))) for i, (d, _, _) in enumerate(corpus)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_links_of_a_crowded_shard_lose_nothing(spark):
+    """Fingerprints around one centre: every shard is hot and is split into many trees."""
+    rng = np.random.default_rng(1)
+    fps = list({int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False))) for _ in range(150)})
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, rep long")
+    links = [(r["u"], r["v"]) for r in simhash.links(nodes, tree_size=16).collect()]
+    assert all((fps[u] ^ fps[v]).bit_count() <= 64 for u, v in links)
+    found = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    up = list(range(len(fps)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i, j in combinations(range(len(fps)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 3:
+            a, b = root(i), root(j)
+            up[max(a, b)] = min(a, b)
+    assert [found.get(i, i) for i in range(len(fps))] == [root(i) for i in range(len(fps))]
+
+
+def test_components_of_a_long_path(spark):
+    path = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 501)], "u long, v long")
+    found = {r["node"]: r["component"] for r in common.components(path).collect()}
+    assert found == dict.fromkeys(range(201), 0) | {500: 500, 501: 500}
+
+
+def test_ring_places_each_row_at_its_first_shard_with_room(docs, corpus, empty):
+    got = ring.shard(docs, n_shards=5).collect()
+    assert len(got) == len(corpus)
+    sizes = Counter(r["shard"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    for s, n in sizes.items():
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n))
+    by_id = {i: t for i, t, _ in corpus if i is not None}
+    for r in got:
+        if r["doc_id"] is not None:
+            t = (by_id[r["doc_id"]] or "").encode()
+            assert r["size"] == len(t) + 1 and r["text_crc32"] == zlib.crc32(t)
+    assert ring.shard(empty).count() == 0
+    loose = ring.shard(docs, n_shards=5, load_factor=5.0).collect()
+    assert all(r["shard"] == r["home_shard"] for r in loose)
+
+
+def test_ring_moves_rows_only_into_a_new_shard(spark):
+    rows = frame(spark, [(i, "t", "en") for i in range(400)])
+    a, b = ({r["doc_id"]: r["home_shard"] for r in ring.shard(rows, n_shards=n, load_factor=9.0).collect()} for n in (4, 5))
+    assert 0 < sum(a[i] != b[i] for i in a) < 200 and all(a[i] == b[i] or b[i] == 4 for i in a)
+
+
+def test_shared_passages(spark, docs, corpus, empty):
+    found = [r for r in passages.shared_passages(docs).collect()]
+    by_id = {i: (t or "").encode() for i, t, _ in corpus if i is not None}
+    grams = defaultdict(set)
+    for i, t in by_id.items():
+        w = t.split()
+        for k in range(len(w) - 49):
+            grams[b" ".join(w[k : k + 50])].add(i)
+    want = {i for ids in grams.values() if len(ids) > 1 for i in ids}
+    assert {r["doc_id"] for r in found} == want
+    for r in found:
+        assert len(by_id[r["doc_id"]][r["start"] : r["end"]].split()) == r["n_words"] >= 50
+    shared = prose(999, 60)
+    cut = {r["doc_id"]: r["text"] for r in passages.without(docs, passages.shared_passages(docs)).collect() if r["doc_id"] is not None}
+    assert cut[30] == by_id[30].decode() and shared not in cut[31] and shared not in cut[32]
+    assert cut[31].split() == prose(32, 30).split() and cut[32].split() == prose(33, 80).split()
+    assert all(cut[i] == (t.decode() or cut[i]) for i, t in by_id.items() if i not in want)
+    assert passages.without(docs, passages.shared_passages(docs)).columns == docs.columns
+    assert passages.shared_passages(empty).count() == 0
+
+
+def test_chunks_come_into_step_after_an_insertion():
+    text = prose(7, 800).encode()
+    a, b = passages.Chunked([text]), passages.Chunked([b"something new " + text])
+    assert len(set(a.digests) & set(b.digests)) >= len(a.digests) - 2
+
+
+def test_preference_pairs(spark):
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", None), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", "alone"), (3, 1, None, "x"), (3, 1, None, "x"), (None, 0, "user", "lost")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("id", F.lit("x"))
+    got = {r["id"]: r for r in chat.preference_pairs(*chat.paired_by_answer(df)).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    r = got[0]
+    assert (r["n_common"], r["prompt"]) == (1, "<|user|>\nhi<|end|>\n")
+    assert r["chosen"] == "<|assistant|>\nyes<|end|>\n<|user|>\n<|end|>\n" and r["rejected"] == "<|assistant|>\nno<|end|>\n"
+    assert [r["chosen"][s["start"] : s["end"]] for s in r["chosen_mask"]] == ["yes<|end|>"]
+    assert [r["rejected"][s["start"] : s["end"]] for s in r["rejected_mask"]] == ["no<|end|>"]
+    assert got[2]["rejected"] is None and got[2]["chosen"] == "<|user|>\nalone<|end|>\n"
+    assert got[3]["chosen"] == "<|>\nx<|end|>\n".replace("<|>", "<||>") * 2
+    assert chat.preference_pairs(*chat.paired_by_answer(df.where("false"))).count() == 0
+
+
+def test_winnowing(spark, docs, corpus, empty):
+    got = winnow.edited(docs, ranges=5).collect()
+    order = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = []
+    for (i, t, _), (_, nxt, _) in zip(order, order[1:] + order[:1], strict=True):
+        t, nxt = t or "", nxt or ""
+        h = len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest()))
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert winnow.edited(empty).count() == 0
+
+
+def test_winnowing_picks_the_rightmost_least_hash_of_each_window(spark):
+    texts = ["", "a", "a b c", "a a a a a a a a a a a a a a", prose(3, 90)]
+    rows = winnow.fingerprints(frame(spark, [(i, t, "en") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    runs = frame(spark, [(0, texts[4], "en")]).select(winnow.chosen(F.col("text"), winnow.K, 1).alias("v")).first()["v"]
+    hashes = [v >> 31 for v in runs]
+    want = []
+    for i in range(len(hashes) - winnow.WINDOW + 1):
+        window = hashes[i : i + winnow.WINDOW]
+        at = i + max(k for k, h in enumerate(window) if h == min(window))
+        if not want or want[-1][1] != at:
+            want.append((hashes[at], at))
+    assert list(zip(rows[4]["hashes"], rows[4]["positions"], strict=True)) == want
+    assert [len(r["hashes"]) for r in rows[:3]] == [0, 1, 1]
+
+
+def test_language(docs, corpus, empty):
+    many = [(i, prose(i, 40, lang), lang) for i, lang in enumerate(["en", "fr", "de"] * 60)]
+    df = frame(docs.sparkSession, many + [(900, None, "en"), (901, "12 !", "en"), (None, prose(5, 30), "en"), (902, prose(9, 30, "de"), None)])
+    got = {r["doc_id"]: r for r in langid.languages(df, steps=80).collect()}
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got if i is not None)
+    held = [(i, lang) for i, _, lang in many if got[i]["held_out"]]
+    assert sum(got[i]["lang_pred"] == lang for i, lang in held) >= 0.95 * len(held)
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "de"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert langid.languages(empty).count() == 0
+    untaught = langid.languages(df.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {(r["lang_pred"], r["score"]) for r in untaught} == {("und", 0.0)}
+
+
+def test_language_gradients_equal_differences():
+    rng = np.random.default_rng(2)
+    w = {"X": rng.standard_normal((2, 256, 16)), "U": rng.standard_normal((2, 8, 16)), "V": rng.standard_normal((16, 3)), "d": np.zeros(3)}
+    w = {k: (v * 0.4).astype(np.float32) for k, v in w.items()}
+    data, y = rng.integers(97, 110, (12, 5)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    data[9:, 2] = 0
+
+    def loss(x):
+        p = langid.Network(["a", "b", "c"], **x).probabilities(data)
+        real = data != 0
+        return -(np.log(p[:, np.arange(5), y]) * real).sum() / real.sum()
+
+    g = langid.gradients(w, data, y)
+    for name, at in (("X", (0, 100, 3)), ("X", (1, 101, 12)), ("U", (0, 2, 5)), ("U", (1, 3, 11)), ("V", (3, 1)), ("d", (2,))):
+        up, down = ({k: v.copy() for k, v in w.items()} for _ in range(2))
+        up[name][at] += 1e-2
+        down[name][at] -= 1e-2
+        assert g[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-2, rel=0.05, abs=2e-4)
+
+
+def test_contamination_equals_all_pairs(spark, docs, corpus, empty):
+    texts = [(i, t) for i, t, _ in corpus]
+    items = [(1, " ".join(texts[20][1].split()[40:70])), (2, " ".join(texts[34 - 7][1].split()[5:18])), (3, prose(5000, 30)), (4, None), (5, ""), (6, "a"), (7, " ".join(dict(texts)[47].split()[2000:2200]))]
+    words = texts[10][1].split()[10:60]
+    words[25] = "changed"
+    items += [(8, " ".join(words)), (9, " ".join(texts[3][1].upper().split()[:10]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def grams(t, n):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+    want = set()
+    for item, t in items:
+        n = min(5, len((t or "").split()))
+        own = grams(t, n) if n else set()
+        for doc, d in texts:
+            hits = len(own & grams(d, n)) if own else 0
+            if own and hits >= 0.8 * len(own):
+                want.add((doc, item, len(own), hits))
+    for block in (1 << 20, 200):
+        got = {(r["doc_id"], r["item_id"], r["n_shingles"], r["n_found"]) for r in contamination.contaminated(docs, bench, block_bytes=block).collect()}
+        assert got == want
+    assert contamination.contaminated(empty, bench).count() == 0
+    assert contamination.contaminated(docs, bench.where("false")).count() == 0
+
+
+def test_importance_resampling(spark, empty):
+    good = [(i, prose(i, 80), "en") for i in range(150)]
+    junk = [(1000 + i, " ".join(w + "%%%" for w in prose(i, 80).split()), "en") for i in range(50)]
+    df = frame(spark, good + junk + [(2000, None, "en"), (2001, "", None)])
+    labels = spark.createDataFrame([(i, int(i < 1000), 0) for i in [*range(60), *range(1000, 1020)]] + [(None, 1, None)], "doc_id long, quality int, toxic int")
+    got = [r["doc_id"] for r in importance.resampled(df, labels, share=0.7).collect()]
+    assert len(got) == len(set(got)) == round(202 * 0.7)
+    assert sum(i >= 1000 and i < 2000 for i in got) <= 2
+    assert importance.resampled(empty, labels).count() == 0
+    keys = spark.createDataFrame([(i, float(i // 3)) for i in range(300)], "id long, key double")
+    top = importance.largest(keys, "key", 100, [F.asc("id")], ranges=8, together=10)
+    assert sorted(r["id"] for r in top.collect()) == [198, *range(201, 300)]
+
+
+def test_ppm_scores(spark, docs, corpus, empty):
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    got = sorted((tuple(r) for r in ppm.scored(docs, out, block_bytes=5000).collect()), key=repr)
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _, _ in corpus]
+    tokens = [[*(t or "").encode().lower().split(), None] for _, t, _ in corpus]
+    c = Counter(w for h, ws in zip(held, tokens, strict=True) if not h for w in ws)
+    n, v = sum(c.values()), len(c)
+    trie = defaultdict(Counter)
+    data = [(bytes((ppm.START,)) * ppm.ORDER + (t or "").encode() + bytes((ppm.END,))) for _, t, _ in corpus]
+    for h, d in zip(held, data, strict=True):
+        for at in range(ppm.ORDER, len(d)) if not h else ():
+            for k in range(ppm.ORDER + 1):
+                trie[d[at - k : at]][d[at]] += 1
+
+    def log_p(context, symbol):
+        p, gone = 1.0, set()
+        for k in range(ppm.ORDER, -1, -1):
+            seen = trie[context[len(context) - k :]]
+            left = {s: x for s, x in seen.items() if s not in gone}
+            if left:
+                total = sum(left.values())
+                if symbol in left:
+                    return math.log10(p * (2 * left[symbol] - 1) / (2 * total))
+                p *= len(left) / (2 * total)
+                gone |= set(left)
+        return math.log10(p / (ppm.SYMBOLS - len(gone)))
+
+    want = []
+    for (i, _, _), h, ws, d in zip(corpus, held, tokens, data, strict=True):
+        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+        score = sum(log_p(d[at - ppm.ORDER : at], d[at]) for at in range(ppm.ORDER, len(d)))
+        want.append((i, h, len(ws), sum(c[w] > 0 for w in ws), n, base, score))
+    want.sort(key=repr)
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[5:] == pytest.approx(b[5:], rel=1e-5)
+    assert ppm.scored(empty, out).count() == 0
+
+
+def test_bpe_equals_the_public_library(docs, corpus, empty):
+    c = bpe.codec(PATH, public_tokenizers.PATTERN)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.transducer.ranks, special_tokens={})
+    rng = np.random.default_rng(4)
+    letters = [*"aenthsor", " ", "  ", "\n", "\t", "\x1c", "\x85", "é", "日本", "😀", "12", "'s", "%%%", "​", "한국", "\x00"]
+    for _ in range(1500):
+        text = "".join(rng.choice(letters, rng.integers(0, 50)))
+        ids = c.encode(text).tolist()
+        assert ids == other.encode_ordinary(text) and "".join(c.decode(ids)) == text
+    got = sorted((tuple(r) for r in bpe.round_trip(docs, PATH, public_tokenizers.PATTERN).collect()), key=repr)
+    want = []
+    for i, t, _ in corpus:
+        ids = other.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    assert bpe.round_trip(empty, PATH, public_tokenizers.PATTERN).count() == 0
+    back = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
+    assert sorted((r["text"] for r in back.collect())) == sorted((t or "") for _, t, _ in corpus)
+
+
+def test_streaming_decode_of_broken_ids():
+    c = bpe.codec(PATH, public_tokenizers.PATTERN)
+    ids = [c.transducer.ranks[bytes((b,))] for b in "é".encode()[:1] + b"a" + "日".encode()[:2]]
+    assert "".join(c.decode(ids)) == "�a�"
+
+
+def test_words_are_those_of_bytes_split():
+    texts = [b"", b" A b\x0bA\xc3\x89 ", b"a", b"\n"]
+    h, n = hashed_words(texts)
+    assert n.tolist() == [len(t.split()) for t in texts] and h[0] == h[3] and len(set(h.tolist())) == 3
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    spark.createDataFrame([(1, " ".join(prose(20, 210, "de").split()[40:70]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        if name != "encoding":
+            assert now.columns == docs.columns
+            now = common.written(now, name)
+        ids = [r["doc_id"] for r in now.select("doc_id").collect()]
+        if name == "language":
+            assert not {42, 43, 44, 45} & set(ids) and {0, 1, 2, 30, 31, 32, 47} <= set(ids)
+        if name == "near_duplicates":
+            assert 40 not in ids and 5 in ids and ids.count(46) <= 1
+        if name == "decontamination":
+            assert 20 not in ids
+    assert {0, 1, 2, 3, 30, 31, 32, 47} <= set(ids)
+    texts = {i: t for i, t in now.select("doc_id", "decoded_sha256").collect()}
+    assert texts[47] == hashlib.sha256(prose(47, 6000).encode()).hexdigest()
