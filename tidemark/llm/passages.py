@@ -250,12 +250,11 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("n_after") > 0, F.get("after_at", F.col("n_after") - 1)).otherwise(F.element_at("ends", -1)).alias("end"),
     ).where(F.col("n_words") >= min_words)
     passages = written(sized, "passages")
-    each = passages.select("id", "run", F.posexplode("digests").alias("nth", "digest"), "starts")
-    place = F.struct("id", F.element_at("starts", F.col("nth") + 1).alias("at"))
-    first = each.groupBy("digest").agg(F.min(place).alias("kept"))
+    each = passages.select("id", "run", F.posexplode(F.arrays_zip("digests", "starts")).alias("nth", "c")).select("id", "run", "nth", F.col("c.digests").alias("digest"), F.col("c.starts").alias("at"))
+    first = each.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("kept"))
     later = (
         each.join(first, "digest")
-        .where((F.col("kept.id") != F.col("id")) | (F.col("kept.at") != F.element_at("starts", F.col("nth") + 1)))
+        .where((F.col("kept.id") != F.col("id")) | (F.col("kept.at") != F.col("at")))
         .groupBy("id", "run")
         .agg(F.array_sort(F.collect_set("nth")).alias("later"))
     )
