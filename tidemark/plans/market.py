@@ -11,7 +11,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import rules, screen, series
+from tidemark.operators import rules, screen, series, structure
 from tidemark.plans.registry import out, query, table
 
 AS_OF, PRIOR = "2001-10-31", "2001-09-28"
@@ -398,3 +398,71 @@ z AS (SELECT ticker, 100 - 100 / (1 + g / l) AS rsi FROM w JOIN (SELECT ticker,
 SELECT ticker, CASE WHEN bars < 15 THEN 'insufficient-data' ELSE coalesce(nullif(concat_ws(',', CASE WHEN rsi > 70 THEN 'overbought' END, CASE WHEN rsi < 30 THEN 'oversold' END, CASE WHEN close / ma20 - 1 > 0.05 THEN 'extended' END, CASE WHEN close / ma20 - 1 < -0.05 THEN 'below-trend' END), ''), 'normal') END AS status FROM st LEFT JOIN z USING (ticker)""".replace("s AS (SELECT ticker, date, close, row_number() OVER", "ss AS (SELECT ticker, date, close, row_number() OVER").replace("FROM s WHERE r <= 42", "FROM ss WHERE r <= 42"))
 def portfolio_status(spark, sf_dir):
     return read(spark, sf_dir).select("ticker", rules.position_status().alias("status"))
+
+
+# Price structure
+
+ZONE_SQL = f"""WITH {BARS_SQL}, {panel_sql()}, pv AS (SELECT ticker, n, high AS price, 'high' AS kind FROM panel WHERE pivot_high UNION ALL SELECT ticker, n, low, 'low' FROM panel WHERE pivot_low),
+tol AS (SELECT ticker, greatest(0.5 * coalesce(atr14, 0), 0.005 * close) AS tolerance FROM panel WHERE n = bars),
+mk AS (SELECT pv.*, CASE WHEN price - lag(price) OVER (PARTITION BY ticker ORDER BY price, n, kind) > tolerance THEN 1 ELSE 0 END AS new FROM pv JOIN tol USING (ticker)),
+gr AS (SELECT *, sum(new) OVER (PARTITION BY ticker ORDER BY price, n, kind ROWS UNBOUNDED PRECEDING) AS zone FROM mk),
+zn AS (SELECT ticker, CAST(zone AS BIGINT) AS zone, min(price) AS low, max(price) AS high, avg(price) AS center, count(*) AS pivots FROM gr GROUP BY 1, 2 HAVING count(*) >= 2),
+tc AS (SELECT z.ticker, z.zone, z.low, z.high, z.center, z.pivots, count(*) AS touches, max(b.n) AS last_n, max(b.date) AS last_touch, sum(b.volume) AS volume FROM zn z JOIN panel b ON b.ticker = z.ticker AND greatest(b.low, z.low) <= least(b.high, z.high) GROUP BY ALL),
+sd AS (SELECT ticker, any_value(bars) AS bars, last(close ORDER BY n) AS price FROM panel WHERE n > bars - 5 GROUP BY 1),
+zs AS (SELECT tc.*, bars, price, CASE WHEN high < price THEN 'support' WHEN low > price THEN 'resistance' ELSE 'inside' END AS type, 'active' AS status, abs(center - price) / price AS distance FROM tc JOIN sd USING (ticker)),
+sc AS (SELECT *, distance > 0.3 AS far, 0.35 * CASE WHEN max(touches) OVER w > min(touches) OVER w THEN (touches - min(touches) OVER w) / (max(touches) OVER w - min(touches) OVER w) ELSE 0.5 END + 0.25 * exp(-(bars - last_n) / 30)
+  + 0.2 * CASE WHEN max(volume) OVER w > min(volume) OVER w THEN (volume - min(volume) OVER w) / (max(volume) OVER w - min(volume) OVER w) ELSE 0.5 END + 0.15 * greatest(0, 1 - distance / 0.3) + 0.05 AS score FROM zs WINDOW w AS (PARTITION BY ticker))"""
+
+
+def scored_zones(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return structure.zone_score(structure.zone_status(structure.touches(structure.zones(p), p), p))
+
+
+@query("price_zones", f"{ZONE_SQL} SELECT ticker, zone, round(low, 6) AS low, round(high, 6) AS high, round(center, 6) AS center, pivots FROM zn")
+def price_zones(spark, sf_dir):
+    return out(structure.zones(panel(spark, sf_dir)))
+
+
+@query("zone_touches", f"{ZONE_SQL} SELECT ticker, zone, touches, last_touch, volume FROM tc")
+def zone_touches(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return out(structure.touches(structure.zones(p), p), "ticker", "zone", "touches", "last_touch", "volume")
+
+
+@query("zone_status", f"{ZONE_SQL} SELECT ticker, zone, type, status, round(distance, 6) AS distance, far FROM sc")
+def zone_status(spark, sf_dir):
+    return out(scored_zones(spark, sf_dir), "ticker", "zone", "type", "status", "distance", "far")
+
+
+@query("zone_score", f"{ZONE_SQL} SELECT ticker, zone, round(score, 6) AS score FROM sc")
+def zone_score(spark, sf_dir):
+    return out(scored_zones(spark, sf_dir), "ticker", "zone", "score")
+
+
+@query("drawn_zones", f"{ZONE_SQL} SELECT ticker, type, zone, rank FROM (SELECT *, row_number() OVER (PARTITION BY ticker, type ORDER BY score DESC, zone) AS rank FROM sc WHERE type <> 'inside' AND NOT far) WHERE rank <= 3")
+def drawn_zones(spark, sf_dir):
+    return out(structure.drawn_zones(scored_zones(spark, sf_dir)), "ticker", "type", "zone", "rank")
+
+
+@query("volume_profile", f"""WITH {BARS_SQL}, w AS (SELECT *, min(low) OVER (PARTITION BY ticker) AS lo, max(high) OVER (PARTITION BY ticker) AS hi, (high + low + close) / 3 AS typical FROM bars),
+b AS (SELECT ticker, CAST(greatest(0, least(49, floor((typical - lo) / (hi - lo) * 50))) AS BIGINT) AS bin, sum(volume) AS volume FROM w GROUP BY 1, 2) SELECT ticker, bin, volume, row_number() OVER (PARTITION BY ticker ORDER BY volume DESC, bin) = 1 AS poc FROM b""")
+def volume_profile(spark, sf_dir):
+    return out(structure.volume_profile(bars(spark, sf_dir)), "ticker", "bin", "volume", "poc")
+
+
+@query("wave_candidates")
+def wave_candidates(spark, sf_dir):
+    return out(structure.waves(panel(spark, sf_dir)))
+
+
+@query("alternating_pivots")
+def alternating_pivots(spark, sf_dir):
+    return out(structure.best_wave(structure.waves(panel(spark, sf_dir))))
+
+
+@query("fib_levels", f"""WITH {BARS_SQL}, m AS (SELECT ticker, first(close ORDER BY date) AS a, last(close ORDER BY date) AS b FROM bars GROUP BY 1), l AS (SELECT ticker, unnest(['retracement', 'retracement', 'retracement', 'extension', 'extension']) AS level, unnest([0.382, 0.5, 0.618, 1.0, 1.618]::DOUBLE[]) AS ratio, unnest([b - (b - a) * 0.382::DOUBLE, b - (b - a) * 0.5::DOUBLE, b - (b - a) * 0.618::DOUBLE, b, a + (b - a) * 1.618::DOUBLE]) AS price FROM m WHERE a <> b)
+SELECT ticker, level, round(ratio, 6) AS ratio, round(price, 6) AS price FROM l""")
+def fib_levels(spark, sf_dir):
+    m = bars(spark, sf_dir).groupBy("ticker").agg(F.min_by("close", "date").alias("first_price"), F.max_by("close", "date").alias("last_price"))
+    return out(structure.fib_levels(m))
