@@ -1,6 +1,6 @@
 """A corpus cleaned and encoded in five stages, each written as Parquet and read by the next.
 
-1. language: drops documents whose language can't be told (no letter, or a score below 0.5).
+1. language: drops documents whose language can't be told (no letter, or a score below 0.4).
 2. near_duplicates: keeps one document of each SimHash group, that with the smallest id.
 3. shared_passages: cuts out what occurs earlier in another document; a document of which
    nothing is left goes.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, contamination, langid, passages, simhash
 from tidemark.llm.common import table, written
 
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
