@@ -89,3 +89,62 @@ def leader_names(rankings: DataFrame, lenses: tuple[str, ...] = ("short", "inter
     fit = rankings.where((F.col("rank") <= top) & F.col("lens").isin(*lenses)).withColumn("place", place)
     once = fit.groupBy("ticker").agg(F.min(F.struct("place", "rank")).alias("at"))
     return once.withColumn("nth", F.row_number().over(W.orderBy("at"))).where(F.col("nth") <= most).select("nth", "ticker")
+
+
+def ordinary_shares(listings: DataFrame, patterns: list[str], name: str = "name") -> DataFrame:
+    """Listings whose name, without blanks, matches none of the patterns of other instruments."""
+    bare = F.regexp_replace(name, r"\s+", "")
+    out = listings
+    for p in patterns:
+        out = out.where(~F.coalesce(bare.rlike(p), F.lit(False)))
+    return out
+
+
+def normal_ticker(text: Column) -> Column:
+    """The first run of six digits, else the trimmed text."""
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"(\d{6})", 1), F.lit("")), F.trim(text))
+
+
+def within_lookback(rows: DataFrame, date: str, as_of: Column, days: int) -> DataFrame:
+    """Rows of the last days; those of an unknown date are kept."""
+    return rows.where(F.col(date).isNull() | ((F.col(date) <= as_of) & (F.col(date) >= F.date_sub(as_of, days))))
+
+
+def broker_views_extract(articles: DataFrame, aliases: DataFrame, around: int = 200, thesis: int = 240) -> DataFrame:
+    """For each article and broker named in it: the text around the first alias, and what it says of price and rating.
+
+    aliases (broker, alias) is a dimension of a few hundred rows, folded into one array on
+    the driver; of a broker's aliases the longest that occurs counts.
+    """
+    known = sorted(((r["broker"], r["alias"].lower()) for r in aliases.select("broker", "alias").distinct().collect()), key=lambda x: (x[0], -len(x[1]), x[1]))
+    each = F.array_compact(F.array(*(F.when(F.contains(F.lower("text"), F.lit(a)), F.struct(F.lit(b).alias("broker"), F.lit(a).alias("alias"), F.lit(i).alias("place"))) for i, (b, a) in enumerate(known))))
+    hits = articles.select("article_id", "text", F.explode(each).alias("h")).select("article_id", "text", "h.*")
+    best = hits.withColumn("k", F.row_number().over(W.partitionBy("article_id", "broker").orderBy("place"))).where("k = 1")
+    at = F.instr(F.lower("text"), F.col("alias"))
+    start = F.greatest(F.lit(1), at - around)
+    near = F.substring(F.col("text"), start, at - start + F.length("alias") + around)
+    number = F.nullif(F.regexp_extract(near, r"(\d+(?:\.\d+)?)", 1), F.lit(""))
+    rating = F.when(near.rlike("(?i)buy"), "BUY").when(near.rlike("(?i)hold"), "HOLD").when(near.rlike("(?i)sell"), "SELL")
+    return best.select("article_id", "broker", "alias", number.try_cast("double").alias("target_price"), rating.alias("rating"), F.substring(squeezed(near), 1, thesis).alias("thesis"))
+
+
+def table_mismatches(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row for each cell (doc_id, line_no, col) that is missing, added or of another text."""
+    on = ["doc_id", "line_no", "col"]
+    both = expected.select(*on, F.col("text").alias("expected")).join(actual.select(*on, F.col("text").alias("actual")), on, "full")
+    kind = F.when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "added").when(F.col("actual") != F.col("expected"), "changed")
+    return both.withColumn("kind", kind).where("kind is not null")
+
+
+def public_view(text: Column, internal: list[str]) -> Column:
+    """A memo's lines without internal ones, images and link targets."""
+    own = lambda x: ~x.rlike("(?i)" + "|".join(internal))
+    kept = F.array_join(F.filter(F.split(text, "\n"), own), "\n")
+    return F.regexp_replace(F.regexp_replace(kept, r"!\[[^\]]*\]\([^)]*\)", ""), r"\[([^\]]*)\]\([^)]*\)", "$1")
+
+
+def nicknames(queries: DataFrame, blocked: list[str], particles: str) -> DataFrame:
+    """Tails of related queries (company, query) that are names: not blocked, not ASCII alone, without particles."""
+    tail = F.regexp_replace(F.trim(F.regexp_replace("query", F.concat(F.lit("(?i)^"), F.col("company"), F.lit(r"\s+")), F.lit(""))), f"({particles})$", "")
+    fit = queries.withColumn("tail", tail).where((F.length("tail") >= 2) & ~F.lower("tail").isin(*blocked) & ~F.col("tail").rlike(r"^[\x00-\x7F]+$"))
+    return fit.select("company", "tail").distinct()

@@ -80,3 +80,52 @@ def section_evidence(spark, sf_dir):
 @query("leader_names", f"{U_SQL}, {LENS_SQL('u', 3)}, o AS (SELECT ticker, min((list_position(['short', 'intermediate', 'structural'], lens), rank)) AS k FROM lu WHERE lens <> 'composite' GROUP BY 1) SELECT row_number() OVER (ORDER BY k) AS nth, ticker FROM o QUALIFY nth <= 8")
 def leader_names(spark, sf_dir):
     return out(ev.leader_names(screen.lens_rankings(scores(spark, sf_dir), 3)))
+
+
+@query("ordinary_shares", "SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(regexp_replace(p_name, '\\s+', '', 'g'), 'ring$') AND NOT regexp_matches(regexp_replace(p_name, '\\s+', '', 'g'), '^(hot|cold)')")
+def ordinary_shares(spark, sf_dir):
+    return ev.ordinary_shares(table(spark, sf_dir, "part"), ["ring$", "^(hot|cold)"], "p_name").select("p_partkey", "p_name")
+
+
+@query("normalize_ticker", "WITH t AS (SELECT s_suppkey, s_name || ' ' || s_nationkey AS t FROM supplier UNION ALL SELECT -1 - s_suppkey, ' x' || s_nationkey || ' ' FROM supplier) SELECT s_suppkey, coalesce(nullif(regexp_extract(t, '([0-9]{6})', 1), ''), trim(t)) AS ticker FROM t")
+def normalize_ticker(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    t = s.select("s_suppkey", F.concat("s_name", F.lit(" "), "s_nationkey").alias("t")).unionByName(s.select((-1 - F.col("s_suppkey")).alias("s_suppkey"), F.concat(F.lit(" x"), "s_nationkey", F.lit(" ")).alias("t")))
+    return t.select("s_suppkey", ev.normal_ticker(F.col("t")).alias("ticker"))
+
+
+@query("lookback", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0 OR CAST(o_orderdate AS DATE) BETWEEN DATE '2000-06-30' - 365 AND DATE '2000-06-30'")
+def lookback(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.to_date("o_orderdate")).alias("day"))
+    return ev.within_lookback(o, "day", F.lit("2000-06-30").cast("date"), 365).select("o_orderkey")
+
+
+ALIASES = [("one", "tion"), ("one", "tiones"), ("two", "license"), ("three", "sch")]
+
+
+@query("broker_views_extract", f"""WITH {I_SQL}, al AS (SELECT unnest({[b for b, _ in ALIASES]}) AS broker, unnest({[a for _, a in ALIASES]}) AS alias), h AS (SELECT item_id, text, broker, alias FROM i JOIN al ON contains(lower(text), alias) QUALIFY row_number() OVER (PARTITION BY item_id, broker ORDER BY length(alias) DESC, alias) = 1),
+p AS (SELECT *, instr(lower(text), alias) AS pos FROM h), n AS (SELECT *, substr(text, greatest(1, pos - 200), pos - greatest(1, pos - 200) + length(alias) + 200) AS near FROM p)
+SELECT item_id AS article_id, broker, alias, round(try_cast(nullif(regexp_extract(near, '([0-9]+(?:[.][0-9]+)?)', 1), '') AS DOUBLE) + 1e-8, 6) AS target_price, CASE WHEN regexp_matches(near, '(?i)buy') THEN 'BUY' WHEN regexp_matches(near, '(?i)hold') THEN 'HOLD' WHEN regexp_matches(near, '(?i)sell') THEN 'SELL' END AS rating, left(trim(regexp_replace(near, '\\s+', ' ', 'g')), 240) AS thesis FROM n""")
+def broker_views_extract(spark, sf_dir):
+    aliases = spark.createDataFrame(ALIASES, "broker string, alias string")
+    return out(ev.broker_views_extract(items(spark, sf_dir).select(F.col("item_id").alias("article_id"), "text"), aliases))
+
+
+@query("md_table_check", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents), r AS (SELECT doc_id, line_no, string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|') AS c FROM l WHERE len(regexp_extract_all(line, '\\|')) >= 2),
+c AS (SELECT doc_id, line_no, unnest(range(len(c))) AS col, trim(unnest(c)) AS text FROM r) SELECT doc_id, line_no, col, text AS expected, CASE WHEN col % 5 = 0 THEN NULL ELSE text || '!' END AS actual, CASE WHEN col % 5 = 0 THEN 'missing' ELSE 'changed' END AS kind FROM c WHERE col % 5 = 0 OR col % 7 = 0""")
+def md_table_check(spark, sf_dir):
+    cells = d.md_cells(d.lines(table(spark, sf_dir, "documents")))
+    other = cells.where("col % 5 <> 0").withColumn("text", F.when(F.col("col") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return out(ev.table_mismatches(cells, other))
+
+
+@query("memo_public_view", f"WITH {I_SQL} SELECT item_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)license|token')), chr(10)) AS text FROM i")
+def memo_public_view(spark, sf_dir):
+    return items(spark, sf_dir).select("item_id", ev.public_view(F.col("text"), ["license", "token"]).alias("text"))
+
+
+@query("nickname_filter", f"""WITH {I_SQL}, q AS (SELECT source AS company, source || ' ' || string_split(headline, ' ')[1] AS query FROM i), t AS (SELECT company, regexp_replace(trim(regexp_replace(query, '(?i)^' || company || '\\s+', '')), '(,|[.])$', '') AS tail FROM q)
+SELECT DISTINCT company, tail FROM t WHERE length(tail) >= 2 AND lower(tail) NOT IN ('été') AND NOT regexp_matches(tail, '^[\\x00-\\x7F]+$')""")
+def nickname_filter(spark, sf_dir):
+    q = items(spark, sf_dir).select(F.col("source").alias("company"), F.concat("source", F.lit(" "), F.split("headline", " ")[0]).alias("query"))
+    return ev.nicknames(q, ["été"], r",|\.")
