@@ -160,3 +160,63 @@ def md_cells(lines_: DataFrame) -> DataFrame:
     rows = lines_.where(F.regexp_count("line", F.lit(r"\|")) >= 2)
     cells = F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|")
     return rows.select("doc_id", "line_no", F.posexplode(F.transform(cells, lambda x: F.trim(x))).alias("col", "text"))
+
+
+def split_narrative(lines_: DataFrame, roman: str = r"^\s*[IVX]+\.\s", decimal: str = r"^\s*\d+\.\s", longest: int = 80) -> DataFrame:
+    """Sections by roman headings, or by decimal ones in documents without any; the others are marked as inner."""
+    short = F.length("line") <= longest
+    is_roman, is_decimal = short & F.col("line").rlike(roman), short & F.col("line").rlike(decimal)
+    has_roman = F.max(is_roman).over(W.partitionBy("doc_id"))
+    marked = lines_.withColumns({"has_roman": has_roman, "is_roman": is_roman, "is_decimal": is_decimal})
+    outer = F.when(F.col("has_roman"), F.col("is_roman")).otherwise(F.col("is_decimal"))
+    return marked.withColumns({"heading": outer, "inner": F.col("has_roman") & F.col("is_decimal")}).drop("has_roman", "is_roman", "is_decimal").withColumn(
+        "section", F.sum(F.col("heading").cast("int")).over(W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
+    )
+
+
+def link_lines(lines_: DataFrame, arrow: str = " → ", key: str = r"[?&](?:id|no)=([^&#]+)", least: int = 4) -> DataFrame:
+    """Links written as "text → url" lines, the first of each id and document, with the line after as snippet."""
+    by = W.partitionBy("doc_id").orderBy("line_no")
+    parts = F.split("line", arrow, 2)
+    rows = lines_.withColumn("snippet", F.lead("line").over(by)).where(F.contains("line", F.lit(arrow)))
+    rows = rows.select("doc_id", "line_no", F.trim(parts[0]).alias("title"), F.trim(parts[1]).alias("url"), "snippet")
+    rows = rows.withColumn("link_id", F.coalesce(F.nullif(F.regexp_extract("url", key, 1), F.lit("")), F.col("url"))).where(F.length("title") >= least)
+    return rows.withColumn("k", F.row_number().over(W.partitionBy("doc_id", "link_id").orderBy("line_no"))).where("k = 1").drop("k")
+
+
+def report_rows(lines_: DataFrame, date: str = r"^\d{4}-\d{2}-\d{2}$", cells: int = 7) -> DataFrame:
+    """Blocks of a date line and the cells after it, none of which is a date line or in the block before."""
+    by = W.partitionBy("doc_id").orderBy("line_no")
+    rows = lines_.withColumns({f"c{i}": F.lead("line", i).over(by) for i in range(1, cells + 1)})
+    whole = F.col("line").rlike(date) & F.col(f"c{cells}").isNotNull()
+    for i in range(1, cells + 1):
+        whole = whole & ~F.coalesce(F.col(f"c{i}").rlike(date), F.lit(True))
+    return rows.where(whole).withColumn("published", F.col("line").try_cast("date")).drop("line")
+
+
+def link_text_match(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each link (page_id, nth, title) with the first unused text row (page_id, row, text) where one begins with the other.
+
+    The choice goes through a page's links in order, so it is a grouped map over pages.
+    """
+
+    def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        left, out = b.sort_values("row")[["row", "text"]].values.tolist(), []
+        for nth, title in a.sort_values("nth")[["nth", "title"]].itertuples(index=False):
+            at = next((i for i, (_, t) in enumerate(left) if title and t and (t.startswith(title) or title.startswith(t))), None)
+            out.append((key[0], nth, None if at is None else left.pop(at)[0]))
+        return pd.DataFrame(out, columns=["page_id", "nth", "row"]).astype({"row": "Int64"})
+
+    return links.groupBy("page_id").cogroup(texts.groupBy("page_id")).applyInPandas(one, "page_id long, nth int, row long")
+
+
+def post_views(lines_: DataFrame, date: str = r"^\d{4}\. ?\d{1,2}\. ?\d{1,2}\.", chrome: list[str] | None = None) -> DataFrame:
+    """(doc_id, title, date_line, body): the second line above the first date line is the title, else the longest of the first eight."""
+    own = lines_.where(~F.trim("line").isin(*(chrome or [""])) & (F.trim("line") != ""))
+    by = W.partitionBy("doc_id").orderBy("line_no")
+    rows = own.withColumns({"k": F.row_number().over(by), "above": F.lag("line", 2).over(by), "is_date": F.col("line").rlike(date)})
+    rows = rows.withColumn("first_date", F.min(F.when(F.col("is_date"), F.col("k"))).over(W.partitionBy("doc_id")))
+    at = F.col("k") == F.col("first_date")
+    longest = F.max_by(F.when(F.col("k") <= 8, F.col("line")), F.when(F.col("k") <= 8, F.struct(F.length("line"), -F.col("k"))))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") > F.coalesce("first_date", F.lit(0)), F.struct("k", "line")))), lambda x: x["line"]), "\n")
+    return rows.groupBy("doc_id").agg(F.coalesce(F.max(F.when(at, F.col("above"))), longest).alias("title"), F.max(F.when(at, F.col("line"))).alias("date_line"), body.alias("body"))

@@ -180,3 +180,16 @@ def ranked_sources(metrics: DataFrame, by: str) -> DataFrame:
 def candidate_pool(sources: DataFrame, top: int = 10) -> DataFrame:
     """The most found unanchored sources, and all anchored ones."""
     return sources.where("not anchored").orderBy(F.desc("hits"), "source").limit(top).unionByName(sources.where("anchored")).dropDuplicates(["source"])
+
+
+def report(items: DataFrame, matched: DataFrame, sectors: DataFrame, roles: str, top: int = 12, least: int = 1) -> DataFrame:
+    """One run's table (part, name, rank, item_id, n): market top, sectors (empty ones kept) and counts per role.
+
+    items: (item_id, seq, score, role); matched: what sector_match gives; sectors: (sector).
+    """
+    number = W.orderBy(F.desc("score"), "seq")
+    none = F.lit(None)
+    market = ranked(items, top, least).select(F.lit("market").alias("part"), F.lit("all").alias("name"), F.row_number().over(number).alias("rank"), "item_id", none.cast("long").alias("n"))
+    by_sector = sectors.select("sector").distinct().join(matched, "sector", "left").select(F.lit("sector").alias("part"), F.col("sector").alias("name"), "rank", "item_id", none.cast("long").alias("n"))
+    counts = items.groupBy(roles).agg(F.count("*").alias("n")).select(F.lit("role").alias("part"), F.col(roles).alias("name"), none.cast("int").alias("rank"), none.cast("long").alias("item_id"), "n")
+    return market.unionByName(by_sector).unionByName(counts)

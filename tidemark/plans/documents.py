@@ -95,3 +95,38 @@ def memo_gate(spark, sf_dir):
 @query("md_tables", f"WITH {L_SQL}, r AS (SELECT doc_id, line_no, string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|') AS c FROM l WHERE len(regexp_extract_all(line, '\\|')) >= 2) SELECT doc_id, line_no, unnest(range(len(c))) AS col, trim(unnest(c)) AS text FROM r")
 def md_tables(spark, sf_dir):
     return out(d.md_cells(d.lines(table(spark, sf_dir, "documents"))))
+
+
+@query("split_narrative", f"""WITH {L_SQL}, m AS (SELECT *, length(line) <= 80 AND regexp_matches(line, '^[EIL]') AS r, length(line) <= 80 AND regexp_matches(line, '^[A-D]') AS x FROM l), h AS (SELECT *, max(r::INT) OVER (PARTITION BY doc_id) = 1 AS has FROM m),
+o AS (SELECT *, CASE WHEN has THEN r ELSE x END AS heading, has AND x AS inner_ FROM h) SELECT doc_id, line_no, heading, inner_ AS inner, CAST(sum(heading::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS section FROM o""")
+def split_narrative(spark, sf_dir):
+    return out(d.split_narrative(d.lines(table(spark, sf_dir, "documents")), "^[EIL]", "^[A-D]"), "doc_id", "line_no", "heading", "inner", "section")
+
+
+@query("parse_link_lines", f"""WITH {L_SQL}, s AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS snippet FROM l), p AS (SELECT doc_id, line_no, trim(line[:instr(line, ' | ') - 1]) AS title, trim(line[instr(line, ' | ') + 3:]) AS url, snippet FROM s WHERE contains(line, ' | '))
+SELECT doc_id, line_no, title, url, snippet FROM p WHERE length(title) >= 4 QUALIFY row_number() OVER (PARTITION BY doc_id, url ORDER BY line_no) = 1""")
+def parse_link_lines(spark, sf_dir):
+    """A pipe between blanks stands in for the arrow."""
+    rows = d.link_lines(d.lines(table(spark, sf_dir, "documents")).withColumn("line", F.replace("line", F.lit(" | "), F.lit(" → "))))
+    back = {c: F.replace(c, F.lit(" → "), F.lit(" | ")) for c in ("title", "url", "snippet")}
+    return out(rows.withColumns(back), "doc_id", "line_no", "title", "url", "snippet")
+
+
+@query("parse_report_rows", f"""WITH {L_SQL}, s AS (SELECT *, lead(line, 1) OVER w AS c1, lead(line, 2) OVER w AS c2, lead(line, 3) OVER w AS c3 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT doc_id, line_no, c1, c2, c3 FROM s WHERE regexp_matches(line, '^[AE]') AND c3 IS NOT NULL AND NOT regexp_matches(c1, '^[AE]') AND NOT regexp_matches(c2, '^[AE]') AND NOT regexp_matches(c3, '^[AE]')""")
+def parse_report_rows(spark, sf_dir):
+    """Lines that begin with A or E stand in for date lines."""
+    return out(d.report_rows(d.lines(table(spark, sf_dir, "documents")), "^[AE]", 3), "doc_id", "line_no", "c1", "c2", "c3")
+
+
+@query("link_text_match")
+def link_text_match(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    links = d.anchors(pages).select("page_id", "nth", F.col("text").alias("title"))
+    texts = d.html_to_text(pages).select("page_id", F.posexplode(F.split("text", "\n")).alias("row", "text"))
+    return d.link_text_match(links, texts.withColumn("row", F.col("row").cast("long")))
+
+
+@query("post_view")
+def post_view(spark, sf_dir):
+    return d.post_views(d.lines(table(spark, sf_dir, "documents")), r"\d")

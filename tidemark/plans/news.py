@@ -149,3 +149,13 @@ def dedupe_news(spark, sf_dir):
     i = items(spark, sf_dir)
     keyed = i.select("seq", "item_id", F.lower(news.squeezed("headline")).alias("headline_key"), F.substring("text", 1, 12).alias("url_key"))
     return news.deduped(keyed, ["url_key", "headline_key"])
+
+
+@query("news_report", f"""WITH {I_SQL}, s AS (SELECT *, {SCORE_SQL} AS score FROM i), t AS (SELECT unnest({[s for s, _ in SECTORS]} || ['empty']) AS sector, unnest({[t for _, t in SECTORS]} || ['no such word']) AS term),
+m AS (SELECT sector, item_id, row_number() OVER (PARTITION BY sector ORDER BY score DESC, item_id) AS rank FROM (SELECT DISTINCT sector, item_id, score FROM s JOIN t ON contains(lower(text), term)) QUALIFY rank <= 5)
+SELECT 'market' AS part, 'all' AS name, row_number() OVER (ORDER BY score DESC, seq) AS rank, item_id, NULL::BIGINT AS n FROM (SELECT * FROM s WHERE score >= 1 ORDER BY score DESC, seq LIMIT 12)
+UNION ALL SELECT 'sector', d.sector, rank, item_id, NULL FROM (SELECT DISTINCT sector FROM t) d LEFT JOIN m ON m.sector = d.sector UNION ALL SELECT 'role', source, NULL, NULL, count(*) FROM i GROUP BY source""")
+def news_report(spark, sf_dir):
+    terms = spark.createDataFrame([*SECTORS, ("empty", "no such word")], "sector string, term string")
+    i = items(spark, sf_dir)
+    return out(news.report(i, news.sector_match(i, terms), terms, "source"))

@@ -80,3 +80,28 @@ def load_dimensions(spark: SparkSession, path: str, schema: str, need: dict[str,
 def write_snapshot(df: DataFrame, path: str, as_of: str) -> None:
     """Replaces the partition of one day, and no other."""
     df.withColumn("as_of", F.lit(as_of).cast("date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of").parquet(path)
+
+
+#: Fixed formats: endpoint name to the columns its rows have besides the keys.
+ENDPOINTS = {
+    "shareholders": ["nm", "relate", "bsis_posesn_stock_co", "trmend_posesn_stock_co", "trmend_posesn_stock_qota_rt"],
+    "dividends": ["se", "thstrm", "frmtrm", "lwfr"],
+    "treasury": ["acqs_mth1", "stock_knd", "bsis_qy", "trmend_qy"],
+    "capital_changes": ["isu_dcrs_de", "isu_dcrs_stle", "isu_dcrs_qy"],
+    "board": ["nm", "ofcps", "rgist_exctv_at", "fte_at"],
+    "accounts": ["fs_div", "sj_div", "account_nm", "thstrm_amount", "frmtrm_amount", "bfefrmtrm_amount"],
+}
+ENDPOINT_KEYS = ["corp_code", "bsns_year", "reprt_code"]
+
+
+def load_filing_endpoints(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A table for each endpoint folder; accounts are of the consolidated statement where there is one."""
+    found = {}
+    for name, columns in ENDPOINTS.items():
+        row = ",".join(f"{c}:string" for c in (*ENDPOINT_KEYS, *columns))
+        raw = spark.read.schema(f"status string, list array<struct<{row}>>").json(f"{path}/{name}", multiLine=True)
+        found[name] = raw.where("status = '000'").select(F.inline("list"))
+    order = F.when(F.col("fs_div") == "CFS", 0).otherwise(1)
+    best = F.min(order).over(W.partitionBy(*ENDPOINT_KEYS))
+    found["accounts"] = found["accounts"].withColumn("__best", best).where(order == F.col("__best")).drop("__best")
+    return found
