@@ -38,8 +38,8 @@ def stream_bars(spark, sf_dir):
     return out(drained(jobs.bars(ticks, "1 day")))
 
 
-@query("stream_dedupe", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') GROUP BY 1")
-def stream_dedupe(spark, sf_dir):
+@query("stream_filings", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') GROUP BY 1")
+def stream_filings(spark, sf_dir):
     """First filing of each user, a purchase standing in for a filing."""
     s = events(spark, sf_dir).select(F.col("user_id").alias("rcept_no"), F.col("ts").alias("filed_at"), F.lit("holder").alias("filer"), F.col("event_type").alias("report_name"))
     return drained(jobs.filings(s, "holder", {"purchase": "purchase"}, late="400 days")).groupBy(F.col("rcept_no").alias("user_id")).agg(F.count("*").alias("n"))

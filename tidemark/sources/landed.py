@@ -44,9 +44,9 @@ def load_listings(pages: DataFrame) -> DataFrame:
     )
 
 
-def load_filings(spark: SparkSession, path: str) -> DataFrame:
-    """Filing pages; status 013 means no rows; the first row of each receipt number by file and place stays."""
-    raw = spark.read.schema(f"status string, list array<{FILING}>").json(path, multiLine=True).withColumn("file", F.input_file_name())
+def load_filings(spark: SparkSession, path: str, page_per_file: bool = True) -> DataFrame:
+    """Filing pages, one in a file or one in a line; status 013 means no rows; the first row of each receipt number by file and place stays."""
+    raw = spark.read.schema(f"status string, list array<{FILING}>").json(path, multiLine=page_per_file).withColumn("file", F.input_file_name())
     rows = raw.where("status <> '013'").select("file", F.posexplode("list").alias("seq", "r")).select("file", "seq", "r.*")
     first = rows.withColumn("k", F.row_number().over(W.partitionBy("rcept_no").orderBy("file", "seq"))).where("k = 1")
     return first.drop("k", "file", "seq").withColumn("filed", F.to_date("rcept_dt", "yyyyMMdd"))
