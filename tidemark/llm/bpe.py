@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATES, PIECES = 200_000, 200_000
+STATES, PIECES = 100_000, 150_000
 #: What the two pattern languages call white space differs in four control characters.
 SPACES = {r"\s": r"\p{White_Space}", r"\S": r"\P{White_Space}"}
 
@@ -66,7 +66,7 @@ class Transducer:
         """Whether a then b is an encoding; with no a, whether the merges make b at all."""
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) >= 20 * STATES:
+            if len(self.pairs) >= 3 * STATES:
                 self.pairs.clear()
             ok = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return ok
@@ -120,23 +120,31 @@ class Transducer:
     def step(self, node: dict, byte: int) -> tuple[dict, tuple[bytes, ...]]:
         before = self.older.get(node[-1])
         known = before.get(byte) if before else None
-        state, emitted = (known[0][-1], known[1]) if known else self.move(node[-1], byte)
-        node[byte] = found = (self.node(state), emitted)
+        if known:
+            state, emitted = known if known[0].__class__ is tuple else (known[0][-1], known[1])
+        else:
+            state, emitted = self.move(node[-1], byte)
+        node[byte] = found = (state, emitted)
         return found
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of a piece; the state at its end gives the rest."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        node, out = self.node((b"", b"", (), (0,))), []
+        node, out, back = (b"", b"", (), (0,)), [], None
         for byte in piece:
+            if node.__class__ is tuple:  # a state becomes a node when first left
+                node = self.node(node)
+                if back:
+                    back[0][back[1]] = (node, emitted)
             found = node.get(byte)
             if found is None:
                 found = self.step(node, byte)
+            back = node, byte
             node, emitted = found
             if emitted:
                 out += emitted
-        _, text, lasts, _ = node[-1]
+        _, text, lasts, _ = node if node.__class__ is tuple else node[-1]
         end, rest = len(text), []
         while end:
             rest.append(lasts[end - 1])

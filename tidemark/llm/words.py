@@ -52,7 +52,7 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(sums * _power(_INVERSE, len(data))[starts]), counts
 
 
-def in_parts(texts: Iterable[str | None], size: int = 1 << 21) -> Iterator[list[bytes]]:
+def in_parts(texts: Iterable[str | None], size: int = 1 << 19) -> Iterator[list[bytes]]:
     """UTF-8 of whole texts (null: empty), in lists of about size bytes or one longer text."""
     part, total = [], 0
     for t in texts:
