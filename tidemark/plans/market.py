@@ -248,9 +248,7 @@ def backdrop(entries: DataFrame) -> DataFrame:
 def universe_sql(date: str = AS_OF, k: str = "u") -> str:
     pct = lambda x: f"CASE WHEN {x} IS NOT NULL THEN CASE WHEN count(*) OVER (PARTITION BY {x} IS NULL) = 1 THEN 100.0 ELSE (count(*) OVER (PARTITION BY {x} IS NULL) - row_number() OVER (PARTITION BY {x} IS NULL ORDER BY {x} DESC, ticker)) / greatest(count(*) OVER (PARTITION BY {x} IS NULL) - 1, 1) * 100 END END"
     clamp = lambda x: f"CASE WHEN {x} IS NOT NULL THEN greatest(0.0, least(100.0, {x})) END"
-    mean = lambda *xs: f"(SELECT avg(x) FROM unnest([{', '.join(xs)}]) AS t(x))"
     lm = lambda *xs: f"list_avg([{', '.join(f'CAST({x} AS DOUBLE)' for x in xs)}])"
-    mean = lm  # noqa: F841
     any_extreme = " OR ".join(f"coalesce(return{n} >= 5 OR return{n} <= -0.8, false)" for n in screen.SCREEN_RETURNS)
     zeros = " + ".join(f"CASE WHEN return{n} = 0 THEN 1 ELSE 0 END" for n in screen.SCREEN_RETURNS)
     checks = ["return120 > 0", "return252 > 0", "rs_percentile >= 70", "high_ratio >= 0.75", "low_ratio >= 1.3", "volume_ratio >= 0.8"]
