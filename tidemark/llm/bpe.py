@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATES, PIECES = 100_000, 150_000
+STATES, PIECES = 60_000, 100_000
 #: What the two pattern languages call white space differs in four control characters.
 SPACES = {r"\s": r"\p{White_Space}", r"\S": r"\P{White_Space}"}
 
@@ -246,15 +246,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
         for b in batches:
-            ids = [c.encode(t or "") for t in b["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["id"],
-                    "n_tokens": [len(x) for x in ids],
-                    "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256("".join(c.decode(x.tolist())).encode()).hexdigest() for x in ids],
-                }
-            )
+            found = []
+            for i, t in zip(b["id"], b["text"], strict=True):  # one text's ids at a time
+                ids = c.encode(t or "")
+                decoded = "".join(c.decode(ids.tolist())).encode()
+                found.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            yield pd.DataFrame(found, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _named(docs, id_col, text_col).mapInPandas(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
