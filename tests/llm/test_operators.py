@@ -156,6 +156,22 @@ def test_chunks_come_into_step_after_an_insertion():
     assert len(set(a.digests) & set(b.digests)) >= len(a.digests) - 2
 
 
+def test_planted_passages_after_random_prefixes(spark):
+    """Cuts that one document alone has in a passage's head lose no words of it."""
+    rng = np.random.default_rng(11)
+    word = lambda lo: "".join(map(chr, rng.integers(97, 123, rng.integers(lo, 6))))
+    row = lambda n, lo: " ".join(word(lo) for _ in range(n))
+    rows, kinds = [], defaultdict(list)
+    for k in range(240):
+        lo, n = (5, 1)[k % 2], (51, 51, 53, 60)[k // 2 % 4]
+        passage = row(n, lo)
+        kinds[lo].append((2 * k, n))
+        rows += [(2 * k + j, " ".join([row(rng.integers(5, 80), lo), passage, row(rng.integers(5, 80), lo)]), "en") for j in (0, 1)]
+    found = {r["doc_id"]: r["n_words"] for r in passages.shared_passages(frame(spark, rows)).collect()}
+    assert all(found.get(i, 0) == found.get(i + 1, 0) == n for i, n in kinds[5])
+    assert sum(found.get(i, 0) == found.get(i + 1, 0) == n for i, n in kinds[1]) >= 0.96 * len(kinds[1])
+
+
 def test_preference_pairs(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", None), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", "alone"), (3, 1, None, "x"), (3, 1, None, "x"), (None, 0, "user", "lost")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("id", F.lit("x"))
