@@ -1,7 +1,8 @@
 """A corpus cleaned and encoded in five stages, each written as Parquet and read by the next.
 
 1. language: drops documents whose language can't be told (no letter, or a score below 0.4).
-2. near_duplicates: keeps one document of each SimHash group, that with the smallest id.
+2. near_duplicates: keeps one document of each group of five-word Jaccard 0.8 or more, that
+   with the smallest id.
 3. shared_passages: cuts out what occurs earlier in another document; a document of which
    nothing is left goes.
 4. decontamination: drops documents that hold a benchmark item.
@@ -31,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with the same id are one document, of which one row stays."""
-    found = written(simhash.near_duplicates(docs), "groups")
+    found = written(simhash.similar(docs), "groups")
     kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     several = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     if several.isEmpty():

@@ -100,6 +100,39 @@ def test_links_of_a_crowded_shard_lose_nothing(spark):
     assert [found.get(i, i) for i in range(len(fps))] == [root(i) for i in range(len(fps))]
 
 
+@pytest.mark.parametrize("tree_size", [4096, 7])
+def test_near_duplicate_stage_equals_brute_force_jaccard(spark, tree_size):
+    rng = np.random.default_rng(4)
+    rows = [(1000, "", "en"), (1001, None, "en"), (1002, "two words", "en"), (1003, "Two  WORDS", "en"), (1004, "two other", "en"), (None, "two words", "en")]
+    for k in range(40):
+        words = prose(k, 220).split()
+        rows.append((10 * k, " ".join(words), "en"))
+        for c in range(1, 1 + k % 4):
+            copy = list(words)
+            for at in rng.choice(220, rng.integers(1, 9), replace=False):
+                copy[at] = f"changed{k}x{c}x{at}"
+            rows.append((10 * k + c, " ".join(copy), "en"))
+    grams = lambda t: {" ".join(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4)) if w}
+    known = [(i, grams(t)) for i, t, _ in rows if i is not None]
+    up = {i: i for i, _ in known}
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    near = 0
+    for (i, a), (j, b) in combinations(known, 2):
+        same = len(a & b) / len(a | b) if a | b else 1
+        near += 0.8 <= same < 0.95
+        if same >= 0.8 and root(i) != root(j):
+            up[max(root(i), root(j))] = min(root(i), root(j))
+    assert near > 20
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, tree_size=tree_size).collect()}
+    assert got == {i: root(i) for i in up} | {None: 1002}
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(i for i in up if root(i) == i) and None in kept
+
+
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 501)], "u long, v long")
     found = {r["node"]: r["component"] for r in common.components(path).collect()}
