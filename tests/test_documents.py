@@ -68,3 +68,18 @@ def test_ordinary_shares_in_korean(spark):
 def test_nicknames_in_korean(spark):
     df = spark.createDataFrame([("삼성", "삼성 개미는"), ("삼성", "삼성 abc"), ("삼성", "삼성 주가")], "company string, query string")
     assert [(r["tail"]) for r in evidence.nicknames(df, ["주가"], "은|는").collect()] == ["개미"]
+
+
+def test_article_text_of_pages_without_article(spark):
+    body, menu = "word " * 40, "menu " * 60
+    pages = [
+        f'<body><div>{menu}</div><div id="x" class="news-body">{body}</div></body>',
+        f'<nav>{menu}</nav><section id="CONTENT">{body}</section>',
+        f'<article>{"teaser " * 20}</article><div class="view">{body}</div>',
+        "<p>too short</p>",
+        f"<p>{body}</p>",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    got = {r["page_id"]: r["text"] for r in df.select("page_id", documents.article_text(df["html"]).alias("text")).collect()}
+    assert got == {0: body.strip(), 1: body.strip(), 2: body.strip(), 3: "", 4: body.strip(), 5: None}

@@ -22,11 +22,15 @@ def anchors(pages: DataFrame) -> DataFrame:
 
 
 def article_text(html: Column, least: int = 120, most: int = 2500) -> Column:
-    """The longest article block as text; without one of the least length, the whole page."""
+    """The longest article block, or div or section named like one, as text; without one of the least length, the whole page if it has that."""
     plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>", " "), r"\s+", " "))
-    blocks = F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<article[^>]*>(.*?)</article>"), F.lit(1)), plain), lambda x: F.length(x) >= least)
-    longest = F.array_max(F.transform(blocks, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    return F.substring(F.coalesce(longest, plain(html)), 1, most)
+    named = r'(?is)<{0}\b[^>]*(?:id|class)="[^"]*(?:article|news|content|view|body)[^"]*"[^>]*>(.*?)</{0}>'
+    patterns = [r"(?is)<article\b[^>]*>(.*?)</article>", named.format("div"), named.format("section")]
+    found = F.concat(*(F.regexp_extract_all(html, F.lit(x), F.lit(1)) for x in patterns))
+    blocks = F.filter(F.transform(found, plain), lambda x: F.length(x) >= least)
+    longest = F.array_max(F.transform(blocks, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))["x"]
+    page = plain(html)
+    return F.substring(F.coalesce(longest, F.when(F.length(page) < least, "").otherwise(page)), 1, most)
 
 
 class _Text(HTMLParser):
