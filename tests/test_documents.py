@@ -4,6 +4,7 @@ import json
 import pytest
 
 from tidemark.operators import documents, evidence
+from tidemark.plans import registry
 from tidemark.sources import landed
 
 
@@ -83,3 +84,12 @@ def test_article_text_of_pages_without_article(spark):
     df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
     got = {r["page_id"]: r["text"] for r in df.select("page_id", documents.article_text(df["html"]).alias("text")).collect()}
     assert got == {0: body.strip(), 1: body.strip(), 2: body.strip(), 3: "", 4: body.strip(), 5: None}
+
+
+def test_listing_pages_are_bounded(spark, tmp_path, monkeypatch):
+    parts = spark.range(1, 21_000).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    seen, load = [], landed.load_listings
+    monkeypatch.setattr(landed, "load_listings", lambda pages: seen.append(pages) or load(pages))
+    assert registry.QUERIES["load_listings"](spark, str(tmp_path)).select("ticker").distinct().count() == 20_999
+    assert max(r["html"].count("<tr>") for r in seen[0].collect()) <= 1000

@@ -36,10 +36,11 @@ def load_filings(spark, sf_dir):
 
 @query("load_listings", "SELECT p_name AS name, p_brand AS market, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS ticker, p_type AS industry, CAST(p_size AS VARCHAR) AS product FROM part")
 def load_listings(spark, sf_dir):
+    """Pages of at most 1,000 keys, so that their number grows with the table."""
     cell = lambda c: F.concat(F.lit("<td><b>"), c, F.lit("</b></td>"))
     p = table(spark, sf_dir, "part")
     row = F.concat(F.lit("<tr>"), *map(cell, (F.col("p_name"), F.col("p_brand"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.col("p_type"), F.col("p_size").cast("string"), F.lit("2020-01-02"), F.lit("12"))), F.lit("</tr>"))
-    return landed.load_listings(p.groupBy((F.col("p_partkey") % 20).alias("page")).agg(F.array_join(F.collect_list(row), "\n").alias("html"))).select("name", "market", "ticker", "industry", "product")
+    return landed.load_listings(p.groupBy(F.floor(F.col("p_partkey") / 1000).alias("page")).agg(F.array_join(F.collect_list(row), "\n").alias("html"))).select("name", "market", "ticker", "industry", "product")
 
 
 @query("load_corp_codes", "SELECT CAST(s_nationkey AS VARCHAR) AS stock_code, max(lpad(CAST(s_suppkey AS VARCHAR), 8, '0')) AS corp_code FROM supplier GROUP BY 1")
