@@ -382,6 +382,28 @@ def test_bpe_equals_the_public_library(docs, corpus, empty):
     assert sorted((r["text"] for r in back.collect())) == sorted((t or "") for _, t, _ in corpus)
 
 
+def test_tokens_stand_together_as_the_merges_say():
+    t = bpe.codec(PATH, public_tokenizers.PATTERN).transducer
+    rng = np.random.default_rng(6)
+    tokens = list(t.ranks)
+    cut = [(x[:i], x[i:]) for x in (tokens[int(k)] for k in rng.integers(0, len(tokens), 3000)) for i in range(1, len(x))]
+    longer = [(x + y[:1], y[1:]) for x, y in ((tokens[int(a)], tokens[int(b)]) for a, b in rng.integers(0, len(tokens), (3000, 2)))]
+    pairs = [(a, b) for a, b in cut + longer + [(tokens[int(a)], tokens[int(b)]) for a, b in rng.integers(0, len(tokens), (2000, 2))] if a in t.ranks and b in t.ranks]
+    found = [t.may_follow(t.ranks[a], t.ranks[b]) for a, b in pairs]
+    assert found == [t.merged(a + b) == [a, b] for a, b in pairs] and 0.1 < np.mean(found) < 0.9
+
+
+def test_transducer_begins_anew_when_its_tables_are_full(monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 300)
+    c = bpe.Codec(bpe.codec(PATH, public_tokenizers.PATTERN).transducer.ranks, public_tokenizers.PATTERN)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.transducer.ranks, special_tokens={})
+    for i in range(30):
+        text = prose(i, 60, "en fr de".split()[i % 3])
+        assert c.encode(text).tolist() == other.encode_ordinary(text)
+    text = prose(77, 300) * 900  # longer than what is encoded at once
+    assert len(text) > bpe.TOGETHER and c.encode(text).tolist() == other.encode_ordinary(text)
+
+
 def test_streaming_decode_of_broken_ids():
     c = bpe.codec(PATH, public_tokenizers.PATTERN)
     ids = [c.transducer.ranks[bytes((b,))] for b in "é".encode()[:1] + b"a" + "日".encode()[:2]]
