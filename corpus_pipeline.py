@@ -2,9 +2,9 @@
 
 1. language: drops documents whose language can't be told (no letter, or a score below 0.4).
 2. near_duplicates: keeps one document of each group of five-word Jaccard 0.8 or more, that
-   with the smallest id.
-3. shared_passages: cuts out what occurs earlier in another document; a document of which
-   nothing is left goes.
+   with the smallest id; of rows with that id, one.
+3. shared_passages: cuts out passages of 50 words or more that a document with a smaller id
+   has as well; a document of which nothing is left goes.
 4. decontamination: drops documents that hold a benchmark item.
 5. encoding: byte-level BPE of what is left, decoded again.
 
@@ -31,13 +31,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with the same id are one document, of which one row stays."""
+    """Of rows with one id, which are one document, that with the least hash of its text, then of all columns, stays."""
     found = written(simhash.similar(docs), "groups")
-    kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    several = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if several.isEmpty():
-        return kept
-    return kept.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(several, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    known = docs.where("doc_id is not null")
+    marks = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("component_id") != F.col("doc_id")).alias("__goes"), (F.count("*") > 1).alias("__several"))
+    marks = written(marks.where("__goes or __several"), "marks")
+    once = known.join(marks, "doc_id", "left_anti")
+    row = F.struct(*docs.columns)
+    several = known.join(marks.where("not __goes"), "doc_id").groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("__row"))
+    return docs.where("doc_id is null").unionByName(once.select(*docs.columns)).unionByName(several.select("__row.*").select(*docs.columns))
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,35 +1,35 @@
 """Passages that several documents share, found by content-defined chunks.
 
+A passage is a stretch of words each of which is in a window of ``min_words`` words that
+another document has as well; windows that overlap make one passage.
+
 A gear hash rolls over a text's bytes; a chunk ends where it falls in a small range and
 the chunk has a least size, so the cuts depend on the nearby bytes alone and come into
-step again after an insertion. Chunks are compared by digest. A maximal run of chunks that
-all occur in another document as well is the inside of a shared passage; how far the
-passage reaches into the chunks on either side, which differ somewhere, is found by the
-hashes of the words next to the run: the longest row of words that some other document
-has next to the same chunk. A run with its ends is a passage if it has ``min_words`` words.
-
-The first occurrence of a chunk among passages, by id and place, is kept; stretches whose
-chunks all have an earlier occurrence, and that may have ``min_words`` words with the part
-of the chunks beside them, are ``repeated``, and ``without`` cuts them out.
-
-Where a passage begins, the hash still covers bytes before it, so a document may have cuts
-of its own in the first REACH bytes, and after these while cuts stand within LEAST bytes of
-each other. The words before a run are therefore taken back to REACH + LEAST bytes before
-the first of such a chain of cuts. After a run, one chunk is enough.
-
-A passage is found if two of its cuts are in step. Of simulated pairs with a passage of 51
-words, 1 of 1,500 has no such chunk at 5 letters a word, 29 at 1 to 5 letters (7 at 60 words)
-and 97 at 1 to 3 letters. Text that repeats a few bytes throughout has its cuts at places
-that depend on where it begins, so such runs may be missed.
-
-Chunk rows are (digest, id, place). Digests are counted by partial aggregation and joined
-back, so a passage that very many documents share is split like any skewed join. Texts are
-only shuffled for documents with a run that may be long enough.
+step again after an insertion. Chunks are compared by digest. Where shared chunks follow
+each other and there are ``min_words`` words in them and beside them, as far as a shared
+window can reach that has no further chunk in step, is a region. Only in regions are all
+windows of words hashed and compared, which tells the passages word by word.
+
+A cut is firm if no other place within LEAST bytes before it would do, and if it stands
+REACH + LEAST bytes or more inside a window, every document that has the window has the
+cut. A window with two firm cuts so has a chunk in step wherever it occurs. Windows with
+fewer, as in text that repeats a few bytes or has very short words, are treated as chunks
+of their own. So each window whose bytes another document repeats is found; where only the
+white space between equal words differs, it is found if another chunk of it is shared.
+
+Texts that are equal as a whole are told apart first: one of them takes part, and counts
+as all of their ids. Digests and window hashes (64 bits) are counted by partial
+aggregation, written, and joined back, so that what very many documents share is split
+like any skewed join. Texts are only shuffled for documents with a region.
+
+``repeated`` are the stretches of a passage whose windows a document with a smaller id
+has, and ``without`` cuts them out; the first document keeps its words.
 
 Defined results: a row with a null id, or a null or empty text, shares nothing and is left
-as it is; rows with equal ids are one document; a repeat inside one document alone is no
-shared passage; an empty table gives an empty result; other columns are ignored here and
-kept by ``without``.
+as it is; rows with equal ids are one document, whose texts each have their own passages;
+a repeat inside one document alone is no shared passage; a very long text is read as a
+whole in one task, and its windows are rows; an empty table gives an empty result; other
+columns are ignored here and kept by ``without``.
 """
 
 from __future__ import annotations
@@ -38,7 +38,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,68 +53,101 @@ _GEAR = _RANDOM.integers(0, 1 << 16, 256, np.uint16)
 _VALUES = _RANDOM.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _GEAR[0] = _VALUES[0] = 0  # texts stand apart by NUL bytes
 _BASE, _INVERSE = wd._BASE, wd._INVERSE
-WORDS_MASK, FILTER_BITS = (1 << 16) - 1, 25
+FILTER_BITS = 25
 
 
-class Chunked:
-    """Chunks and words of some texts, as places in their common buffer."""
+class Words:
+    """Words of some texts, as places in their common buffer, and hashes of rows of them."""
 
     def __init__(self, texts: list[bytes]) -> None:
         self.data = data = np.frombuffer((bytes(REACH)).join([*texts, b""]), np.uint8)
         sizes = np.array([len(t) for t in texts])
         self.begin = np.cumsum(sizes + REACH) - sizes - REACH
         self.end = self.begin + sizes
+        space = wd._SPACE[data] | (data == 0)
+        edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+        self.word_starts, self.word_ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        self.word_first, self.word_last = np.searchsorted(self.word_starts, self.begin), np.searchsorted(self.word_starts, self.end)
+        self.terms = _VALUES[data] * wd._power(_BASE, len(data))
+
+    def row_hashes(self, n: int) -> np.ndarray:
+        """The hash of n words from each word on, of texts one after the other."""
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.terms, dtype=np.uint64)])
+        own = mixed((sums[self.word_ends] - sums[self.word_starts]) * wd._power(_INVERSE, len(self.data) + 1)[self.word_starts])
+        count = len(own)
+        if count < n:
+            return np.zeros(0, np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * wd._power(_BASE, count), dtype=np.uint64)])
+        return mixed((sums[n:] - sums[:-n]) * wd._power(_INVERSE, count)[: count - n + 1] + np.uint64(n))
+
+    def windows(self, n: int) -> np.ndarray:
+        """Numbers of the words from which n words of one text follow."""
+        counts = np.maximum(self.word_last - self.word_first - n + 1, 0)
+        return np.repeat(self.word_first - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+
+
+class Chunked(Words):
+    """Chunks of some texts."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        super().__init__(texts)
+        data = self.data
         h, width = _GEAR[data], 1
         while width < REACH:  # the hash of the last `width` bytes, doubled
             older = np.zeros_like(h)
             older[width:] = h[:-width] << np.uint16(width)
             h, width = h + older, 2 * width
-        natural = np.flatnonzero(h < (1 << 16) // MEAN) + 1
-        starts, owner = [], []
-        lo, hi = np.searchsorted(natural, self.begin, "right"), np.searchsorted(natural, self.end)
-        for k, (b, e) in enumerate(zip(self.begin.tolist(), self.end.tolist(), strict=True)):
-            last, own = b, [b] if e > b else []
-            for p in natural[lo[k] : hi[k]].tolist():
-                if p - last >= LEAST:
-                    own.append(p)
-                    last = p
-            starts += own
-            owner.append(len(own))
-        self.starts = np.array(starts, np.int64)
-        self.counts = np.array(owner, np.int64)
+        natural = np.union1d(np.flatnonzero(h < (1 << 16) // MEAN) + 1, self.begin)
+        near = np.diff(natural, prepend=-LEAST) < LEAST
+        near[np.searchsorted(natural, self.begin)] = False
+        self.firm = natural[~near]
+        taken, places = (~near).tolist(), natural.tolist()
+        for k in np.flatnonzero(near).tolist():  # too near to the one before, unless that is left out
+            j = k - 1
+            while not taken[j]:
+                j -= 1
+            taken[k] = places[k] - places[j] >= LEAST
+        starts = natural[np.array(taken, bool)]
+        owner = np.searchsorted(self.begin, starts, "right") - 1
+        inside = starts < self.end[owner]
+        self.starts, owner = starts[inside], owner[inside]
+        self.counts = np.bincount(owner, minlength=len(texts))
         self.first = np.cumsum(self.counts) - self.counts
         self.ends = np.append(self.starts[1:], 0)
         self.ends[(self.first + self.counts - 1)[self.counts > 0]] = self.end[self.counts > 0]
         begins = np.repeat(self.begin, self.counts)
-        chain = np.maximum.accumulate(np.where(np.diff(natural, prepend=-LEAST) >= LEAST, natural, 0)) if len(natural) else natural
-        far = begins.copy()  # of each chunk, how far before its start a passage can begin that has it first in step
-        if len(natural):
-            cut = np.searchsorted(natural, self.starts)
-            inner = self.starts > begins
-            far[inner] = chain[cut[inner]] - REACH - LEAST
+        # of each chunk, how far before it a window can begin that has it as its first chunk in step
+        far = self.firm[np.searchsorted(self.firm, self.starts, "right") - 1] - REACH - LEAST if len(self.starts) else self.starts
         self.back = np.maximum(np.concatenate([[0], far[:-1]])[: len(far)].astype(np.int64), begins)
         if len(self.starts):
-            sums = np.add.reduceat(_VALUES[data] * wd._power(_BASE, len(data)), self.starts) * wd._power(_INVERSE, len(data))[self.starts]
+            sums = np.add.reduceat(self.terms, self.starts) * wd._power(_INVERSE, len(data))[self.starts]
             self.digests = mixed(sums + (self.ends - self.starts).astype(np.uint64) * np.uint64(_INVERSE))
         else:
             self.digests = np.zeros(0, np.uint64)
-        space = wd._SPACE[data] | (data == 0)
-        edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-        self.word_starts, self.word_ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
-    def word_counts(self) -> np.ndarray:
-        """Words that begin in each chunk."""
-        return np.searchsorted(self.word_starts, self.ends) - np.searchsorted(self.word_starts, self.starts)
+    def words_around(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, word after the last) that a window can have of which a chunk is the first or the last in step."""
+        owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        after = np.append(self.ends[1:], 0)
+        after[(self.first + self.counts - 1)[self.counts > 0]] = self.end[self.counts > 0]
+        first = self.word_first[owner]
+        return np.searchsorted(self.word_starts, self.back) - first, np.searchsorted(self.word_starts, after) - first
+
+    def unsure(self, n: int) -> np.ndarray:
+        """Windows of n words that may have no chunk in step with another document's."""
+        at = self.windows(n)
+        cuts = np.searchsorted(self.firm, self.word_ends[at + n - 1], "right") - np.searchsorted(self.firm, self.word_starts[at] + REACH + LEAST)
+        return at[cuts < 2]
+
 
-    def words_before(self) -> np.ndarray:
-        """Words before each chunk that a passage may have whose first shared chunk it is."""
-        return np.searchsorted(self.word_starts, self.starts) - np.searchsorted(self.word_starts, self.back)
+PLACES = "digest long, id long, text_hash long, nth int, lo int, hi int"
 
 
-def chunks(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
-    """(digest, id, place) of docs (id, text); place holds the chunk's number, its words, and those that a passage may have beside it.
+def chunks(docs: DataFrame, min_words: int = MIN_WORDS, wanted: Broadcast | None = None) -> DataFrame:
+    """(digest, id, text_hash, nth, lo, hi) of docs (id, text_hash, text): a row for each chunk, and for each unsure window (nth: -1).
 
-    With wanted, the bits of a filter, chunks that it rules out are left out.
+    lo to hi are the numbers of the words that a window can have around the chunk. With
+    wanted, the bits of a filter, rows that it rules out are left out.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,22 +155,23 @@ def chunks(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
             done = 0
             for part in in_parts(b["text"]):
                 c = Chunked(part)
-                n = c.word_counts()
-                padded = np.concatenate([[0], n, [0]])
-                last = np.zeros(len(n), bool)
-                last[(c.first + c.counts - 1)[c.counts > 0]] = True
-                around = c.words_before() + np.where(last, 0, padded[2:])
-                nth = np.arange(len(n)) - np.repeat(c.first, c.counts)
-                place = (nth << 32) | (np.minimum(n, WORDS_MASK) << 16) | np.minimum(around, WORDS_MASK)
-                ids = np.repeat(b["id"].to_numpy()[done : done + len(part)], c.counts)
-                found = pd.DataFrame({"digest": c.digests.view(np.int64), "id": ids, "place": place})
+                lo, hi = c.words_around()
+                nth = np.arange(len(lo)) - np.repeat(c.first, c.counts)
+                at = c.unsure(min_words)
+                of = np.searchsorted(c.word_first, at, "right") - 1
+                digests = np.concatenate([c.digests, c.row_hashes(min_words)[at]])
+                owner = np.concatenate([np.repeat(np.arange(len(part)), c.counts), of])
+                begin = at - c.word_first[of]
+                nth, lo, hi = (np.concatenate(x) for x in ((nth, np.full(len(at), -1)), (lo, begin), (hi, begin + min_words)))
                 if wanted is not None:
-                    at = c.digests >> np.uint64(64 - FILTER_BITS)
-                    found = found[(wanted.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
-                yield found
+                    bit = digests >> np.uint64(64 - FILTER_BITS)
+                    keep = np.flatnonzero((wanted.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
+                    digests, owner, nth, lo, hi = (x[keep] for x in (digests, owner, nth, lo, hi))
+                own = b.iloc[done : done + len(part)]
+                yield pd.DataFrame({"digest": digests.view(np.int64), "id": own["id"].to_numpy()[owner], "text_hash": own["text_hash"].to_numpy()[owner], "nth": nth, "lo": lo, "hi": hi})
                 done += len(part)
 
-    return docs.mapInPandas(rows, "digest long, id long, place long")
+    return docs.mapInPandas(rows, PLACES)
 
 
 def filter_of(digests: DataFrame) -> np.ndarray:
@@ -154,151 +187,83 @@ def filter_of(digests: DataFrame) -> np.ndarray:
     return out
 
 
-def likely_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, runs, marks) where a run of shared chunks may be long enough.
-
-    runs: (first, last) chunk numbers. marks: (nth, side) of the chunks that begin (side 0)
-    or end (side 1) a run in any document; inside a longer run, what stands beside such a
-    chunk still tells another document how far its own passage reaches.
-    """
-    shared = chunks(docs).groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("digest")
+def regions(docs: DataFrame, min_words: int) -> DataFrame:
+    """(id, text_hash, regions: array of (lo, hi)): word numbers between which there may be shared windows."""
+    shared = chunks(docs, min_words).groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("digest")
     shared = written(shared, "shared")
     wanted = docs.sparkSession.sparkContext.broadcast(filter_of(shared))
-    hits = written(chunks(docs, wanted).join(shared, "digest", "left_semi"), "hits").withColumn("nth", F.shiftright("place", 32).cast("int"))
-    island = F.col("nth") - F.dense_rank().over(W.partitionBy("id").orderBy("nth"))  # of rows with equal ids, chunks occur again
-    words = F.shiftright("place", 16).bitwiseAND(F.lit(WORDS_MASK))
-    around = F.col("place").bitwiseAND(F.lit(WORDS_MASK))
-    found = (
-        hits.withColumn("island", island)
-        .groupBy("id", "island")
-        .agg(
-            F.min("nth").alias("first"), F.max("nth").alias("last"), F.min_by("digest", "nth").alias("begins"), F.max_by("digest", "nth").alias("ends"),
-            (F.sum(words) + F.min_by(around, "nth") + F.max_by(around, "nth") + 2).alias("most"),
-        )
-        .where(F.col("most") >= min_words)
-    )
-    edge = lambda c, side: F.struct(F.col(c).alias("digest"), F.lit(side).alias("side"))
-    edges = found.select(F.explode(F.array(edge("begins", 0), edge("ends", 1))).alias("e")).select("e.*").distinct()
-    marks = hits.join(edges, "digest").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("nth", "side"))).alias("marks"))
-    return found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs")).join(marks, "id")
-
+    hits = written(chunks(docs, min_words, wanted).join(shared, "digest", "left_semi").drop("digest"), "hits")
+    island = F.col("nth") - F.dense_rank().over(W.partitionBy("id", "text_hash").orderBy("nth"))  # of repeated rows, chunks occur again
+    runs = hits.where("nth >= 0").withColumn("island", island).groupBy("id", "text_hash", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = runs.drop("island").unionByName(hits.where("nth < 0").select("id", "text_hash", "lo", "hi")).where(F.col("hi") - F.col("lo") >= min_words)
+    return found.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("regions"))
 
-ENDS = "id long, run int, digests array<long>, starts array<long>, ends array<long>, words array<int>, before array<long>, before_at array<long>, after array<long>, after_at array<long>"
 
-
-def run_ends(docs: DataFrame) -> DataFrame:
-    """For each run of docs (id, text, runs, marks): its chunks, and what stands before and after it.
-
-    before[j] is the hash of the j + 1 words before the run together with the run's first
-    chunk, before_at[j] the place of the first of them; after and after_at likewise. Marks
-    give rows with run -1 and no chunks.
-    """
+def windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, id, last, text_hash, nth, start, end) of docs (id, last, text_hash, text, regions): a row for each window of words in a region, with its place in bytes."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out, done = [], 0
+            done = 0
             for part in in_parts(b["text"]):
-                c = Chunked(part)
-                raw = c.data.tobytes()
-                for k in range(len(part)):
-                    begin, f = int(c.begin[k]), int(c.first[k])
-                    one, at = b["id"].iloc[done + k], lambda x: [int(v) - begin for v in x]  # noqa: B023
-                    for number, r in enumerate(b["runs"].iloc[done + k]):
-                        i, j = f + int(r["first"]), f + int(r["last"])
-                        a, z = np.searchsorted(c.word_starts, c.starts[i]), np.searchsorted(c.word_ends, c.ends[j], "right")
-                        lo, hi = np.searchsorted(c.word_starts, c.starts[i : j + 1]), np.searchsorted(c.word_starts, c.ends[i : j + 1])
-                        own = np.maximum(np.minimum(hi, z) - np.maximum(lo, a), 0).tolist()
-                        (before, before_at), (after, after_at) = beside(raw, c, k, i, 0), beside(raw, c, k, j, 1)
-                        out.append((one, number, c.digests[i : j + 1].view(np.int64).tolist(), at(c.starts[i : j + 1]), at(c.ends[i : j + 1]), own, before, at(before_at), after, at(after_at)))
-                    for m in b["marks"].iloc[done + k]:
-                        keys = beside(raw, c, k, f + int(m["nth"]), int(m["side"]))[0]
-                        out.append((one, -1, [], [], [], [], [] if m["side"] else keys, [], keys if m["side"] else [], []))
+                c, own = Words(part), b.iloc[done : done + len(part)]
                 done += len(part)
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in ENDS.split(", ")])
-
-    return docs.mapInPandas(rows, ENDS)
-
-
-def beside(raw: bytes, c: Chunked, k: int, i: int, side: int) -> tuple[list[int], list[int]]:
-    """Words before (side 0) or after (side 1) chunk i of text k, as far as a passage can reach that has no further chunk in step."""
-    f, n = int(c.first[k]), int(c.counts[k])
-    least, most = np.searchsorted(c.word_starts, c.begin[k]), np.searchsorted(c.word_starts, c.end[k])
-    if side == 0:
-        a = int(np.searchsorted(c.word_starts, c.starts[i]))
-        lo = max(int(np.searchsorted(c.word_starts, c.back[i])) - 1, int(least))
-        apart = int(c.word_starts[a] - c.starts[i]) if a < most else -1
-        return ends(raw, c, range(a - 1, lo - 1, -1), (int(c.digests[i]), 0, apart), c.word_starts)
-    z = int(np.searchsorted(c.word_ends, c.ends[i], "right"))
-    hi = min(int(np.searchsorted(c.word_ends, c.ends[min(i + 1, f + n - 1)], "right")) + 1, int(most))
-    return ends(raw, c, range(z, hi), (int(c.digests[i]), 1, int(c.ends[i] - c.word_ends[z - 1]) if z > least else -1), c.word_ends)
-
-
-def ends(raw: bytes, c: Chunked, order: range, start: tuple, places: np.ndarray) -> tuple[list[int], list[int]]:
-    """Hash of each row of words taken in order, begun with start, and the outer place of its last word."""
-    h, hashes, at = hash_of(start), [], []
-    for w in order:
-        h = hash_of((h, raw[c.word_starts[w] : c.word_ends[w]]))
-        hashes.append(h)
-        at.append(int(places[w]))
-    return hashes, at
-
-
-def hash_of(parts: tuple) -> int:
-    return xxhash.xxh64_intdigest(repr(parts)) - (1 << 63)
+                spans = [(k, int(r["lo"]), int(r["hi"])) for k, found in enumerate(own["regions"]) for r in found]
+                k, lo, hi = np.array(spans, np.int64).reshape(-1, 3).T
+                lo, hi = lo + c.word_first[k], np.minimum(hi + c.word_first[k], c.word_last[k])
+                inside = np.zeros(len(c.word_starts) + 1, np.int64)  # how many regions a window can begin in
+                fits = hi - lo >= min_words
+                np.add.at(inside, lo[fits], 1)
+                np.add.at(inside, (hi - min_words + 1)[fits], -1)
+                at = np.flatnonzero(np.cumsum(inside) > 0)
+                of = np.searchsorted(c.word_first, at, "right") - 1
+                begin = c.begin[of]
+                found = {n: own[n].to_numpy()[of] for n in ("id", "last", "text_hash")}
+                keys = c.row_hashes(min_words)[at].view(np.int64)
+                yield pd.DataFrame({"key": keys, **found, "nth": at - c.word_first[of], "start": c.word_starts[at] - begin, "end": c.word_ends[at + min_words - 1] - begin})
+
+    return docs.mapInPandas(rows, "key long, id long, last long, text_hash long, nth int, start int, end int")
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, n_words, repeated: array of (start, end)): a row for each passage, in bytes of its text.
+    """(doc_id, text_hash, start, end, n_words, repeated: array of (start, end)): a row for each passage, in bytes of its text.
 
-    repeated lists the stretches of the passage that have an earlier occurrence.
+    text_hash is xxhash64 of the text, which tells rows with equal ids apart.
     """
-    rows = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = written(run_ends(rows.join(likely_runs(rows, min_words), "id")), "runs")
-    sides = [runs.select("id", "run", F.lit(side).alias("side"), F.posexplode(side).alias("nth", "key")) for side in ("before", "after")]
-    keys = sides[0].unionByName(sides[1])
-    known = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
-    reach = keys.join(known, "key", "left_semi").groupBy("id", "run").agg(*(F.max(F.when(F.col("side") == s, F.col("nth") + 1)).alias(f"n_{s}") for s in ("before", "after")))
-    found = runs.where("run >= 0").join(reach, ["id", "run"], "left").withColumns({f"n_{s}": F.coalesce(f"n_{s}", F.lit(0)) for s in ("before", "after")})
-    inner = F.aggregate("words", F.lit(0), lambda s, x: s + x)
-    sized = found.select(
-        "id", "run", "digests", "starts", "ends", "words", "n_before", "n_after", (inner + F.col("n_before") + F.col("n_after")).cast("int").alias("n_words"),
-        F.when(F.col("n_before") > 0, F.get("before_at", F.col("n_before") - 1)).otherwise(F.element_at("starts", 1)).alias("start"),
-        F.when(F.col("n_after") > 0, F.get("after_at", F.col("n_after") - 1)).otherwise(F.element_at("ends", -1)).alias("end"),
-    ).where(F.col("n_words") >= min_words)
-    passages = written(sized, "passages")
-    each = passages.select("id", "run", F.posexplode(F.arrays_zip("digests", "starts")).alias("nth", "c")).select("id", "run", "nth", F.col("c.digests").alias("digest"), F.col("c.starts").alias("at"))
-    first = each.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("kept"))
-    later = (
-        each.join(first, "digest")
-        .where((F.col("kept.id") != F.col("id")) | (F.col("kept.at") != F.col("at")))
-        .groupBy("id", "run")
-        .agg(F.array_sort(F.collect_set("nth")).alias("later"))
+    rows = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) > 0)).select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")
     )
-    return passages.join(later, ["id", "run"], "left").select(
-        F.col("id").alias("doc_id"), "start", "end", "n_words", _stretches(min_words).alias("repeated")
+    texts = rows.select("id", "text_hash", F.xxhash64(F.lit(1), "text").alias("again"))
+    same = ["text_hash", "again"]
+    classes = written(texts.groupBy(same).agg(F.min("id").alias("head"), F.max("id").alias("last")), "classes")
+    heads = classes.select(F.col("head").alias("id"), "text_hash", "last")
+    found = rows.join(regions(rows, min_words).join(heads, ["id", "text_hash"]), ["id", "text_hash"])
+    all_windows = written(windows(found, min_words), "windows")
+    shared = written(all_windows.groupBy("key").agg(F.min("id").alias("least"), F.max("last").alias("most")).where("least < most").select("key", "least"), "shared")
+    text = W.partitionBy("id", "text_hash").orderBy("nth")
+    is_new = lambda at: (at.isNull() | (F.col("nth") - at >= min_words)).cast("int")
+    placed = (
+        all_windows.join(shared, "key")
+        .select("id", "text_hash", "nth", "start", "end", (F.col("least") < F.col("id")).alias("later"))
+        .withColumn("before", F.lag("nth").over(text))
+        .withColumn("before_later", F.last(F.when(F.col("later"), F.col("nth")), ignorenulls=True).over(text.rowsBetween(W.unboundedPreceding, -1)))
+        .withColumn("passage", F.sum(is_new(F.col("before"))).over(text.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("stretch", F.when(F.col("later"), F.sum(F.when(F.col("later"), is_new(F.col("before_later"))).otherwise(0)).over(text.rowsBetween(W.unboundedPreceding, 0))))
     )
-
-
-def _stretches(min_words: int):
-    """Stretches of chunks with an earlier occurrence, with the passage's ends where they reach them."""
-    kind = "struct<done:array<struct<start:bigint,end:bigint>>,from:int,words:int>"
-    last = F.size("digests") - 1
-    is_later = lambda i: F.array_contains(F.coalesce("later", F.array().cast("array<int>")), i)
-
-    def step(s, i):
-        begun = F.when(s["from"] < 0, i).otherwise(s["from"])
-        n = s["words"] + F.get("words", i) + F.when(i == 0, F.col("n_before")).otherwise(0) + F.when(i == last, F.col("n_after")).otherwise(0)
-        span = F.struct(
-            F.when(begun == 0, F.col("start")).otherwise(F.get("starts", begun)).alias("start"), F.when(i == last, F.col("end")).otherwise(F.get("ends", i)).alias("end")
-        )
-        ends_here = (i == last) | ~is_later(i + 1)
-        beside = F.when(begun > 0, F.get("words", begun - 1)).otherwise(0) + F.when(i < last, F.get("words", i + 1)).otherwise(0)
-        done = F.when(ends_here & (n + beside >= min_words), F.concat(s["done"], F.array(span))).otherwise(s["done"])
-        going = F.struct(done.alias("done"), F.when(ends_here, -1).otherwise(begun).alias("from"), F.when(ends_here, 0).otherwise(n).alias("words")).cast(kind)
-        return F.when(is_later(i), going).otherwise(s)
-
-    zero = F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("done"), F.lit(-1).alias("from"), F.lit(0).alias("words")).cast(kind)
-    return F.aggregate(F.sequence(F.lit(0), last), zero, step, lambda s: s["done"])
+    of_text = ["id", "text_hash", "passage"]
+    stretches = placed.groupBy(*of_text, "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("nth").alias("first"), F.max("nth").alias("final"))
+    span = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    passages = stretches.groupBy(of_text).agg(
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max("final") - F.min("first") + min_words).alias("n_words"),
+        F.sort_array(F.collect_list(F.when(F.col("stretch").isNotNull(), span))).alias("repeated"),
+    )
+    passages = written(passages.drop("passage").withColumnRenamed("id", "doc_id"), "passages")
+    # of equal texts, all but the first repeat it as a whole
+    whole = passages.join(heads.where("last > id").select(F.col("id").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"])
+    whole = written(whole.select(F.col("doc_id").alias("head"), "text_hash", "start", "end", "n_words"), "whole")
+    several = classes.where("last > head")
+    copies = texts.distinct().join(several, same).where("id > head").join(whole, ["head", "text_hash"])
+    return passages.unionByName(copies.select(F.col("id").alias("doc_id"), "text_hash", "start", "end", "n_words", F.array(F.struct("start", "end")).alias("repeated")))
 
 
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -306,25 +271,16 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         if cut is None or not len(cut):
             return text
         raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
-        for s in sorted((int(s["start"]), int(s["end"])) for s in cut):
-            start, end = max(at, _between_words(raw, s[0], 1)), _between_words(raw, s[1], -1)
-            if end > start:
-                out.append(raw[at:start])
-                at = end
+        for start, end in sorted((int(s["start"]), int(s["end"])) for s in cut):
+            out.append(raw[at:start])
+            at = max(at, end)
         return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
     return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
 
-def _between_words(raw: bytes, at: int, step: int) -> int:
-    """The nearest place from at, forwards or backwards, that is not inside a word."""
-    while 0 < at < len(raw) and not raw[at - 1 : at].isspace() and not raw[at : at + 1].isspace():
-        at += step
-    return at
-
-
 def without(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated stretches of passages cut out of their texts, at word edges; all columns are kept."""
-    spans = passages.where(F.size("repeated") > 0).groupBy(F.col("doc_id").alias("__id")).agg(F.flatten(F.collect_list("repeated")).alias("__cut"))
-    both = docs.join(spans, F.col(id_col) == F.col("__id"), "left")
+    """docs with the repeated stretches of passages cut out of their texts; all columns are kept."""
+    spans = passages.where(F.size("repeated") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.flatten(F.collect_list("repeated")).alias("__cut"))
+    both = docs.join(spans, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
     return both.withColumn(text_col, F.when(F.col("__cut").isNotNull(), F.pandas_udf(_cut, "string")(F.col(text_col), F.col("__cut"))).otherwise(F.col(text_col))).select(*docs.columns)
