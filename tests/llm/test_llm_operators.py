@@ -352,7 +352,7 @@ def test_importance_resampling(spark, empty):
 
 def test_ppm_scores(spark, docs, corpus, empty):
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
-    got = sorted((tuple(r) for r in ppm.scored(docs, out, block_bytes=5000).collect()), key=repr)
+    got = sorted((tuple(r) for r in ppm.scored(docs, out, block_bytes=5000, part_bytes=9000, least=2).collect()), key=repr)
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _, _ in corpus]
     tokens = [[*(t or "").encode().lower().split(), None] for _, t, _ in corpus]
     c = Counter(w for h, ws in zip(held, tokens, strict=True) if not h for w in ws)

@@ -8,12 +8,14 @@ context, where the bytes just seen are excluded from both counts. Below the empt
 context, bytes that never occurred are equally likely.
 
 The trie grows with the corpus, so no task holds it. Documents are dealt into blocks of a
-bounded size by a hash of the id. A block lists its distinct (context, byte) runs and words
-with their training counts, as sorted arrays for each of several parts; runs are dealt to
-parts by their last two context bytes, words by their hash. A part adds up what all blocks
-hold, works out the log probability of each run, and answers each block in its own order;
-the blocks are then read again and scored. Only the counts of byte pairs, at most 65,536,
-are the same for all.
+bounded size by a hash of the id and text. A block lists its distinct (context, byte) runs
+and words with their training counts, as sorted arrays for each of several parts; runs are
+dealt to parts by their last three context bytes, words by their hash. A part adds up what
+all blocks hold, works out the log probability of each run, and answers each block in its
+own order; the blocks are then read again and scored. The number of parts follows from the
+bytes of text, so that what a part reads is bounded but for the most frequent three bytes.
+Only the counts of three bytes in a row, which no corpus can have more than 256 ** 3 of and
+text has some hundred thousands of, are the same for all and are broadcast.
 
 Words are told apart by 64-bit hashes. Defined results: a null text is an empty one, which
 has the end token and the end mark alone; a row with a null id is learned from; repeated
@@ -62,8 +64,8 @@ def counted(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def part_of(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
-    """Runs with the same last two context bytes go to the same part."""
-    return (mixed((keys >> np.uint64(8)) & np.uint64(0xFFFF) if kind == RUN else keys) % np.uint64(parts)).astype(np.int64)
+    """Runs with the same last three context bytes go to the same part."""
+    return (mixed((keys >> np.uint64(8)) & np.uint64(0xFFFFFF) if kind == RUN else keys) % np.uint64(parts)).astype(np.int64)
 
 
 def block_features(texts: list[str | None], train: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -80,38 +82,56 @@ def block_features(texts: list[str | None], train: np.ndarray) -> dict[int, tupl
     return {kind: counted(x) for kind, x in found.items()}
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """log10 P(byte | context) of each run; all runs of a two-byte context must be there.
+class Short:
+    """Counts of all runs of up to three bytes in the training text."""
 
-    pairs: 256 x 256 counts of (byte before, byte) over the whole training text.
-    """
+    def __init__(self, triples: np.ndarray, counts: np.ndarray) -> None:
+        self.triples, self.counts = triples, counts  # (byte, byte before, byte), sorted
+        self.pairs = np.bincount((triples & np.uint64(0xFFFF)).astype(np.int64), counts, 1 << 16).reshape(256, 256)
+        self.single = self.pairs.sum(axis=0)
+        context = (triples >> np.uint64(8)).astype(np.int64)
+        self.n, self.d = np.bincount(context, counts, 1 << 16), np.bincount(context, minlength=1 << 16)
+        self.excluded = np.bincount(context, self.pairs[context & 255, (triples & np.uint64(0xFF)).astype(np.int64)], 1 << 16)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """How often each of three bytes occurred."""
+        if not len(self.triples):
+            return np.zeros(len(grams))
+        at = np.minimum(np.searchsorted(self.triples, grams), len(self.triples) - 1)
+        return np.where(self.triples[at] == grams, self.counts[at], 0)
+
+
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, short: Short) -> np.ndarray:
+    """log10 P(byte | context) of each run; all runs of a three-byte context must be there."""
     logp, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
     symbol, before = (keys & np.uint64(0xFF)).astype(int), ((keys >> np.uint64(8)) & np.uint64(0xFF)).astype(int)
     levels = {}  # order: count of each run, and total and distinct of its context
-    for k in range(ORDER, 1, -1):
+    for k in range(ORDER, 2, -1):
         grams, at = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
         c = np.bincount(at, counts, len(grams))
         contexts, ctx = np.unique(grams >> np.uint64(8), return_inverse=True)
         levels[k] = {"grams": grams, "at": at, "c": c, "ctx": ctx, "n": np.bincount(ctx, c, len(contexts)), "d": np.bincount(ctx, c > 0, len(contexts))}
-    row_n, row_d, single = pairs.sum(axis=1), (pairs > 0).sum(axis=1), pairs.sum(axis=0)
+    pairs, single = short.pairs, short.single
+    row_n, row_d = pairs.sum(axis=1), (pairs > 0).sum(axis=1)
 
     def shorter(grams: np.ndarray, k: int) -> np.ndarray:
         """Counts of the runs one order below grams of order k."""
-        if k == 1:
-            return single[(grams & np.uint64(0xFF)).astype(int)]
-        if k == 2:
-            return pairs[((grams >> np.uint64(8)) & np.uint64(0xFF)).astype(int), (grams & np.uint64(0xFF)).astype(int)]
+        if k == 3:
+            return short.of(grams & np.uint64(0xFFFFFF))
         low = levels[k - 1]
         return low["c"][np.searchsorted(low["grams"], grams & np.uint64((1 << 8 * k) - 1))]
 
     pair_out = np.where(pairs > 0, single[None, :], 0).sum(axis=1)  # counts at order 0 of what followed each byte
     out_n, out_d = np.zeros(len(keys)), np.zeros(len(keys))  # what the longer context excludes here
     for k in range(ORDER, -1, -1):
-        if k >= 2:
+        if k >= 3:
             x = levels[k]
             c, n, d = x["c"][x["at"]], x["n"][x["ctx"]][x["at"]], x["d"][x["ctx"]][x["at"]]
             seen = x["c"] > 0
             excluded = np.bincount(x["ctx"][seen], shorter(x["grams"][seen], k), len(x["n"]))[x["ctx"]][x["at"]]
+        elif k == 2:
+            context = ((keys >> np.uint64(8)) & np.uint64(0xFFFF)).astype(int)
+            c, n, d, excluded = short.of(keys & np.uint64(0xFFFFFF)), short.n[context], short.d[context], short.excluded[context]
         elif k == 1:
             c, n, d, excluded = pairs[before, symbol], row_n[before], row_d[before], pair_out[before]
         else:
@@ -127,55 +147,61 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -
     return logp - np.where(open_, np.log10(max(1, SYMBOLS - int((single > 0).sum()))), 0)
 
 
-def totals(docs: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
-    """Counts of byte pairs in the texts to learn from, and sums over all of docs (text, train)."""
+def totals(docs: DataFrame) -> tuple[Short, dict[str, int]]:
+    """Counts of short runs in the texts to learn from, and sums over all of docs (text, train)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, sums = np.zeros(1 << 16, np.int64), np.zeros(4, np.int64)
+        held, sums = [], np.zeros(4, np.int64)
         for b in batches:
             train, done = b["train"].to_numpy(bool), 0
-            for part in in_parts(b["text"]):
+            for part in in_parts(b["text"], PART):
                 own = train[done : done + len(part)]
                 done += len(part)
                 learned = [t for t, x in zip(part, own, strict=True) if x]
-                pairs += np.bincount((runs(learned) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16) if learned else 0
+                if learned:
+                    held.append(np.unique(runs(learned) & np.uint64(0xFFFFFF), return_counts=True))
+                    held = [counted(held)] if len(held) > 8 else held
                 sums += (sum(map(len, part)), len(part), len(learned), int(hashed_words(learned)[1].sum()) if learned else 0)
-        at = np.flatnonzero(pairs)
-        yield pd.DataFrame({"key": np.concatenate([at, -1 - np.arange(4)]), "n": np.concatenate([pairs[at], sums])})
+        keys, n = counted(held)
+        yield pd.DataFrame({"key": np.concatenate([keys.astype(np.int64), -1 - np.arange(4)]), "n": np.concatenate([n, sums])})
+
+    found = docs.select("text", "train").mapInPandas(rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = found["key"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    sums = dict(zip((-1 - keys[keys < 0]).tolist(), n[keys < 0].tolist(), strict=True))
+    return Short(keys[keys >= 0].astype(np.uint64), n[keys >= 0]), dict(zip(("bytes", "docs", "train_docs", "train_words"), (sums.get(i, 0) for i in range(4)), strict=True))
 
-    found = docs.select("text", "train").mapInPandas(rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    by_key = {r["key"]: r["n"] for r in found}  # a row for each byte pair at most
-    pairs = np.zeros(1 << 16)
-    for k, n in by_key.items():
-        if k >= 0:
-            pairs[k] = n
-    return pairs.reshape(256, 256), dict(zip(("bytes", "docs", "train_docs", "train_words"), (by_key.get(-1 - i, 0) for i in range(4)), strict=True))
 
+def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, part_bytes: int = 32 << 20, least: int = 16) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    A block has about block_bytes of text, a part what part_bytes of text hold; there are
+    least of each, so that small tables keep all cores busy.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (~held_out).alias("train"))
-    pairs, sums = totals(rows)
-    blocks = max(1, -(-sums["bytes"] // block_bytes), -(-sums["docs"] // 100_000))
+    short, sums = totals(rows)
+    blocks = max(least, -(-sums["bytes"] // block_bytes), -(-sums["docs"] // 100_000))
+    parts = max(least, -(-sums["bytes"] // part_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.crc32("text")), F.lit(blocks)).cast("int"))
-    shared = spark.sparkContext.broadcast(pairs)
+    shared = spark.sparkContext.broadcast(short)
 
     def features(b: pd.DataFrame) -> pd.DataFrame:
         out = []
         for kind, (keys, counts) in block_features(b["text"].tolist(), b["train"].to_numpy(bool)).items():
-            part = part_of(kind, keys, blocks)
+            part = part_of(kind, keys, parts)
             order = np.argsort(part, kind="stable")
             for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                 if len(x):
-                    out.append((int(b["block"].iloc[0]), int(part[x[0]]), kind, keys[x].tobytes(), counts[x].astype(np.uint32).tobytes()))
+                    out.append((int(b["block"].iloc[0]), int(part[x[0]]), kind, keys[x].tobytes(), counts[x].astype(np.int64).tobytes()))
         return pd.DataFrame(out, columns=["block", "part", "kind", "keys", "counts"])
 
     def answers(b: pd.DataFrame) -> pd.DataFrame:
         kind = int(b["kind"].iloc[0])
         own = [np.frombuffer(k, np.uint64) for k in b["keys"]]
-        keys, counts = counted([(k, np.frombuffer(c, np.uint32).astype(np.int64)) for k, c in zip(own, b["counts"], strict=True)])
-        values = counts.astype(np.uint32) if kind == WORD else log_probabilities(keys, counts, shared.value).astype(np.float32)
+        keys, counts = counted([(k, np.frombuffer(c, np.int64)) for k, c in zip(own, b["counts"], strict=True)])
+        values = counts.astype(np.int64) if kind == WORD else log_probabilities(keys, counts, shared.value).astype(np.float32)
         distinct = np.zeros(len(b), np.int64)
         distinct[0] = (counts > 0).sum() if kind == WORD else 0
         answer = [values[np.searchsorted(keys, k)].tobytes() for k in own]
@@ -191,10 +217,10 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         texts = b["text"].tolist()
         lookup = {}
         for kind, (keys, _) in block_features(texts, np.zeros(len(texts), bool)).items():
-            part, values = part_of(kind, keys, blocks), np.zeros(len(keys))
+            part, values = part_of(kind, keys, parts), np.zeros(len(keys))
             order = np.argsort(part, kind="stable")
             got = a[a["kind"] == kind].sort_values("part")["answer"]
-            values[order] = np.concatenate([np.zeros(0), *(np.frombuffer(x, np.uint32 if kind == WORD else np.float32) for x in got)])
+            values[order] = np.concatenate([np.zeros(0), *(np.frombuffer(x, np.int64 if kind == WORD else np.float32) for x in got)])
             lookup[kind] = (keys, values)
 
         def of(kind: int, wanted: np.ndarray) -> np.ndarray:
