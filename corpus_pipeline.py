@@ -51,8 +51,7 @@ def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination.found_items(table(spark, sf_dir, "benchmark"), F.col("text"))
-    return docs.withColumn("__found", found).where(F.size("__found") == 0).select(*docs.columns)
+    return contamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

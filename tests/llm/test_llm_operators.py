@@ -101,6 +101,18 @@ def test_links_of_a_crowded_shard_lose_nothing(spark):
     assert [found.get(i, i) for i in range(len(fps))] == [root(i) for i in range(len(fps))]
 
 
+def test_a_hot_shard_is_dealt_in_proportion(spark):
+    """50,000 fingerprints that agree on two whole blocks make few rows, whatever the number of trees they would fill."""
+    rng = np.random.default_rng(3)
+    fixed = (1 << 25) - 1
+    fps = np.unique(rng.integers(0, 1 << 63, 50_000, np.int64) & ~fixed | 12345)
+    near = [int(fps[k]) ^ (1 << 40) ^ (1 << 50) ^ (1 << 60) for k in range(0, 50_000, 5000)]
+    nodes = spark.createDataFrame([(int(f), i) for i, f in enumerate([*fps.tolist(), *near])], "fp long, rep long").repartition(4)
+    assert simhash.dealt_trees(nodes, tree_size=256).count() <= 20 * len(fps)  # a row for each choice, of which there are 10, and 10 more in the hot shard
+    links = {tuple(sorted((r["u"], r["v"]))) for r in simhash.links(nodes, tree_size=256).collect()}
+    assert {(k, len(fps) + i) for i, k in enumerate(range(0, 50_000, 5000))} <= links
+
+
 @pytest.mark.parametrize("tree_size", [4096, 7])
 def test_near_duplicate_stage_equals_brute_force_jaccard(spark, tree_size):
     rng = np.random.default_rng(4)
@@ -329,9 +341,14 @@ def test_contamination_equals_all_pairs(spark, docs, corpus, empty):
             hits = len(own & grams(d, n)) if own else 0
             if own and hits >= 0.8 * len(own):
                 want.add((doc, item, len(own), hits))
-    for block in (1 << 20, 200):
+    bench = bench.withColumns({c: F.lit("x") for c in ("id", "doc_id", "found")})
+    for block in (1 << 20, 900):
         got = {(r["doc_id"], r["item_id"], r["n_shingles"], r["n_found"]) for r in contamination.contaminated(docs, bench, block_bytes=block).collect()}
         assert got == want
+        left = contamination.clean(docs, bench, block_bytes=block)
+        assert left.columns == docs.columns
+        dirty = {d for d, *_ in want if d is not None}
+        assert Counter(r["doc_id"] for r in left.select("doc_id").collect()) == Counter(i for i, _, _ in corpus if i not in dirty)
     assert contamination.contaminated(empty, bench).count() == 0
     assert contamination.contaminated(docs, bench.where("false")).count() == 0
 

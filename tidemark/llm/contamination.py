@@ -12,32 +12,35 @@ document is missed with a chance of about 1e-8, one at the threshold of about 1e
 Items of so few shingles that their share could be smaller are looked up by each shingle.
 
 Documents are never shuffled. The items go to all tasks in blocks of a bounded size in
-bytes, each block one pass over the documents' texts.
+bytes: each block is one pass over the documents' texts, whose result is written before the
+next block is read, so neither the driver nor a task holds more than one block's index.
 
 Defined results: words are lower-cased in A-Z and split at space and \\x09-\\x0D; a
 null or empty text, of an item or a document, has no shingles and matches nothing; an item
 of fewer words than a shingle is one shingle of all its words; repeated rows are matched
-each; null ids are kept; empty tables give an empty result; other columns are ignored.
+each; null ids are kept; very long texts are read as a whole; without items, or without
+documents, nothing is found; other columns of both tables are ignored.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
 from tidemark.llm.words import hashed_words, in_parts, shingle_hashes
 
-WORDS, THRESHOLD, FUNCTIONS, LEAST = 5, 0.8, 64, 8
+WORDS, THRESHOLD, FUNCTIONS, LEAST, BLOCK_BYTES = 5, 0.8, 64, 8, 4 << 20
 _RANDOM = np.random.default_rng(7)
 _FACTORS = _RANDOM.integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _RANDOM.integers(0, 1 << 63, FUNCTIONS, np.uint64)
-FOUND = "array<struct<item_id:long,n_shingles:int,n_found:int>>"
 
 
 def shingles(text: bytes, size: int) -> set[bytes]:
@@ -133,36 +136,49 @@ class Items:
         return out
 
 
-def _searching(index: Broadcast, size: int, threshold: float):
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items = Items(index.value, size, threshold)
-        for texts in batches:
-            yield pd.Series([x for part in in_parts(texts) for x in items.search(part)], dtype=object)
-
-    return F.pandas_udf(search, FOUND)
-
-
-def found_items(
-    benchmark: DataFrame, text: Column | str = "text", id_col: str = "item_id", item_col: str = "text",
-    size: int = WORDS, threshold: float = THRESHOLD, block_bytes: int = 16 << 20,
-) -> Column:
-    """A column: the array of (item_id, n_shingles, n_found) of the items that a text holds.
-
-    benchmark is read in blocks of about block_bytes, each of which goes to all tasks.
-    """
-    spark = benchmark.sparkSession
+def blocks_of(benchmark: DataFrame, id_col: str, item_col: str, block_bytes: int) -> Iterator[Broadcast]:
+    """The items in blocks of about block_bytes, one at a time."""
     own = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(item_col).alias("t"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    columns = []
     for b in range(blocks):
         rows = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        columns.append(_searching(spark.sparkContext.broadcast([(r["i"], r["t"]) for r in rows]), size, threshold)(text))
-    return F.concat(*columns) if blocks > 1 else columns[0]
+        sent = benchmark.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in rows])
+        yield sent
+        sent.unpersist()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_col: str = "text",
+    size: int = WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment): a row for each item found in each document."""
-    found = docs.select(F.col(id_col).alias("doc_id"), found_items(benchmark, F.col(text_col), **params).alias("found"))
-    each = found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
-    return each.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = []
+    for index in blocks_of(benchmark, item_id_col, item_col, block_bytes):
+
+        def matches(batches: Iterator[pd.DataFrame], index: Broadcast = index) -> Iterator[pd.DataFrame]:
+            items = Items(index.value, size, threshold)
+            for b in batches:
+                hits = [(i, *h.values()) for i, own in zip(b["id"], (x for part in in_parts(b["text"]) for x in items.search(part)), strict=True) for h in own]
+                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "n_shingles", "n_found"])
+
+        found.append(written(rows.mapInPandas(matches, "doc_id long, item_id long, n_shingles int, n_found int"), "contaminated"))
+    return reduce(DataFrame.unionByName, found).withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+
+
+def clean(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_col: str = "text",
+    size: int = WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns."""
+    left = docs
+    for index in blocks_of(benchmark, item_id_col, item_col, block_bytes):
+
+        def holds(batches: Iterator[pd.Series], index: Broadcast = index) -> Iterator[pd.Series]:
+            items = Items(index.value, size, threshold)
+            for texts in batches:
+                yield pd.Series([bool(x) for part in in_parts(texts) for x in items.search(part)], dtype=bool)
+
+        left = written(left.where(~F.pandas_udf(holds, "boolean")(F.col(text_col))), "clean")
+    return left

@@ -5,8 +5,10 @@ at most ``radius`` bits agree on all of some ``blocks - radius`` blocks, so ever
 of that many blocks deals the fingerprints into shards, and two near ones meet in a shard.
 Each shard holds its fingerprints in a BK-tree, whose children are keyed by their Hamming
 distance to the parent; a search follows only the edges within the radius. A tree has a
-bounded number of nodes: a larger shard becomes several trees, and each of its
-fingerprints is sent to the others as a query. A tree's task emits a spanning forest of
+bounded number of nodes: the fingerprints of a larger shard are dealt again, by blocks of the
+bits that are left; where that leaves too many, the shard becomes several trees, and each of
+its fingerprints is sent to the others as a query. Trees meet their queries by shuffle: all
+trees together grow with the corpus, so no bound holds that would let them be broadcast. A tree's task emits a spanning forest of
 what it links, never all pairs; the components are then found over all shards.
 
 Defined results: a null text is an empty one; an empty text (no words) has fingerprint
@@ -129,34 +131,55 @@ def forest(fps: list[int], members: list[bool], radius: int) -> list[tuple[int,
     return [(i, r) for i in range(len(fps)) if (r := root(i)) != i]
 
 
-def shard_masks(radius: int, blocks: int) -> list[int]:
-    """A mask for each choice of blocks - radius blocks, as signed 64-bit numbers."""
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    masks = [sum(c) for c in combinations(parts, blocks - radius)]
+def shard_masks(radius: int, blocks: int, within: int = 0) -> list[int]:
+    """A mask for each choice of blocks - radius blocks of the bits that within leaves, together with it; as signed 64-bit numbers."""
+    free = [i for i in range(BITS) if not (within >> i) & 1]
+    edges = [len(free) * i // blocks for i in range(blocks + 1)]
+    parts = [sum(1 << i for i in free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    masks = [sum(c) | within & ((1 << BITS) - 1) for c in combinations(parts, blocks - radius)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(nodes: DataFrame, radius: int = 3, blocks: int = 5, tree_size: int = 4096) -> DataFrame:
-    """(u, v): links that join all of nodes (fp: long, distinct; rep: long) within radius bits.
+def sharded(nodes: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """(choice, key, n, fp, rep) of nodes (fp, rep, within): every row in the shard of each (within, mask), with n, the number of its fingerprints.
 
-    The rows that go to Python are those of shards with two or more fingerprints. A shard
-    of n > tree_size fingerprints becomes ceil(n / tree_size) trees; a fingerprint is a
-    member of one and a query to those after it, so all of the shard's pairs are met while
-    no task holds more than a tree and a batch of queries of its sort order.
+    Shards of one fingerprint are left out. The counts are a table, so that adaptive execution can split a shard with very many rows.
     """
-    masks = F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(m).alias("mask")) for i, m in enumerate(shard_masks(radius, blocks))))
-    keyed = nodes.withColumn("m", F.explode(masks)).select("fp", "rep", F.col("m.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"))
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
-    trees = F.ceil(F.col("n") / tree_size).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
-    dealt = (
-        keyed.join(sizes, ["choice", "key"])
-        .withColumn("trees", trees)
-        .withColumn("own", own)
+    choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(w).alias("own"), F.lit(m).alias("mask")) for i, (w, m) in enumerate(masks)))
+    keyed = nodes.select("fp", "rep", F.explode(F.filter(choices, lambda c: c["own"] == F.col("within"))).alias("m"))
+    keyed = keyed.select("fp", "rep", F.col("m.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"))
+    sizes = written(keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1"), "shards")
+    return keyed.join(sizes, ["choice", "key"])
+
+
+def dealt_trees(nodes: DataFrame, radius: int = 3, blocks: int = 5, tree_size: int = 4096) -> DataFrame:
+    """(choice, key, tree, fp, rep, member): the rows of all trees.
+
+    The fingerprints of a shard of more than tree_size are dealt again, by choices of
+    blocks of the bits on which they may still differ. Only a shard that is too large even
+    then becomes ceil(n / tree_size) trees; a fingerprint is a member of one and a query to
+    those after it, so all of the shard's pairs are met.
+    """
+    first = [(0, m) for m in shard_masks(radius, blocks)]
+    shards = sharded(nodes.select("fp", "rep", F.lit(0).cast("long").alias("within")), first)
+    mask_of = F.array(*(F.lit(m).cast("long") for _, m in first))
+    crowded = written(shards.where(F.col("n") > tree_size).select("fp", "rep", mask_of[F.col("choice")].alias("within")), "crowded")
+    again = sharded(crowded, [(m, finer) for _, m in first for finer in shard_masks(radius, blocks, m)])
+    every = shards.where(F.col("n") <= tree_size).unionByName(again.withColumn("choice", F.col("choice") + len(first)))
+    return (
+        every.withColumn("trees", F.ceil(F.col("n") / tree_size).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
         .withColumn("tree", F.explode(F.sequence("own", F.col("trees") - 1)))
         .select("choice", "key", "tree", "fp", "rep", (F.col("tree") == F.col("own")).alias("member"))
     )
+
+
+def links(nodes: DataFrame, radius: int = 3, blocks: int = 5, tree_size: int = 4096) -> DataFrame:
+    """(u, v): links that join all of nodes (fp: long, distinct; rep: long) within radius bits.
+
+    No task holds more than a tree and a batch of queries of its sort order.
+    """
+    dealt = dealt_trees(nodes, radius, blocks, tree_size)
     keys = ["choice", "key", "tree"]
 
     def forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
