@@ -157,8 +157,8 @@ def contaminated(
     found = []
     for index in blocks_of(benchmark, item_id_col, item_col, block_bytes):
 
-        def matches(batches: Iterator[pd.DataFrame], index: Broadcast = index) -> Iterator[pd.DataFrame]:
-            items = Items(index.value, size, threshold)
+        def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            items = Items(index.value, size, threshold)  # noqa: B023 (run before the next block)
             for b in batches:
                 hits = [(i, *h.values()) for i, own in zip(b["id"], (x for part in in_parts(b["text"]) for x in items.search(part)), strict=True) for h in own]
                 yield pd.DataFrame(hits, columns=["doc_id", "item_id", "n_shingles", "n_found"])
@@ -175,8 +175,8 @@ def clean(
     left = docs
     for index in blocks_of(benchmark, item_id_col, item_col, block_bytes):
 
-        def holds(batches: Iterator[pd.Series], index: Broadcast = index) -> Iterator[pd.Series]:
-            items = Items(index.value, size, threshold)
+        def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            items = Items(index.value, size, threshold)  # noqa: B023
             for texts in batches:
                 yield pd.Series([bool(x) for part in in_parts(texts) for x in items.search(part)], dtype=bool)
 
