@@ -106,7 +106,6 @@ class Transducer:
                 node = below
             self.token_at[node] = rank
         self.spines: dict[int, tuple[tuple[int, ...], tuple[int, ...]] | None] = {}
-        self.pairs: dict[int, bool] = {}
         self.begin()
 
     def begin(self) -> None:
@@ -154,13 +153,7 @@ class Transducer:
         """
         if a == _NONE:
             return self.spine(b) is not None
-        key = a << 32 | b
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) >= STATES:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.spine(a) is not None and self.spine(b) is not None and self.stays_apart(self.spine(a)[1], self.spine(b)[0])
-        return ok
+        return self.spine(a) is not None and self.spine(b) is not None and self.stays_apart(self.spine(a)[1], self.spine(b)[0])
 
     def stays_apart(self, left: tuple[int, ...], right: tuple[int, ...]) -> bool:
         i, j, never = 0, 0, len(self.tokens) + len(self.ranks)

@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -266,21 +266,17 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return passages.unionByName(copies.select(F.col("id").alias("doc_id"), "text_hash", "start", "end", "n_words", F.array(F.struct("start", "end")).alias("repeated")))
 
 
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    def one(text, cut):
-        if cut is None or not len(cut):
-            return text
-        raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
-        for start, end in sorted((int(s["start"]), int(s["end"])) for s in cut):
-            out.append(raw[at:start])
-            at = max(at, end)
-        return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
-
-    return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+def kept(text: Column, cut: Column) -> Column:
+    """text without the stretches of cut: disjoint (start, end) in bytes, at word edges, in order."""
+    raw = text.cast("binary")
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(cut, lambda s: s["end"]))
+    ends = F.concat(F.transform(cut, lambda s: s["start"]), F.array(F.length(raw).cast("long")))
+    piece = lambda a, z: F.substring(raw, (a + 1).cast("int"), (z - a).cast("int")).cast("string")
+    return F.array_join(F.zip_with(begins, ends, piece), "")
 
 
 def without(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated stretches of passages cut out of their texts; all columns are kept."""
-    spans = passages.where(F.size("repeated") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.flatten(F.collect_list("repeated")).alias("__cut"))
+    spans = passages.where(F.size("repeated") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.flatten(F.collect_list("repeated"))).alias("__cut"))
     both = docs.join(spans, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
-    return both.withColumn(text_col, F.when(F.col("__cut").isNotNull(), F.pandas_udf(_cut, "string")(F.col(text_col), F.col("__cut"))).otherwise(F.col(text_col))).select(*docs.columns)
+    return both.withColumn(text_col, F.when(F.col("__cut").isNotNull(), kept(F.col(text_col), F.col("__cut"))).otherwise(F.col(text_col))).select(*docs.columns)
