@@ -34,11 +34,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import text_parts
+
 STATES, TOGETHER = 1_000_000, 1 << 20  # TOGETHER: characters of text encoded at once
 #: What the two pattern languages call white space differs in four control characters.
 SPACES = {r"\s": r"\p{White_Space}", r"\S": r"\P{White_Space}"}
@@ -343,28 +344,28 @@ def utf8_step(pending: bytes, more: bytes) -> tuple[str, bytes]:
 
 @cache
 def codec(path: str, pattern: str) -> Codec:
-    """One for each worker. The rank file is part of every worker's Python installation."""
+    """One for each task. The rank file is part of every worker's Python installation."""
     with open(path, "rb") as f:
         return Codec({base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}, pattern)
 
 
 def texts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
-    """(ids, texts) of rows (id, text), as many at once as make up TOGETHER bytes."""
-    for b in batches:
-        ids, texts = b.column(0), b.column(1)
-        part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // TOGETHER
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if j > i:
-                yield ids[i:j], [t or "" for t in texts[i:j].to_pylist()]
+    """(ids, texts) of rows (id, text), as many at once as make up TOGETHER bytes.
+
+    The tables made for a task end with it, so that a worker that goes on to other work holds none.
+    """
+    for rows, texts in text_parts(batches, TOGETHER):
+        yield rows.column(0), [t.decode("utf-8", "surrogatepass") for t in texts]
+    codec.cache_clear()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids: array<int>) of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
         for ids, texts in texts_of(batches):
-            found = [x.astype(np.int32) for x in codec(path, pattern).encode_all(texts)]
+            found = [x.astype(np.int32) for x in c.encode_all(texts)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int32()))], ["id", "ids"])
 
     return _named(docs, id_col, text_col).mapInArrow(rows, "id long, ids array<int>")

@@ -37,7 +37,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +45,7 @@ from pyspark.sql.window import Window as W
 
 from tidemark.llm import words as wd
 from tidemark.llm.common import written
-from tidemark.llm.words import in_parts, mixed
+from tidemark.llm.words import mixed, numbers, text_parts
 
 MIN_WORDS, MEAN, LEAST, REACH = 50, 32, 8, 16
 _RANDOM = np.random.default_rng(3)
@@ -141,6 +141,7 @@ class Chunked(Words):
 
 
 PLACES = "digest long, id long, text_hash long, nth int, lo int, hi int"
+PLACE_NAMES = [x.split()[0] for x in PLACES.split(", ")]
 
 
 def chunks(docs: DataFrame, min_words: int = MIN_WORDS, wanted: Broadcast | None = None) -> DataFrame:
@@ -150,28 +151,25 @@ def chunks(docs: DataFrame, min_words: int = MIN_WORDS, wanted: Broadcast | None
     wanted, the bits of a filter, rows that it rules out are left out.
     """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            done = 0
-            for part in in_parts(b["text"]):
-                c = Chunked(part)
-                lo, hi = c.words_around()
-                nth = np.arange(len(lo)) - np.repeat(c.first, c.counts)
-                at = c.unsure(min_words)
-                of = np.searchsorted(c.word_first, at, "right") - 1
-                digests = np.concatenate([c.digests, c.row_hashes(min_words)[at]])
-                owner = np.concatenate([np.repeat(np.arange(len(part)), c.counts), of])
-                begin = at - c.word_first[of]
-                nth, lo, hi = (np.concatenate(x) for x in ((nth, np.full(len(at), -1)), (lo, begin), (hi, begin + min_words)))
-                if wanted is not None:
-                    bit = digests >> np.uint64(64 - FILTER_BITS)
-                    keep = np.flatnonzero((wanted.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
-                    digests, owner, nth, lo, hi = (x[keep] for x in (digests, owner, nth, lo, hi))
-                own = b.iloc[done : done + len(part)]
-                yield pd.DataFrame({"digest": digests.view(np.int64), "id": own["id"].to_numpy()[owner], "text_hash": own["text_hash"].to_numpy()[owner], "nth": nth, "lo": lo, "hi": hi})
-                done += len(part)
-
-    return docs.mapInPandas(rows, PLACES)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, part in text_parts(batches):
+            c = Chunked(part)
+            lo, hi = c.words_around()
+            nth = np.arange(len(lo)) - np.repeat(c.first, c.counts)
+            at = c.unsure(min_words)
+            of = np.searchsorted(c.word_first, at, "right") - 1
+            digests = np.concatenate([c.digests, c.row_hashes(min_words)[at]])
+            owner = np.concatenate([np.repeat(np.arange(len(part)), c.counts), of])
+            begin = at - c.word_first[of]
+            nth, lo, hi = (np.concatenate(x) for x in ((nth, np.full(len(at), -1)), (lo, begin), (hi, begin + min_words)))
+            if wanted is not None:
+                bit = digests >> np.uint64(64 - FILTER_BITS)
+                keep = np.flatnonzero((wanted.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
+                digests, owner, nth, lo, hi = (x[keep] for x in (digests, owner, nth, lo, hi))
+            ids, hashes = (numbers(own, n)[owner] for n in ("id", "text_hash"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digests.view(np.int64), ids, hashes, *(x.astype(np.int32) for x in (nth, lo, hi)))], PLACE_NAMES)
+
+    return docs.select("id", "text_hash", "text").mapInArrow(rows, PLACES)
 
 
 def filter_of(digests: DataFrame) -> np.ndarray:
@@ -202,27 +200,24 @@ def regions(docs: DataFrame, min_words: int) -> DataFrame:
 def windows(docs: DataFrame, min_words: int) -> DataFrame:
     """(key, id, last, text_hash, nth, start, end) of docs (id, last, text_hash, text, regions): a row for each window of words in a region, with its place in bytes."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            done = 0
-            for part in in_parts(b["text"]):
-                c, own = Words(part), b.iloc[done : done + len(part)]
-                done += len(part)
-                spans = [(k, int(r["lo"]), int(r["hi"])) for k, found in enumerate(own["regions"]) for r in found]
-                k, lo, hi = np.array(spans, np.int64).reshape(-1, 3).T
-                lo, hi = lo + c.word_first[k], np.minimum(hi + c.word_first[k], c.word_last[k])
-                inside = np.zeros(len(c.word_starts) + 1, np.int64)  # how many regions a window can begin in
-                fits = hi - lo >= min_words
-                np.add.at(inside, lo[fits], 1)
-                np.add.at(inside, (hi - min_words + 1)[fits], -1)
-                at = np.flatnonzero(np.cumsum(inside) > 0)
-                of = np.searchsorted(c.word_first, at, "right") - 1
-                begin = c.begin[of]
-                found = {n: own[n].to_numpy()[of] for n in ("id", "last", "text_hash")}
-                keys = c.row_hashes(min_words)[at].view(np.int64)
-                yield pd.DataFrame({"key": keys, **found, "nth": at - c.word_first[of], "start": c.word_starts[at] - begin, "end": c.word_ends[at + min_words - 1] - begin})
-
-    return docs.mapInPandas(rows, "key long, id long, last long, text_hash long, nth int, start int, end int")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, part in text_parts(batches):
+            c = Words(part)
+            spans = [(k, r["lo"], r["hi"]) for k, found in enumerate(own.column(own.schema.get_field_index("regions")).to_pylist()) for r in found]
+            k, lo, hi = np.array(spans, np.int64).reshape(-1, 3).T
+            lo, hi = lo + c.word_first[k], np.minimum(hi + c.word_first[k], c.word_last[k])
+            inside = np.zeros(len(c.word_starts) + 1, np.int64)  # how many regions a window can begin in
+            fits = hi - lo >= min_words
+            np.add.at(inside, lo[fits], 1)
+            np.add.at(inside, (hi - min_words + 1)[fits], -1)
+            at = np.flatnonzero(np.cumsum(inside) > 0)
+            of = np.searchsorted(c.word_first, at, "right") - 1
+            begin = c.begin[of]
+            places = (at - c.word_first[of], c.word_starts[at] - begin, c.word_ends[at + min_words - 1] - begin)
+            columns = [c.row_hashes(min_words)[at].view(np.int64), *(numbers(own, n)[of] for n in ("id", "last", "text_hash")), *(x.astype(np.int32) for x in places)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "id", "last", "text_hash", "nth", "start", "end"])
+
+    return docs.mapInArrow(rows, "key long, id long, last long, text_hash long, nth int, start int, end int")
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

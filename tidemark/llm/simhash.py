@@ -33,12 +33,13 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, written
-from tidemark.llm.words import hashed_words, in_parts, mixed, shingle_hashes
+from tidemark.llm.words import hashed_words, mixed, numbers, shingle_hashes, text_parts
 
 SHINGLE_WORDS, SEED, BITS = 3, 42, 64
 SIMILAR_WORDS, LEAST, BANDS, ROWS, WIDE, WIDE_RADIUS = 5, 0.8, 20, 5, 256, 64
@@ -48,12 +49,12 @@ _TURNS, _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64), _RANDO
 _WIDE_TURNS = _RANDOM.integers(0, 1 << 63, WIDE // 64, np.uint64)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
-    """The unsigned 64-bit SimHash of a whole text.
+def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
+    """The unsigned 64-bit SimHash of the UTF-8 of a whole text.
 
     bytes.lower() changes A-Z only, bytes.split() splits at space and \\x09-\\x0D only.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = text.lower().split()
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
@@ -68,12 +69,12 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
     """(id, fp: long, the fingerprint's bits) of every row."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.fromiter((fingerprint(t, size) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"id": b["id"], "fp": fp.view(np.int64)})
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in text_parts(batches):
+            fp = np.fromiter((fingerprint(t, size) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(rows, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, "id long, fp long")
 
 
 class BKTree:
@@ -223,13 +224,12 @@ def near_duplicates(
     )
 
 
-def shingle_sets(texts: pd.Series, size: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
     """The sorted hashes of each text's distinct shingles: none without words, one with fewer words than size."""
-    for part in in_parts(texts):
-        words, counts = hashed_words(part)
-        shingles, own = shingle_hashes(words, counts, size)
-        for t, n, shorter in zip(part, np.split(shingles, np.cumsum(own)[:-1]), (own == 0) & (counts > 0), strict=True):
-            yield np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED)], np.uint64) if shorter else np.unique(n)
+    words, counts = hashed_words(texts)
+    shingles, own = shingle_hashes(words, counts, size)
+    for t, n, shorter in zip(texts, np.split(shingles, np.cumsum(own)[:-1]), (own == 0) & (counts > 0), strict=True):
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED)], np.uint64) if shorter else np.unique(n)
 
 
 def set_digest(shingles: np.ndarray) -> int:
@@ -279,15 +279,16 @@ def similar(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(set_digest(s), len(s), band_keys(s) if len(s) else []) for s in shingle_sets(b["text"], size)]
-            yield pd.DataFrame({"id": b["id"], **{c: [f[i] for f in found] for i, c in enumerate(("digest", "size", "bands"))}})
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in text_parts(batches):
+            found = [(set_digest(s), len(s), band_keys(s) if len(s) else []) for s in shingle_sets(texts, size)]
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "digest", "size", "bands"])
 
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(d, wide_fingerprint(s), s.tobytes()) for d, s in zip(b["digest"], shingle_sets(b["text"], size), strict=True) if set_digest(s) == d]
-            yield pd.DataFrame(found, columns=["digest", "fp", "shingles"])
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in text_parts(batches):
+            found = [(d, wide_fingerprint(s), s.tobytes()) for d, s in zip(numbers(b, "digest").tolist(), shingle_sets(texts, size), strict=True) if set_digest(s) == d]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["digest", "fp", "shingles"])
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by tree, members first; the rows of a tree may span batches."""
@@ -315,7 +316,7 @@ def similar(
                     sets[i], reps[i] = own, rep
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    own = written(rows.mapInPandas(banded, "id long, digest long, size int, bands array<long>"), "bands")
+    own = written(rows.mapInArrow(banded, "id long, digest long, size int, bands array<long>"), "bands")
     nodes = own.groupBy("digest").agg(F.min("id").alias("rep")).where("rep is not null")
     keyed = own.withColumnRenamed("id", "rep").join(nodes, ["digest", "rep"], "left_semi").select("digest", "rep", "size", F.explode("bands").alias("key"))
     crowded = (
@@ -326,7 +327,7 @@ def similar(
     )
     hits = written(keyed.join(crowded, "key").select("key", "digest", "rep", "trees"), "hits")
     wanted = hits.select("digest", "rep").distinct()
-    sets = written(rows.join(wanted, F.col("id") == F.col("rep")).select("digest", "text").mapInPandas(held, "digest long, fp binary, shingles binary").dropDuplicates(["digest"]), "sets")
+    sets = written(rows.join(wanted, F.col("id") == F.col("rep")).select("digest", "text").mapInArrow(held, "digest long, fp binary, shingles binary").dropDuplicates(["digest"]), "sets")
     dealt = (
         hits.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("trees")).cast("int"))
         .withColumn("tree", F.explode(F.sequence("own", F.col("trees") - 1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed randomness of the hash: a value for each byte, and an odd base with its inverse.
 _VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,6 +68,26 @@ def in_parts(texts: Iterable[str | None], size: int = 1 << 19) -> Iterator[list[
         yield part
 
 
+def text_parts(batches: Iterable[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """(rows, UTF-8 of their whole texts; null: empty), about size bytes at once or one longer text.
+
+    Only these texts are Python objects at a time, however many rows a batch has.
+    """
+    for b in batches:
+        texts = b.column(b.schema.get_field_index("text"))
+        texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+        part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // size
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j > i:
+                yield b.slice(i, j - i), [t or b"" for t in texts.slice(i, j - i).to_pylist()]
+
+
+def numbers(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column without nulls."""
+    return rows.column(rows.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each run of size words inside a text, number of those of each text); shorter texts have none."""
     own = np.maximum(counts - size + 1, 0)
