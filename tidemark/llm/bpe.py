@@ -38,6 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import for_texts
 from tidemark.llm.words import text_parts
 
 STATES, TOGETHER = 1_000_000, 1 << 20  # TOGETHER: characters of text encoded at once
@@ -401,4 +402,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return for_texts(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

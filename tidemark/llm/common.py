@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def for_texts(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs, after Arrow batches of the session were set to at most so many rows: with long texts, the usual 10,000 fill
+    tens of MB for every task, in the executor and in its Python worker.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 

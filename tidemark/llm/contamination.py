@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import for_texts, written
 from tidemark.llm.words import hashed_words, in_parts, shingle_hashes
 
 WORDS, THRESHOLD, FUNCTIONS, LEAST, BLOCK_BYTES = 5, 0.8, 64, 8, 4 << 20
@@ -153,7 +153,7 @@ def contaminated(
     size: int = WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment): a row for each item found in each document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = for_texts(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = []
     for index in blocks_of(benchmark, item_id_col, item_col, block_bytes):
 
@@ -172,7 +172,7 @@ def clean(
     size: int = WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    left = docs
+    left = for_texts(docs)
     for index in blocks_of(benchmark, item_id_col, item_col, block_bytes):
 
         def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import unit_hash
+from tidemark.llm.common import for_texts, unit_hash
 from tidemark.llm.words import in_parts
 
 LENGTH, UNITS, SEGMENTS_AT_ONCE = 64, 8, 4096
@@ -146,7 +146,7 @@ def gradients(w: dict[str, np.ndarray], data: np.ndarray, y: np.ndarray) -> dict
 
 def sample(docs: DataFrame, train_docs: int, train_segments: int) -> list[tuple[str, list[str]]]:
     """(lang, segments) of about train_docs rows of docs (id, text, lang) for each language, drawn by hash."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = for_texts(docs).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return []

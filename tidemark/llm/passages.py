@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.llm import words as wd
-from tidemark.llm.common import written
+from tidemark.llm.common import for_texts, written
 from tidemark.llm.words import mixed, numbers, text_parts
 
 MIN_WORDS, MEAN, LEAST, REACH = 50, 32, 8, 16
@@ -169,7 +169,7 @@ def chunks(docs: DataFrame, min_words: int = MIN_WORDS, wanted: Broadcast | None
             ids, hashes = (numbers(own, n)[owner] for n in ("id", "text_hash"))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digests.view(np.int64), ids, hashes, *(x.astype(np.int32) for x in (nth, lo, hi)))], PLACE_NAMES)
 
-    return docs.select("id", "text_hash", "text").mapInArrow(rows, PLACES)
+    return for_texts(docs).select("id", "text_hash", "text").mapInArrow(rows, PLACES)
 
 
 def filter_of(digests: DataFrame) -> np.ndarray:

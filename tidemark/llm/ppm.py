@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import for_texts, written
 from tidemark.llm.words import hashed_words, in_parts, mixed
 
 ORDER, START, END = 5, 0xFE, 0xFF  # two bytes that UTF-8 never has
@@ -180,7 +180,7 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     least of each, so that small tables keep all cores busy.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (~held_out).alias("train"))
+    rows = for_texts(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (~held_out).alias("train"))
     short, sums = totals(rows)
     blocks = max(least, -(-sums["bytes"] // block_bytes), -(-sums["docs"] // 100_000))
     parts = max(least, -(-sums["bytes"] // part_bytes))

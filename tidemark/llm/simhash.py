@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, written
+from tidemark.llm.common import components, for_texts, written
 from tidemark.llm.words import hashed_words, mixed, numbers, shingle_hashes, text_parts
 
 SHINGLE_WORDS, SEED, BITS = 3, 42, 64
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t, size) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, "id long, fp long")
+    return for_texts(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, "id long, fp long")
 
 
 class BKTree:
@@ -277,7 +277,7 @@ def similar(
     shard becomes as many trees as bound their members and those members' shingles; the
     queries of a tree pass through its task one by one.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = for_texts(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in text_parts(batches):

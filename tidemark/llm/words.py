@@ -81,6 +81,7 @@ def text_parts(batches: Iterable[pa.RecordBatch], size: int = 1 << 19) -> Iterat
         for i, j in zip(cuts, cuts[1:], strict=False):
             if j > i:
                 yield b.slice(i, j - i), [t or b"" for t in texts.slice(i, j - i).to_pylist()]
+    pa.default_memory_pool().release_unused()
 
 
 def numbers(rows: pa.RecordBatch, name: str) -> np.ndarray:
