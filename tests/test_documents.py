@@ -1,9 +1,11 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import documents, evidence
+from tidemark.operators import documents, evidence, news, structure
 from tidemark.plans import registry
 from tidemark.sources import landed
 
@@ -93,3 +95,36 @@ def test_listing_pages_are_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(landed, "load_listings", lambda pages: seen.append(pages) or load(pages))
     assert registry.QUERIES["load_listings"](spark, str(tmp_path)).select("ticker").distinct().count() == 20_999
     assert max(r["html"].count("<tr>") for r in seen[0].collect()) <= 1000
+
+
+def test_lines_are_scored_by_what_they_say(spark):
+    cases = [("목표주가를 100원에서 → 120원으로 상향 조정", 4, 4), ("목표주가 100,000원 → 120,000원", 1, 1), ("1,200 (3.4) 5-6/7 8%", -2, -2), ("실적이 좋아졌다.", 0, 1), ("실적은 좋으나,", 0, -1), ("매출 (전년 대비", 0, -1), ("a | b -> c", 0, 0)]
+    df = spark.createDataFrame([(c[0],) for c in cases], "line string")
+    got = df.select(documents.line_score(F.col("line"), ["목표주가"]), documents.one_liner_score(F.col("line"), ["목표주가"])).collect()
+    assert [tuple(r) for r in got] == [c[1:] for c in cases]
+
+
+def test_memo_parts(spark):
+    memo = "# 제목\n- 종목코드: `005930`\n작성일： 2026-05-11\n작성일: 2026-05-12\n\n##  요약 \n\n- 첫째\n본문\n\n## 근거\n### 작은 제목\n표"
+    got = [(r["kind"], r["name"], r["value"]) for r in documents.memo_parts(lines(spark, memo)).orderBy("kind", "nth").collect()]
+    assert got == [("metadata", "종목코드", "005930"), ("metadata", "작성일", "2026-05-12"), ("section", "요약", "- 첫째\n본문"), ("section", "근거", "### 작은 제목\n표")]
+
+
+def test_html_tables_fit_their_header(spark):
+    html = "<TABLE><tr><th>이름</th><th> 값 </th></tr><tr><td>가<br>나</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></TABLE><table><tr></tr></table><p>x</p>"
+    got = documents.html_tables(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string")).orderBy("table", "row", "col").collect()
+    assert [(r["table"], r["row"], r["col"], r["text"]) for r in got] == [(0, 0, 0, "이름"), (0, 0, 1, "값"), (0, 1, 0, "가나"), (0, 1, 1, ""), (0, 2, 0, "1"), (0, 2, 1, "2")]
+
+
+def test_event_tags(spark):
+    texts = ["코스피 0.8% 하락, 코스닥은 2.35%대 급등 마감. 외국인 매도", "코스닥 약세 속 코스피 3% 랠리", "환율 상승"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    tags = news.event_tags(F.col("t"), {"kospi": "코스피", "kosdaq": "코스닥"}, "급등|강세|상승|랠리", "하락|약세", [("외국인", "수급"), ("환율", "환율"), ("마감", "마감")])
+    got = [tuple(r) for r in df.select(*(c.alias(n) for n, c in tags.items())).collect()]
+    assert got == [("down", "0.8%", "up", "2.35%", "수급, 마감"), ("up", "3%", "down", "", ""), ("", "", "", "", "환율")]
+
+
+def test_pivots_alternate(spark):
+    rows = [(1, "high", 10.0), (2, "high", 12.0), (3, "low", 11.9), (4, "low", 9.0), (5, "low", 9.5), (6, "high", 9.2), (7, "high", 13.0)]
+    p = pd.DataFrame(rows, columns=["n", "kind", "price"])
+    assert structure.alternating(p, 0.5) == [(2, "high", 12.0), (4, "low", 9.0), (7, "high", 13.0)]

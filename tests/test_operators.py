@@ -164,7 +164,7 @@ def test_quantity_and_issuance_add_up(spark):
 
 
 def test_date_chunks_cover_the_range(spark):
-    rows = fundamentals.date_chunks("2024-01-01", "2024-08-15", 80, spark).orderBy("chunk_start").collect()
+    rows = fundamentals.date_chunks(spark.sql("SELECT DATE '2024-01-01' AS start, DATE '2024-08-15' AS end UNION ALL SELECT DATE '2024-02-01', DATE '2024-01-01'"), 80).orderBy("chunk_start").collect()
     assert rows[0][0] == dt.date(2024, 1, 1) and rows[-1][1] == dt.date(2024, 8, 15)
     assert all((b[0] - a[1]).days == 1 for a, b in zip(rows, rows[1:], strict=False)) and all((r[1] - r[0]).days < 80 for r in rows)
 

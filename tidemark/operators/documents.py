@@ -137,10 +137,18 @@ def coverage_report(items: DataFrame) -> DataFrame:
 
 
 def line_score(line: Column, keywords: list[str]) -> Column:
-    total = F.when(line.rlike("→|->|\\|"), 2).otherwise(0) + F.when(line.rlike(r"\d"), 1).otherwise(0)
+    """Two for an arrow, one for a digit and for each keyword, three less where figures and what stands between them make up the line."""
+    total = F.when(F.contains(line, F.lit("→")), 2).otherwise(0) + F.when(line.rlike(r"\d"), 1).otherwise(0)
     for k in keywords:
-        total = total + F.when(F.contains(F.lower(line), F.lit(k)), 1).otherwise(0)
-    return total - F.when(F.regexp_count(line, F.lit(r"\d")) / F.greatest(F.length(line), F.lit(1)) > 0.6, 3).otherwise(0)
+        total = total + F.when(F.contains(line, F.lit(k)), 1).otherwise(0)
+    figures = F.regexp_count(line, F.lit(r"[\d\s,.()/%-]")) / F.greatest(F.length(line), F.lit(1))
+    return total - F.when(figures > 0.6, 3).otherwise(0)
+
+
+def one_liner_score(line: Column, keywords: list[str]) -> Column:
+    """line_score, one more for a whole sentence, one less for a line that breaks off at a comma or inside a bracket."""
+    whole, broken = line.rlike(r"[.!?]$"), line.rlike(r"[,(]$|\([^)]*$")
+    return line_score(line, keywords) + F.when(whole, 1).otherwise(0) - F.when(broken, 1).otherwise(0)
 
 
 def bullets(lines_: DataFrame, keywords: list[str], most: int = 8, budget: int = 1200, shortest: int = 8, longest: int = 400) -> DataFrame:
@@ -178,6 +186,34 @@ def split_narrative(lines_: DataFrame, roman: str = r"^\s*[IVX]+\.\s", decimal:
     )
 
 
+def html_tables(pages: DataFrame) -> DataFrame:
+    """(page_id, table, row, col, text) of HTML tables; every row has as many cells as the first of its table, padded with empty ones or cut."""
+    every = lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(1))
+    tables = pages.select("page_id", F.posexplode(every(F.col("html"), r"(?is)<table\b[^>]*>(.*?)</table>")).alias("table", "body"))
+    rows = tables.select("page_id", "table", F.transform(every(F.col("body"), r"(?is)<tr\b[^>]*>(.*?)</tr>"), lambda r: every(r, r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>")).alias("rows"))
+    width = F.size(F.get("rows", F.lit(0)))
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), r"\s+", " "))
+    each = rows.withColumn("width", width).select("page_id", "table", "width", F.posexplode("rows").alias("row", "cells")).where("width > 0")
+    filled = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: plain(F.coalesce(F.get("cells", i), F.lit(""))))
+    return each.select("page_id", "table", "row", F.posexplode(filled).alias("col", "text"))
+
+
+def memo_parts(lines_: DataFrame, head: int = 40) -> DataFrame:
+    """(doc_id, kind, nth, name, value): the "key: value" lines among the first ones, of equal keys the last, and the "##" sections with their bodies."""
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    pair = r"^(?:[-*]\s+)?([^#:：]+)[:：]\s*(.+?)\s*$"
+    keyed = lines_.where((F.col("line_no") < head) & F.col("line").rlike(pair)).withColumn("name", trim(F.regexp_extract("line", pair, 1)))
+    value = F.regexp_replace(F.regexp_extract("line", pair, 2), "^`|`$", "")
+    metadata = keyed.groupBy("doc_id", "name").agg(F.max("line_no").alias("nth"), F.max_by(value, "line_no").alias("value")).select("doc_id", F.lit("metadata").alias("kind"), "nth", "name", "value")
+    heading = r"^##\s+(.+?)\s*$"
+    is_heading = F.col("line").rlike(heading)
+    running = F.sum(is_heading.cast("int")).over(W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
+    rows = lines_.withColumns({"nth": running, "h": is_heading}).where("nth > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
+    sections_ = rows.groupBy("doc_id", "nth").agg(F.max(F.when(F.col("h"), F.regexp_extract("line", heading, 1))).alias("name"), trim(body).alias("value"))
+    return metadata.unionByName(sections_.select("doc_id", F.lit("section").alias("kind"), "nth", "name", "value"))
+
+
 def link_lines(lines_: DataFrame, arrow: str = " → ", key: str = r"[?&](?:id|no)=([^&#]+)", least: int = 4) -> DataFrame:
     """Links written as "text → url" lines, the first of each id and document, with the line after as snippet."""
     by = W.partitionBy("doc_id").orderBy("line_no")

@@ -122,11 +122,11 @@ def latest_regular_filing(filings: DataFrame, as_of: Column, months: int = 14) -
     return first_per(near, ["corp", "kind"], [F.desc("filed"), F.desc("rcept_no")])
 
 
-def date_chunks(start: str, end: str, days: int, spark) -> DataFrame:
-    """(chunk_start, chunk_end) of at most days days each."""
-    s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
-    starts = spark.range(1).select(F.explode(F.sequence(s, e, F.expr(f"interval {days} days"))).alias("chunk_start"))
-    return starts.select("chunk_start", F.least(F.date_add("chunk_start", days - 1), e).alias("chunk_end"))
+def date_chunks(ranges: DataFrame, days: int = 80) -> DataFrame:
+    """Rows with start and end dates, cut into chunks (chunk_start, chunk_end) of at most days days each; none where end is before start."""
+    starts = F.sequence("start", "end", F.make_interval(days=F.lit(days)))
+    each = ranges.where("start <= end").withColumn("chunk_start", F.explode(starts))
+    return each.withColumn("chunk_end", F.least(F.date_add("chunk_start", days - 1), F.col("end"))).drop("start", "end")
 
 
 def standalone_quarter(accounts: DataFrame) -> DataFrame:

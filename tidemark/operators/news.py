@@ -54,6 +54,28 @@ def all_labels(text: Column, patterns: list[tuple[str, str]]) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), name) for p, name in patterns)))
 
 
+def segment(text: Column, name: str, others: list[str], reach: int = 70) -> Column:
+    """The part of a sentence from name on, no longer than reach and not past another name."""
+    found = F.regexp_extract(text, f"(?i){name}[^\\n.。]{{0,{reach}}}", 0)
+    for other in others:
+        at = F.locate(other, found)
+        found = F.when(at > 1, F.left(found, at - 1)).otherwise(found)
+    return found
+
+
+def event_tags(text: Column, names: dict[str, str], up: str, down: str, tags: list[tuple[str, str]], most: int = 2) -> dict[str, Column]:
+    """Of each named index, its direction ("up", "down", empty) and the first percentage beside it; and the first tags whose pattern occurs.
+
+    names: column prefix to the name in the text.
+    """
+    out = {}
+    for prefix, name in names.items():
+        part = segment(text, name, [n for n in names.values() if n != name])
+        out[f"{prefix}_direction"] = F.when(part.rlike(up), "up").when(part.rlike(down), "down").otherwise("")
+        out[f"{prefix}_percent"] = F.regexp_extract(part, r"\d+(?:[.]\d+)?%", 0)
+    return out | {"tags": F.array_join(F.slice(all_labels(text, tags), 1, most), ", ")}
+
+
 def title_classes(title: Column, trading: list[str], separators: str = r"[,·/|]", listicle: int = 3) -> dict[str, Column]:
     return {
         "is_trading": matches(title, trading), "is_listicle": F.regexp_count(title, F.lit(separators)) >= listicle, "is_bracketed": title.rlike(r"^\s*[\[【(]"),

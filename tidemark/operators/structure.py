@@ -104,16 +104,31 @@ def alternating(rows: pd.DataFrame, least: float) -> list[tuple]:
     return out
 
 
+def recent_pivots(panel: DataFrame, recent: int = 120) -> DataFrame:
+    """Pivots of the last bars of each ticker, with the number of its bars and the least swing."""
+    near = panel.where(F.col("n") > F.col("bars") - recent)
+    edge = (F.col("n") > F.greatest(F.col("bars") - recent, F.lit(0)) + 5).alias("inside")
+    last = panel.where("n = bars").select("ticker", F.col("bars").alias("size"), F.greatest(F.coalesce("atr14", F.lit(0.0)), F.col("close") * 0.01).alias("least"))
+    return pivots(near.where(edge)).join(last, "ticker")
+
+
+def alternating_pivots(panel: DataFrame, recent: int = 120) -> DataFrame:
+    """(ticker, nth, n, kind, price): highs and lows in turn. What stays depends on what stayed before, so it is a grouped map over a ticker's pivots."""
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        turns = alternating(p, float(p["least"].iloc[0]))
+        return pd.DataFrame([(p["ticker"].iloc[0], i, *t) for i, t in enumerate(turns)], columns=["ticker", "nth", "n", "kind", "price"])
+
+    return recent_pivots(panel, recent).groupBy("ticker").applyInPandas(one, "ticker string, nth int, n int, kind string, price double")
+
+
 def waves(panel: DataFrame, recent: int = 120) -> DataFrame:
     """(ticker, kind, direction, confidence, drawable, first_n, last_n, first_price, last_price): five-leg moves and corrections.
 
     A grouped map over the pivots of the last bars of a ticker; the confidence weighs how
     legs compare with each other and with the least swing, and how recent the last one is.
     """
-    near = panel.where(F.col("n") > F.col("bars") - recent)
-    edge = (F.col("n") > F.greatest(F.col("bars") - recent, F.lit(0)) + 5).alias("inside")
-    last = panel.where("n = bars").select("ticker", F.col("bars").alias("size"), F.greatest(F.coalesce("atr14", F.lit(0.0)), F.col("close") * 0.01).alias("least"))
-    rows = pivots(near.where(edge)).join(last, "ticker")
+    rows = recent_pivots(panel, recent)
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         least, size = float(p["least"].iloc[0]), int(p["size"].iloc[0])

@@ -73,7 +73,7 @@ def coverage_report(spark, sf_dir):
 
 
 WORDS = ["license", "token", "worthless"]
-LINE_SQL = "CASE WHEN regexp_matches(line, '→|->|\\|') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(line, '[0-9]') THEN 1 ELSE 0 END + " + " + ".join(f"CASE WHEN contains(lower(line), '{w}') THEN 1 ELSE 0 END" for w in WORDS) + " - CASE WHEN len(regexp_extract_all(line, '[0-9]')) / greatest(length(line), 1) > 0.6 THEN 3 ELSE 0 END"
+LINE_SQL = "CASE WHEN contains(line, '→') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(line, '[0-9]') THEN 1 ELSE 0 END + " + " + ".join(f"CASE WHEN contains(line, '{w}') THEN 1 ELSE 0 END" for w in WORDS) + " - CASE WHEN len(regexp_extract_all(line, '[0-9\\s,.()/%-]')) / greatest(length(line), 1) > 0.6 THEN 3 ELSE 0 END"
 
 
 @query("line_score", f"WITH {L_SQL} SELECT doc_id, line_no, CAST({LINE_SQL} AS BIGINT) AS score FROM l")
@@ -81,6 +81,11 @@ def line_score(spark, sf_dir):
     return out(d.lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", d.line_score(F.col("line"), WORDS).alias("score")))
 
 
+@query("one_liner_score", f"WITH {L_SQL} SELECT doc_id, line_no, CAST({LINE_SQL} + CASE WHEN regexp_matches(line, '[.!?]$') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(line, '[,(]$|\\([^)]*$') THEN 1 ELSE 0 END AS BIGINT) AS score FROM l")
+def one_liner_score(spark, sf_dir):
+    return out(d.lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", d.one_liner_score(F.col("line"), WORDS).alias("score")))
+
+
 @query("budgeted_bullets", f"""WITH {L_SQL}, x AS (SELECT DISTINCT doc_id, trim(line) AS line FROM l WHERE length(trim(line)) BETWEEN 8 AND 400), s AS (SELECT *, {LINE_SQL} AS score FROM x),
 r AS (SELECT *, row_number() OVER w AS rank, sum(length(line)) OVER w AS used FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, line ROWS UNBOUNDED PRECEDING)) SELECT doc_id, rank, line, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 8 AND used <= 1200""")
 def budgeted_bullets(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import documents as d
 from tidemark.operators import evidence as ev
-from tidemark.operators import news, screen
+from tidemark.operators import fundamentals, news, screen
 from tidemark.plans.documents import ANCHOR, S_SQL, sections
 from tidemark.plans.fundamentals import R_SQL, reports
 from tidemark.plans.market import LENS_SQL, U_SQL, scores
@@ -100,6 +100,12 @@ def lookback(spark, sf_dir):
     return ev.within_lookback(o, "day", F.lit("2000-06-30").cast("date"), 365).select("o_orderkey")
 
 
+@query("date_chunks", "WITH r AS (SELECT o_orderpriority AS corp, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS z FROM orders GROUP BY 1), c AS (SELECT corp, z, a + CAST(unnest(range(0, CAST(z - a AS BIGINT) + 1, 80)) AS INTEGER) AS chunk_start FROM r) SELECT corp, chunk_start, least(chunk_start + 79, z) AS chunk_end FROM c")
+def date_chunks(spark, sf_dir):
+    r = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("corp")).agg(F.to_date(F.min("o_orderdate")).alias("start"), F.to_date(F.max("o_orderdate")).alias("end"))
+    return fundamentals.date_chunks(r, 80)
+
+
 ALIASES = [("one", "tion"), ("one", "tiones"), ("two", "license"), ("three", "sch")]
 
 

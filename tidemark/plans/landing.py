@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import documents as d
 from tidemark.operators import fundamentals as f
 from tidemark.operators import news
 from tidemark.plans.fundamentals import V_SQL
-from tidemark.plans.market import bars
+from tidemark.plans.market import BARS_SQL, bars
 from tidemark.plans.news import I_SQL, SCORE_SQL, items
 from tidemark.plans.registry import out, query, table
 from tidemark.plans.streams import drained
@@ -61,22 +63,74 @@ def load_rss(spark, sf_dir):
     return landed.load_rss(spark, path).groupBy("url").agg(F.count("*").alias("n"))
 
 
+@query("load_bars", f"WITH {BARS_SQL} SELECT ticker, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars")
+def load_bars(spark, sf_dir):
+    """A chart for each ticker, as its source sends them."""
+    prices = [F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")]
+    each = bars(spark, sf_dir).select("ticker", F.struct(F.date_format("date", "yyyy-MM-dd").alias("date"), *prices).alias("bar"))
+    path = folder(spark, "charts")
+    each.groupBy("ticker").agg(F.sort_array(F.collect_list("bar")).alias("bars")).write.json(path)
+    return out(landed.load_bars(spark, path, chart_per_file=False), "ticker", "date", "open", "high", "low", "close", "volume")
+
+
 @query("load_dimensions", "SELECT c_mktsegment AS segment, count(*) FILTER (WHERE c_custkey % 10 < 7) AS accepted, count(*) FILTER (WHERE c_custkey % 10 >= 7) AS rejected FROM customer GROUP BY 1")
 def load_dimensions(spark, sf_dir):
     """Customers as a watchlist; some tickers lack a digit."""
     path, k = folder(spark, "watchlist"), F.col("c_custkey")
     ticker = F.lpad((k % 100000).cast("string"), F.when(k % 10 < 7, 6).otherwise(5), F.lit("0"))
     table(spark, sf_dir, "customer").select(ticker.alias("ticker"), F.col("c_mktsegment").alias("name")).write.json(path)
-    rows = spark.read.schema("ticker string, name string").json(path)
-    need = F.coalesce(F.col("ticker").rlike("^[0-9]{6}$"), F.lit(False))
-    return rows.groupBy(F.col("name").alias("segment")).agg(F.count_if(need).alias("accepted"), F.count_if(~need).alias("rejected"))
-
-
-@query("load_memo_sections", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents) SELECT doc_id, count(*) FILTER (WHERE line_no < 40 AND contains(line, ':')) AS n_metadata, count(*) FILTER (WHERE regexp_matches(line, '^[-*] ')) AS n_items, count(*) AS n_lines FROM l GROUP BY 1")
+    sides = zip(landed.load_dimensions(spark, path, "ticker string, name string", {"ticker": "^[0-9]{6}$"}, one_per_file=False), (True, False), strict=True)
+    rows = reduce(DataFrame.unionByName, (df.withColumn("ok", F.lit(ok)) for df, ok in sides))
+    return rows.groupBy(F.col("name").alias("segment")).agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"))
+
+
+@query("load_filing_endpoints", """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS corp_code, CAST(year(CAST(o_orderdate AS DATE)) AS VARCHAR) AS bsns_year, CASE WHEN o_orderkey % 3 = 0 THEN 'CFS' ELSE 'OFS' END AS fs_div FROM orders WHERE o_custkey % 10 > 0),
+a AS (SELECT corp_code, bsns_year FROM r QUALIFY fs_div = min(fs_div) OVER (PARTITION BY corp_code, bsns_year)),
+e AS (SELECT unnest(['shareholders', 'dividends', 'treasury', 'capital_changes', 'board']) AS endpoint) SELECT endpoint, bsns_year, count(*) AS n FROM e, r GROUP BY 1, 2 UNION ALL SELECT 'accounts', bsns_year, count(*) FROM a GROUP BY 2""")
+def load_filing_endpoints(spark, sf_dir):
+    """Orders as rows of six endpoints, a page for each customer; every tenth customer's page has no data."""
+    o, path = table(spark, sf_dir, "orders"), folder(spark, "endpoints")
+    status = F.when(F.col("o_custkey") % 10 == 0, "013").otherwise("000")
+    keys = [F.col("o_custkey").cast("string").alias("corp_code"), F.year("o_orderdate").cast("string").alias("bsns_year"), F.lit("11011").alias("reprt_code")]
+    for name, columns in landed.ENDPOINTS.items():
+        values = {"fs_div": F.when(F.col("o_orderkey") % 3 == 0, "CFS").otherwise("OFS"), "thstrm_amount": F.col("o_totalprice").cast("string")}
+        row = F.struct(*keys, *(values.get(c, F.lit("-")).alias(c) for c in columns))
+        o.groupBy("o_custkey").agg(F.collect_list(row).alias("list")).select(status.alias("status"), "list").write.json(f"{path}/{name}")
+    found = landed.load_filing_endpoints(spark, path, page_per_file=False)
+    each = (df.groupBy("bsns_year").agg(F.count("*").alias("n")).withColumn("endpoint", F.lit(name)) for name, df in found.items())
+    return reduce(DataFrame.unionByName, each).select("endpoint", "bsns_year", "n")
+
+
+@query("load_memo_sections", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents), m AS (SELECT doc_id, line_no, CASE WHEN length(line) BETWEEN 1 AND 39 AND doc_id % 2 = 0 THEN '## ' || line ELSE line END AS line FROM l),
+k AS (SELECT doc_id, line_no, regexp_replace(regexp_extract(line, '^(?:[-*]\s+)?([^#:：]+)[:：]\s*(.+?)\s*$', 1), '^\s+|\s+$', '', 'g') AS name, regexp_replace(regexp_extract(line, '^(?:[-*]\s+)?([^#:：]+)[:：]\s*(.+?)\s*$', 2), '^`|`$', '', 'g') AS value FROM m WHERE line_no < 40 AND regexp_matches(line, '^(?:[-*]\s+)?([^#:：]+)[:：]\s*(.+?)\s*$')),
+s AS (SELECT *, regexp_matches(line, '^##\s+(.+?)\s*$') AS h, sum(regexp_matches(line, '^##\s+(.+?)\s*$')::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS nth FROM m)
+SELECT doc_id, 'metadata' AS kind, max(line_no) AS nth, name, arg_max(value, line_no) AS value FROM k GROUP BY doc_id, name
+UNION ALL SELECT doc_id, 'section', CAST(nth AS BIGINT), max(CASE WHEN h THEN regexp_extract(line, '^##\s+(.+?)\s*$', 1) END), regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT h), ''), '^\s+|\s+$', '', 'g') FROM s WHERE nth > 0 GROUP BY doc_id, nth""")
 def load_memo_sections(spark, sf_dir):
-    return d.lines(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(
-        F.count_if((F.col("line_no") < 40) & F.contains("line", F.lit(":"))).alias("n_metadata"), F.count_if(F.col("line").rlike(r"^[-*] ")).alias("n_items"), F.count("*").alias("n_lines")
-    )
+    """Short lines of every second document stand in for headings."""
+    heading = F.length("line").between(1, 39) & (F.col("doc_id") % 2 == 0)
+    memo = d.lines(table(spark, sf_dir, "documents")).withColumn("line", F.when(heading, F.concat(F.lit("## "), "line")).otherwise(F.col("line")))
+    return out(d.memo_parts(memo), "doc_id", "kind", "nth", "name", "value")
+
+
+@query("html_tables", """WITH p AS (SELECT p_partkey AS k, p_partkey // 1000 AS page_id, row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey) AS row, p_name, p_brand, p_size FROM part),
+c AS (SELECT page_id, row, unnest([0, 1, 2]) AS col, unnest([trim(p_name), CASE WHEN k % 7 = 0 THEN '' ELSE p_brand END, CASE WHEN k % 7 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END]) AS text FROM p)
+SELECT page_id, CAST(0 AS BIGINT) AS "table", row, CAST(col AS BIGINT) AS col, text FROM c UNION ALL SELECT DISTINCT page_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(unnest([0, 1, 2]) AS BIGINT), unnest(['name', 'brand', 'size']) FROM p""")
+def html_tables(spark, sf_dir):
+    """Parts as tables of at most 1,000 keys; some rows have one cell, some have four."""
+    k, cell = F.col("p_partkey"), lambda c: F.concat(F.lit("<td><b>"), c, F.lit("</b></td>"))
+    cells = F.concat(cell(F.col("p_name")), F.when(k % 7 == 0, "").otherwise(F.concat(cell(F.col("p_brand")), cell(F.col("p_size").cast("string")))), F.when(k % 7 == 1, cell(F.lit("more"))).otherwise(""))
+    row = F.struct("p_partkey", F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("html"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["html"]), "\n")
+    page = F.concat(F.lit('<table class="x"><tr><th>name</th><th>brand</th><th>size</th></tr>'), body, F.lit("</table>"))
+    pages = table(spark, sf_dir, "part").groupBy(F.floor(k / 1000).alias("page_id")).agg(page.alias("html"))
+    return out(d.html_tables(pages))
+
+
+@query("dedupe_listings", "SELECT CAST(p_size AS VARCHAR) AS ticker, arg_min(p_name, p_partkey) AS name FROM part GROUP BY 1")
+def dedupe_listings(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("ticker"), F.col("p_name").alias("name"), F.col("p_partkey").alias("seq"))
+    return news.first_wins(rows, ["ticker"], [F.asc("seq")]).select("ticker", "name")
 
 
 @query("write_snapshot", "SELECT DATE '2024-01-01' + CAST(o_custkey % 3 AS INT) AS as_of, count(*) AS n FROM orders GROUP BY 1")

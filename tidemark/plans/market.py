@@ -94,11 +94,6 @@ for _name, _cols in PANEL_QUERIES.items():
         return out(panel(spark, sf_dir), "ticker", "date", *cols)
 
 
-@query("load_bars", f"WITH {BARS_SQL} SELECT ticker, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars")
-def load_bars(spark, sf_dir):
-    return out(bars(spark, sf_dir), "ticker", "date", "open", "high", "low", "close", "volume")
-
-
 @query("bar_quality", f"WITH {BARS_SQL} SELECT ticker, count(*) AS n, max(date) AS latest FROM bars GROUP BY 1 HAVING count(*) >= 1400 AND count(close) = count(*) AND count(volume) = count(*)")
 def bar_quality(spark, sf_dir):
     return series.quality(bars(spark, sf_dir), min_bars=1400, need_volume=True).groupBy("ticker").agg(F.count("*").alias("n"), F.max("date").alias("latest"))
@@ -456,6 +451,11 @@ def wave_candidates(spark, sf_dir):
 
 @query("alternating_pivots")
 def alternating_pivots(spark, sf_dir):
+    return out(structure.alternating_pivots(panel(spark, sf_dir)))
+
+
+@query("best_wave")
+def best_wave(spark, sf_dir):
     return out(structure.best_wave(structure.waves(panel(spark, sf_dir))))
 
 

@@ -39,6 +39,21 @@ def summary_theme(spark, sf_dir):
 EACH_THEME = " UNION ALL ".join(f"SELECT '{n}' AS theme, seq, headline FROM i WHERE regexp_matches(text, '{p}')" for p, n in THEMES)
 
 
+NAMES, UP, DOWN = {"first": "thor", "second": "eaux"}, "(?i)er", "(?i)on"
+
+
+def segment_sql(name: str, other: str) -> str:
+    found = f"regexp_extract(text, '(?i){name}[^\\n.。]{{0,70}}')"
+    return f"CASE WHEN instr({found}, '{other}') > 1 THEN left({found}, instr({found}, '{other}') - 1) ELSE {found} END"
+
+
+@query("event_tags", f"""WITH {I_SQL}, s AS (SELECT item_id, text, {segment_sql('thor', 'eaux')} AS a, {segment_sql('eaux', 'thor')} AS b FROM i)
+SELECT item_id, {', '.join(f"CASE WHEN regexp_matches({c}, '{UP}') THEN 'up' WHEN regexp_matches({c}, '{DOWN}') THEN 'down' ELSE '' END AS {n}_direction, regexp_extract({c}, '[0-9]+(?:[.][0-9]+)?%') AS {n}_percent" for c, n in (('a', 'first'), ('b', 'second')))},
+array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for p, n in THEMES)}], lambda x: x IS NOT NULL)[:2], ', ') AS tags FROM s""")
+def event_tags(spark, sf_dir):
+    return items(spark, sf_dir).select("item_id", *(c.alias(n) for n, c in news.event_tags(F.col("text"), NAMES, UP, DOWN, THEMES).items()))
+
+
 @query("news_themes", f"""WITH {I_SQL}, e AS ({EACH_THEME}), f AS (SELECT theme, headline, min(seq) AS seq FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY seq) AS k FROM f),
 h AS (SELECT theme, string_agg(headline, '|' ORDER BY seq) AS headlines FROM r WHERE k <= 5 GROUP BY 1) SELECT e.theme, count(*) AS n, any_value(headlines) AS headlines FROM e JOIN h ON h.theme = e.theme GROUP BY e.theme""")
 def news_themes(spark, sf_dir):

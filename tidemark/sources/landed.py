@@ -16,9 +16,9 @@ def finite(x: str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.col(x))
 
 
-def load_bars(spark: SparkSession, path: str) -> DataFrame:
-    """(ticker, date, open, high, low, close, volume) of chart files; bars without a close are dropped."""
-    rows = spark.read.schema(CHART).json(path, multiLine=True).select("ticker", F.inline("bars"))
+def load_bars(spark: SparkSession, path: str, chart_per_file: bool = True) -> DataFrame:
+    """(ticker, date, open, high, low, close, volume) of charts, one in a file or one in a line; bars without a close are dropped."""
+    rows = spark.read.schema(CHART).json(path, multiLine=chart_per_file).select("ticker", F.inline("bars"))
     numbers = {c: finite(c) for c in ("open", "high", "low", "close", "volume")}
     return rows.withColumns(numbers).withColumn("date", F.to_date("date")).where("close is not null and date is not null")
 
@@ -68,9 +68,9 @@ def load_rss(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.trim("title").alias("headline"), url.alias("url"), "source", "description", "pubDate", day.alias("published")).where("headline <> '' and url is not null")
 
 
-def load_dimensions(spark: SparkSession, path: str, schema: str, need: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) rows of a JSON dimension, by patterns that columns must match."""
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+def load_dimensions(spark: SparkSession, path: str, schema: str, need: dict[str, str], one_per_file: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows of a JSON dimension, an array in a file or a row in a line, by patterns that columns must match."""
+    rows = spark.read.schema(schema).json(path, multiLine=one_per_file)
     ok = F.lit(True)
     for c, pattern in need.items():
         ok = ok & F.coalesce(F.col(c).rlike(pattern), F.lit(False))
@@ -94,12 +94,12 @@ ENDPOINTS = {
 ENDPOINT_KEYS = ["corp_code", "bsns_year", "reprt_code"]
 
 
-def load_filing_endpoints(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def load_filing_endpoints(spark: SparkSession, path: str, page_per_file: bool = True) -> dict[str, DataFrame]:
     """A table for each endpoint folder; accounts are of the consolidated statement where there is one."""
     found = {}
     for name, columns in ENDPOINTS.items():
         row = ",".join(f"{c}:string" for c in (*ENDPOINT_KEYS, *columns))
-        raw = spark.read.schema(f"status string, list array<struct<{row}>>").json(f"{path}/{name}", multiLine=True)
+        raw = spark.read.schema(f"status string, list array<struct<{row}>>").json(f"{path}/{name}", multiLine=page_per_file)
         found[name] = raw.where("status = '000'").select(F.inline("list"))
     order = F.when(F.col("fs_div") == "CFS", 0).otherwise(1)
     best = F.min(order).over(W.partitionBy(*ENDPOINT_KEYS))
