@@ -173,17 +173,17 @@ def totals(docs: DataFrame) -> tuple[Short, dict[str, int]]:
     return Short(keys[keys >= 0].astype(np.uint64), n[keys >= 0]), dict(zip(("bytes", "docs", "train_docs", "train_words"), (sums.get(i, 0) for i in range(4)), strict=True))
 
 
-def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, part_bytes: int = 32 << 20, least: int = 16) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, part_bytes: int = 16 << 20, least: int = 16) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    A block has about block_bytes of text, a part what part_bytes of text hold; there are
-    least of each, so that small tables keep all cores busy.
+    A block has about block_bytes of text, and there are least of them, so that small tables
+    keep all cores busy; a part has what about part_bytes of text hold.
     """
     spark = docs.sparkSession
     rows = for_texts(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (~held_out).alias("train"))
     short, sums = totals(rows)
     blocks = max(least, -(-sums["bytes"] // block_bytes), -(-sums["docs"] // 100_000))
-    parts = max(least, -(-sums["bytes"] // part_bytes))
+    parts = max(2, -(-sums["bytes"] // part_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.crc32("text")), F.lit(blocks)).cast("int"))
     shared = spark.sparkContext.broadcast(short)
 
