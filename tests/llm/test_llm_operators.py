@@ -169,6 +169,41 @@ def test_ring_places_each_row_at_its_first_shard_with_room(docs, corpus, empty):
     assert all(r["shard"] == r["home_shard"] for r in loose)
 
 
+@pytest.mark.parametrize(("n_shards", "load"), [(5, 1.0), (5, 1.2), (3, 1.05)])
+def test_ring_placement_equals_a_walk_row_by_row(spark, corpus, n_shards, load):
+    """Each round, every row that waits asks the first shard clockwise that was not full before it; a shard keeps the first of their turns."""
+    rows = corpus + [(100 + i, f"text {i % 7}", "en") for i in range(150)]
+    nodes = sorted((spark_hash("vnode", (s, 4), (v, 4)), s) for s in range(n_shards) for v in range(64))
+    nodes = sorted((h % ring.POSITIONS if h < 1 << 63 else (h - (1 << 64)) % ring.POSITIONS, s) for h, s in nodes)
+    signed = lambda h: h - ((h >> 63) << 64)
+
+    def walk(i):
+        at = signed(spark_hash(None if i is None else (i, 8))) % ring.POSITIONS
+        return list(dict.fromkeys(s for _, s in [x for x in nodes if x[0] >= at] + [x for x in nodes if x[0] < at]))
+
+    share, extra = divmod(len(rows), n_shards)
+    room = [share + (s < extra) + math.ceil(len(rows) * (load - 1) / n_shards) for s in range(n_shards)]
+    waiting = []
+    for i, t, _ in rows:
+        turn = signed(spark_hash("turn", None if i is None else (i, 8)))
+        waiting.append((turn % ring.TURNS, turn, -1 if i is None else i, zlib.crc32((t or "").encode()), i))
+    waiting.sort()
+    homes, placed = Counter((r[4], r[3], walk(r[4])[0]) for r in waiting), Counter()
+    while waiting:
+        had, rest = list(room), []
+        for r in waiting:
+            s = next(s for s in walk(r[4]) if had[s])
+            if room[s]:
+                room[s] -= 1
+                placed[r[4], r[3], s] += 1
+            else:
+                rest.append(r)
+        waiting = rest
+    got = ring.shard(frame(spark, rows).repartition(4), n_shards=n_shards, load_factor=load).collect()
+    assert Counter((r["doc_id"], r["text_crc32"], r["home_shard"]) for r in got) == homes
+    assert Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in got) == placed
+
+
 def test_ring_moves_rows_only_into_a_new_shard(spark):
     rows = frame(spark, [(i, "t", "en") for i in range(400)])
     a, b = ({r["doc_id"]: r["home_shard"] for r in ring.shard(rows, n_shards=n, load_factor=9.0).collect()} for n in (4, 5))
@@ -268,9 +303,32 @@ def test_winnowing(spark, docs, corpus, empty):
         h = len(t) // 2
         want.append((i, len(t), hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest()))
     assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=repr) == sorted(want, key=repr)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert winnow.edited(empty).count() == 0
 
+    def by_hand(text):
+        """Chosen (hash, position) of runs of words, from the definition."""
+        words = [spark_hash(x) for x in re.findall(r"[^ \t\n\x0b\f\r]+", text)]
+        run = lambda h: h[0] if len(h) == 1 else spark_hash(*((x - ((x >> 63) << 64), 8) for x in (run(h[: len(h) // 2]), run(h[len(h) // 2 :]))))
+        if len(words) < winnow.K:
+            runs = [spark_hash(*((x - ((x >> 63) << 64), 8) for x in words)) >> 32] if words else []
+        else:
+            runs = [run(words[i : i + winnow.K]) >> 32 for i in range(len(words) - winnow.K + 1)]
+        windows = [list(enumerate(runs))[i : i + winnow.WINDOW] for i in range(max(1, len(runs) - winnow.WINDOW + 1))] if runs else []
+        return list(dict.fromkeys((h, i) for i, h in (min(x, key=lambda v: (v[1], -v[0])) for x in windows)))
+
+    def alike(a, b):
+        a, b = ({h for h, _ in by_hand(x)} for x in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    near = []
+    for (i, t, _), (_, nxt, _) in zip(order, order[1:] + order[:1], strict=True):
+        t, nxt = t or "", nxt or ""
+        half = len(t) // 2
+        near.append((repr(i), len(t), round(alike(t, t[: len(t) - half] + nxt[:half]), 9), round(alike(t, nxt), 9)))
+    assert sorted((repr(r["doc_id"]), r["n_chars"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == sorted(near)
+    prints = {(repr(r["doc_id"]), len(r["hashes"])): list(zip(r["hashes"], r["positions"], strict=True)) for r in winnow.fingerprints(docs).collect()}
+    assert all(prints[repr(i), len(by_hand(t or ""))] == by_hand(t or "") for i, t, _ in corpus)
+
 
 def test_winnowing_picks_the_rightmost_least_hash_of_each_window(spark):
     texts = ["", "a", "a b c", "a a a a a a a a a a a a a a", prose(3, 90)]
@@ -363,10 +421,65 @@ def test_importance_resampling(spark, empty):
     assert sum(i >= 1000 and i < 2000 for i in got) <= 2
     assert importance.resampled(empty, labels).count() == 0
     keys = spark.createDataFrame([(i, float(i // 3)) for i in range(300)], "id long, key double")
-    top = importance.largest(keys, "key", 100, [F.asc("id")], ranges=8, together=10)
+    top = importance.largest(keys, "key", 100, ["id"], ranges=8, together=10)
     assert sorted(r["id"] for r in top.collect()) == [198, *range(201, 300)]
 
 
+def spark_hash(*values, seed=42):
+    """Of integers, as (value, bytes), and strings, one after the other; nulls leave the hash as it is."""
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else int(v[0]).to_bytes(v[1], "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed
+
+
+def test_importance_weights_and_draw_equal_brute_force(spark, corpus):
+    rows = corpus + [(300 + i, prose(300 + i, 60), "en") for i in range(40)] + [(46, "a", "en")] * 30 + [(None, None, None)] * 30 + [(None, prose(48, 50), "en")] * 5
+    labelled = [(i, int(i % 2), int(i % 7 == 0)) for i in range(0, 320, 3)] + [(46, 1, None), (None, 1, 0)]
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int").withColumn("id", F.lit("x"))
+    target = {i for i, q, t in labelled if q == 1 and not t and i is not None}
+
+    def grams(text):
+        w = (text or "").encode().lower().split()
+        hashes = [int(h) for h in hashed_words([b" ".join(w)])[0]]
+        single = [h % importance.BUCKETS for h in hashes]
+        flat, counts = hashed_words([b" ".join(w)])
+        return single + [int(h) % importance.BUCKETS for h in importance.shingle_hashes(flat, counts, 2)[0]]
+
+    raw, good = Counter(), Counter()
+    for i, t, _ in rows:
+        raw.update(grams(t))
+        if i in target:
+            good.update(grams(t))
+    n, m = sum(raw.values()) + importance.BUCKETS, sum(good.values()) + importance.BUCKETS
+    want = []
+    for i, t, _ in rows:
+        g = grams(t)
+        weight = sum(math.log((good[x] + 1) / m) - math.log((raw[x] + 1) / n) for x in g) / max(1, len(g)) * importance.NOMINAL_LENGTH
+        content = spark_hash(t)
+        content -= (content >> 63) << 64
+        u = (spark_hash((content if i is None else i, 8), "gumbel") >> 11) / 2**53
+        want.append((i, weight, weight - math.log(-math.log(max(u, 1e-16)))))
+    df = frame(spark, rows).repartition(5)
+    for share in (0.1, 0.45, 0.8, 1.0):
+        k = round(len(rows) * share)
+        got = importance.resampled(df, labels, share=share).collect()
+        assert len(got) == k
+        best = sorted(want, key=lambda r: (-r[2], -1 if r[0] is None else r[0]))[:k]
+        for a, b in zip(sorted(got, key=lambda r: (-r["key"], repr(r["doc_id"]))), sorted(best, key=lambda r: (-r[2], repr(r[0]))), strict=True):
+            assert a["doc_id"] == b[0] and (a["log_weight"], a["key"]) == pytest.approx(b[1:], abs=1e-6)
+
+
+def test_largest_takes_as_many_of_equal_rows_as_there_is_room_for(spark):
+    rows = [(1, 5.0, 7)] * 4500 + [(2, 5.0, 7)] * 100 + [(None, 5.0, 9)] * 50 + [(None, 5.0, 8)] * 60 + [(7, 6.0, 1), (8, 4.0, 1)]
+    df = spark.createDataFrame(rows, "id long, key double, content long").repartition(4)
+    order = sorted(rows, key=lambda r: (-r[1], -1 if r[0] is None else r[0], r[2]))
+    for k in (0, 1, 40, 61, 80, 111, 2500, 4650, 4711, 4712, 9000):
+        got = [tuple(r) for r in importance.largest(df, "key", k, ["id", "content"], ranges=8, together=20).collect()]
+        assert Counter(got) == Counter(order[:k])
+
+
 def test_ppm_scores(spark, docs, corpus, empty):
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     got = sorted((tuple(r) for r in ppm.scored(docs, out, block_bytes=5000, part_bytes=9000, least=2).collect()), key=repr)
@@ -478,3 +591,43 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {0, 1, 2, 3, 30, 31, 32, 47} <= set(ids)
     texts = {i: t for i, t in now.select("doc_id", "decoded_sha256").collect()}
     assert texts[47] == hashlib.sha256(prose(47, 6000).encode()).hexdigest()
+
+
+def test_pipeline_equals_brute_force(spark, corpus, docs, tmp_path):
+    """Text by text: the trained network is asked directly, all else is compared pair by pair."""
+    item = " ".join(prose(20, 210, "de").split()[40:70])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    model = langid.fitted(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
+    rows = [(i, t) for i, t, _ in corpus if t and re.search(r"[^\W\d_]", t) and model.pooled([t.encode()]).max() >= corpus_pipeline.LEAST_SCORE]
+    grams = lambda t: {" ".join(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))}
+    known = sorted({(i, t) for i, t in rows if i is not None})
+    group = {i: i for i, _ in known}
+    for (i, a), (j, b) in combinations([(i, grams(t)) for i, t in known], 2):
+        if len(a & b) >= 0.8 * len(a | b):
+            old, new = max(group[i], group[j]), min(group[i], group[j])
+            group = {k: new if v == old else v for k, v in group.items()}
+    rows = [r for r in rows if r[0] is None] + [(i, t) for i, t in known if group[i] == i]
+    spans = {i: r for i, _, _, _, r in passages_by_hand(rows) if r}
+    left = []
+    for i, t in rows:
+        data, at, kept = t.encode(), 0, b""
+        for a, z in spans.get(i, ()):
+            kept, at = kept + data[at:a], z
+        kept = (kept + data[at:]).decode()
+        if i not in spans or kept.strip():
+            left.append((i, kept, i in spans))
+    words = item.split()
+    asked = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    held = lambda t: sum(x in {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for x in asked)
+    left = [x for x in left if held(x[1]) < 0.8 * len(asked)]
+    got = {(r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {i for i, _ in got} == {i for i, _, _ in left} and len(got) == len(left)
+    assert {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t, changed in left if not changed} <= got
+    assert spans and 20 not in {i for i, _ in got} and 40 not in {i for i, _ in got}
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    spark.createDataFrame([(1, "a b c d e")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

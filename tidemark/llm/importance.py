@@ -12,10 +12,11 @@ most about ``target_docs`` labelled rows drawn by hash, which bounds what is bro
 k-th largest key is found by counting ranges of keys ever more narrowly, so that no task
 sorts the whole table. k is a share of the rows; by default, that of the good among labels.
 
-Defined results: a null or empty text has no n-grams and log weight 0; repeated rows and
-equal ids draw the same noise; ties of the key go to the smaller id; without labelled good
-rows both models are equal and all weights 0; an empty table gives an empty result; other
-columns are ignored.
+Defined results: a null or empty text has no n-grams and log weight 0; equal ids draw the
+same noise, rows with a null id that of their text; ties of the key go to the smaller id,
+then to the smaller hash of the text, and of repeated rows as many stay as there is room
+for; texts of any length are read whole; without labelled good rows both models are equal
+and all weights 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def log_ratios(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def weighted(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """(id, log_weight) of docs (id, text)."""
+    """(id, content: long, log_weight) of docs (id, text); content is a hash of the text."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -74,38 +75,48 @@ def weighted(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             for part in in_parts(b["text"]):
                 f, owner = features(part, len(ratios))
                 means.append(np.bincount(owner, ratios[f], len(part)) / np.maximum(np.bincount(owner, minlength=len(part)), 1))
-            yield pd.DataFrame({"id": b["id"], "log_weight": np.concatenate(means) * NOMINAL_LENGTH})
+            yield pd.DataFrame({"id": b["id"], "content": b["content"], "log_weight": np.concatenate(means) * NOMINAL_LENGTH})
 
-    return docs.select("id", "text").mapInPandas(rows, "id long, log_weight double")
+    return docs.select("id", F.xxhash64("text").alias("content"), "text").mapInPandas(rows, "id long, content long, log_weight double")
 
 
-def largest(rows: DataFrame, key: str, k: int, ties: list, ranges: int = 4096, together: int = 10_000) -> DataFrame:
-    """The k rows of rows with the largest key; of equal keys, those first by ties."""
+def largest(rows: DataFrame, key: str, k: int, ties: list[str], ranges: int = 4096, together: int = 10_000) -> DataFrame:
+    """The k rows of rows with the largest key; of equal keys, those with the least ties (numbers, nulls first).
+
+    The k-th place is looked for in ever narrower ranges of the key, and where many rows have one key, of the ties after it.
+    What is left in the last range is counted by distinct row, of which there are about ``together`` at most.
+    """
     if k <= 0:
         return rows.limit(0)
-    lo, hi = rows.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return rows
-    above, left, span = None, k, (lo, hi)
-    while True:  # the k-th largest lies in span; left of its rows are wanted besides all above it
-        inside = rows.where(F.col(key).between(*span))
-        width = (span[1] - span[0]) / ranges
-        if width <= 0 or span[0] + width <= span[0]:
-            break
-        nth = F.least(F.floor((F.col(key) - span[0]) / width), F.lit(ranges - 1))
-        counts = inside.groupBy(nth.alias("nth")).agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy(F.desc("nth")).collect()
-        for r in counts:
-            if r["n"] >= left:
+    whole, edge, left = F.lit(False), F.lit(True), k  # all rows of whole are among the k, and left of those of edge
+    for x in (F.col(key), *(F.coalesce(-F.col(t).cast("double"), F.lit(1e300)) for t in ties)):
+        lo, hi, n = rows.where(edge).agg(F.min(x), F.max(x), F.count("*")).first()
+        if n <= left:
+            return rows.where(whole | edge)
+        inside, span = edge, (lo, hi)
+        while n > together:
+            width = (span[1] - span[0]) / ranges
+            if width <= 0 or span[0] + width <= span[0]:
                 break
-            left -= r["n"]
-        else:
-            return rows.where(F.col(key) >= span[0])
-        span = (r["lo"], r["hi"])
-        if r["n"] <= together:
+            nth = F.least(F.floor((x - span[0]) / width), F.lit(ranges - 1))
+            counts = rows.where(inside).groupBy(nth.alias("nth")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).orderBy(F.desc("nth")).collect()
+            for r in counts:
+                if r["n"] >= left:
+                    break
+                left -= r["n"]
+            span, n = (r["lo"], r["hi"]), r["n"]
+            inside = edge & x.between(*span)
+        whole, edge = whole | (edge & (x > span[1])), inside
+        if n <= together:
             break
-    edge = rows.where(F.col(key).between(*span)).withColumn("nth", F.row_number().over(W.orderBy(F.desc(key), *ties))).where(F.col("nth") <= left).drop("nth")
-    above = rows.where(F.col(key) > span[1])
-    return above.unionByName(edge)
+    same = rows.where(edge).groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    order = W.orderBy(F.desc(key), *ties, *rows.columns)
+    before = F.coalesce(F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kept = same.withColumn("__n", F.least("__n", F.lit(left) - before)).where("__n > 0")
+    # equal rows are written out again, a thousand at a time, by many tasks
+    thousands = kept.withColumn("__at", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / 1000)))).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    again = thousands.withColumn("__one", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("__n") - F.col("__at") * 1000))))
+    return rows.where(whole).unionByName(again.select(*rows.columns))
 
 
 def resampled(
@@ -118,7 +129,8 @@ def resampled(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     flagged = rows.join(F.broadcast(target.withColumn("good", F.lit(True))), "id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
     scored = weighted(rows, log_ratios(flagged, buckets))
-    noise = -F.log(-F.log(F.greatest(unit_hash("id", F.lit("gumbel")), F.lit(1e-16))))
+    drawn = F.when(F.col("id").isNull(), unit_hash("content", F.lit("gumbel"))).otherwise(unit_hash("id", F.lit("gumbel")))
+    noise = -F.log(-F.log(F.greatest(drawn, F.lit(1e-16))))
     keyed = written(scored.withColumn("key", F.col("log_weight") + noise), "weights")
     k = round(keyed.count() * (share if share is not None else fine / n if n else 1.0))
-    return largest(keyed, "key", k, [F.asc("id")]).select(F.col("id").alias("doc_id"), "log_weight", "key")
+    return largest(keyed, "key", k, ["id", "content"]).select(F.col("id").alias("doc_id"), "log_weight", "key")

@@ -7,9 +7,9 @@ Bytes are read in segments of fixed length, forwards and backwards, by gated uni
 Both states at a position give a softmax over the languages there, which is the position's
 label; a document's probabilities are the mean of those of all of its bytes. The weights
 are trained in numpy by backpropagation through time, with Adam, on segments of a sample
-of labelled documents. The sample is bounded by ``train_docs`` documents for a language
-(as a mean of a draw by hash) and ``train_segments`` segments for a document, spread over
-its whole text; every other step reads all rows and all bytes. The weights are a few KB.
+of labelled documents. The sample is bounded by ``train_docs`` documents and ``train_bytes``
+bytes for a language (as means of a draw by hash); of a document that is drawn, all bytes
+are learned from. Every other step reads all rows and all bytes. The weights are a few KB.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every
 row if no row can be learned from; NUL bytes count as padding; equal probabilities go to
@@ -144,30 +144,30 @@ def gradients(w: dict[str, np.ndarray], data: np.ndarray, y: np.ndarray) -> dict
     return out
 
 
-def sample(docs: DataFrame, train_docs: int, train_segments: int) -> list[tuple[str, list[str]]]:
-    """(lang, segments) of about train_docs rows of docs (id, text, lang) for each language, drawn by hash."""
+def sample(docs: DataFrame, train_docs: int, train_bytes: int, most_labels: int) -> list[tuple[str, str]]:
+    """(lang, whole text) of some rows of docs (id, text, lang) for each language, drawn by hash.
+
+    About train_docs rows are drawn, or fewer if those have more than train_bytes bytes. More than most_labels languages are refused.
+    """
     known = for_texts(docs).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).limit(most_labels + 1).collect()
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} languages; is this the language column?")
     if not counts:
         return []
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, train_docs / n))))
-    spread = F.transform(
-        F.sequence(F.lit(0), F.lit(train_segments - 1)),
-        lambda i: F.substring("text", (F.lit(1) + F.floor(i * F.greatest(F.length("text") - LENGTH, F.lit(0)) / train_segments)).cast("int"), F.lit(LENGTH)),
-    )
-    drawn = known.where(unit_hash("id", F.lit("sample")) < share[F.col("lang")])
-    return [(r["lang"], r["s"]) for r in drawn.select("lang", F.array_distinct(spread).alias("s")).orderBy("lang", "id").collect()]
-
-
-def fitted(docs: DataFrame, train_docs: int = 600, train_segments: int = 8, **training) -> Network | None:
-    """A network that has learned from docs (id, text, lang); None if no row can be learned from."""
-    rows = sample(docs, train_docs, train_segments)
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, train_docs / r["n"], train_bytes / r["bytes"]))))
+    drawn = known.where(unit_hash(F.coalesce("id", F.xxhash64("text")), F.lit("sample")) < share[F.col("lang")])
+    return [(r["lang"], r["text"]) for r in drawn.select("lang", "text").orderBy("lang", "id", F.xxhash64("text")).collect()]
+
+
+def fitted(docs: DataFrame, train_docs: int = 600, train_bytes: int = 8 << 20, most_labels: int = 500, **training) -> Network | None:
+    """A network that has learned from docs (id: long, text, lang); None if no row can be learned from."""
+    rows = sample(docs, train_docs, train_bytes, most_labels)
     if not rows:
         return None
     labels = sorted({lang for lang, _ in rows})
-    texts = [(s.encode("utf-8", "surrogatepass")[:LENGTH], labels.index(lang)) for lang, all_ in rows for s in all_]
-    data, _ = segments([t or b"\0" for t, _ in texts])
-    return trained(data, np.array([y for _, y in texts]), labels, **training)
+    data, owner = segments([text.encode("utf-8", "surrogatepass") for _, text in rows])
+    return trained(data, np.array([labels.index(lang) for lang, _ in rows])[owner], labels, **training)
 
 
 def predicted(model: Network | None, text: Column) -> Column:
@@ -193,7 +193,7 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Learns from rows whose crc32(id as text) mod 3 is not 1; a prediction sees the text alone.
     """
     out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), out.alias("held_out"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), out.alias("held_out"))
     model = fitted(rows.where("not held_out"), **params)
     found = rows.withColumn("p", predicted(model, F.col("text")))
     return found.select(F.col("id").alias("doc_id"), "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
