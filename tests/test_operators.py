@@ -229,3 +229,32 @@ def test_registry_names(spark):
 
     names = Counter(e.queries())
     assert set(e.oracle_sql()) <= set(names) and len(names) > 100
+
+
+def test_rows_of_several_days_equal_a_panel_cut_at_each(spark, walk):
+    bars = bars_frame(spark, {"A": walk, "B": walk[:40], "C": walk[:270]})
+    dates = sorted(r["date"] for r in bars.select("date").distinct().collect())
+    days = [str(dates[i]) for i in (35, 265, len(dates) - 1)]
+    cols = ["ticker", "date", "bars", "ma20", "return30", "high_ratio", "volume_ratio"]
+    got = series.latest_of_days(series.panel(bars), days)
+    for d in days:
+        want = series.latest(series.panel(series.as_of(bars, d))).select(*cols).orderBy("ticker").collect()
+        assert got.where(F.col("as_of") == d).select(*cols).orderBy("ticker").collect() == want and len(want) == 3
+
+
+@pytest.mark.parametrize("size", [0, 5, 14, 15, 30, 41, 42, 43, 120])
+def test_wilder_rsi_of_each_bar(size):
+    rng = np.random.default_rng(size)
+    values = rng.normal(100, 5, size)
+    if size == 120:
+        values[30], values[90:] = np.nan, 50.0
+    got = series.wilder_rsi(values)
+    for i in range(size):
+        d = np.diff(values[max(0, i - 41) : i + 1])
+        want = np.nan
+        if len(d) >= 14 and not np.isnan(d).any():
+            g, s = np.maximum(d[:14], 0).mean(), np.maximum(-d[:14], 0).mean()
+            for x in d[14:]:
+                g, s = (g * 13 + max(x, 0)) / 14, (s * 13 + max(-x, 0)) / 14
+            want = 100.0 if s == 0 else 100 - 100 / (1 + g / s)
+        assert got[i] == pytest.approx(want, nan_ok=True)

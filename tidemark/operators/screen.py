@@ -51,11 +51,14 @@ def rs_lookup(entries: DataFrame, rs: DataFrame) -> DataFrame:
     return out.withColumn("rs_reason", reason).withColumn("rs_status", F.when(reason.isNull(), "available").otherwise("unavailable")).drop("__there")
 
 
-def market_relative(entries: DataFrame, backdrop: DataFrame, spans: tuple[int, ...] = (7, 30, 60)) -> DataFrame:
-    """Adds relative<n>: the return less that of the row's own market (market, return<n>...)."""
+def market_relative(entries: DataFrame, backdrop: DataFrame | None = None, spans: tuple[int, ...] = (7, 30, 60), by: list[str] | None = None) -> DataFrame:
+    """Adds relative<n>: the return less that of the row's own market (market, return<n>...), without a backdrop the mean of the market's entries."""
+    if backdrop is None:
+        own = W.partitionBy(*(by or []), "market")
+        return entries.withColumns({f"relative{n}": F.col(f"return{n}") - F.avg(f"return{n}").over(own) for n in spans})
     names = {f"return{n}": f"market{n}" for n in spans}
-    side = backdrop.select("market", *(F.col(a).alias(b) for a, b in names.items()))
-    out = entries.join(side, "market", "left")
+    side = backdrop.select(*(by or []), "market", *(F.col(a).alias(b) for a, b in names.items()))
+    out = entries.join(side, [*(by or []), "market"], "left")
     return out.withColumns({f"relative{n}": F.col(f"return{n}") - F.col(f"market{n}") for n in spans}).drop(*names.values())
 
 
@@ -126,9 +129,9 @@ def strength(label: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, STRENGTH)), F.coalesce(label, F.lit("none"))) - 1
 
 
-def scored(entries: DataFrame, backdrop: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Scores, flags and labels of entries: panel rows with market, rs_percentile and data_quality."""
-    df = market_relative(entries, backdrop)
+def scored(entries: DataFrame, backdrop: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """Scores, flags and labels of entries: panel rows with market, rs_percentile and data_quality; one per ticker (and by)."""
+    df = market_relative(entries, backdrop, by=by)
     for n in SCREEN_RETURNS:
         df = series.percentile(df, f"return{n}", f"pct{n}", by)
     passed, available = style_checks()

@@ -97,6 +97,18 @@ def latest(panel_: DataFrame) -> DataFrame:
     return panel_.where(F.col("n") == F.col("bars"))
 
 
+def latest_of_days(panel_: DataFrame, days: list[str]) -> DataFrame:
+    """The last row of each ticker up to each of some days, with as_of; bars counts the history up to there.
+
+    It uses the panel's own partitioning, so that several days cost one panel. Columns that
+    look ahead (pivots) know what came after a day.
+    """
+    till = F.lead("date").over(by_date())
+    each = F.filter(F.array(*(F.lit(d).cast("date") for d in days)), lambda d: (F.col("date") <= d) & (F.col("__next").isNull() | (F.col("__next") > d)))
+    found = panel_.withColumn("__next", till).withColumn("as_of", F.explode(each))
+    return found.withColumn("bars", F.col("n").cast("long")).drop("__next")
+
+
 def bandwidth_median(panel_: DataFrame, last: int = 60) -> DataFrame:
     """(ticker, bandwidth_median60): over the last finite bandwidths."""
     known = panel_.where("bandwidth is not null").withColumn("k", F.row_number().over(W.partitionBy("ticker").orderBy(F.desc("date"))))
@@ -121,17 +133,28 @@ def ema(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def wilder_rsi(values: np.ndarray, n: int = 14, last: int = 42) -> np.ndarray:
-    """RSI of each bar with Wilder smoothing over its last closes."""
+    """RSI of each bar with Wilder smoothing over its last closes; the step of one more close is taken for all bars at once."""
     out = np.full(len(values), np.nan)
-    for i in range(n, len(values)):
-        d = np.diff(values[max(0, i + 1 - last) : i + 1])
-        if np.isnan(d).any():
-            continue
-        up, down = np.maximum(d, 0), np.maximum(-d, 0)
-        g, s = up[:n].mean(), down[:n].mean()
-        for k in range(n, len(d)):
-            g, s = (g * (n - 1) + up[k]) / n, (s * (n - 1) + down[k]) / n
-        out[i] = 100.0 if s == 0 else 100 - 100 / (1 + g / s)
+    moves = np.diff(values)
+    if len(moves) < n:
+        return out
+
+    def smoothed(x: np.ndarray) -> np.ndarray:
+        """Of each bar from the n-th on; a missing close leaves the bars that reach back to it without a value."""
+        early = [x[:n].mean()]  # bars with fewer closes than last
+        for v in x[n : last - 2]:
+            early.append((early[-1] * (n - 1) + v) / n)
+        if len(x) < last - 1:
+            return np.array(early)
+        spans = np.lib.stride_tricks.sliding_window_view(x, last - 1)
+        full_ = spans[:, :n].mean(axis=1)
+        for k in range(n, last - 1):
+            full_ = (full_ * (n - 1) + spans[:, k]) / n
+        return np.concatenate([early, full_])
+
+    gain, loss = smoothed(np.maximum(moves, 0)), smoothed(np.maximum(-moves, 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out[n:] = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
     return out
 
 

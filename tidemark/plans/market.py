@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import rules, screen, series, structure
 from tidemark.plans.registry import out, query, table
+from tidemark.sources.shared import written
 
 AS_OF, PRIOR = "2001-10-31", "2001-09-28"
 
@@ -229,10 +230,12 @@ def chart_flow(spark, sf_dir):
 # The universe: one row per ticker as of a day
 
 
-def universe(spark, sf_dir, date: str = AS_OF) -> DataFrame:
-    df = series.latest(panel(spark, sf_dir, date)).withColumns({"market": F.right("ticker", F.lit(1)), "rs_raw": screen.rs_raw()})
-    df = series.percentile(df, "rs_raw", "rs_percentile")
-    notes = F.array_compact(F.array(F.when(F.col("bars") < series.YEAR, "short history"), F.when(F.col("date") < F.date_sub(F.lit(date).cast("date"), 7), "latest day missing")))
+def universe(spark, sf_dir, *dates: str) -> DataFrame:
+    """One row per ticker and day (as_of), of one panel for all days."""
+    dates = dates or (AS_OF,)
+    df = series.latest_of_days(panel(spark, sf_dir, max(dates)), list(dates)).withColumns({"market": F.right("ticker", F.lit(1)), "rs_raw": screen.rs_raw()})
+    df = series.percentile(df, "rs_raw", "rs_percentile", ["as_of"])
+    notes = F.array_compact(F.array(F.when(F.col("bars") < series.YEAR, "short history"), F.when(F.col("date") < F.date_sub("as_of", 7), "latest day missing")))
     return df.withColumn("data_quality", notes)
 
 
@@ -270,9 +273,15 @@ def universe_sql(date: str = AS_OF, k: str = "u") -> str:
 U_SQL = f"WITH {BARS_SQL}, {universe_sql()}"
 
 
-def scores(spark, sf_dir, date: str = AS_OF) -> DataFrame:
-    u = universe(spark, sf_dir, date)
-    return screen.scored(u, backdrop(u))
+def scores(spark, sf_dir) -> DataFrame:
+    return screen.scored(universe(spark, sf_dir), by=["as_of"])
+
+
+def both_days(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """What comparisons need of the scores of AS_OF and PRIOR, computed once."""
+    df = screen.scored(universe(spark, sf_dir, AS_OF, PRIOR), by=["as_of"])
+    df = written(df.select("as_of", "ticker", "leadership_label", "rs_percentile", "high_proximity", "volume_ratio", *(f"{x}_score" for x in screen.LENSES)), "scores")
+    return tuple(df.where(F.col("as_of") == F.lit(d).cast("date")) for d in (AS_OF, PRIOR))
 
 
 @query("positional_percentile", f"{U_SQL} SELECT ticker, round(rs_raw, 6) AS rs_raw, round(rs_percentile, 6) AS rs_percentile FROM u")
@@ -348,7 +357,7 @@ V_SQL = f"{U_SQL}, {universe_sql(PRIOR, 'v')}, {LENS_SQL('u', 20)}, {LENS_SQL('v
 
 @query("new_entrants", f"{V_SQL} SELECT lens, ticker, score, rank FROM lu WHERE rank <= 8 AND (lens, ticker) NOT IN (SELECT (lens, ticker) FROM lv WHERE rank <= 8)")
 def new_entrants(spark, sf_dir):
-    now, before = (screen.lens_rankings(scores(spark, sf_dir, d)) for d in (AS_OF, PRIOR))
+    now, before = map(screen.lens_rankings, both_days(spark, sf_dir))
     return out(screen.new_entrants(now, before, 8), "lens", "ticker", "score", "rank")
 
 
@@ -359,13 +368,13 @@ DIFF_SQL = f"""{V_SQL}, d AS (SELECT u.ticker, u.composite_score, u.rs_percentil
 
 @query("prior_diff", f"{DIFF_SQL} SELECT ticker, upgraded, rs_cross, proximity_cross, volume_cross FROM d")
 def prior_diff(spark, sf_dir):
-    return screen.prior_diff(scores(spark, sf_dir), scores(spark, sf_dir, PRIOR)).select("ticker", "upgraded", "rs_cross", "proximity_cross", "volume_cross")
+    return screen.prior_diff(*both_days(spark, sf_dir)).select("ticker", "upgraded", "rs_cross", "proximity_cross", "volume_cross")
 
 
 @query("entrant_events", f"""{DIFF_SQL}, e AS (SELECT ticker, 'new-' || lens AS event FROM lu WHERE rank <= 8 AND (lens, ticker) NOT IN (SELECT (lens, ticker) FROM lv WHERE rank <= 8) UNION SELECT ticker, unnest([CASE WHEN upgraded THEN 'upgrade' END, CASE WHEN rs_cross THEN 'rs-cross' END, CASE WHEN proximity_cross THEN 'proximity-cross' END, CASE WHEN volume_cross THEN 'volume-cross' END]) FROM d)
 SELECT e.ticker, string_agg(DISTINCT event, ',' ORDER BY event) AS events, (SELECT min(rank) FROM lu WHERE lu.ticker = e.ticker) AS best_rank, (SELECT min(rank) FROM lv WHERE lv.ticker = e.ticker) AS prior_best_rank, round(any_value(composite_score), 6) AS composite_score, round(any_value(d.rs_percentile), 6) AS rs_percentile FROM e JOIN d ON d.ticker = e.ticker WHERE event IS NOT NULL GROUP BY e.ticker""")
 def entrant_events(spark, sf_dir):
-    now, before = scores(spark, sf_dir), scores(spark, sf_dir, PRIOR)
+    now, before = both_days(spark, sf_dir)
     df = screen.entrant_events(now, before, screen.lens_rankings(now), screen.lens_rankings(before), 8)
     return out(df.withColumn("events", F.array_join("events", ",")))
 
