@@ -128,3 +128,37 @@ def test_pivots_alternate(spark):
     rows = [(1, "high", 10.0), (2, "high", 12.0), (3, "low", 11.9), (4, "low", 9.0), (5, "low", 9.5), (6, "high", 9.2), (7, "high", 13.0)]
     p = pd.DataFrame(rows, columns=["n", "kind", "price"])
     assert structure.alternating(p, 0.5) == [(2, "high", 12.0), (4, "low", 9.0), (7, "high", 13.0)]
+
+
+@pytest.mark.parametrize(
+    ("text", "price", "rated"),
+    [
+        ("목표주가를 85,000원에서 목표주가 95,000원으로 상향했다. 비중확대", 95000, "Overweight"),
+        ("목표주가 120,000원, 투자의견 매수", 120000, "Buy"),
+        ("목표TP 7,700원에 시장수익률 상회", 7700, "Outperform"),
+        ("목표주가 8.5만원 중립", 85000, "Neutral"),
+        ("목표가 5,0원, target  price: 4,200 and Equal weight", 4200, "Equal-weight"),
+        ("목표주가 99,999,999,999원, a strongbuy", None, "Strong Buy"),
+        ("Buyer holds 2,000", None, None),
+        ("", None, None),
+        (None, None, None),
+    ],
+)
+def test_prices_and_ratings_in_korean(spark, text, price, rated):
+    got = spark.createDataFrame([(text,)], "t string").select(evidence.target_price(F.col("t")), evidence.rating(F.col("t"))).first()
+    assert tuple(got) == (price, rated)
+
+
+def test_views_of_brokers_by_paragraph(spark):
+    text = "서두 매도 2023년 1월 2일\n\nUBS는 목표주가 50,000원, 매수.\n\n골드만삭스 의견은 없다. MUBS도 없다"
+    docs = spark.createDataFrame([(1, text, None), (2, "x" * 300 + " UBS " + "y" * 300, None), (3, None, None)], "article_id long, text string, published date")
+    aliases = spark.createDataFrame([("UBS", "UBS"), ("Goldman", "골드만삭스"), ("Goldman", "골드만"), ("Nobody", "Nomura")], "broker string, alias string")
+    got = {(r["article_id"], r["broker"]): r for r in evidence.broker_views_extract(docs, aliases).collect()}
+    assert set(got) == {(1, "UBS"), (1, "Goldman"), (2, "UBS")}
+    ubs, goldman = got[1, "UBS"], got[1, "Goldman"]
+    assert (ubs["target_price"], ubs["rating"], str(ubs["report_date"]), ubs["thesis"]) == (50000, "Buy", "2023-01-02", "UBS는 목표주가 50,000원, 매수.")
+    assert (goldman["alias"], goldman["target_price"], goldman["rating"]) == ("골드만삭스", 50000, "Buy")
+    assert got[2, "UBS"]["thesis"].endswith("…") and len(got[2, "UBS"]["thesis"]) == 240
+    with pytest.raises(ValueError):
+        evidence.broker_views_extract(docs, aliases, most_aliases=2)
+    assert evidence.broker_views_extract(docs, aliases.limit(0)).count() == 0

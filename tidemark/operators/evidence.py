@@ -110,22 +110,95 @@ def within_lookback(rows: DataFrame, date: str, as_of: Column, days: int) -> Dat
     return rows.where(F.col(date).isNull() | ((F.col(date) <= as_of) & (F.col(date) >= F.date_sub(as_of, days))))
 
 
-def broker_views_extract(articles: DataFrame, aliases: DataFrame, around: int = 200, thesis: int = 240) -> DataFrame:
-    """For each article and broker named in it: the text around the first alias, and what it says of price and rating.
-
-    aliases (broker, alias) is a dimension of a few hundred rows, folded into one array on
-    the driver; of a broker's aliases the longest that occurs counts.
+#: How articles write a target price in won, in the order of trust; the last one counts ten thousands.
+PRICE_FORMS = [
+    r"목표주가[를을]?\s*([0-9][0-9,]{2,})\s*원으로\s*(?:상향|하향|제시|유지|조정|상승|하락)",
+    r"목표주가[를을]?\s*([0-9][0-9,]{2,})\s*원",
+    r"목표가[를을]?\s*([0-9][0-9,]{2,})\s*원",
+    r"목표\s*가격[을를]?\s*([0-9][0-9,]{2,})\s*원",
+    r"\bTP\s*([0-9][0-9,]{2,})",
+    r"(?i)target\s*price[^0-9]{0,20}([0-9][0-9,]{2,})",
+]
+TEN_THOUSANDS_FORM = r"목표주가[를을]?\s*([0-9]+(?:\.[0-9]+)?)\s*만\s*원"
+#: Rating phrases, those that contain others first.
+RATING_FORMS = [
+    ("비중확대", "Overweight"), ("비중축소", "Underweight"), (r"시장수익률\s*상회", "Outperform"), (r"시장수익률\s*하회", "Underperform"), ("시장수익률", "Neutral"),
+    ("적극매수", "Strong Buy"), ("중립", "Neutral"), ("매수", "Buy"), ("매도", "Sell"), ("보유", "Hold"),
+    (r"(?i)\bEqual[-\s]?weight\b", "Equal-weight"), (r"(?i)\bOverweight\b", "Overweight"), (r"(?i)\bUnderweight\b", "Underweight"), (r"(?i)\bOutperform\b", "Outperform"),
+    (r"(?i)\bUnderperform\b", "Underperform"), (r"(?i)\bStrong\s*Buy\b", "Strong Buy"), (r"(?i)\bBuy\b", "Buy"), (r"(?i)\bSell\b", "Sell"), (r"(?i)\bHold\b", "Hold"), (r"(?i)\bNeutral\b", "Neutral"),
+]
+DATE_FORMS = [r"(20[0-9]{2})\s*년\s*([0-9]{1,2})\s*월\s*([0-9]{1,2})\s*일", r"\b(20[0-9]{2})[-/.]\s*([0-9]{1,2})[-/.]\s*([0-9]{1,2})\b"]
+#: Least and (exclusive) greatest target price that is believed.
+PRICES = (100, 100_000_000)
+
+
+def ascii_bounds(pattern: str) -> str:
+    r"""pattern with \b at ASCII letters, digits and _ alone: Hangul right beside a word does not continue it."""
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))")
+
+
+def target_price(text: Column) -> Column:
+    """The price of the first form that is found and believed; the first place of a form alone counts."""
+    least, most = PRICES
+    believed = lambda v: F.when((v >= least) & (v < most), v)
+    whole = [believed(F.regexp_replace(F.regexp_extract(text, ascii_bounds(p), 1), ",", "").try_cast("bigint")) for p in PRICE_FORMS]
+    tens = F.regexp_extract(text, TEN_THOUSANDS_FORM, 1).try_cast("double") * 10_000
+    return F.coalesce(*whole, believed(F.round(tens).cast("bigint")))
+
+
+def rating(text: Column) -> Column:
+    return first_label(text, [(ascii_bounds(p), label) for p, label in RATING_FORMS])
+
+
+def stated_date(text: Column) -> Column:
+    """The first full date, else null; one that the calendar lacks is null too."""
+
+    def of(p: str) -> Column:
+        part = lambda i: F.regexp_extract(text, ascii_bounds(p), i)
+        return F.when(part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
+
+    return F.coalesce(*map(of, DATE_FORMS)).try_cast("date")
+
+
+def broker_views_extract(articles: DataFrame, aliases: DataFrame, around: int = 200, thesis: int = 240, most_aliases: int = 1000) -> DataFrame:
+    """For each article and broker named in it: price, rating and date of the paragraph around its first alias, else of the whole text.
+
+    articles (article_id, text, published: date of the article or null). A paragraph ends at
+    blank lines; in a text with none around, it reaches `around` characters to both sides.
+    Aliases of letters, digits and signs of ASCII count as whole words only, others anywhere.
+    aliases (broker, alias) is a dimension, folded into one expression and so refused beyond
+    most_aliases rows; nothing is shuffled.
     """
-    known = sorted(((r["broker"], r["alias"].lower()) for r in aliases.select("broker", "alias").distinct().collect()), key=lambda x: (x[0], -len(x[1]), x[1]))
-    each = F.array_compact(F.array(*(F.when(F.contains(F.lower("text"), F.lit(a)), F.struct(F.lit(b).alias("broker"), F.lit(a).alias("alias"), F.lit(i).alias("place"))) for i, (b, a) in enumerate(known))))
-    hits = articles.select("article_id", "text", F.explode(each).alias("h")).select("article_id", "text", "h.*")
-    best = hits.withColumn("k", F.row_number().over(W.partitionBy("article_id", "broker").orderBy("place"))).where("k = 1")
-    at = F.instr(F.lower("text"), F.col("alias"))
+    known = [(r["broker"], r["alias"]) for r in aliases.select("broker", "alias").distinct().limit(most_aliases + 1).collect()]
+    if len(known) > most_aliases:
+        raise ValueError(f"more than {most_aliases} aliases")
+    text = F.col("text")
+
+    def place(alias: str) -> Column:
+        return F.regexp_instr(text, F.lit(rf"(?<![A-Za-z0-9])\Q{alias}\E(?![A-Za-z0-9])")) if alias.isascii() else F.instr(text, alias)
+
+    def first_place(broker: str) -> Column:
+        own = [F.struct(place(a).alias("at"), F.lit(-len(a)).alias("shorter"), F.lit(a).alias("alias")) for b, a in sorted(known) if b == broker]
+        return F.struct(F.lit(broker).alias("broker"), F.array_min(F.filter(F.array(*own), lambda x: x["at"] > 0)).alias("first"))
+
+    each = F.filter(F.array(*map(first_place, sorted({b for b, _ in known}))), lambda x: x["first"].isNotNull())
+    if not known:
+        each = F.array().cast("array<struct<broker:string,first:struct<at:int,shorter:int,alias:string>>>")
+    hits = articles.select("article_id", "text", "published", F.explode(each).alias("h")).select("article_id", "text", "published", "h.broker", "h.first.alias", "h.first.at")
+    at, blank = F.col("at"), "\n\n"
+    before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length("alias"), F.length("text"))
+    paragraph = F.concat(F.substring_index(before, blank, -1), "alias", F.substring_index(after, blank, 1))
     start = F.greatest(F.lit(1), at - around)
-    near = F.substring(F.col("text"), start, at - start + F.length("alias") + around)
-    number = F.nullif(F.regexp_extract(near, r"(\d+(?:\.\d+)?)", 1), F.lit(""))
-    rating = F.when(near.rlike("(?i)buy"), "BUY").when(near.rlike("(?i)hold"), "HOLD").when(near.rlike("(?i)sell"), "SELL")
-    return best.select("article_id", "broker", "alias", number.try_cast("double").alias("target_price"), rating.alias("rating"), F.substring(squeezed(near), 1, thesis).alias("thesis"))
+    near = F.when(F.contains(before, F.lit(blank)) | F.contains(after, F.lit(blank)), paragraph).otherwise(F.substring(text, start, at + around - start))
+    found = hits.withColumn("near", near)
+    flat = squeezed(F.col("near"))
+    short = F.when(F.length(flat) <= thesis, flat).otherwise(F.concat(F.trim(F.substring(flat, 1, thesis - 1)), F.lit("…")))
+    either = lambda rule: F.coalesce(rule(F.col("near")), rule(text))
+    return found.select(
+        "article_id", "broker", "alias", either(target_price).alias("target_price"), either(rating).alias("rating"),
+        F.coalesce(stated_date(F.col("near")), "published", stated_date(text)).alias("report_date"), short.alias("thesis"),
+    )
 
 
 def table_mismatches(expected: DataFrame, actual: DataFrame) -> DataFrame:

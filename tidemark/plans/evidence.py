@@ -106,15 +106,41 @@ def date_chunks(spark, sf_dir):
     return fundamentals.date_chunks(r, 80)
 
 
-ALIASES = [("one", "tion"), ("one", "tiones"), ("two", "license"), ("three", "sch")]
-
-
-@query("broker_views_extract", f"""WITH {I_SQL}, al AS (SELECT unnest({[b for b, _ in ALIASES]}) AS broker, unnest({[a for _, a in ALIASES]}) AS alias), h AS (SELECT item_id, text, broker, alias FROM i JOIN al ON contains(lower(text), alias) QUALIFY row_number() OVER (PARTITION BY item_id, broker ORDER BY length(alias) DESC, alias) = 1),
-p AS (SELECT *, instr(lower(text), alias) AS pos FROM h), n AS (SELECT *, substr(text, greatest(1, pos - 200), pos - greatest(1, pos - 200) + length(alias) + 200) AS near FROM p)
-SELECT item_id AS article_id, broker, alias, round(try_cast(nullif(regexp_extract(near, '([0-9]+(?:[.][0-9]+)?)', 1), '') AS DOUBLE) + 1e-8, 6) AS target_price, CASE WHEN regexp_matches(near, '(?i)buy') THEN 'BUY' WHEN regexp_matches(near, '(?i)hold') THEN 'HOLD' WHEN regexp_matches(near, '(?i)sell') THEN 'SELL' END AS rating, left(trim(regexp_replace(near, '\\s+', ' ', 'g')), 240) AS thesis FROM n""")
+ALIASES = [("one", "that"), ("one", "that this"), ("two", "with"), ("three", "Orre"), ("three", "elle"), ("four", "제프리스")]
+#: What an article says after the text of its document, by the remainder of its id by 8.
+SAID = [
+    "\n\n제프리스는 목표주가를 @원으로 상향, 투자의견 매수", "\n\nwith a target price of @, strong buy. 2024년 3월 5일", "\n\nthat said, TP @원 and 비중확대 2024-01-09\n\nelse", "\n\nOrre: 목표주가 8.5만원, Equal-weight",
+    " with 목표가 99 원, target price: @ or hold",
+]
+
+
+def _broker_sql() -> str:
+    said = " ".join(f"WHEN {i} THEN replace('{x}', '@', CAST(100000 + item_id AS VARCHAR))" for i, x in enumerate(SAID))
+    believed = lambda v: f"CASE WHEN {v} >= 100 AND {v} < 100000000 THEN {v} END"
+    def price(x: str) -> str:
+        whole = [believed(f"try_cast(replace(regexp_extract({x}, '{p}', 1), ',', '') AS BIGINT)") for p in ev.PRICE_FORMS]
+        return ", ".join([*whole, believed(f"CAST(round(try_cast(regexp_extract({x}, '{ev.TEN_THOUSANDS_FORM}', 1) AS DOUBLE) * 10000) AS BIGINT)")])
+    case = lambda x, p, n: f"WHEN regexp_matches({x}, '{p}') THEN '{n}'"
+    rating = lambda x: f"CASE {' '.join(case(x, p, n) for p, n in ev.RATING_FORMS)} END"
+    def date(x: str) -> str:
+        part = lambda p, i: f"regexp_extract({x}, '{p}', {i})"
+        return "try_cast(coalesce(" + ", ".join(f"CASE WHEN {part(p, 1)} <> '' THEN {part(p, 1)} || '-' || lpad({part(p, 2)}, 2, '0') || '-' || lpad({part(p, 3)}, 2, '0') END" for p in ev.DATE_FORMS) + ") AS DATE)"
+    blank = "chr(10) || chr(10)"
+    return f"""WITH {I_SQL}, ar AS (SELECT item_id AS article_id, text || CASE item_id % 8 {said} ELSE '' END AS text, CASE WHEN item_id % 3 <> 0 THEN DATE '2024-01-01' + CAST(item_id % 30 AS INTEGER) END AS published FROM i),
+al AS (SELECT unnest({[b for b, _ in ALIASES]}) AS broker, unnest({[a for _, a in ALIASES]}) AS alias),
+m AS (SELECT *, CASE WHEN NOT regexp_matches(alias, '^[a-zA-Z ]+$') THEN instr(text, alias) WHEN regexp_matches(text, '(?:^|[^A-Za-z0-9])' || alias || '(?:[^A-Za-z0-9]|$)') THEN length(regexp_extract(text, '(?s)^(|.*?[^A-Za-z0-9])' || alias || '(?:[^A-Za-z0-9]|$)', 1)) + 1 ELSE 0 END AS pos FROM ar JOIN al ON contains(text, alias)),
+h AS (SELECT *, left(text, pos - 1) AS before, substr(text, pos + length(alias)) AS after FROM m WHERE pos > 0 QUALIFY row_number() OVER (PARTITION BY article_id, broker ORDER BY pos, length(alias) DESC, alias) = 1),
+n AS (SELECT *, CASE WHEN contains(before, {blank}) OR contains(after, {blank}) THEN string_split(before, {blank})[-1] || alias || string_split(after, {blank})[1] ELSE substr(text, greatest(1, pos - 200), pos + 200 - greatest(1, pos - 200)) END AS near FROM h), f AS (SELECT *, trim(regexp_replace(near, '\\s+', ' ', 'g')) AS flat FROM n)
+SELECT article_id, broker, alias, coalesce({price('near')}, {price('text')}) AS target_price, coalesce({rating('near')}, {rating('text')}) AS rating, coalesce({date('near')}, published, {date('text')}) AS report_date, CASE WHEN length(flat) <= 240 THEN flat ELSE trim(left(flat, 239)) || '…' END AS thesis FROM f"""
+
+
+@query("broker_views_extract", _broker_sql())
 def broker_views_extract(spark, sf_dir):
     aliases = spark.createDataFrame(ALIASES, "broker string, alias string")
-    return out(ev.broker_views_extract(items(spark, sf_dir).select(F.col("item_id").alias("article_id"), "text"), aliases))
+    rest, number = F.col("item_id") % 8, (100000 + F.col("item_id")).cast("string")
+    said = F.coalesce(*(F.when(rest == i, F.replace(F.lit(x), F.lit("@"), number)) for i, x in enumerate(SAID)), F.lit(""))
+    published = F.when(F.col("item_id") % 3 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("item_id") % 30).cast("int")))
+    return out(ev.broker_views_extract(items(spark, sf_dir).select(F.col("item_id").alias("article_id"), F.concat("text", said).alias("text"), published.alias("published")), aliases))
 
 
 @query("md_table_check", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents), r AS (SELECT doc_id, line_no, string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|') AS c FROM l WHERE len(regexp_extract_all(line, '\\|')) >= 2),
