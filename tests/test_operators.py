@@ -258,3 +258,29 @@ def test_wilder_rsi_of_each_bar(size):
                 g, s = (g * 13 + max(x, 0)) / 14, (s * 13 + max(-x, 0)) / 14
             want = 100.0 if s == 0 else 100 - 100 / (1 + g / s)
         assert got[i] == pytest.approx(want, nan_ok=True)
+
+
+GATES = {"posts": 30, "page1": 10, "page1_trading": 0, "relevant": 5, "listicles": 0, "trading": 0, "dedicated": 4, "dedicated_formulaic": 0, "deep_tech": 0, "dated": 4, "stale": 0, "timeline": 20, "stock": 15, "bracketed": 0, "formulaic": 0}
+
+
+@pytest.mark.parametrize(
+    ("changed", "anchors", "reason", "deep"),
+    [
+        ({}, [], None, "no-deep-post"),
+        ({"page1_trading": 5}, [], "trading-shop", "trading-shop"),
+        ({"page1": 0, "deep_tech": 1}, [], None, None),
+        ({"dated": 5, "stale": 4}, [], "stale", "stale"),
+        ({"dated": 2, "stale": 2}, [], None, "no-deep-post"),
+        ({"stock": 0}, [], None, "no-deep-post"),
+        ({"stock": 9, "dedicated": 2}, [], "off-topic", "off-topic"),
+        ({"timeline": 4, "stock": 0, "formulaic": 4, "dedicated": 2}, [], None, "no-deep-post"),
+        ({"formulaic": 14}, [], "farm", "farm"),
+        ({"dedicated_formulaic": 3}, [], "dedicated-farm", "dedicated-farm"),
+        ({"dedicated": 1}, [], "too-few", "no-deep-post"),
+        ({"dedicated": 1, "deep_tech": 1}, ["name"], None, None),
+        ({"dedicated": 0}, ["name"], "too-few", "no-deep-post"),
+    ],
+)
+def test_source_gates(spark, changed, anchors, reason, deep):
+    row = spark.createDataFrame([({**GATES, **changed, "anchors": anchors})], ", ".join(f"{c} long" for c in GATES) + ", anchors array<string>")
+    assert [news.source_gates(row, deep=x).first()["reason"] for x in (False, True)] == [reason, deep]

@@ -172,24 +172,45 @@ def ngrams(docs: DataFrame, stop: list[str], least: int = 3, top: int = 10) -> D
     return counts.withColumn("k", F.row_number().over(W.partitionBy("n").orderBy(F.desc("count"), "term"))).where(F.col("k") <= top).drop("k")
 
 
-def source_metrics(posts: DataFrame, by: str, as_of: Column) -> DataFrame:
-    """Counts and ratios of a source's posts: listicles, trading, dedicated and stale ones."""
-    stale = F.date_diff(as_of, F.col("published")) > 365
-    return posts.groupBy(by).agg(
-        F.count("*").alias("posts"), F.count_if("is_listicle").alias("listicles"), F.count_if("is_trading").alias("trading"), F.count_if(~F.col("is_listicle") & F.col("relevant")).alias("dedicated"),
-        F.count_if("relevant").alias("relevant"), F.count("published").alias("dated"), F.count_if(stale).alias("stale"), F.min("published").alias("oldest"), F.max("published").alias("latest"),
+def source_metrics(posts: DataFrame, by: str, as_of: Column, timeline: int = 20, old: int = 365) -> DataFrame:
+    """Counts of a source's posts: all, its first page, what names the company there, and its newest posts on anything.
+
+    posts: (by, post_id, published, page, relevant, anchor and is_trading, is_listicle,
+    is_formulaic, is_deep_tech, is_stock, is_bracketed); of equal days the lesser post_id is
+    newer. A post is dedicated if it is relevant and neither of trading nor a list; deep
+    posts count on every page. The newest posts are cut off before rows are exchanged, so
+    that a source with a third of all posts is no task of its own.
+    """
+    found = F.col("relevant") & (F.col("page") == 1)
+    single = F.col("relevant") & ~F.col("is_trading") & ~F.col("is_listicle")
+    own = found & single
+    counts = posts.groupBy(by).agg(
+        F.count("*").alias("posts"), F.count_if(F.col("page") == 1).alias("page1"), F.count_if((F.col("page") == 1) & F.col("is_trading")).alias("page1_trading"),
+        F.count_if(found).alias("relevant"), F.count_if(found & F.col("is_listicle")).alias("listicles"), F.count_if(found & F.col("is_trading")).alias("trading"),
+        F.count_if(own).alias("dedicated"), F.count_if(own & F.col("is_formulaic")).alias("dedicated_formulaic"), F.count_if(single & F.col("is_deep_tech")).alias("deep_tech"),
+        F.count(F.when(found, F.col("published"))).alias("dated"), F.count_if(found & (F.date_diff(as_of, F.col("published")) > old)).alias("stale"),
+        F.min("published").alias("oldest"), F.max("published").alias("newest"), F.max(F.when(found, F.col("published"))).alias("latest"), F.array_sort(F.collect_set("anchor")).alias("anchors"),
     )
-
-
-def source_gates(metrics: DataFrame) -> DataFrame:
-    """accepted and the first reason against."""
-    ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    newest = F.row_number().over(W.partitionBy(by).orderBy(F.desc_nulls_last("published"), "post_id"))
+    kinds = ("stock", "bracketed", "formulaic")
+    recent = posts.select(by, "published", "post_id", *(f"is_{k}" for k in kinds)).withColumn("nth", newest).where(F.col("nth") <= timeline)
+    recent = recent.groupBy(by).agg(F.count("*").alias("timeline"), *(F.count_if(f"is_{k}").alias(k) for k in kinds))
+    both = counts.join(recent.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")))
+    return both.drop("__by")
+
+
+def source_gates(metrics: DataFrame, deep: bool = False, least: int = 2) -> DataFrame:
+    """accepted and the first reason against; deep asks for a deep post instead of dedicated ones."""
+    share = lambda a, b, n: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)) >= n, F.lit(False))
+    enough = F.col("timeline") >= 5
+    few = F.col("deep_tech") < 1 if deep else ~((F.col("dedicated") >= least) | ((F.size("anchors") > 0) & (F.col("dedicated") >= 1)))
     reason = (
-        F.when(ratio("trading", "posts") >= 0.5, "trading-shop")
-        .when((F.col("dated") >= 3) & (ratio("stale", "dated") >= 0.8), "stale")
-        .when((F.col("posts") >= 5) & (ratio("relevant", "posts") < 0.5) & (F.col("dedicated") < 3), "off-topic")
-        .when(ratio("listicles", "posts") >= 0.7, "farm")
-        .when(F.col("dedicated") < 2, "too-few")
+        F.when(share("page1_trading", "page1", 0.5), "trading-shop")
+        .when((F.col("dated") >= 3) & share("stale", "dated", 0.8), "stale")
+        .when((F.col("dedicated") < 3) & enough & ~share("stock", "timeline", 0.5), "off-topic")
+        .when(enough & share("formulaic", "timeline", 0.7), "farm")
+        .when((F.col("dedicated") >= 2) & share("dedicated_formulaic", "dedicated", 0.7), "dedicated-farm")
+        .when(few, "no-deep-post" if deep else "too-few")
     )
     return metrics.withColumns({"reason": reason, "accepted": reason.isNull()})
 

@@ -98,25 +98,39 @@ def ngrams(spark, sf_dir):
     return out(news.ngrams(table(spark, sf_dir, "documents"), STOP))
 
 
-P_SQL = f"{I_SQL}, p AS (SELECT source, DATE '2024-01-01' - CAST(item_id % 900 AS INT) AS published, len(regexp_extract_all(headline, '[,·/|]')) >= 3 AS is_listicle, contains(lower(headline), 'idiot') AS is_trading, contains(lower(text), 'tion') AS relevant FROM i), m AS (SELECT source, count(*) AS posts, count(*) FILTER (WHERE is_listicle) AS listicles, count(*) FILTER (WHERE is_trading) AS trading, count(*) FILTER (WHERE NOT is_listicle AND relevant) AS dedicated, count(*) FILTER (WHERE relevant) AS relevant, count(published) AS dated, count(*) FILTER (WHERE DATE '2024-01-01' - published > 365) AS stale, min(published) AS oldest, max(published) AS latest FROM p GROUP BY 1)"
+P_SQL = f"""{I_SQL}, p AS (SELECT source, item_id AS post_id, item_id % 3 + 1 AS page, CASE WHEN item_id % 11 <> 0 THEN DATE '2024-01-01' - CAST(item_id % 900 AS INT) END AS published, contains(lower(text), 'tion') AS relevant,
+  CASE WHEN contains(lower(headline), 'ou') THEN 'ou' WHEN contains(lower(headline), 'ei') THEN 'ei' END AS anchor, contains(lower(headline), 'idiot') AS is_trading, len(regexp_extract_all(headline, '[,·/|]')) >= 3 AS is_listicle,
+  contains(lower(headline), 'that') AS is_formulaic, contains(lower(headline), 'th') AS is_deep_tech, contains(lower(headline), 'en') AS is_stock, regexp_matches(headline, '^\\s*[\\[【(]') AS is_bracketed FROM i),
+pf AS (SELECT *, relevant AND page = 1 AS found, relevant AND NOT is_trading AND NOT is_listicle AS single, row_number() OVER (PARTITION BY source ORDER BY published DESC NULLS LAST, post_id) AS nth FROM p),
+m AS (SELECT source, count(*) AS posts, count(*) FILTER (WHERE page = 1) AS page1, count(*) FILTER (WHERE page = 1 AND is_trading) AS page1_trading, count(*) FILTER (WHERE found) AS relevant, count(*) FILTER (WHERE found AND is_listicle) AS listicles,
+  count(*) FILTER (WHERE found AND is_trading) AS trading, count(*) FILTER (WHERE found AND single) AS dedicated, count(*) FILTER (WHERE found AND single AND is_formulaic) AS dedicated_formulaic, count(*) FILTER (WHERE single AND is_deep_tech) AS deep_tech,
+  count(published) FILTER (WHERE found) AS dated, count(*) FILTER (WHERE found AND DATE '2024-01-01' - published > 365) AS stale, min(published) AS oldest, max(published) AS newest, max(published) FILTER (WHERE found) AS latest, coalesce(string_agg(DISTINCT anchor, ',' ORDER BY anchor), '') AS anchors,
+  count(*) FILTER (WHERE nth <= 20) AS timeline, count(*) FILTER (WHERE nth <= 20 AND is_stock) AS stock, count(*) FILTER (WHERE nth <= 20 AND is_bracketed) AS bracketed, count(*) FILTER (WHERE nth <= 20 AND is_formulaic) AS formulaic FROM pf GROUP BY 1)"""
 
 
 def metrics(spark, sf_dir):
+    title, id_ = F.col("headline"), F.col("item_id")
+    has = lambda *terms: news.matches(title, list(terms))
     p = items(spark, sf_dir).select(
-        "source", F.date_sub(F.lit("2024-01-01").cast("date"), (F.col("item_id") % 900).cast("int")).alias("published"), (F.regexp_count("headline", F.lit("[,·/|]")) >= 3).alias("is_listicle"),
-        news.matches(F.col("headline"), ["idiot"]).alias("is_trading"), news.matches(F.col("text"), ["tion"]).alias("relevant"),
+        "source", id_.alias("post_id"), (id_ % 3 + 1).alias("page"), F.when(id_ % 11 != 0, F.date_sub(F.lit("2024-01-01").cast("date"), (id_ % 900).cast("int"))).alias("published"),
+        news.matches(F.col("text"), ["tion"]).alias("relevant"), F.when(has("ou"), "ou").when(has("ei"), "ei").alias("anchor"), has("idiot").alias("is_trading"), (F.regexp_count(title, F.lit("[,·/|]")) >= 3).alias("is_listicle"),
+        has("that").alias("is_formulaic"), has("th").alias("is_deep_tech"), has("en").alias("is_stock"), title.rlike(r"^\s*[\[【(]").alias("is_bracketed"),
     )
     return news.source_metrics(p, "source", F.lit("2024-01-01").cast("date"))
 
 
 @query("blogger_metrics", f"WITH {P_SQL} SELECT * FROM m")
 def blogger_metrics(spark, sf_dir):
-    return metrics(spark, sf_dir)
+    return metrics(spark, sf_dir).withColumn("anchors", F.array_join("anchors", ","))
 
 
-@query("blogger_gates", f"""WITH {P_SQL}, g AS (SELECT source, CASE WHEN trading / posts >= 0.5 THEN 'trading-shop' WHEN dated >= 3 AND stale / dated >= 0.8 THEN 'stale' WHEN posts >= 5 AND relevant / posts < 0.5 AND dedicated < 3 THEN 'off-topic' WHEN listicles / posts >= 0.7 THEN 'farm' WHEN dedicated < 2 THEN 'too-few' END AS reason FROM m) SELECT source, reason, reason IS NULL AS accepted FROM g""")
+_GATES = "WHEN page1_trading / nullif(page1, 0) >= 0.5 THEN 'trading-shop' WHEN dated >= 3 AND stale / dated >= 0.8 THEN 'stale' WHEN dedicated < 3 AND timeline >= 5 AND stock / timeline < 0.5 THEN 'off-topic' WHEN timeline >= 5 AND formulaic / timeline >= 0.7 THEN 'farm' WHEN dedicated >= 2 AND dedicated_formulaic / dedicated >= 0.7 THEN 'dedicated-farm'"
+
+
+@query("blogger_gates", f"""WITH {P_SQL}, g AS (SELECT source, CASE {_GATES} WHEN dedicated < 2 AND NOT (anchors <> '' AND dedicated >= 1) THEN 'too-few' END AS reason, CASE {_GATES} WHEN deep_tech < 1 THEN 'no-deep-post' END AS deep_reason FROM m) SELECT source, reason, reason IS NULL AS accepted, deep_reason FROM g""")
 def blogger_gates(spark, sf_dir):
-    return news.source_gates(metrics(spark, sf_dir)).select("source", "reason", "accepted")
+    both = news.source_gates(metrics(spark, sf_dir))
+    return news.source_gates(both.withColumnsRenamed({"reason": "r", "accepted": "a"}), deep=True).select("source", F.col("r").alias("reason"), F.col("a").alias("accepted"), F.col("reason").alias("deep_reason"))
 
 
 @query("rank_bloggers", f"WITH {P_SQL} SELECT source, row_number() OVER (ORDER BY dedicated DESC, relevant DESC, latest DESC NULLS LAST, source) AS rank FROM m")
@@ -130,9 +144,9 @@ def candidate_pool(spark, sf_dir):
     return news.candidate_pool(s).select("source")
 
 
-@query("source_coverage", f"WITH {P_SQL} SELECT source, posts, oldest, latest FROM m")
+@query("source_coverage", f"WITH {P_SQL} SELECT source, posts, oldest, newest AS latest FROM m")
 def source_coverage(spark, sf_dir):
-    return metrics(spark, sf_dir).select("source", "posts", "oldest", "latest")
+    return metrics(spark, sf_dir).select("source", "posts", "oldest", F.col("newest").alias("latest"))
 
 
 @query("same_date_news", f"WITH {I_SQL}, d AS (SELECT item_id, CASE WHEN item_id % 10 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(item_id % 5 AS INT) END AS published FROM i) SELECT count(*) FILTER (WHERE published IS NULL) AS missing_date, count(*) FILTER (WHERE published <> DATE '2024-01-03') AS other_date, count(*) FILTER (WHERE published = DATE '2024-01-03') AS kept FROM d")
