@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, contamination, importance, langid, passages, ppm, ring, simhash, winnow
+from tidemark.llm import bpe, chat, contamination, credentials, divergence, importance, langid, passages, ppm, ring, runs, simhash, winnow
 from tidemark.llm.common import table
 
 
@@ -91,6 +91,62 @@ def op10_bpe_transducer(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def repeating(docs):
+    """docs, with the words from a on of every tenth text (by h) replaced by the p words from a on, again and again, as the query's contract has it."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    a = F.pmod("g", F.size("w"))
+    p = 1 + F.call_function("div", F.size("w") - a, 3 + F.pmod("g", F.lit(8)))
+    rows = rows.where("size(w) > 0").select("doc_id", "w", a.cast("int").alias("a"), p.cast("int").alias("p")).unionByName(rows.where("coalesce(size(w), 0) < 1"), allowMissingColumns=True)
+    return rows
+
+
+def op11_periodic_runs(spark, sf_dir):
+    found = runs.periodic_runs(repeating(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    more = lambda x, r: F.when(x.isNull() | (r["length"] * x["period"] > x["length"] * r["period"]), r).otherwise(x)
+    best = F.aggregate("runs", none, more).alias("best")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+own AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY 1, 2, 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+every AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, k.n AS lang_n FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+size AS (SELECT lang, source, sum(n) + count(*) AS size, sum(lang_n) + count(*) AS lang_size FROM every GROUP BY 1, 2),
+p AS (
+  SELECT e.lang, e.source, e.term, e.n, 1 + CAST(CAST(1000000000 AS HUGEINT) * (e.n + 1) // CAST(s.size AS HUGEINT) AS BIGINT) AS p, 1 + CAST(CAST(1000000000 AS HUGEINT) * (e.lang_n + 1) // CAST(s.lang_size AS HUGEINT) AS BIGINT) AS q
+  FROM every e JOIN size s ON s.lang = e.lang AND s.source = e.source),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_secret_scan(spark, sf_dir):
+    found = credentials.scanned(table(spark, sf_dir, "documents"))
+    base = credentials.KINDS[:3]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(joined(of(*base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_simhash_bktree": op1_simhash_bktree,
     "op2_bounded_ring": op2_bounded_ring,
@@ -102,5 +158,8 @@ QUERIES = {
     "op8_importance_resampling": op8_importance_resampling,
     "op9_ppm_scores": op9_ppm_scores,
     "op10_bpe_transducer": op10_bpe_transducer,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_secret_scan": op13_secret_scan,
 }
-SQL = {"op4_preference_pairs": OP4_SQL, "op7_minhash_containment": OP7_SQL}
+SQL = {"op4_preference_pairs": OP4_SQL, "op7_minhash_containment": OP7_SQL, "op12_source_divergence": OP12_SQL}
