@@ -14,12 +14,6 @@ def lines(spark, *texts):
     return documents.lines(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
 
 
-def test_report_rows_do_not_overlap(spark):
-    text = "\n".join(["2024-01-02", "a", "b", "2024-01-03", "c", "d", "e", "2024-01-04", "f"])
-    got = documents.report_rows(lines(spark, text), cells=3).collect()
-    assert [(r["published"], r["c1"], r["c3"]) for r in got] == [(dt.date(2024, 1, 3), "c", "e")]
-
-
 def test_links_take_each_text_once(spark):
     links = spark.createDataFrame([(1, 0, "ab"), (1, 1, "ab"), (1, 2, "zz"), (2, 0, "x")], "page_id long, nth int, title string")
     texts = spark.createDataFrame([(1, 5, "abc"), (1, 7, "a"), (1, 9, "q")], "page_id long, row long, text string")
@@ -50,12 +44,6 @@ def test_endpoints_prefer_the_consolidated_statement(spark, tmp_path):
     assert got["board"].count() == 1
 
 
-def test_contents_children(spark):
-    items = spark.createDataFrame([(1, 1, 1, "missing"), (1, 2, 2, "parsed"), (1, 3, 3, "missing"), (1, 4, 2, "partial"), (1, 5, 1, "missing")], "doc_id int, line_no int, level int, status string")
-    got = {r["line_no"]: r["status"] for r in documents.container_status(items).collect()}
-    assert got == {1: "partial", 2: "parsed", 3: "missing", 4: "partial", 5: "missing"}
-
-
 @pytest.mark.parametrize(("text", "want"), [("005930.KS", "005930"), (" AAPL ", "AAPL"), (None, None)])
 def test_tickers(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")

@@ -1,4 +1,4 @@
-"""Documents: pages to links and text, lines to sections and tables, coverage, bullets and memo checks."""
+"""Documents: pages to links and text, lines, bullets, links, reports and posts."""
 
 from __future__ import annotations
 
@@ -82,60 +82,6 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def sections(lines_: DataFrame, heading: Column, level: Column) -> DataFrame:
-    """Sections of each document: a heading line and what follows it, with sizes, tables and numbers."""
-    by = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    marked = lines_.withColumns({"is_heading": heading, "level": level}).withColumn("section", F.sum(F.col("is_heading").cast("int")).over(by))
-    body = ~F.col("is_heading")
-    found = marked.groupBy("doc_id", "section").agg(
-        F.max(F.when(F.col("is_heading"), F.trim("line"))).alias("title"), F.max(F.when(F.col("is_heading"), F.col("level"))).alias("level"),
-        F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.sum(F.when(body, F.length("line")).otherwise(0)).alias("content_length"),
-        F.count_if(body & F.col("line").contains("|")).alias("table_count"), F.count_if(body & F.col("line").rlike(r"\d")).alias("numeric_count"),
-    )
-    return found.where("section > 0")
-
-
-def section_status(review_heavy: str) -> Column:
-    n, numbers, tables = (F.col(x) for x in ("content_length", "numeric_count", "table_count"))
-    return (
-        F.when(F.coalesce(n, F.lit(0)) == 0, "missing").when(n < 140, "partial")
-        .when(F.col("title").rlike(review_heavy) & (numbers == 0) & (tables == 0), "needs_review")
-        .when((n < 300) & (numbers <= 1), "partial").otherwise("parsed")
-    )
-
-
-def normal_title(title: Column) -> Column:
-    x = F.regexp_replace(F.regexp_replace(F.lower(title), r"\.{2,}\s*\d+$", ""), r"\s+\d+$", "")
-    return F.regexp_replace(x, r"[\s【】()\[\],.:;`'\"-]", "")
-
-
-def toc_sections(toc: DataFrame, sections_: DataFrame) -> DataFrame:
-    """Contents entries (doc_id, line_no, title, level) with the longest section of the same title."""
-    best = sections_.withColumn("key", normal_title(F.col("title")))
-    order = W.partitionBy("doc_id", "key").orderBy(F.desc("content_length"), "section")
-    best = best.withColumn("k", F.row_number().over(order)).where("k = 1").select("doc_id", "key", "section", "content_length", "status")
-    out = toc.withColumn("key", normal_title(F.col("title"))).join(best, ["doc_id", "key"], "left")
-    return out.withColumn("status", F.coalesce("status", F.lit("missing"))).drop("key")
-
-
-def container_status(items: DataFrame) -> DataFrame:
-    """Status of each contents entry from its direct children: later deeper entries without a closer parent."""
-    a = items.select("doc_id", F.col("line_no").alias("at"), F.col("level").alias("own"))
-    c = items.select("doc_id", "line_no", "level", F.col("status").alias("child"))
-    under = a.join(c, "doc_id").where("line_no > at and level > own")
-    least = F.min("level").over(W.partitionBy("doc_id", "at").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
-    direct = under.withColumn("closer", least).where("closer is null or closer >= level")
-    sums = direct.groupBy("doc_id", F.col("at").alias("line_no")).agg(F.count("*").alias("n"), F.count_if(F.col("child") == "parsed").alias("parsed"), F.count_if(F.col("child") == "partial").alias("partial"))
-    status = F.when(F.col("parsed") == F.col("n"), "parsed").when((F.col("parsed") > 0) | (F.col("partial") > 0), "partial").otherwise(F.col("status"))
-    return items.join(sums, ["doc_id", "line_no"], "left").withColumn("status", F.when(F.col("n").isNull(), F.col("status")).otherwise(status)).drop("n", "parsed", "partial")
-
-
-def coverage_report(items: DataFrame) -> DataFrame:
-    count = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
-    out = items.groupBy("doc_id").agg(F.count("*").alias("n"), *map(count, ("parsed", "partial", "missing", "needs_review")))
-    return out.withColumn("completion", F.round(F.col("n_parsed") / F.col("n"), 4))
-
-
 def line_score(line: Column, keywords: list[str]) -> Column:
     """Two for an arrow, one for a digit and for each keyword, three less where figures and what stands between them make up the line."""
     total = F.when(F.contains(line, F.lit("→")), 2).otherwise(0) + F.when(line.rlike(r"\d"), 1).otherwise(0)
@@ -151,27 +97,17 @@ def one_liner_score(line: Column, keywords: list[str]) -> Column:
     return line_score(line, keywords) + F.when(whole, 1).otherwise(0) - F.when(broken, 1).otherwise(0)
 
 
-def bullets(lines_: DataFrame, keywords: list[str], most: int = 8, budget: int = 1200, shortest: int = 8, longest: int = 400) -> DataFrame:
-    """The best distinct lines of each document within a budget of characters."""
-    x = lines_.select("doc_id", F.trim("line").alias("line")).where(F.length("line").between(shortest, longest)).distinct().withColumn("score", line_score(F.col("line"), keywords))
-    by = W.partitionBy("doc_id").orderBy(F.desc("score"), "line")
-    return x.withColumns({"rank": F.row_number().over(by), "used": F.sum(F.length("line")).over(by.rowsBetween(W.unboundedPreceding, 0))}).where((F.col("rank") <= most) & (F.col("used") <= budget))
-
-
-def memo_checks(docs: DataFrame, need: list[str], least_claims: int = 3) -> DataFrame:
-    """(doc_id, check, passed): needed words, a claim count, length and line checks of each memo."""
-    text = F.col("text")
-    checks = {f"has-{w}": F.contains(F.lower(text), F.lit(w.lower())) for w in need}
-    checks |= {"claims": F.regexp_count(text, F.lit(r"\. ")) >= least_claims, "dated": text.rlike(r"\d{4}-\d{2}-\d{2}"), "not-empty": F.length(F.trim(text)) > 0, "several-lines": F.size(F.split(text, "\n")) > 1}
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("check"), v.alias("passed")) for k, v in checks.items())))
-    return docs.select("doc_id", each.alias("c")).select("doc_id", "c.*")
-
+def bullets(lines_: DataFrame, keywords: list[str], most: int = 8, budget: int = 1200, shortest: int = 8, longest: int = 400, shown: int = 220, least: int = 5) -> DataFrame:
+    """The best distinct lines of each document: ``least`` of them whatever their length, then up to ``most`` while they fit a budget of characters.
 
-def md_cells(lines_: DataFrame) -> DataFrame:
-    """(doc_id, line_no, col, text) of pipe-delimited lines."""
-    rows = lines_.where(F.regexp_count("line", F.lit(r"\|")) >= 2)
-    cells = F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|")
-    return rows.select("doc_id", "line_no", F.posexplode(F.transform(cells, lambda x: F.trim(x))).alias("col", "text"))
+    Lines are scored whole and shown up to a length. The first that does not fit ends the choice.
+    """
+    x = lines_.select("doc_id", F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line")).where(F.length("line").between(shortest, longest)).distinct().withColumn("score", line_score(F.col("line"), keywords))
+    cut = F.when(F.length("line") <= shown, F.col("line")).otherwise(F.concat(F.rtrim(F.substring("line", 1, shown - 1)), F.lit("…")))
+    by = W.partitionBy("doc_id").orderBy(F.desc("score"), "line")
+    ranked = x.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most).withColumn("bullet", cut)
+    used = F.sum(F.length("bullet")).over(by.rowsBetween(W.unboundedPreceding, 0))
+    return ranked.withColumn("used", used).where((F.col("rank") <= least) | (F.col("used") <= budget)).select("doc_id", "rank", F.col("bullet").alias("line"), "score", "used")
 
 
 def split_narrative(lines_: DataFrame, roman: str = r"^\s*[IVX]+\.\s", decimal: str = r"^\s*\d+\.\s", longest: int = 80) -> DataFrame:
@@ -224,16 +160,6 @@ def link_lines(lines_: DataFrame, arrow: str = " → ", key: str = r"[?&](?:id|n
     return rows.withColumn("k", F.row_number().over(W.partitionBy("doc_id", "link_id").orderBy("line_no"))).where("k = 1").drop("k")
 
 
-def report_rows(lines_: DataFrame, date: str = r"^\d{4}-\d{2}-\d{2}$", cells: int = 7) -> DataFrame:
-    """Blocks of a date line and the cells after it, none of which is a date line or in the block before."""
-    by = W.partitionBy("doc_id").orderBy("line_no")
-    rows = lines_.withColumns({f"c{i}": F.lead("line", i).over(by) for i in range(1, cells + 1)})
-    whole = F.col("line").rlike(date) & F.col(f"c{cells}").isNotNull()
-    for i in range(1, cells + 1):
-        whole = whole & ~F.coalesce(F.col(f"c{i}").rlike(date), F.lit(True))
-    return rows.where(whole).withColumn("published", F.col("line").try_cast("date")).drop("line")
-
-
 def link_text_match(links: DataFrame, texts: DataFrame) -> DataFrame:
     """Each link (page_id, nth, title) with the first unused text row (page_id, row, text) where one begins with the other.
 

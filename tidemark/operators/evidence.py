@@ -77,12 +77,6 @@ def notes(warnings: DataFrame, classes: list[tuple[str, str]], most: int = 4) ->
     return each.withColumn("rank", F.row_number().over(W.partitionBy("run").orderBy("place"))).where(F.col("rank") <= most).select("run", "rank", "note")
 
 
-def section_evidence(sections: DataFrame, deepest: int = 2, most: int = 20) -> DataFrame:
-    """Key sections of each document with their status, and whether they are to be looked at again."""
-    key = sections.where(F.col("level") <= deepest).withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("start_line"))).where(F.col("rank") <= most)
-    return key.withColumn("check_next", F.col("status").isin("missing", "needs_review")).select("doc_id", "rank", "title", "status", "check_next")
-
-
 def leader_names(rankings: DataFrame, lenses: tuple[str, ...] = ("short", "intermediate", "structural"), top: int = 3, most: int = 8) -> DataFrame:
     """The first names of several lenses, each once, in the order of lenses and ranks."""
     place = F.array_position(F.array(*map(F.lit, lenses)), F.col("lens"))
@@ -201,14 +195,6 @@ def broker_views_extract(articles: DataFrame, aliases: DataFrame, around: int =
     )
 
 
-def table_mismatches(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """One row for each cell (doc_id, line_no, col) that is missing, added or of another text."""
-    on = ["doc_id", "line_no", "col"]
-    both = expected.select(*on, F.col("text").alias("expected")).join(actual.select(*on, F.col("text").alias("actual")), on, "full")
-    kind = F.when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "added").when(F.col("actual") != F.col("expected"), "changed")
-    return both.withColumn("kind", kind).where("kind is not null")
-
-
 def public_view(text: Column, internal: list[str]) -> Column:
     """A memo's lines without internal ones, images and link targets."""
     own = lambda x: ~x.rlike("(?i)" + "|".join(internal))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.operators.spread import total_rank
+
 RATINGS = ("BUY", "HOLD", "SELL")  # also the order in which equal counts win
 TP_OFF, RECENT = 0.15, 6
 
@@ -71,18 +73,26 @@ def merged_views(views: DataFrame) -> DataFrame:
     )
 
 
-def broker_views(views: DataFrame, by: str = "company") -> DataFrame:
-    """Median target price, brokers of each rating, and whether the views agree."""
-    n = {r: F.count_if(F.col("rating") == r) for r in RATINGS}
-    out = views.groupBy(by).agg(F.count("*").alias("n_views"), F.median("target_price").alias("tp_median"), *(x.alias(f"n_{r.lower()}") for r, x in n.items()), F.count_distinct("rating").alias("n_ratings"))
+def broker_views(views: DataFrame, by: str = "company", most: int = 8) -> DataFrame:
+    """Of a company's newest views (published, broker, report_id decide), up to ``most``: median target price (of two middle ones the mean, rounded),
+    the brokers of each rating in that order, and whether the views agree.
+    """
+    nth = F.row_number().over(W.partitionBy(by).orderBy(F.desc_nulls_last("published"), "broker", "report_id"))
+    shown = views.select(by, "broker", "rating", "target_price", nth.alias("nth")).where(F.col("nth") <= most)
+    brokers = lambda r: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rating") == r, F.struct("nth", "broker")))), lambda x: x["broker"]), ", ").alias(f"{r.lower()}_brokers")
+    middle = F.when(F.count("target_price") % 2 == 0, F.floor(F.median("target_price") + 0.5)).otherwise(F.median("target_price"))
+    out = shown.groupBy(by).agg(F.count("*").alias("n_views"), middle.alias("tp_median"), *map(brokers, RATINGS), F.count_distinct("rating").alias("n_ratings"))
     return out.withColumn("verdict", F.when(F.col("n_ratings") == 0, "none").when(F.col("n_ratings") == 1, "agree").otherwise("split"))
 
 
 def source_quality(reports: DataFrame) -> DataFrame:
+    """How many reports were read, gated, without a file or failed; their days, sites, pages and bytes. Pages and bytes are those of what was read."""
     extracted, gated, none = F.col("extraction_ok"), F.col("requires_auth"), F.col("pdf_url").isNull()
+    read = lambda c: F.coalesce(F.sum(F.when(extracted, F.col(c))), F.lit(0))
     return reports.agg(
-        F.count_if(extracted).alias("extracted"), F.count_if(~extracted & gated).alias("gated"), F.count_if(~extracted & ~gated & none).alias("no_pdf"),
-        F.count_if(~extracted & ~gated & ~none).alias("failed"), F.date_diff(F.max("published"), F.min("published")).alias("span_days"), F.count_distinct("site").alias("n_sites"),
+        F.count("*").alias("n"), F.count_if(extracted).alias("extracted"), F.count_if(~extracted & gated).alias("gated"), F.count_if(~extracted & ~gated & none).alias("no_pdf"),
+        F.count_if(~extracted & ~gated & ~none).alias("failed"), F.coalesce(F.date_diff(F.max("published"), F.min("published")), F.lit(0)).alias("span_days"), F.array_sort(F.collect_set("site")).alias("sites"),
+        read("pages").alias("pages"), read("bytes").alias("bytes"),
     )
 
 
@@ -206,7 +216,8 @@ def backlog_ratios(backlog: DataFrame, revenue: DataFrame) -> DataFrame:
 def peer_table(peers: DataFrame, metric: str, ascending: bool = True) -> DataFrame:
     """Peers in order of a metric, missing ones last, with the median beside each."""
     order = F.asc_nulls_last(metric) if ascending else F.desc_nulls_last(metric)
-    return peers.withColumns({"rank": F.row_number().over(W.orderBy(order, "ticker")), "median": F.median(metric).over(W.partitionBy())})
+    middle = peers.agg(F.median(metric).alias("median"))
+    return total_rank(peers, [order, F.asc("ticker")], "rank").crossJoin(F.broadcast(middle))
 
 
 def band_label(percentile: Column) -> Column:

@@ -5,17 +5,49 @@ Vocabularies are parameters: lists of terms or (pattern, points) pairs, or small
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.operators.spread import components, total_rank
 from tidemark.sources.shared import written
 
 TRACKING = r"(utm_[^=&]*|fbclid|gclid|ncid|sid|session|tracking)=[^&#]*"
 
 
+# Fixed patterns and words: what is news of the market, of a sector, and of neither; terms too broad to name a sector.
+MARKET = r"(?i)코스피|코스닥|증시|주식시장|시장\s*(?:흐름|마감|전망|수급)|외국인|기관|금리|환율|원화|달러|마감|상승|하락|급등|급락"
+LOW_PRIORITY = r"(?i)유상증자|제3자배정|시간외|애프터마켓|after\s*market|신규\s*상장|상장예비심사|예심\s*청구|공모가|주요공시|취득|처분|단일판매|공급계약|투자주의|조회공시|풍문"
+NO_SECTOR = r"(?i)\bLH\b|한국토지주택공사|부동산\s*(?:대책|시장|거래|분양)|아파트|청약|전세|월세|노동|파업|임금|세관|관세청|밀수|압수"
+BROAD = "AI 부품 기계 건설 철강 금융 증권 보험 화학 정유 유통 미디어 게임 인터넷 소비재".split()
+
+
+def is_direct(url: Column, discovery: Column, host: str) -> Column:
+    """An article of its own: with an address, that is neither found by discovery nor on the discovery host."""
+    at = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    return (F.coalesce(url, F.lit("")) != "") & ~F.coalesce(discovery, F.lit(False)) & (at != host)
+
+
+def is_market(text: Column) -> Column:
+    return text.rlike(MARKET)
+
+
+def sector_terms(sector: str, names: list[str], keywords: list[str]) -> list[str]:
+    """The terms of a sector: the parts of its name and its keywords, of two characters or more and not broad, and its stocks' names."""
+    fit = lambda words: [w for w in (" ".join(x.split()) for x in words) if len(w) >= 2 and w not in BROAD]
+    return list(dict.fromkeys([*fit(sector.replace("/", " ").split()), *filter(None, names), *fit(keywords)]))
+
+
+def is_sector(text: Column, terms: list[str]) -> Column:
+    """News of a sector: one of its terms, and neither what no sector wants nor routine disclosures."""
+    named = reduce(lambda a, b: a | b, (F.contains(text, F.lit(t)) for t in terms), F.lit(False))
+    return named & ~text.rlike(NO_SECTOR) & ~text.rlike(LOW_PRIORITY)
+
+
 def squeezed(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
@@ -76,13 +108,6 @@ def event_tags(text: Column, names: dict[str, str], up: str, down: str, tags: li
     return out | {"tags": F.array_join(F.slice(all_labels(text, tags), 1, most), ", ")}
 
 
-def title_classes(title: Column, trading: list[str], separators: str = r"[,·/|]", listicle: int = 3) -> dict[str, Column]:
-    return {
-        "is_trading": matches(title, trading), "is_listicle": F.regexp_count(title, F.lit(separators)) >= listicle, "is_bracketed": title.rlike(r"^\s*[\[【(]"),
-        "is_formulaic": title.rlike(r"(?i)^(the|of|is) .*\b(the|of|is)\b"), "has_number": title.rlike(r"\d"),
-    }
-
-
 def without_chrome(text: Column, drop: list[str], most: int = 3000) -> Column:
     """Lines that are not boilerplate, as far as most characters."""
     line = lambda x: ~F.trim(x).isin(*drop) & ~x.rlike(r"^\s*https?://\S+\s*$") & (F.trim(x) != "")
@@ -120,29 +145,71 @@ def ranked(items: DataFrame, top: int, least: int | None = None) -> DataFrame:
     return kept.orderBy(F.desc("score"), "seq").limit(top)
 
 
-def deduped(items: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """items in order of seq, each kept unless an earlier kept one has one of its keys.
+def news_keys(url: Column, headline: Column) -> tuple[Column, Column]:
+    """(address, headline) as dedupe keys: an item without an address has its headline for one, an empty headline is no second key."""
+    title = F.lower(squeezed(F.coalesce(headline, F.lit(""))))
+    address = F.nullif(url_key(squeezed(F.coalesce(url, F.lit("")))), F.lit(""))
+    named = F.concat(F.lit("headline:"), title)
+    return F.coalesce(F.concat(F.lit("url:"), address), named), F.when(title != "", named)
+
+
+def deduped(items: DataFrame, keys: list[str], seq: str = "seq", rounds: int = 3, together: int = 1_000_000) -> DataFrame:
+    """items in order of seq (a unique long), each kept unless an earlier kept one has one of its keys.
 
-    A dropped item's keys do not count, so this is not a dropDuplicates for each key. In a
-    round, every item that is the first undecided one of all of its keys is kept, and those
-    that share a key with it are dropped; that gives what going through in order gives,
-    in as many rounds as the longest chain of items that decide each other.
+    A dropped item's keys do not count, so this is not a dropDuplicates for each key. Of items with the same keys only the
+    first can be kept. In a round, every item that is the first undecided one of all of its keys is kept, and those that share
+    a key with it are dropped. What a few rounds leave undecided are chains of items that decide each other: they are split
+    into components, each gone through in order by one task, whatever the length of its chains. A component of more than
+    ``together`` items gets further rounds instead, which all tasks share.
     """
-    open_ = written(items.select(seq, *keys), "open")
-    kept = None
-    while True:
-        state = open_
-        for i, k in enumerate(keys):
-            first = open_.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(seq).alias(f"__first{i}"))
-            state = state.join(first, k, "left")
-        wins = reduce(lambda a, b: a & b, (F.coalesce(F.col(f"__first{i}") == F.col(seq), F.lit(True)) for i in range(len(keys))))
-        won = written(state.where(wins).select(seq, *keys), "kept")
-        kept = won if kept is None else kept.unionByName(won)
-        for k in keys:
-            open_ = open_.join(won.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti").select(seq, *keys)
-        open_ = written(open_.join(won.select(seq), seq, "left_anti").select(seq, *keys), "open")
-        if open_.isEmpty():
-            return items.join(kept.select(seq), seq, "left_semi")
+    open_ = written(items.groupBy(*keys).agg(F.min(seq).alias(seq)).where(F.coalesce(*keys).isNotNull()), "open")
+    kept = items.where(F.coalesce(*keys).isNull()).select(seq)
+
+    def firsts(rows: DataFrame, k: str) -> DataFrame:
+        return written(rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(seq).alias("__first")), "first")
+
+    while not open_.isEmpty():
+        for _ in range(rounds):
+            state = open_
+            for i, k in enumerate(keys):
+                state = state.join(firsts(open_, k).withColumnRenamed("__first", f"__first{i}"), k, "left")
+            wins = reduce(lambda a, b: a & b, (F.coalesce(F.col(f"__first{i}") == F.col(seq), F.lit(True)) for i in range(len(keys))))
+            won = written(state.where(wins).select(seq, *keys), "kept")
+            kept = kept.unionByName(won.select(seq))
+            for k in keys:
+                open_ = open_.join(written(won.where(F.col(k).isNotNull()).select(k).distinct(), "taken"), k, "left_anti").select(seq, *keys)
+            open_ = written(open_.join(won.select(seq), seq, "left_anti").select(seq, *keys), "open")
+            if open_.isEmpty():
+                return items.join(kept, seq, "left_semi")
+        links = [open_.where(F.col(k).isNotNull()).join(firsts(open_, k), k).select(F.col(seq).alias("u"), F.col("__first").alias("v")) for k in keys]
+        parts = components(reduce(DataFrame.unionByName, links)).withColumnsRenamed({"node": seq, "component": "__component"})
+        sizes = parts.groupBy("__component").agg((F.count("*") > together).alias("__giant"))
+        parts = written(open_.join(parts, seq, "left").withColumn("__component", F.coalesce("__component", seq)).join(sizes, "__component", "left"), "parts")
+        small = parts.where(F.coalesce(~F.col("__giant"), F.lit(True)))
+        kept = kept.unionByName(written(_in_order(small, keys, seq), "kept"))
+        open_, rounds = written(parts.where("__giant").select(seq, *keys), "open"), rounds * 4
+    return items.join(kept, seq, "left_semi")
+
+
+def _in_order(parts: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """(seq) of what going through each component in order keeps; a task reads its components one after the other."""
+    columns = [F.col("__component").alias("component"), F.col(seq).alias("seq"), *(F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys))]
+    dealt = parts.select(*columns).repartition("component").sortWithinPartitions("component", "seq")
+
+    def gone_through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component, seen = None, set()
+        for b in batches:
+            kept = []
+            for c, n, *own in b.itertuples(index=False, name=None):
+                if c != component:
+                    component, seen = c, set()
+                own = [(i, k) for i, k in enumerate(own) if isinstance(k, str)]
+                if not any(k in seen for k in own):
+                    seen.update(own)
+                    kept.append(n)
+            yield pd.DataFrame({seq: pd.Series(kept, dtype="int64")})
+
+    return dealt.mapInPandas(gone_through, f"{seq} long")
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -157,21 +224,6 @@ def theme_rollup(items: DataFrame, patterns: list[tuple[str, str]], most: int =
     return each.groupBy("theme").agg(F.count("*").alias("n")).join(heads, "theme")
 
 
-def tokens(text: Column, stop: list[str], least: int = 2) -> Column:
-    """Words without punctuation, stop words, numbers and short ones, in lower case."""
-    word = F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " ")
-    return F.filter(word, lambda x: (F.length(x) >= least) & ~x.rlike(r"^\d+$") & ~x.isin(*stop))
-
-
-def ngrams(docs: DataFrame, stop: list[str], least: int = 3, top: int = 10) -> DataFrame:
-    """(n, term, count): the most frequent words and word pairs over all texts."""
-    t = docs.select(tokens(F.col("text"), stop).alias("t"))
-    pairs = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    each = t.select(F.explode("t").alias("term")).withColumn("n", F.lit(1)).unionByName(t.select(F.explode(pairs).alias("term")).withColumn("n", F.lit(2)))
-    counts = each.groupBy("n", "term").agg(F.count("*").alias("count")).where(F.col("count") >= least)
-    return counts.withColumn("k", F.row_number().over(W.partitionBy("n").orderBy(F.desc("count"), "term"))).where(F.col("k") <= top).drop("k")
-
-
 def source_metrics(posts: DataFrame, by: str, as_of: Column, timeline: int = 20, old: int = 365) -> DataFrame:
     """Counts of a source's posts: all, its first page, what names the company there, and its newest posts on anything.
 
@@ -185,7 +237,7 @@ def source_metrics(posts: DataFrame, by: str, as_of: Column, timeline: int = 20,
     single = F.col("relevant") & ~F.col("is_trading") & ~F.col("is_listicle")
     own = found & single
     counts = posts.groupBy(by).agg(
-        F.count("*").alias("posts"), F.count_if(F.col("page") == 1).alias("page1"), F.count_if((F.col("page") == 1) & F.col("is_trading")).alias("page1_trading"),
+        F.count("*").alias("posts"), F.max("page").cast("long").alias("pages"), F.count_if(F.col("page") == 1).alias("page1"), F.count_if((F.col("page") == 1) & F.col("is_trading")).alias("page1_trading"),
         F.count_if(found).alias("relevant"), F.count_if(found & F.col("is_listicle")).alias("listicles"), F.count_if(found & F.col("is_trading")).alias("trading"),
         F.count_if(own).alias("dedicated"), F.count_if(own & F.col("is_formulaic")).alias("dedicated_formulaic"), F.count_if(single & F.col("is_deep_tech")).alias("deep_tech"),
         F.count(F.when(found, F.col("published"))).alias("dated"), F.count_if(found & (F.date_diff(as_of, F.col("published")) > old)).alias("stale"),
@@ -215,9 +267,10 @@ def source_gates(metrics: DataFrame, deep: bool = False, least: int = 2) -> Data
     return metrics.withColumns({"reason": reason, "accepted": reason.isNull()})
 
 
-def ranked_sources(metrics: DataFrame, by: str) -> DataFrame:
-    order = [F.desc("dedicated"), F.desc("relevant"), F.desc_nulls_last("latest"), F.asc(by)]
-    return metrics.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+def ranked_sources(metrics: DataFrame, by: str, deep: bool = False) -> DataFrame:
+    """Sources with an anchor first (deep: those with the most deep posts), then by dedicated and relevant posts, pages, the latest day and name."""
+    first = F.desc("deep_tech") if deep else F.desc(F.size("anchors") > 0)
+    return total_rank(metrics, [first, F.desc("dedicated"), F.desc("relevant"), F.desc("pages"), F.desc_nulls_last("latest"), F.asc(by)], "rank")
 
 
 def candidate_pool(sources: DataFrame, top: int = 10) -> DataFrame:

@@ -27,50 +27,6 @@ def html_to_text(spark, sf_dir):
 
 
 L_SQL = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)"
-HEAD = "length(line) < 40 AND line <> ''"
-S_SQL = f"""{L_SQL}, m AS (SELECT *, {HEAD} AS h, 1 + length(line) % 3 AS level FROM l), n AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM m),
-s AS (SELECT doc_id, CAST(section AS BIGINT) AS section, max(CASE WHEN h THEN trim(line) END) AS title, max(CASE WHEN h THEN level END) AS level, min(line_no) AS start_line, max(line_no) AS end_line, CAST(sum(CASE WHEN NOT h THEN length(line) ELSE 0 END) AS BIGINT) AS content_length,
-  count(*) FILTER (WHERE NOT h AND contains(line, '|')) AS table_count, count(*) FILTER (WHERE NOT h AND regexp_matches(line, '[0-9]')) AS numeric_count FROM n GROUP BY 1, 2 HAVING section > 0),
-st AS (SELECT *, CASE WHEN content_length = 0 THEN 'missing' WHEN content_length < 140 THEN 'partial' WHEN regexp_matches(title, 'tion') AND numeric_count = 0 AND table_count = 0 THEN 'needs_review' WHEN content_length < 300 AND numeric_count <= 1 THEN 'partial' ELSE 'parsed' END AS status FROM s)"""
-
-
-def sections(spark, sf_dir):
-    lines = d.lines(table(spark, sf_dir, "documents"))
-    s = d.sections(lines, (F.length("line") < 40) & (F.col("line") != ""), (1 + F.length("line") % 3))
-    return s.withColumn("status", d.section_status("tion"))
-
-
-@query("doc_sections", f"WITH {S_SQL} SELECT doc_id, section, title, CAST(level AS BIGINT) AS level, start_line, end_line, content_length, table_count, numeric_count FROM s")
-def doc_sections(spark, sf_dir):
-    return out(sections(spark, sf_dir).drop("status"))
-
-
-@query("section_status", f"WITH {S_SQL} SELECT doc_id, section, status FROM st")
-def section_status(spark, sf_dir):
-    return sections(spark, sf_dir).select("doc_id", "section", "status")
-
-
-@query("toc_sections", f"""WITH {S_SQL}, t AS (SELECT doc_id, start_line AS line_no, title || ' ...... 12' AS title FROM s WHERE section % 2 = 1), norm AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(title), '[.]{{2,}}\\s*[0-9]+$', ''), '\\s+[0-9]+$', ''), '[\\s【】()\\[\\],.:;`''"-]', '', 'g') AS key FROM st),
-b AS (SELECT * FROM norm QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY content_length DESC, section) = 1)
-SELECT t.doc_id, t.line_no, b.section, b.status FROM t JOIN norm n ON n.doc_id = t.doc_id AND n.start_line = t.line_no LEFT JOIN b ON b.doc_id = t.doc_id AND b.key = n.key""")
-def toc_sections(spark, sf_dir):
-    s = sections(spark, sf_dir)
-    toc = s.where("section % 2 = 1").select("doc_id", F.col("start_line").alias("line_no"), F.concat("title", F.lit(" ...... 12")).alias("title"))
-    return out(d.toc_sections(toc, s), "doc_id", "line_no", "section", "status")
-
-
-@query("toc_children", f"""WITH {S_SQL}, i AS (SELECT doc_id, start_line AS line_no, level, status FROM st), c AS (SELECT a.doc_id, a.line_no AS par, b.line_no, b.level, b.status FROM i a JOIN i b ON a.doc_id = b.doc_id AND b.line_no > a.line_no AND b.level > a.level),
-dc AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.doc_id = c.doc_id AND o.par = c.par AND o.line_no < c.line_no AND o.level < c.level)), g AS (SELECT doc_id, par AS line_no, count(*) AS n, count(*) FILTER (WHERE status = 'parsed') AS p, count(*) FILTER (WHERE status = 'partial') AS q FROM dc GROUP BY 1, 2)
-SELECT i.doc_id, i.line_no, CASE WHEN n IS NULL THEN status WHEN p = n THEN 'parsed' WHEN p > 0 OR q > 0 THEN 'partial' ELSE status END AS status FROM i LEFT JOIN g ON g.doc_id = i.doc_id AND g.line_no = i.line_no""")
-def toc_children(spark, sf_dir):
-    items = sections(spark, sf_dir).select("doc_id", F.col("start_line").alias("line_no"), "level", "status")
-    return out(d.container_status(items), "doc_id", "line_no", "status")
-
-
-@query("coverage_report", f"WITH {S_SQL}, c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE status = 'parsed') AS n_parsed, count(*) FILTER (WHERE status = 'partial') AS n_partial, count(*) FILTER (WHERE status = 'missing') AS n_missing, count(*) FILTER (WHERE status = 'needs_review') AS n_needs_review FROM st GROUP BY 1) SELECT *, round(n_parsed / n, 4) AS completion FROM c")
-def coverage_report(spark, sf_dir):
-    return d.coverage_report(sections(spark, sf_dir))
-
 
 WORDS = ["license", "token", "worthless"]
 LINE_SQL = "CASE WHEN contains(line, '→') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(line, '[0-9]') THEN 1 ELSE 0 END + " + " + ".join(f"CASE WHEN contains(line, '{w}') THEN 1 ELSE 0 END" for w in WORDS) + " - CASE WHEN len(regexp_extract_all(line, '[0-9\\s,.()/%-]')) / greatest(length(line), 1) > 0.6 THEN 3 ELSE 0 END"
@@ -86,44 +42,19 @@ def one_liner_score(spark, sf_dir):
     return out(d.lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", d.one_liner_score(F.col("line"), WORDS).alias("score")))
 
 
-@query("budgeted_bullets", f"""WITH {L_SQL}, x AS (SELECT DISTINCT doc_id, trim(line) AS line FROM l WHERE length(trim(line)) BETWEEN 8 AND 400), s AS (SELECT *, {LINE_SQL} AS score FROM x),
-r AS (SELECT *, row_number() OVER w AS rank, sum(length(line)) OVER w AS used FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, line ROWS UNBOUNDED PRECEDING)) SELECT doc_id, rank, line, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 8 AND used <= 1200""")
+@query("budgeted_bullets", f"""WITH {L_SQL}, x AS (SELECT DISTINCT doc_id, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM l), s AS (SELECT *, {LINE_SQL} AS score FROM x WHERE length(line) BETWEEN 8 AND 400),
+t AS (SELECT *, CASE WHEN length(line) <= 220 THEN line ELSE rtrim(left(line, 219)) || '…' END AS cut FROM s),
+r AS (SELECT *, row_number() OVER w AS rank, sum(length(cut)) OVER w AS used FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, line ROWS UNBOUNDED PRECEDING)) SELECT doc_id, rank, cut AS line, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 8 AND (rank <= 5 OR used <= 1200)""")
 def budgeted_bullets(spark, sf_dir):
     return out(d.bullets(d.lines(table(spark, sf_dir, "documents")), WORDS), "doc_id", "rank", "line", "score")
 
 
-@query("memo_gate", """SELECT doc_id, unnest(['has-license', 'has-the', 'claims', 'dated', 'not-empty', 'several-lines']) AS check, unnest([contains(lower(text), 'license'), contains(lower(text), 'the'), len(regexp_extract_all(text, '[.] ')) >= 3, regexp_matches(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), length(trim(text)) > 0, len(string_split(text, chr(10))) > 1]) AS passed FROM documents""")
-def memo_gate(spark, sf_dir):
-    return d.memo_checks(table(spark, sf_dir, "documents"), ["license", "the"])
-
-
-@query("md_tables", f"WITH {L_SQL}, r AS (SELECT doc_id, line_no, string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|') AS c FROM l WHERE len(regexp_extract_all(line, '\\|')) >= 2) SELECT doc_id, line_no, unnest(range(len(c))) AS col, trim(unnest(c)) AS text FROM r")
-def md_tables(spark, sf_dir):
-    return out(d.md_cells(d.lines(table(spark, sf_dir, "documents"))))
-
-
 @query("split_narrative", f"""WITH {L_SQL}, m AS (SELECT *, length(line) <= 80 AND regexp_matches(line, '^[EIL]') AS r, length(line) <= 80 AND regexp_matches(line, '^[A-D]') AS x FROM l), h AS (SELECT *, max(r::INT) OVER (PARTITION BY doc_id) = 1 AS has FROM m),
 o AS (SELECT *, CASE WHEN has THEN r ELSE x END AS heading, has AND x AS inner_ FROM h) SELECT doc_id, line_no, heading, inner_ AS inner, CAST(sum(heading::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS section FROM o""")
 def split_narrative(spark, sf_dir):
     return out(d.split_narrative(d.lines(table(spark, sf_dir, "documents")), "^[EIL]", "^[A-D]"), "doc_id", "line_no", "heading", "inner", "section")
 
 
-@query("parse_link_lines", f"""WITH {L_SQL}, s AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS snippet FROM l), p AS (SELECT doc_id, line_no, trim(line[:instr(line, ' | ') - 1]) AS title, trim(line[instr(line, ' | ') + 3:]) AS url, snippet FROM s WHERE contains(line, ' | '))
-SELECT doc_id, line_no, title, url, snippet FROM p WHERE length(title) >= 4 QUALIFY row_number() OVER (PARTITION BY doc_id, url ORDER BY line_no) = 1""")
-def parse_link_lines(spark, sf_dir):
-    """A pipe between blanks stands in for the arrow."""
-    rows = d.link_lines(d.lines(table(spark, sf_dir, "documents")).withColumn("line", F.replace("line", F.lit(" | "), F.lit(" → "))))
-    back = {c: F.replace(c, F.lit(" → "), F.lit(" | ")) for c in ("title", "url", "snippet")}
-    return out(rows.withColumns(back), "doc_id", "line_no", "title", "url", "snippet")
-
-
-@query("parse_report_rows", f"""WITH {L_SQL}, s AS (SELECT *, lead(line, 1) OVER w AS c1, lead(line, 2) OVER w AS c2, lead(line, 3) OVER w AS c3 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
-SELECT doc_id, line_no, c1, c2, c3 FROM s WHERE regexp_matches(line, '^[AE]') AND c3 IS NOT NULL AND NOT regexp_matches(c1, '^[AE]') AND NOT regexp_matches(c2, '^[AE]') AND NOT regexp_matches(c3, '^[AE]')""")
-def parse_report_rows(spark, sf_dir):
-    """Lines that begin with A or E stand in for date lines."""
-    return out(d.report_rows(d.lines(table(spark, sf_dir, "documents")), "^[AE]", 3), "doc_id", "line_no", "c1", "c2", "c3")
-
-
 @query("link_text_match")
 def link_text_match(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")

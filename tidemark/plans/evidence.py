@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import documents as d
 from tidemark.operators import evidence as ev
 from tidemark.operators import fundamentals, news, screen
-from tidemark.plans.documents import ANCHOR, S_SQL, sections
+from tidemark.plans.documents import ANCHOR
 from tidemark.plans.fundamentals import R_SQL, reports
 from tidemark.plans.market import LENS_SQL, U_SQL, scores
 from tidemark.plans.news import I_SQL, items
@@ -72,11 +72,6 @@ def collection_notes(spark, sf_dir):
     return out(ev.notes(items(spark, sf_dir).select(F.col("source").alias("run"), F.col("text").alias("warning")), NOTES))
 
 
-@query("section_evidence", f"WITH {S_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_line) AS rank, title, status, status IN ('missing', 'needs_review') AS check_next FROM st WHERE level <= 2 QUALIFY rank <= 20")
-def section_evidence(spark, sf_dir):
-    return out(ev.section_evidence(sections(spark, sf_dir)))
-
-
 @query("leader_names", f"{U_SQL}, {LENS_SQL('u', 3)}, o AS (SELECT ticker, min((list_position(['short', 'intermediate', 'structural'], lens), rank)) AS k FROM lu WHERE lens <> 'composite' GROUP BY 1) SELECT row_number() OVER (ORDER BY k) AS nth, ticker FROM o QUALIFY nth <= 8")
 def leader_names(spark, sf_dir):
     return out(ev.leader_names(screen.lens_rankings(scores(spark, sf_dir), 3)))
@@ -143,14 +138,6 @@ def broker_views_extract(spark, sf_dir):
     return out(ev.broker_views_extract(items(spark, sf_dir).select(F.col("item_id").alias("article_id"), F.concat("text", said).alias("text"), published.alias("published")), aliases))
 
 
-@query("md_table_check", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents), r AS (SELECT doc_id, line_no, string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|') AS c FROM l WHERE len(regexp_extract_all(line, '\\|')) >= 2),
-c AS (SELECT doc_id, line_no, unnest(range(len(c))) AS col, trim(unnest(c)) AS text FROM r) SELECT doc_id, line_no, col, text AS expected, CASE WHEN col % 5 = 0 THEN NULL ELSE text || '!' END AS actual, CASE WHEN col % 5 = 0 THEN 'missing' ELSE 'changed' END AS kind FROM c WHERE col % 5 = 0 OR col % 7 = 0""")
-def md_table_check(spark, sf_dir):
-    cells = d.md_cells(d.lines(table(spark, sf_dir, "documents")))
-    other = cells.where("col % 5 <> 0").withColumn("text", F.when(F.col("col") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return out(ev.table_mismatches(cells, other))
-
-
 @query("memo_public_view", f"WITH {I_SQL} SELECT item_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)license|token')), chr(10)) AS text FROM i")
 def memo_public_view(spark, sf_dir):
     return items(spark, sf_dir).select("item_id", ev.public_view(F.col("text"), ["license", "token"]).alias("text"))

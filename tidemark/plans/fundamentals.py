@@ -79,17 +79,23 @@ def dedupe_views(spark, sf_dir):
     return f.merged_views(v).withColumn("queries", F.array_join("queries", ",")).drop("article_date")
 
 
-@query("broker_views", f"""WITH {R_SQL}, v AS (SELECT company, count(*) AS n_views, median(target_price) AS tp_median, count(*) FILTER (WHERE rating = 'BUY') AS n_buy, count(*) FILTER (WHERE rating = 'HOLD') AS n_hold, count(*) FILTER (WHERE rating = 'SELL') AS n_sell, count(DISTINCT rating) AS n_ratings FROM r WHERE published >= DATE '2001-01-01' GROUP BY 1)
-SELECT company, n_views, round(tp_median, 6) AS tp_median, n_buy, n_hold, n_sell, n_ratings, CASE WHEN n_ratings = 0 THEN 'none' WHEN n_ratings = 1 THEN 'agree' ELSE 'split' END AS verdict FROM v""")
+_BROKERS = ", ".join(f"coalesce(string_agg(broker, ', ' ORDER BY nth) FILTER (WHERE rating = '{r}'), '') AS {r.lower()}_brokers" for r in f.RATINGS)
+
+
+@query("broker_views", f"""WITH {R_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY published DESC NULLS LAST, broker NULLS FIRST, report_id) AS nth FROM r WHERE published >= DATE '1994-01-01'),
+v AS (SELECT company, count(*) AS n_views, CASE WHEN count(target_price) % 2 = 0 THEN floor(median(target_price) + 0.5) ELSE median(target_price) END AS tp_median, {_BROKERS}, count(DISTINCT rating) AS n_ratings FROM n WHERE nth <= 8 GROUP BY 1)
+SELECT company, n_views, round(tp_median, 6) AS tp_median, buy_brokers, hold_brokers, sell_brokers, n_ratings, CASE WHEN n_ratings = 0 THEN 'none' WHEN n_ratings = 1 THEN 'agree' ELSE 'split' END AS verdict FROM v""")
 def broker_views(spark, sf_dir):
-    return out(f.broker_views(reports(spark, sf_dir).where("published >= '2001-01-01'")))
+    return out(f.broker_views(reports(spark, sf_dir).where("published >= '1994-01-01'")))
 
 
-@query("source_quality", f"""WITH {R_SQL}, q AS (SELECT *, report_id % 3 = 0 AS ok, report_id % 5 = 0 AS auth, report_id % 7 = 0 AS nopdf FROM r)
-SELECT count(*) FILTER (WHERE ok) AS extracted, count(*) FILTER (WHERE NOT ok AND auth) AS gated, count(*) FILTER (WHERE NOT ok AND NOT auth AND nopdf) AS no_pdf, count(*) FILTER (WHERE NOT ok AND NOT auth AND NOT nopdf) AS failed, CAST(max(published) - min(published) AS BIGINT) AS span_days, count(DISTINCT site) AS n_sites FROM q""")
+@query("source_quality", f"""WITH {R_SQL}, q AS (SELECT *, report_id % 3 = 0 AS ok, report_id % 5 = 0 AS auth, report_id % 7 = 0 AS nopdf, report_id % 20 AS pages, report_id * 10 AS bytes FROM r)
+SELECT count(*) AS n, count(*) FILTER (WHERE ok) AS extracted, count(*) FILTER (WHERE NOT ok AND auth) AS gated, count(*) FILTER (WHERE NOT ok AND NOT auth AND nopdf) AS no_pdf, count(*) FILTER (WHERE NOT ok AND NOT auth AND NOT nopdf) AS failed, CAST(max(published) - min(published) AS BIGINT) AS span_days,
+  string_agg(DISTINCT site, ',' ORDER BY site) AS sites, CAST(sum(pages) FILTER (WHERE ok) AS BIGINT) AS pages, CAST(sum(bytes) FILTER (WHERE ok) AS BIGINT) AS bytes FROM q""")
 def source_quality(spark, sf_dir):
     k = F.col("report_id")
-    return out(f.source_quality(reports(spark, sf_dir).withColumns({"extraction_ok": k % 3 == 0, "requires_auth": k % 5 == 0, "pdf_url": F.when(k % 7 != 0, "pdf")})))
+    facts = reports(spark, sf_dir).withColumns({"extraction_ok": k % 3 == 0, "requires_auth": k % 5 == 0, "pdf_url": F.when(k % 7 != 0, "pdf"), "pages": k % 20, "bytes": k * 10})
+    return out(f.source_quality(facts).withColumn("sites", F.array_join("sites", ",")))
 
 
 H_SQL = """h0 AS (SELECT o_orderkey AS rcept_no, o_custkey AS corp, CAST(o_orderdate AS DATE) AS filed, o_orderpriority AS reason, CASE o_orderstatus WHEN 'F' THEN 'major' WHEN 'O' THEN 'executive' ELSE 'other' END AS kind, (CAST(round(o_totalprice * 100) AS BIGINT) % 2000) / 100.0::DOUBLE AS pct, CAST(o_totalprice AS DOUBLE) AS shares FROM orders),

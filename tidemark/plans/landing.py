@@ -147,10 +147,18 @@ def band_label(spark, sf_dir):
     return f.valuation_bands(bars(spark, sf_dir), ["close", "volume"]).select("ticker", "metric", f.band_label(F.col("percentile")).alias("label"))
 
 
-@query("news_predicates", "SELECT page_id, regexp_matches(url, '^https?://') AND NOT contains(url, 'blog.') AS direct, contains(lower(html), 'license') OR contains(lower(html), 'tion') AS market FROM pages")
+NEWS = ("코스피 마감", "SMR 원전 수주", "SMR 아파트 분양", "SMR 공급계약", "배터리 투자", "AI 부품", "제3자배정 유상증자 SMR")
+
+
+@query("news_predicates", """WITH p AS (SELECT page_id, url, page_id % 7 AS k, page_id % 5 = 0 AS discovery FROM pages)
+SELECT page_id, url <> '' AND NOT discovery AND NOT regexp_matches(url, '^[a-z]+://m\\.') AS direct, k = 0 AS market, k = 1 AS sector FROM p""")
 def news_predicates(spark, sf_dir):
-    direct = F.col("url").rlike("^https?://") & ~F.contains("url", F.lit("blog."))
-    return table(spark, sf_dir, "pages").select("page_id", direct.alias("direct"), news.matches(F.col("html"), ["license", "tion"]).alias("market"))
+    """A planted headline of each page, of which the second alone is a sector's; mobile hosts stand in for the discovery host."""
+    p = table(spark, sf_dir, "pages")
+    host = F.coalesce(F.regexp_extract("url", "^[a-z]+://(m\\.[^/?#]*)", 1), F.lit(""))
+    text = F.element_at(F.array(*map(F.lit, NEWS)), (F.col("page_id") % 7 + 1).cast("int"))
+    terms = news.sector_terms("원전/AI 부품", ["가"], ["SMR", "AI"])
+    return p.select("page_id", (news.is_direct(F.col("url"), F.col("page_id") % 5 == 0, "news.google.com") & (host == "")).alias("direct"), news.is_market(text).alias("market"), news.is_sector(text, terms).alias("sector"))
 
 
 @query("dedupe_posts", f"WITH {I_SQL} SELECT source, headline, min(item_id) AS item_id FROM i GROUP BY 1, 2")

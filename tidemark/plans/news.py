@@ -72,12 +72,6 @@ def mentions(spark, sf_dir):
     return items(spark, sf_dir).select("item_id", news.matches(F.col("headline"), ["thor", "eaux"]).alias("in_title"), news.matches(F.substring("text", 1, 500), ["thor", "eaux"]).alias("in_head"))
 
 
-@query("title_classes", f"""WITH {I_SQL} SELECT item_id, contains(lower(headline), 'idiot') OR contains(lower(headline), 'worthless') AS is_trading, len(regexp_extract_all(headline, '[,·/|]')) >= 3 AS is_listicle, regexp_matches(headline, '^\\s*[\\[【(]') AS is_bracketed,
-  regexp_matches(headline, '(?i)^(the|of|is) .*\\b(the|of|is)\\b') AS is_formulaic, regexp_matches(headline, '[0-9]') AS has_number FROM i""")
-def title_classes(spark, sf_dir):
-    return items(spark, sf_dir).select("item_id", *(v.alias(k) for k, v in news.title_classes(F.col("headline"), ["idiot", "worthless"]).items()))
-
-
 CHROME = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."]
 
 
@@ -91,18 +85,11 @@ def low_quality_summary_filter(spark, sf_dir):
     return news.good_summaries(items(spark, sf_dir), ["source"], F.length("text") < 400).select("item_id")
 
 
-@query("ngrams", f"""WITH t AS (SELECT list_filter(string_split(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$') AND NOT list_contains({STOP}, x)) AS t FROM documents),
-e AS (SELECT 1 AS n, unnest(t) AS term FROM t UNION ALL SELECT 2, unnest([t[k] || ' ' || t[k + 1] FOR k IN range(1, len(t))]) FROM t), c AS (SELECT n, term, count(*) AS count FROM e GROUP BY 1, 2 HAVING count(*) >= 3)
-SELECT CAST(n AS BIGINT) AS n, term, count FROM c QUALIFY row_number() OVER (PARTITION BY n ORDER BY count DESC, term) <= 10""")
-def ngrams(spark, sf_dir):
-    return out(news.ngrams(table(spark, sf_dir, "documents"), STOP))
-
-
 P_SQL = f"""{I_SQL}, p AS (SELECT source, item_id AS post_id, item_id % 3 + 1 AS page, CASE WHEN item_id % 11 <> 0 THEN DATE '2024-01-01' - CAST(item_id % 900 AS INT) END AS published, contains(lower(text), 'tion') AS relevant,
   CASE WHEN contains(lower(headline), 'ou') THEN 'ou' WHEN contains(lower(headline), 'ei') THEN 'ei' END AS anchor, contains(lower(headline), 'idiot') AS is_trading, len(regexp_extract_all(headline, '[,·/|]')) >= 3 AS is_listicle,
   contains(lower(headline), 'that') AS is_formulaic, contains(lower(headline), 'th') AS is_deep_tech, contains(lower(headline), 'en') AS is_stock, regexp_matches(headline, '^\\s*[\\[【(]') AS is_bracketed FROM i),
 pf AS (SELECT *, relevant AND page = 1 AS found, relevant AND NOT is_trading AND NOT is_listicle AS single, row_number() OVER (PARTITION BY source ORDER BY published DESC NULLS LAST, post_id) AS nth FROM p),
-m AS (SELECT source, count(*) AS posts, count(*) FILTER (WHERE page = 1) AS page1, count(*) FILTER (WHERE page = 1 AND is_trading) AS page1_trading, count(*) FILTER (WHERE found) AS relevant, count(*) FILTER (WHERE found AND is_listicle) AS listicles,
+m AS (SELECT source, count(*) AS posts, CAST(max(page) AS BIGINT) AS pages, count(*) FILTER (WHERE page = 1) AS page1, count(*) FILTER (WHERE page = 1 AND is_trading) AS page1_trading, count(*) FILTER (WHERE found) AS relevant, count(*) FILTER (WHERE found AND is_listicle) AS listicles,
   count(*) FILTER (WHERE found AND is_trading) AS trading, count(*) FILTER (WHERE found AND single) AS dedicated, count(*) FILTER (WHERE found AND single AND is_formulaic) AS dedicated_formulaic, count(*) FILTER (WHERE single AND is_deep_tech) AS deep_tech,
   count(published) FILTER (WHERE found) AS dated, count(*) FILTER (WHERE found AND DATE '2024-01-01' - published > 365) AS stale, min(published) AS oldest, max(published) AS newest, max(published) FILTER (WHERE found) AS latest, coalesce(string_agg(DISTINCT anchor, ',' ORDER BY anchor), '') AS anchors,
   count(*) FILTER (WHERE nth <= 20) AS timeline, count(*) FILTER (WHERE nth <= 20 AND is_stock) AS stock, count(*) FILTER (WHERE nth <= 20 AND is_bracketed) AS bracketed, count(*) FILTER (WHERE nth <= 20 AND is_formulaic) AS formulaic FROM pf GROUP BY 1)"""
@@ -133,9 +120,10 @@ def blogger_gates(spark, sf_dir):
     return news.source_gates(both.withColumnsRenamed({"reason": "r", "accepted": "a"}), deep=True).select("source", F.col("r").alias("reason"), F.col("a").alias("accepted"), F.col("reason").alias("deep_reason"))
 
 
-@query("rank_bloggers", f"WITH {P_SQL} SELECT source, row_number() OVER (ORDER BY dedicated DESC, relevant DESC, latest DESC NULLS LAST, source) AS rank FROM m")
+@query("rank_bloggers", f"WITH {P_SQL} SELECT source, row_number() OVER (ORDER BY anchors <> '' DESC, dedicated DESC, relevant DESC, pages DESC, latest DESC NULLS LAST, source) AS rank, row_number() OVER (ORDER BY deep_tech DESC, dedicated DESC, relevant DESC, pages DESC, latest DESC NULLS LAST, source) AS deep_rank FROM m")
 def rank_bloggers(spark, sf_dir):
-    return out(news.ranked_sources(metrics(spark, sf_dir), "source"), "source", "rank")
+    usual = news.ranked_sources(metrics(spark, sf_dir), "source")
+    return out(news.ranked_sources(usual.withColumnRenamed("rank", "usual"), "source", deep=True).withColumnsRenamed({"rank": "deep_rank", "usual": "rank"}), "source", "rank", "deep_rank")
 
 
 @query("candidate_pool", f"WITH {P_SQL}, s AS (SELECT source, relevant AS hits, trading > 3 AS anchored FROM m) SELECT * FROM (SELECT source FROM s WHERE NOT anchored ORDER BY hits DESC, source LIMIT 10) UNION SELECT source FROM s WHERE anchored")
@@ -172,12 +160,21 @@ def dedupe_urls(spark, sf_dir):
     return news.first_wins(table(spark, sf_dir, "pages"), ["url"], [F.asc("page_id")]).select("url", "page_id")
 
 
-@query("dedupe_news")
+_ADDRESS = "CASE WHEN item_id % 13 <> 5 THEN 'https://News.example/' || source || '/' || (length(text) % 211) END"
+
+
+@query("dedupe_news", f"""WITH RECURSIVE {I_SQL}, a AS (SELECT seq, item_id, lower(trim(regexp_replace(headline, '\\s+', ' ', 'g'))) AS h, lower({_ADDRESS}) AS u FROM i),
+k AS (SELECT seq, item_id, coalesce('url:' || u, 'headline:' || coalesce(h, '')) AS k1, CASE WHEN coalesce(h, '') <> '' THEN 'headline:' || h END AS k2, row_number() OVER (ORDER BY seq) AS n FROM a),
+s AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS seen, NULL::BIGINT AS item_id, false AS kept
+  UNION ALL SELECT k.n, CASE WHEN list_contains(seen, k1) OR coalesce(list_contains(seen, k2), false) THEN seen ELSE list_concat(seen, list_filter([k1, k2], lambda x: x IS NOT NULL)) END, k.item_id, NOT (list_contains(seen, k1) OR coalesce(list_contains(seen, k2), false))
+  FROM s JOIN k ON k.n = s.n + 1)
+SELECT item_id FROM s WHERE kept""")
 def dedupe_news(spark, sf_dir):
-    """Keys: the headline, and a short prefix of the text as a stand-in for an address."""
-    i = items(spark, sf_dir)
-    keyed = i.select("seq", "item_id", F.lower(news.squeezed("headline")).alias("headline_key"), F.substring("text", 1, 12).alias("url_key"))
-    return news.deduped(keyed, ["url_key", "headline_key"])
+    """Items' addresses are made of source and length, some with tracking parameters, some missing."""
+    i, id_ = items(spark, sf_dir), F.col("item_id")
+    address = F.concat(F.lit("https://News.example/"), "source", F.lit("/"), (F.length("text") % 211).cast("string"), F.when(id_ % 3 == 0, "?utm_source=a&fbclid=1#top").otherwise(""))
+    url, headline = news.news_keys(F.when(id_ % 13 != 5, address), F.col("headline"))
+    return news.deduped(i.select("seq", "item_id", url.alias("url_key"), headline.alias("headline_key")), ["url_key", "headline_key"]).select("item_id")
 
 
 @query("news_report", f"""WITH {I_SQL}, s AS (SELECT *, {SCORE_SQL} AS score FROM i), t AS (SELECT unnest({[s for s, _ in SECTORS]} || ['empty']) AS sector, unnest({[t for _, t in SECTORS]} || ['no such word']) AS term),

@@ -39,4 +39,4 @@ def out(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.select(*(shown.get(kinds[c], F.col)(c).alias(c) for c in cols or df.columns))
 
 
-from tidemark.plans import documents, evidence, fundamentals, landing, market, news, streams  # noqa: E402, F401
+from tidemark.plans import documents, evidence, filings, fundamentals, landing, listings, market, memos, news, scalars, streams, titles  # noqa: E402, F401
