@@ -1,7 +1,7 @@
 import datetime as dt
 import json
+import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,10 +112,24 @@ def test_event_tags(spark):
     assert got == [("down", "1%", "up", "3%", "수급, 마감"), ("up", "3%", "down", "", ""), ("", "", "", "", "환율")]
 
 
+def turns_by_hand(rows, least):
+    out = []
+    for n, kind, price in rows:
+        if out and kind == out[-1][1]:
+            if price > out[-1][2] if kind == "high" else price < out[-1][2]:
+                out[-1] = (n, kind, price)
+        elif not out or not (least > 0 and abs(price - out[-1][2]) < least):
+            out.append((n, kind, price))
+    return out
+
+
 def test_pivots_alternate(spark):
-    rows = [(1, "high", 10.0), (2, "high", 12.0), (3, "low", 11.9), (4, "low", 9.0), (5, "low", 9.5), (6, "high", 9.2), (7, "high", 13.0)]
-    p = pd.DataFrame(rows, columns=["n", "kind", "price"])
-    assert structure.alternating(p, 0.5) == [(2, "high", 12.0), (4, "low", 9.0), (7, "high", 13.0)]
+    rng = random.Random(4)
+    cases = [([(1, "high", 10.0), (2, "high", 12.0), (3, "low", 11.9), (4, "low", 9.0), (5, "low", 9.5), (6, "high", 9.2), (7, "high", 13.0)], 0.5)]
+    cases += [([(n, rng.choice(["high", "low"]), float(rng.randint(1, 30))) for n in range(rng.randint(0, 40))], rng.choice([0.0, 2.0, 5.0])) for _ in range(40)]
+    df = spark.createDataFrame(cases, "points array<struct<n:int,kind:string,price:double>>, least double")
+    got = [[tuple(x) for x in r[0]] for r in df.select(structure.alternating(F.col("points"), F.col("least"))).collect()]
+    assert got == [turns_by_hand(*c) for c in cases] and got[0] == [(2, "high", 12.0), (4, "low", 9.0), (7, "high", 13.0)]
 
 
 @pytest.mark.parametrize(

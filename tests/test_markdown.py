@@ -118,6 +118,22 @@ def test_heading_audits(spark):
     assert audit(brief, "brief") == [] and audit(brief.replace("작성일", "일자"), "brief") == [("date", "작성일")]
 
 
+def test_baseline_of_a_memo(spark):
+    text = "# LG CNS 분석\r\n- 기준일: `2024-01-10`\n최근 업데이트일: 2024-02-01\n## Summary\n\n![c](a.png)요약 [링크](http://a/1)\n\n\n끝\n## Update Log\n### 2024-02-01 Update\n- x\n### 2024-02-01 Update\n### 2024-03-01  Update \n## Sources\n- [차트](https://f/chart/005930.ks?x) https://g/2\n"
+    r = markdown.memo_baseline(docs(spark, text, None, "no title\n## 요약\n" + "가" * 700)).orderBy("doc_id").collect()
+    assert (r[0]["title"], r[0]["company"], r[0]["memo_date"], r[0]["recent_update"], r[0]["has_update_log"]) == ("LG CNS 분석", "LG CNS", "2024-01-10", "2024-02-01", True)
+    assert r[0]["update_dates"] == ["2024-02-01", "2024-03-01"] and r[0]["source_urls"] == ["http://a/1", "https://f/chart/005930.ks?x", "https://g/2"]
+    assert r[0]["summary"] == "요약 링크\n\n끝" and r[0]["ticker"] == "005930.KS"
+    assert r[1]["title"] is None and r[2]["title"] is None and r[2]["summary"] == "가" * 600 and r[2]["ticker"] is None
+
+
+def test_facts_of_a_reference(spark):
+    text = "- reference 기준일: 2024-01-10\n- 완전 파싱: 12\n* 누락: `3`\n## 다음 업데이트 우선 확인 항목\n\n- 주석\n* 매출\n## DART Recheck\n- 다른 것"
+    r = markdown.reference_facts(docs(spark, text, "")).orderBy("doc_id").collect()
+    assert (r[0]["reference_date"], r[0]["n_parsed"], r[0]["n_missing"], r[0]["n_partial"], r[0]["next_checks"]) == ("2024-01-10", "12", "3", None, ["주석", "매출"])
+    assert r[1]["next_checks"] == [] and r[1]["n_parsed"] is None
+
+
 def test_text_without_tables_is_not_exchanged(spark):
     plan = cells(spark, "a\nb")._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Filter .*Contains\(line|Filter .*forall", plan) and F is not None

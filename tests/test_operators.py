@@ -169,12 +169,6 @@ def test_date_chunks_cover_the_range(spark):
     assert all((b[0] - a[1]).days == 1 for a, b in zip(rows, rows[1:], strict=False)) and all((r[1] - r[0]).days < 80 for r in rows)
 
 
-def test_ngrams_by_hand(spark):
-    texts = ["red blue red", "blue red", "1 red, blue!", None]
-    got = {(r["n"], r["term"]): r["count"] for r in news.ngrams(spark.createDataFrame([(t,) for t in texts], "text string"), [], least=2).collect()}
-    assert got == {(1, "red"): 4, (1, "blue"): 3, (2, "red blue"): 2, (2, "blue red"): 2}
-
-
 def test_html_and_listings(spark):
     html = "<html><head><title>x</title></head><body><p>a  b</p><table><tr><td>1</td><td>2</td></tr></table><script>no</script></body></html>"
     assert documents.html_to_text(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("page_id").collect()[0]["text"] == "a b\n1 | 2"
@@ -216,7 +210,6 @@ def test_streams_equal_batches(spark, tmp_path):
         return spark.read.schema(s.schema).parquet(str(tmp_path / name))
 
     key = lambda d: sorted(map(tuple, d.collect()), key=repr)
-    assert key(run(jobs.crossings(stream.select("key", "ts", "value"), 50.0), "x")) == key(jobs.crossings_batch(df.select("key", "ts", "value"), 50.0))
     ticks = lambda d: d.select("key", "ts", "seq", F.col("value").alias("price"), F.col("value").alias("quantity"))
     closed = max(r[1] for r in rows) - dt.timedelta(minutes=10)
     batch = [b for b in key(jobs.bars(ticks(df))) if b[1] + dt.timedelta(hours=1) <= closed]
@@ -224,6 +217,25 @@ def test_streams_equal_batches(spark, tmp_path):
     assert [b[:6] for b in streamed] == [b[:6] for b in batch] and all(math.isclose(a[6], b[6]) for a, b in zip(streamed, batch, strict=True))
 
 
+def test_crossings_of_shuffled_arrivals_equal_the_batch(spark, tmp_path):
+    rng = random.Random(6)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice("abc"), t0 + dt.timedelta(minutes=i), float(rng.randint(0, 100))) for i in range(300)] + [("d", t0, 60.0), ("a", t0, 60.0), ("a", t0, 10.0), ("b", t0, None)]
+    arrivals = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=rng.uniform(0, 40)))
+    df = spark.createDataFrame(rows, "key string, ts timestamp, value double")
+    for k in range(4):
+        spark.createDataFrame(arrivals[k * 76 : (k + 1) * 76], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    s = jobs.crossings(stream, 50.0, late="45 minutes")
+    q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 4
+    passed = max(r[1] for r in rows) - dt.timedelta(minutes=45)
+    got = sorted(tuple(r) for r in spark.read.schema(s.schema).parquet(str(tmp_path / "out")).collect())
+    want = sorted(tuple(r) for r in jobs.crossings_batch(df, 50.0).where(F.col("ts") <= F.lit(passed)).collect())
+    assert got == want and len(got) > 30
+
+
 def test_registry_names(spark):
     import __spark_entry__ as e
 

@@ -29,16 +29,6 @@ def headlines(links: DataFrame, least: int = 10) -> DataFrame:
     return fit.withColumn("k", first).where("k = 1").select("text", "page_id", "href")
 
 
-def baselines(docs: DataFrame, summary: int = 600) -> DataFrame:
-    """Title, dates, summary and addresses of memos (doc_id, text)."""
-    text = F.col("text")
-    return docs.select(
-        "doc_id", squeezed(F.split(text, "\n")[0]).alias("title"), F.nullif(F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")).alias("first_date"),
-        F.array_size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0)))).alias("n_dates"), F.substring(squeezed(text), 1, summary).alias("summary"),
-        F.array_size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"https?://[^\s)>\]]+"), F.lit(0)))).alias("n_sources"),
-    )
-
-
 def merged_updates(old: DataFrame, new: DataFrame) -> DataFrame:
     """Update blocks keyed by (memo, day): new ones replace those of their day, and repeat no event of another day."""
     events = old.select("memo", F.col("day").alias("other"), "event")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.operators.filings import BLANK, trimmed
+from tidemark.operators.scalars import ticker_of
 
 # Fixed patterns: divider cells, date labels, rows, images, links.
 DIVIDER = r"^:?-{3,}:?$"
@@ -203,3 +204,49 @@ def heading_audit(docs: DataFrame, kind: str, files: DataFrame | None = None, re
         lost = targets.join(files.select(id_col, "target").distinct(), [id_col, "target"], "left_anti")
         found = found.unionByName(lost.select(id_col, F.lit("image").alias("problem"), F.col("target").alias("detail")))
     return found
+
+
+def labelled(text: Column, label: str) -> Column:
+    """The value of the first "label: value" line, which may be a list item, without code marks; null without one."""
+    value = trimmed(F.regexp_extract(text, rf"(?m)^(?:[-*]\s*)?{label}:\s*(.+)$", 1))
+    return F.nullif(F.regexp_replace(value, "^`|`$", ""), F.lit(""))
+
+
+def section_text(text: Column, name: str) -> Column:
+    """What stands below the first "##" heading of exactly that name, up to the next; null without one or if empty."""
+    return F.nullif(trimmed(F.regexp_extract(text, rf"(?sm)^##\s+{name}[ \t]*$(.*?)(?:\n##\s+|\z)", 1)), F.lit(""))
+
+
+def memo_baseline(docs: DataFrame, summary: int = 600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, title, company, memo_date, recent_update, has_update_log, update_dates, source_urls, summary, ticker) of memos: what an update starts from.
+
+    Addresses of links come before bare ones, each once; the summary is without images and link targets. Only line ends
+    are settled before; texts are read inside their rows.
+    """
+    rows = docs.select(id_col, F.replace(text_col, F.lit("\r"), F.lit("")).alias("text"))
+    text = F.col("text")
+    title = F.nullif(trimmed(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1)), F.lit(""))
+    company = F.regexp_replace(F.regexp_replace(title, r"(?i)\s+(analysis|memo|report)$", ""), r"\s+(분석 예시|분석|메모|리포트)$", "")
+    every = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    urls = F.array_distinct(F.concat(every(r"\[[^\]]+\]\((https?://[^)\s]+)\)", 1), every(r"\bhttps?://[^\s)>]+", 0)))
+    excerpt = F.coalesce(section_text(text, "Summary"), section_text(text, "요약"))
+    excerpt = F.regexp_replace(F.regexp_replace(F.regexp_replace(excerpt, "\n{2,}", "\n\n"), r"!\[[^\]]*\]\([^)]+\)", ""), r"\[([^\]]+)\]\([^)]+\)", "$1")
+    found = rows.select(
+        id_col, title.alias("title"), trimmed(company).alias("company"), labelled(text, BASE_DATE).alias("memo_date"), labelled(text, UPDATE_DATE).alias("recent_update"), text.rlike(rf"(?m)^##\s+{UPDATE_LOG}\s*$").alias("has_update_log"),
+        F.array_distinct(every(r"(?m)^###\s+(\d{4}-\d{2}-\d{2})\s+Update\s*$", 1)).alias("update_dates"), urls.alias("source_urls"), F.nullif(F.substring(trimmed(excerpt), 1, summary), F.lit("")).alias("summary"),
+    )
+    return found.withColumn("ticker", ticker_of(F.col("source_urls")))
+
+
+#: Fixed labels of a reference text's facts.
+REFERENCE = {
+    "reference_date": "reference 기준일", "last_checked": "최근 확인일", "last_filing": "마지막 반영 공시일", "n_contents": "TOC 기준 섹션 수", "n_parsed": "완전 파싱", "n_partial": "부분 파싱", "n_missing": "누락", "n_needs_review": "재검토 필요",
+}
+
+
+def reference_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, the labelled facts of a reference text, next_checks: the items of its list of what to look at next)."""
+    text = F.replace(text_col, F.lit("\r"), F.lit(""))
+    listed = F.split(F.coalesce(section_text(text, "다음 업데이트 우선 확인 항목"), F.lit("")), "\n")
+    items = F.filter(F.transform(listed, lambda x: trimmed(F.regexp_replace(x, r"^[-*]\s*", ""))), lambda x: x != "")
+    return docs.select(id_col, *(labelled(text, label).alias(name) for name, label in REFERENCE.items()), items.alias("next_checks"))

@@ -278,14 +278,22 @@ def candidate_pool(sources: DataFrame, top: int = 10) -> DataFrame:
     return sources.where("not anchored").orderBy(F.desc("hits"), "source").limit(top).unionByName(sources.where("anchored")).dropDuplicates(["source"])
 
 
-def report(items: DataFrame, matched: DataFrame, sectors: DataFrame, roles: str, top: int = 12, least: int = 1) -> DataFrame:
-    """One run's table (part, name, rank, item_id, n): market top, sectors (empty ones kept) and counts per role.
+def report(items: DataFrame, sectors: DataFrame, day: Column, roles: str = "role", top: int = 12, least: int = 1, per_sector: int = 5, few: int = 5) -> DataFrame:
+    """One run's table (part, name, rank, item_id, n).
 
-    items: (item_id, seq, score, role); matched: what sector_match gives; sectors: (sector).
+    ``market`` and ``sector`` hold the best of the day's direct items (empty sectors are kept), ``discovery`` the day's items found by
+    discovery in their order, ``role`` the day's items of each role, ``missing-date`` and ``other-date`` what each role lost by its date,
+    and ``warning`` the number of market items where that is under ``few``. items: (item_id, seq, score, text, role, discovery, published); sectors: (sector, term).
     """
+    own = items.where(F.col("published") == day)
+    direct, found = own.where("not discovery"), own.where("discovery")
+    none, no_rank = F.lit(None).cast("long").alias("n"), F.lit(None).cast("int").alias("rank")
     number = W.orderBy(F.desc("score"), "seq")
-    none = F.lit(None)
-    market = ranked(items, top, least).select(F.lit("market").alias("part"), F.lit("all").alias("name"), F.row_number().over(number).alias("rank"), "item_id", none.cast("long").alias("n"))
-    by_sector = sectors.select("sector").distinct().join(matched, "sector", "left").select(F.lit("sector").alias("part"), F.col("sector").alias("name"), "rank", "item_id", none.cast("long").alias("n"))
-    counts = items.groupBy(roles).agg(F.count("*").alias("n")).select(F.lit("role").alias("part"), F.col(roles).alias("name"), none.cast("int").alias("rank"), none.cast("long").alias("item_id"), "n")
-    return market.unionByName(by_sector).unionByName(counts)
+    best = ranked(direct, top, least).select(F.lit("market").alias("part"), F.lit("all").alias("name"), F.row_number().over(number).alias("rank"), "item_id", none)
+    matched = sector_match(direct, sectors, per_sector)
+    by_sector = sectors.select("sector").distinct().join(matched, "sector", "left").select(F.lit("sector").alias("part"), F.col("sector").alias("name"), "rank", "item_id", none)
+    discovered = total_rank(found.select("item_id", "seq"), [F.asc("seq")], "rank").select(F.lit("discovery").alias("part"), F.lit("all").alias("name"), F.col("rank").cast("int").alias("rank"), "item_id", none)
+    counts = items.groupBy(roles).agg(F.count_if(F.col("published") == day).alias("role"), F.count_if(F.col("published").isNull()).alias("missing-date"), F.count_if(F.col("published") != day).alias("other-date"))
+    counts = counts.unpivot(roles, ["role", "missing-date", "other-date"], "part", "n").where("n > 0").select("part", F.col(roles).alias("name"), no_rank, F.lit(None).cast("long").alias("item_id"), "n")
+    warned = best.agg(F.count("*").alias("n")).where(F.col("n") < few).select(F.lit("warning").alias("part"), F.lit("few-market-items").alias("name"), no_rank, F.lit(None).cast("long").alias("item_id"), "n")
+    return reduce(DataFrame.unionByName, [best, by_sector, discovered, counts, warned])

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -92,16 +91,22 @@ def volume_profile(bars: DataFrame, bins: int = BINS) -> DataFrame:
     return by_bin.withColumn("poc", F.row_number().over(w.orderBy(F.desc("volume"), "bin")) == 1)
 
 
-def alternating(rows: pd.DataFrame, least: float) -> list[tuple]:
-    """Pivots (n, kind, price) with kinds in turn: the more extreme of equal kinds stays, small swings are left out."""
-    out: list[tuple] = []
-    for n, kind, price in rows.sort_values(["n", "kind"])[["n", "kind", "price"]].itertuples(index=False):
-        if out and kind == out[-1][1]:
-            if price > out[-1][2] if kind == "high" else price < out[-1][2]:
-                out[-1] = (n, kind, price)
-        elif not out or not (least > 0 and abs(price - out[-1][2]) < least):
-            out.append((n, kind, price))
-    return out
+def alternating(points: Column, least: Column) -> Column:
+    """Of pivots (n, kind, price) in order, kinds in turn: the more extreme of equal kinds stays, small swings are left out.
+
+    What stays depends on what stayed before, so the array is gone through in order. It is that of a ticker's recent bars, a few dozen points.
+    """
+    last = lambda kept: F.get(kept, F.size(kept) - 1)
+
+    def step(kept: Column, x: Column) -> Column:
+        before = last(kept)
+        beyond = F.when(x["kind"] == "high", x["price"] > before["price"]).otherwise(x["price"] < before["price"])
+        return (
+            F.when(F.size(kept) == 0, F.array(x)).when(x["kind"] == before["kind"], F.when(beyond, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x))).otherwise(kept))
+            .when((least > 0) & (F.abs(x["price"] - before["price"]) < least), kept).otherwise(F.concat(kept, F.array(x)))
+        )
+
+    return F.aggregate(points, F.array().cast("array<struct<n:int,kind:string,price:double>>"), step)
 
 
 def recent_pivots(panel: DataFrame, recent: int = 120) -> DataFrame:
@@ -112,49 +117,46 @@ def recent_pivots(panel: DataFrame, recent: int = 120) -> DataFrame:
     return pivots(near.where(edge)).join(last, "ticker")
 
 
-def alternating_pivots(panel: DataFrame, recent: int = 120) -> DataFrame:
-    """(ticker, nth, n, kind, price): highs and lows in turn. What stays depends on what stayed before, so it is a grouped map over a ticker's pivots."""
+def _turns(panel: DataFrame, recent: int) -> DataFrame:
+    """(ticker, least, size, turns): the alternating pivots of each ticker as an array."""
+    point = F.struct(F.col("n").cast("int").alias("n"), "kind", F.col("price").cast("double").alias("price"))
+    points = recent_pivots(panel, recent).groupBy("ticker").agg(F.first("least").alias("least"), F.first("size").alias("size"), F.array_sort(F.collect_list(point)).alias("points"))
+    return points.select("ticker", "least", "size", alternating(F.col("points"), F.col("least")).alias("turns"))
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        turns = alternating(p, float(p["least"].iloc[0]))
-        return pd.DataFrame([(p["ticker"].iloc[0], i, *t) for i, t in enumerate(turns)], columns=["ticker", "nth", "n", "kind", "price"])
 
-    return recent_pivots(panel, recent).groupBy("ticker").applyInPandas(one, "ticker string, nth int, n int, kind string, price double")
+def alternating_pivots(panel: DataFrame, recent: int = 120) -> DataFrame:
+    """(ticker, nth, n, kind, price): highs and lows in turn."""
+    return _turns(panel, recent).select("ticker", F.posexplode("turns").alias("nth", "t")).select("ticker", "nth", "t.n", "t.kind", "t.price")
 
 
 def waves(panel: DataFrame, recent: int = 120) -> DataFrame:
-    """(ticker, kind, direction, confidence, drawable, first_n, last_n, first_price, last_price): five-leg moves and corrections.
+    """(ticker, kind, direction, confidence, drawable, first_n, last_n, first_price, last_price): five-leg moves, and corrections of two legs after them.
 
-    A grouped map over the pivots of the last bars of a ticker; the confidence weighs how
-    legs compare with each other and with the least swing, and how recent the last one is.
+    The confidence weighs how legs compare with each other and with the least swing, and how recent the last one is.
     """
-    rows = recent_pivots(panel, recent)
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        least, size = float(p["least"].iloc[0]), int(p["size"].iloc[0])
-        turns = alternating(p, least)
-        out = []
-        for i in range(len(turns) - 5):
-            six = turns[i : i + 6]
-            legs = [abs(b[2] - a[2]) for a, b in zip(six, six[1:], strict=False)]
-            up = six[0][1] == "low"
-            over = (six[1][2] - six[4][2]) * (1 if up else -1)
-            score = 0.25 + 0.2 * sum(x >= least for x in legs) / 5 + 0.25 * (1 if legs[2] >= 0.9 * legs[0] else legs[2] / max(legs[0], 1))
-            score += 0.2 * max(0.0, 1 - max(over, 0) / max(legs[0], 1)) + 0.1 * max(0.0, 1 - (size - six[-1][0]) / 60)
-            out.append(("impulse", "bullish" if up else "bearish", score, six))
-            three = turns[i + 6 : i + 9]
-            if len(three) == 3:
-                a, b = (abs(y[2] - x[2]) for x, y in zip(three, three[1:], strict=False))
-                score = 0.3 + 0.25 * ((a >= least) + (b >= least)) / 2 + 0.25 * min(a, b) / max(a, b, 1) + 0.2 * max(0.0, 1 - (size - three[-1][0]) / 45)
-                out.append(("corrective", ("bearish" if up else "bullish") + "-correction", score, three))
-        rows = [(p["ticker"].iloc[0], k, d, min(1.0, max(0.0, s)), s >= 0.55, x[0][0], x[-1][0], x[0][2], x[-1][2]) for k, d, s, x in out]
-        return pd.DataFrame(rows, columns=["ticker", "kind", "direction", "confidence", "drawable", "first_n", "last_n", "first_price", "last_price"])
-
-    return rows.groupBy("ticker").applyInPandas(one, "ticker string, kind string, direction string, confidence double, drawable boolean, first_n int, last_n int, first_price double, last_price double")
+    rows = _turns(panel, recent).where("size(turns) >= 6").select("*", F.explode(F.sequence(F.lit(0), F.size("turns") - 6)).alias("i"))
+    t = lambda k: F.get("turns", F.col("i") + k)
+    rows = rows.select("ticker", "least", "size", *(t(k).alias(f"t{k}") for k in range(9)))
+    price, leg = (lambda k: F.col(f"t{k}.price")), (lambda k: F.abs(F.col(f"t{k + 1}.price") - F.col(f"t{k}.price")))
+    big = lambda *legs: sum((F.when(leg(k) >= F.col("least"), 1).otherwise(0) for k in legs), F.lit(0))
+    up, one = F.col("t0.kind") == "low", F.greatest(leg(0), F.lit(1.0))
+    over = (price(1) - price(4)) * F.when(up, 1).otherwise(-1)
+    fresh = lambda k, days: F.greatest(F.lit(0.0), 1 - (F.col("size") - F.col(f"t{k}.n")) / days)
+    move = F.lit(0.25) + 0.2 * big(0, 1, 2, 3, 4) / 5 + 0.25 * F.when(leg(2) >= 0.9 * leg(0), 1.0).otherwise(leg(2) / one)
+    move = move + (0.2 * F.greatest(F.lit(0.0), 1 - F.greatest(over, F.lit(0.0)) / one) + 0.1 * fresh(5, 60))
+    back = F.lit(0.3) + 0.25 * big(6, 7) / 2 + 0.25 * F.least(leg(6), leg(7)) / F.greatest(leg(6), leg(7), F.lit(1.0)) + 0.2 * fresh(8, 45)
+    found = lambda kind, direction, score, a, b: F.struct(
+        F.lit(kind).alias("kind"), direction.alias("direction"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("confidence"), (score >= 0.55).alias("drawable"),
+        F.col(f"t{a}.n").alias("first_n"), F.col(f"t{b}.n").alias("last_n"), price(a).alias("first_price"), price(b).alias("last_price"),
+    )
+    trend = F.when(up, "bullish").otherwise("bearish")
+    both = F.array(found("impulse", trend, move, 0, 5), F.when(F.col("t8").isNotNull(), found("corrective", F.when(up, "bearish-correction").otherwise("bullish-correction"), back, 6, 8)))
+    return rows.select("ticker", F.inline(F.array_compact(both)))
 
 
 def best_wave(candidates: DataFrame) -> DataFrame:
-    order = W.partitionBy("ticker").orderBy(F.desc("confidence"), F.desc("last_n"))
+    """The drawable candidate of the highest confidence (to nine places) of each ticker, of those the latest, the earliest begun, and by kind."""
+    order = W.partitionBy("ticker").orderBy(F.desc(F.round("confidence", 9)), F.desc("last_n"), "first_n", "kind")
     return candidates.where("drawable").withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 

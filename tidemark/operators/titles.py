@@ -59,9 +59,9 @@ def company_tokens(title: Column, stop: list[str]) -> Column:
 def tokens(text: Column, stop: list[str], company: Column | None = None, ticker: Column | None = None) -> Column:
     """Words without punctuation and particles; no stop words, numbers, dates and verb endings, nor the company, a part of its name or its ticker."""
     bare = F.regexp_replace(text, "[\"“”'‘’…·,;:!?()\\[\\]{}<>]", " ")
-    words = F.split(trimmed(F.regexp_replace(bare, f"{BLANK}+", " ")), " ")
-    last = lambda x: F.substring(x, -1, 1)  # noqa: E731  most words need no pattern: they end in no Korean letter and no dot
-    words = F.transform(words, lambda x: F.when((last(x) >= "가") | last(x).isin(".", "。"), F.regexp_replace(x, f"(?:{PARTICLES})?[.。]*$", "")).otherwise(x))
+    bare = F.regexp_replace(trimmed(F.regexp_replace(bare, f"{BLANK}+", " ")), "[.。]+(?= |$)", "")
+    words, last = F.split(bare, " "), lambda x: F.substring(x, -1, 1)
+    words = F.when(text.rlike("[가-힣]"), F.transform(words, lambda x: F.regexp_replace(x, f"(?:{PARTICLES})$", ""))).otherwise(words)
     name = F.lower(F.coalesce(company, F.lit(""))) if company is not None else None
 
     def fits(x: Column) -> Column:

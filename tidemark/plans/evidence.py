@@ -32,12 +32,6 @@ def headline_extract(spark, sf_dir):
     return ev.headlines(links(spark, sf_dir))
 
 
-@query("memo_baseline", f"""WITH {I_SQL} SELECT item_id AS doc_id, trim(regexp_replace(headline, '\\s+', ' ', 'g')) AS title, nullif(regexp_extract(text, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '') AS first_date, len(list_distinct(regexp_extract_all(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))) AS n_dates,
-  left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 600) AS summary, len(list_distinct(regexp_extract_all(text, 'https?://[^\\s)>\\]]+'))) AS n_sources FROM i""")
-def memo_baseline(spark, sf_dir):
-    return out(ev.baselines(table(spark, sf_dir, "documents")))
-
-
 @query("update_merge", """WITH o AS (SELECT o_custkey % 50 AS memo, CAST(o_orderdate AS DATE) AS day, o_orderpriority || (o_orderkey % 40) AS event, o_orderkey % 3 AS side FROM orders), k AS (SELECT memo, day, min(event) AS event FROM o WHERE side > 0 GROUP BY 1, 2), n AS (SELECT memo, day, min(event) AS event FROM o WHERE side = 0 GROUP BY 1, 2),
 f AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.memo = n.memo AND k.event = n.event AND k.day <> n.day)) SELECT * FROM f UNION ALL SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.memo = k.memo AND f.day = k.day)""")
 def update_merge(spark, sf_dir):

@@ -453,17 +453,32 @@ def volume_profile(spark, sf_dir):
     return out(structure.volume_profile(bars(spark, sf_dir)), "ticker", "bin", "volume", "poc")
 
 
-@query("wave_candidates")
+WAVE_SQL = f"""WITH {BARS_SQL}, {panel_sql()}, pv AS (SELECT ticker, n, high AS price, 'high' AS kind FROM panel WHERE pivot_high AND n > greatest(bars - 120, 0) + 5 UNION ALL SELECT ticker, n, low, 'low' FROM panel WHERE pivot_low AND n > greatest(bars - 120, 0) + 5),
+ls AS (SELECT ticker, bars AS size, greatest(coalesce(atr14, 0), close * 0.01) AS least FROM panel WHERE n = bars),
+ls2 AS (SELECT ticker, any_value(size) AS size, any_value(least) AS least, list([{{'n': CAST(n AS INTEGER), 'kind': kind, 'price': CAST(price AS DOUBLE)}}] ORDER BY n, kind) AS pts FROM pv JOIN ls USING (ticker) GROUP BY 1),
+tn AS (SELECT ticker, size, least, list_reduce(pts, lambda a, b: CASE WHEN a[len(a)].kind = b[1].kind THEN CASE WHEN (b[1].kind = 'high' AND b[1].price > a[len(a)].price) OR (b[1].kind = 'low' AND b[1].price < a[len(a)].price) THEN list_append(a[1:len(a) - 1], b[1]) ELSE a END
+  WHEN least > 0 AND abs(b[1].price - a[len(a)].price) < least THEN a ELSE list_append(a, b[1]) END) AS t FROM ls2),
+sx AS (SELECT ticker, size, least, t, unnest(range(1, len(t) - 4)) AS i FROM tn WHERE len(t) >= 6),
+g AS (SELECT ticker, size, least, t[i].kind = 'low' AS up, [t[i + k].price FOR k IN range(9)] AS p, [t[i + k].n FOR k IN range(9)] AS n, [abs(t[i + k + 1].price - t[i + k].price) FOR k IN range(8)] AS d FROM sx),
+sc AS (SELECT *, 0.25::DOUBLE + 0.2::DOUBLE * len(list_filter(d[1:5], lambda x: x >= least)) / 5 + 0.25::DOUBLE * CASE WHEN d[3] >= 0.9::DOUBLE * d[1] THEN 1 ELSE d[3] / greatest(d[1], 1) END
+    + (0.2::DOUBLE * greatest(0, 1 - greatest((p[2] - p[5]) * CASE WHEN up THEN 1 ELSE -1 END, 0) / greatest(d[1], 1)) + 0.1::DOUBLE * greatest(0, 1 - (size - n[6]) / 60)) AS move,
+  0.3::DOUBLE + 0.25::DOUBLE * len(list_filter(d[7:8], lambda x: x >= least)) / 2 + 0.25::DOUBLE * least(d[7], d[8]) / greatest(d[7], d[8], 1) + 0.2::DOUBLE * greatest(0, 1 - (size - n[9]) / 45) AS back FROM g),
+wv AS (SELECT ticker, 'impulse' AS kind, CASE WHEN up THEN 'bullish' ELSE 'bearish' END AS direction, least(1, greatest(0, move)) AS confidence, move >= 0.55 AS drawable, n[1] AS first_n, n[6] AS last_n, p[1] AS first_price, p[6] AS last_price FROM sc
+  UNION ALL SELECT ticker, 'corrective', CASE WHEN up THEN 'bearish-correction' ELSE 'bullish-correction' END, least(1, greatest(0, back)), back >= 0.55, n[7], n[9], p[7], p[9] FROM sc WHERE n[9] IS NOT NULL)"""
+_WAVE = "ticker, kind, direction, round(confidence, 6) AS confidence, drawable, CAST(first_n AS BIGINT) AS first_n, CAST(last_n AS BIGINT) AS last_n, round(first_price, 6) AS first_price, round(last_price, 6) AS last_price"
+
+
+@query("wave_candidates", f"{WAVE_SQL} SELECT {_WAVE} FROM wv")
 def wave_candidates(spark, sf_dir):
     return out(structure.waves(panel(spark, sf_dir)))
 
 
-@query("alternating_pivots")
+@query("alternating_pivots", f"{WAVE_SQL} SELECT ticker, CAST(k - 1 AS BIGINT) AS nth, CAST(x.n AS BIGINT) AS n, x.kind AS kind, round(price, 6) AS price FROM (SELECT ticker, k, x, x.price AS price FROM (SELECT ticker, unnest(t) AS x, unnest(range(1, len(t) + 1)) AS k FROM tn))")
 def alternating_pivots(spark, sf_dir):
     return out(structure.alternating_pivots(panel(spark, sf_dir)))
 
 
-@query("best_wave")
+@query("best_wave", f"{WAVE_SQL} SELECT {_WAVE} FROM wv WHERE drawable QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY round(confidence::DOUBLE, 9) DESC, last_n DESC, first_n, kind) = 1")
 def best_wave(spark, sf_dir):
     return out(structure.best_wave(structure.waves(panel(spark, sf_dir))))
 

@@ -142,3 +142,25 @@ def memo_audit(spark, sf_dir):
     """Every fifth memo has the recheck section in its reference text. A heading of sources at the end of a text has no line after it."""
     docs = table(spark, sf_dir, "documents")
     return m.heading_audit(memos(docs), "memo", files(docs), docs.where("doc_id % 5 = 0"), need_recheck=True)
+
+
+def logged(docs: DataFrame) -> DataFrame:
+    """Memos with a title, an update log of up to three entries, two of which may share a day, and addresses of which one may name a ticker."""
+    i = F.col("doc_id")
+    name = F.when(i % 2 == 0, F.concat(F.lit("Corp "), i.cast("string"), F.lit(" Memo"))).otherwise(F.concat(F.lit("회사 "), i.cast("string"), F.lit(" 분석 예시")))
+    text = F.replace("text", F.lit("# Memo"), F.concat(F.lit("# "), name))
+    entries = F.transform(F.sequence(F.lit(0), (i % 4).cast("int")), lambda k: F.concat(F.lit("\n### 2024-03-0"), (F.floor(k / 2) + 1).cast("string"), F.lit(" Update\nsee http://u.example/"), k.cast("string"), F.lit(" and [x](http://v.example/"), k.cast("string"), F.lit(")")))
+    log = F.when(i % 5 != 2, F.concat(F.lit("\n## Update Log"), F.array_join(entries, ""))).otherwise("")
+    code = F.when(i % 6 == 1, F.concat(F.lit("\nhttps://q.example/item?code="), F.lpad(i.cast("string"), 6, "0"))).otherwise("")
+    return memos(docs).select("doc_id", F.concat(text, log, code).alias("text"))
+
+
+@query("memo_baseline", f"""WITH {M_SQL}, b AS (SELECT d.i, i % 5 <> 2 AS logged, i % 4 AS k, i % 6 = 1 AS coded FROM d),
+us AS (SELECT i, list_concat(list_concat(CASE WHEN i % 11 <> 0 AND i % 7 <> 0 THEN ['http://x/y'] ELSE [] END, CASE WHEN logged THEN list_transform(range(0, k + 1), lambda x: 'http://v.example/' || x) ELSE [] END),
+  list_concat(CASE WHEN logged THEN list_transform(range(0, k + 1), lambda x: 'http://u.example/' || x) ELSE [] END, CASE WHEN coded THEN ['https://q.example/item?code=' || lpad(CAST(i AS VARCHAR), 6, '0')] ELSE [] END)) AS urls FROM b)
+SELECT b.i AS doc_id, CASE WHEN b.i % 2 = 0 THEN 'Corp ' || b.i || ' Memo' ELSE '회사 ' || b.i || ' 분석 예시' END AS title, CASE WHEN b.i % 2 = 0 THEN 'Corp ' || b.i ELSE '회사 ' || b.i END AS company, CAST(o.base AS VARCHAR) AS memo_date, CAST(o.updated AS VARCHAR) AS recent_update, logged AS has_update_log,
+  CASE WHEN NOT logged THEN '' WHEN k < 2 THEN '2024-03-01' ELSE '2024-03-01,2024-03-02' END AS update_dates, array_to_string(urls, ' ') AS source_urls, CASE WHEN (b.i + 1) % 23 <> 0 AND (b.i + 1) % 9 <> 4 THEN trim('x1 ' || regexp_replace(s[1 % len(s) + 1], '[^A-Za-z ]', '', 'g'))[:600] END AS summary,
+  CASE WHEN coded THEN lpad(CAST(b.i AS VARCHAR), 6, '0') END AS ticker FROM b JOIN d ON d.i = b.i JOIN o ON o.i = b.i JOIN us ON us.i = b.i""")
+def memo_baseline(spark, sf_dir):
+    found = m.memo_baseline(logged(table(spark, sf_dir, "documents")))
+    return found.withColumns({"update_dates": F.array_join("update_dates", ","), "source_urls": F.array_join("source_urls", " ")})

@@ -177,11 +177,16 @@ def dedupe_news(spark, sf_dir):
     return news.deduped(i.select("seq", "item_id", url.alias("url_key"), headline.alias("headline_key")), ["url_key", "headline_key"]).select("item_id")
 
 
-@query("news_report", f"""WITH {I_SQL}, s AS (SELECT *, {SCORE_SQL} AS score FROM i), t AS (SELECT unnest({[s for s, _ in SECTORS]} || ['empty']) AS sector, unnest({[t for _, t in SECTORS]} || ['no such word']) AS term),
-m AS (SELECT sector, item_id, row_number() OVER (PARTITION BY sector ORDER BY score DESC, item_id) AS rank FROM (SELECT DISTINCT sector, item_id, score FROM s JOIN t ON contains(lower(text), term)) QUALIFY rank <= 5)
-SELECT 'market' AS part, 'all' AS name, row_number() OVER (ORDER BY score DESC, seq) AS rank, item_id, NULL::BIGINT AS n FROM (SELECT * FROM s WHERE score >= 1 ORDER BY score DESC, seq LIMIT 12)
-UNION ALL SELECT 'sector', d.sector, rank, item_id, NULL FROM (SELECT DISTINCT sector FROM t) d LEFT JOIN m ON m.sector = d.sector UNION ALL SELECT 'role', source, NULL, NULL, count(*) FROM i GROUP BY source""")
+@query("news_report", f"""WITH {I_SQL}, e AS (SELECT *, {SCORE_SQL} AS score, CASE WHEN item_id % 10 <> 0 THEN DATE '2024-01-01' + CAST(item_id % 5 AS INT) END AS published, item_id % 4 = 1 AS discovery FROM i), y AS (SELECT * FROM e WHERE published = DATE '2024-01-03'), s AS (SELECT * FROM y WHERE NOT discovery),
+t AS (SELECT unnest({[s for s, _ in SECTORS]} || ['empty']) AS sector, unnest({[t for _, t in SECTORS]} || ['no such word']) AS term),
+m AS (SELECT sector, item_id, row_number() OVER (PARTITION BY sector ORDER BY score DESC, item_id) AS rank FROM (SELECT DISTINCT sector, item_id, score FROM s JOIN t ON contains(lower(text), term)) QUALIFY rank <= 5),
+b AS (SELECT * FROM s WHERE score >= 60 ORDER BY score DESC, seq LIMIT 12)
+SELECT 'market' AS part, 'all' AS name, row_number() OVER (ORDER BY score DESC, seq) AS rank, item_id, NULL::BIGINT AS n FROM b UNION ALL SELECT 'sector', d.sector, rank, item_id, NULL FROM (SELECT DISTINCT sector FROM t) d LEFT JOIN m ON m.sector = d.sector
+UNION ALL SELECT 'discovery', 'all', row_number() OVER (ORDER BY seq), item_id, NULL FROM y WHERE discovery UNION ALL SELECT 'role', source, NULL, NULL, count(*) FROM y GROUP BY source
+UNION ALL SELECT 'missing-date', source, NULL, NULL, count(*) FROM e WHERE published IS NULL GROUP BY source UNION ALL SELECT 'other-date', source, NULL, NULL, count(*) FROM e WHERE published <> DATE '2024-01-03' GROUP BY source
+UNION ALL SELECT 'warning', 'few-market-items', NULL, NULL, n FROM (SELECT count(*) AS n FROM b) WHERE n < 5""")
 def news_report(spark, sf_dir):
     terms = spark.createDataFrame([*SECTORS, ("empty", "no such word")], "sector string, term string")
-    i = items(spark, sf_dir)
-    return out(news.report(i, news.sector_match(i, terms), terms, "source"))
+    id_ = F.col("item_id")
+    dated = items(spark, sf_dir).withColumns({"published": F.when(id_ % 10 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (id_ % 5).cast("int"))), "discovery": id_ % 4 == 1})
+    return out(news.report(dated, terms, F.lit("2024-01-03").cast("date"), "source", least=60))

@@ -45,7 +45,8 @@ def stream_filings(spark, sf_dir):
     return drained(jobs.filings(s, "holder", {"purchase": "purchase"}, late="400 days")).groupBy(F.col("rcept_no").alias("user_id")).agg(F.count("*").alias("n"))
 
 
-@query("stream_crossings", "WITH v AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL) SELECT key, ts, value FROM v WHERE value >= 20 AND (b IS NULL OR b < 20)")
+@query("stream_crossings", "WITH v AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, value) AS b FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL) SELECT key, ts, value FROM v WHERE value >= 20 AND (b IS NULL OR b < 20) AND ts <= (SELECT max(ts) FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL) - INTERVAL 10 MINUTE")
 def stream_crossings(spark, sf_dir):
+    """Rows of the last ten minutes still wait for what may come before them."""
     rows = events(spark, sf_dir).where("value is not null and user_id is not null").select(F.col("user_id").cast("string").alias("key"), "ts", "value")
     return drained(jobs.crossings(rows, 20.0))
