@@ -78,6 +78,19 @@ def test_product_terms_count_table_cells_again(spark):
     assert got == [("양극재", 4), ("HBM", 3), ("SMR", 2)]
 
 
+def test_query_sets(spark):
+    texts = spark.createDataFrame([("가나", "양극재 양극재 HBM HBM"), ("가나", "수주 수주 수주")], "company string, text string")
+    memos = spark.createDataFrame([("가나", "# 핵심\n## Key 변수\nSMR은 실적\n# 기타\n수율 수율"), ("다라", "## 리스크\n원가 " + "x" * 500 + " 원가")], "company string, text string")
+    companies = spark.createDataFrame([("가나",), ("다라",), ("다라",)], "company string")
+    contexts = titles.context_terms(memos, [], "company")
+    assert sorted((r["company"], r["term"], r["count"]) for r in contexts.collect()) == [("가나", "SMR", 2), ("가나", "기타", 2), ("가나", "수율", 4), ("가나", "실적", 2)]
+    got = titles.query_set(companies, titles.product_terms(texts, [], ["company"]), titles.headline_terms(texts, [], "company"), contexts)
+    assert [(r["company"], r["query"], r["source"]) for r in got.orderBy("company", "rank").collect()] == [
+        ("가나", "가나 투자 분석", "base"), ("가나", "가나 실적", "base"), ("가나", "가나 수주", "product"), ("가나", "가나 HBM", "product"), ("가나", "가나 양극재", "product"), ("가나", "가나 수율", "context"), ("가나", "가나 SMR", "context"), ("가나", "가나 기타", "context"),
+        ("다라", "다라 투자 분석", "base"), ("다라", "다라 실적", "base"), ("다라", "다라 주요 제품", "fallback"),
+    ]
+
+
 def test_company_tokens(spark):
     df = spark.createDataFrame([("SK-하이닉스 반도체주 LG&H 주가 LG&H 가",)], "t string")
     assert df.select(titles.company_tokens(F.col("t"), ["반도체", "주가"])).first()[0] == ["SK-하이닉스", "LG&H"]

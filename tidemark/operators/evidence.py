@@ -42,15 +42,6 @@ def external_views(posts: DataFrame, views: DataFrame) -> DataFrame:
     return a.unionByName(views.select(F.col("broker").alias("name"), F.col("report_id").alias("id"), F.lit("broker").alias("role"), F.when(F.col("title").isNotNull(), "titled").otherwise("unverified").alias("verification")))
 
 
-def query_set(candidates: DataFrame, most: int = 8) -> DataFrame:
-    """The first queries of each group by kind and place, equal ones (but for case and blanks) once."""
-    key = F.lower(F.regexp_replace("query", r"\s+", ""))
-    once = candidates.withColumn("key", key).where("key <> ''")
-    once = once.withColumn("k", F.row_number().over(W.partitionBy("company", "key").orderBy("kind", "place"))).where("k = 1")
-    rank = F.row_number().over(W.partitionBy("company").orderBy("kind", "place"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= most).select("company", "rank", "query")
-
-
 def selected_posts(posts: DataFrame, in_title: Column, in_head: Column, most: int = 5) -> DataFrame:
     """For each source, posts whose title matches and then others, of these those whose head mentions it."""
     rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("in_title"), "seq"))

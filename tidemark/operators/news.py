@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -126,15 +127,24 @@ def same_date(items: DataFrame, day: Column) -> tuple[DataFrame, DataFrame]:
     return items.where(F.col("published") == day), counts
 
 
-def sector_match(items: DataFrame, terms: DataFrame, top: int = 5) -> DataFrame:
+def sector_match(items: DataFrame, terms: DataFrame, top: int = 5, block: int = 500) -> DataFrame:
     """(sector, rank, item_id, score) of items that hold any term of a sector.
 
-    terms (sector, term) is a dimension of a few hundred short rows: it is folded into one
-    array on the driver, so that each text is read once and nothing is joined.
+    terms (sector, term) is folded into arrays of conditions, so that each text is read once for every ``block`` terms and
+    nothing is joined. The driver holds one block of terms at a time; the matches of each but a single block are written.
     """
-    known = [(r["sector"], r["term"].lower()) for r in terms.select("sector", "term").distinct().orderBy("sector", "term").collect()]
-    hit = F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(F.lower("text"), F.lit(t)), s) for s, t in known))))
-    each = items.select("item_id", "score", F.explode(hit).alias("sector"))
+
+    def hits(known: list[tuple[str, str]]) -> DataFrame:
+        found = F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(F.lower("text"), F.lit(t)), s) for s, t in known))))
+        return items.select("item_id", "score", F.explode(found).alias("sector"))
+
+    rows = ((r["sector"], r["term"].lower()) for r in terms.select("sector", "term").where("term is not null").distinct().orderBy("sector", "term").toLocalIterator())
+    parts, known = [], list(islice(rows, block))
+    while known:
+        more = list(islice(rows, block))
+        parts.append(written(hits(known), "matches") if parts or more else hits(known))
+        known = more
+    each = reduce(DataFrame.unionByName, parts).distinct() if len(parts) > 1 else parts[0] if parts else items.select("item_id", "score", F.lit("").alias("sector")).where("false")
     rank = F.row_number().over(W.partitionBy("sector").orderBy(F.desc("score"), "item_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= top)
 

@@ -110,3 +110,34 @@ def product_terms(docs: DataFrame, stop: list[str], by: list[str], company: Colu
     cells = F.transform(cells, lambda x: F.regexp_replace(x, f"(?:{PARTICLES})$", ""))
     cells = F.filter(cells, lambda x: (x.rlike(NOUN) & ~x.isin(*stop)) | x.rlike(ACRONYM))
     return frequent(docs, F.concat(words, cells), by, least, most)
+
+
+#: Fixed headings of sections that name what matters, as far as 500 characters below.
+KEY_SECTION = r"(?im)^#{1,3}\s+(?:핵심|투자|Key|논점|포인트|리스크|카탈리스트|모멘텀|변수).*$(?=([\s\S]{0,500}))"
+
+
+def context_terms(memos: DataFrame, stop: list[str], company: str, least: int = 2, most: int = 5) -> DataFrame:
+    """(company, rank, term, count) of short nouns and acronyms in the 500 characters below each key heading of a company's memos (company, text)."""
+    near = F.regexp_extract_all("text", F.lit(KEY_SECTION), F.lit(1))
+    rows = memos.select(company, F.array_join(near, "\n").alias("text"))
+    words = F.filter(tokens(F.col("text"), stop, F.col(company)), lambda x: x.rlike(NOUN) | x.rlike(ACRONYM))
+    return frequent(rows, words, [company], least, most)
+
+
+def query_set(companies: DataFrame, products: DataFrame, headlines: DataFrame, contexts: DataFrame, company: str = "company", most: int = 8) -> DataFrame:
+    """(company, rank, query, source): two base queries of each company, then its first three product, five headline and three context terms.
+
+    Of queries that differ in case and blanks only the first stays. A company without product and headline terms that has no more
+    than its base queries gets one for its main products.
+    """
+    name = F.col(company)
+    base = companies.select(company).distinct().select(company, F.inline(F.array(*(F.struct(F.lit(i).alias("kind"), F.lit(0).alias("rank"), F.lit(t).alias("term"), F.lit("base").alias("source")) for i, t in enumerate(("투자 분석", "실적"))))))
+    some = lambda df, kind, n, source: df.where(F.col("rank") <= n).select(company, F.lit(kind).alias("kind"), F.col("rank").cast("int").alias("rank"), "term", F.lit(source).alias("source"))
+    every = base.unionByName(some(products, 2, 3, "product")).unionByName(some(headlines, 3, 5, "news")).unionByName(some(contexts, 4, 3, "context"))
+    every = every.withColumn("query", F.concat_ws(" ", name, "term")).withColumn("key", F.lower(trimmed(F.regexp_replace("query", f"{BLANK}+", " "))))
+    first = every.groupBy(company, "key").agg(F.min(F.struct("kind", "rank", "query", "source")).alias("q")).select(company, "q.*")
+    nth = F.row_number().over(W.partitionBy(company).orderBy("kind", "rank", "query"))
+    kept = first.withColumn("nth", nth).where(F.col("nth") <= most)
+    bare = kept.groupBy(company).agg(F.max("nth").alias("n"), F.max(F.col("source").isin("product", "news")).alias("found")).where((F.col("n") <= 2) & ~F.col("found"))
+    bare = bare.where(F.col("n") < most).select(company, (F.col("n") + 1).alias("rank"), F.concat_ws(" ", name, F.lit("주요 제품")).alias("query"), F.lit("fallback").alias("source"))
+    return kept.select(company, F.col("nth").alias("rank"), "query", "source").unionByName(bare)

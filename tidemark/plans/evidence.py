@@ -45,13 +45,6 @@ def external_views(spark, sf_dir):
     return ev.external_views(items(spark, sf_dir), reports(spark, sf_dir)).groupBy("name", "role", "verification").agg(F.count("*").alias("n"))
 
 
-@query("query_set", f"""WITH {I_SQL}, c AS (SELECT source AS company, item_id % 4 AS kind, item_id AS place, left(headline, 12) AS query, lower(regexp_replace(left(headline, 12), '\\s+', '', 'g')) AS key FROM i), o AS (SELECT * FROM c WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY company, key ORDER BY kind, place) = 1)
-SELECT company, row_number() OVER (PARTITION BY company ORDER BY kind, place) AS rank, query FROM o QUALIFY rank <= 8""")
-def query_set(spark, sf_dir):
-    c = items(spark, sf_dir).select(F.col("source").alias("company"), (F.col("item_id") % 4).alias("kind"), F.col("item_id").alias("place"), F.substring("headline", 1, 12).alias("query"))
-    return out(ev.query_set(c))
-
-
 @query("post_selection", f"""WITH {I_SQL}, m AS (SELECT *, contains(lower(headline), 'thor') AS t, contains(lower(left(text, 500)), 'eaux') AS h FROM i), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY t DESC, seq) AS rank FROM m) SELECT source, item_id, rank FROM r WHERE rank <= 5 AND (t OR h)""")
 def post_selection(spark, sf_dir):
     got = ev.selected_posts(items(spark, sf_dir), news.matches(F.col("headline"), ["thor"]), news.matches(F.substring("text", 1, 500), ["eaux"]))

@@ -73,3 +73,31 @@ def product_terms(spark, sf_dir):
     """Of the planted table row three words count once more; one is a stop word, one mixed, one too short and one too long."""
     rows = titled(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n"), F.when(F.col("item_id") % 4 == 1, CELLS).otherwise("| x")))
     return out(t.product_terms(rows, STOP_WORDS, ["company"], F.col("company")))
+
+
+NOTE = "수율은 리스크다 수율 HBM HBM 이야기"
+
+
+def noted(spark, sf_dir) -> DataFrame:
+    """Memos of some sources: one has a key heading twice, so that its words count double; the others' heading is no key."""
+    i = items(spark, sf_dir).where("item_id % 6 = 2")
+    head = F.when(F.col("item_id") % 4 == 0, "# 핵심 변수\n## 리스크\n").otherwise("# 기타\n")
+    return i.select(F.col("source").alias("company"), F.concat(head, F.lit(NOTE)).alias("text"))
+
+
+def _term_sql(rows: str, terms: str, least: int, most: int, name: str) -> str:
+    return f"{name} AS (SELECT company, row_number() OVER (PARTITION BY company ORDER BY count(*) DESC, term) AS rank, term FROM (SELECT company, unnest({terms}) AS term FROM {rows}) GROUP BY company, term HAVING count(*) >= {least} QUALIFY rank <= {most})"
+
+
+@query("query_set", f"""WITH {T_SQL}, few AS (SELECT * FROM t WHERE company NOT IN ('src3', 'src5')), h0 AS (SELECT company, {tokens_sql('text', 'company')} AS t FROM few WHERE {_SEPS} < 4), p0 AS (SELECT company, list_filter({tokens_sql('text', 'company')}, lambda x: regexp_matches(x, '{t.NOUN}') OR regexp_matches(x, '{t.MIXED}')) AS t FROM few),
+x0 AS (SELECT source AS company, CASE WHEN item_id % 4 = 0 THEN ['리스크다', '수율', '수율', 'HBM', 'HBM', '수율', '리스크다', '수율', 'HBM', 'HBM'] ELSE [] END AS t FROM i WHERE item_id % 6 = 2 AND source <> 'src5'),
+{_term_sql('p0', 't', 2, 5, 'p')}, {_term_sql('h0', _PAIRS.removeprefix('unnest(').removesuffix(')'), 3, 10, 'h')}, {_term_sql('x0', 't', 2, 5, 'x')},
+a AS (SELECT company, 0 AS kind, 0 AS rank, '투자 분석' AS term, 'base' AS source FROM (SELECT DISTINCT company FROM t) UNION ALL SELECT company, 1, 0, '실적', 'base' FROM (SELECT DISTINCT company FROM t) UNION ALL SELECT company, 2, rank, term, 'product' FROM p WHERE rank <= 3 UNION ALL SELECT company, 3, rank, term, 'news' FROM h WHERE rank <= 5 UNION ALL SELECT company, 4, rank, term, 'context' FROM x WHERE rank <= 3),
+f AS (SELECT company, kind, rank, company || ' ' || term AS query, source FROM a QUALIFY row_number() OVER (PARTITION BY company, lower(term) ORDER BY kind, rank) = 1),
+k AS (SELECT company, nth AS rank, query, source FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY kind, rank, query) AS nth FROM f) WHERE nth <= 8)
+SELECT * FROM k UNION ALL SELECT company, max(rank) + 1, company || ' 주요 제품', 'fallback' FROM k GROUP BY company HAVING max(rank) <= 2 AND NOT bool_or(source IN ('product', 'news'))""")
+def query_set(spark, sf_dir):
+    """Of two sources there are no titles, of one of them no memos either."""
+    rows = titled(spark, sf_dir)
+    few = rows.where("company not in ('src3', 'src5')")
+    return out(t.query_set(rows, t.product_terms(few, STOP_WORDS, ["company"], F.col("company")), t.headline_terms(few, STOP_WORDS, "company"), t.context_terms(noted(spark, sf_dir).where("company <> 'src5'"), STOP_WORDS, "company")))
