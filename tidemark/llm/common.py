@@ -71,8 +71,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps; each leaves as many links as there are
     nodes at most, and the number of rounds grows with the logarithm of the longest
-    path. Minima are taken by partial aggregation and joined back, so that a node with
-    very many links doesn't meet in one task. Each round is a table in the shared folder.
+    path. Minima are taken by partial aggregation; the join back to them is dealt by node, so
+    the links of one node meet in one task there. Each round is a table in the shared folder.
     """
 
     def star(links: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ Both states at a position give a softmax over the languages there, which is the
 label; a document's probabilities are the mean of those of all of its bytes. The weights
 are trained in numpy by backpropagation through time, with Adam, on segments of a sample
 of labelled documents. The sample is bounded by ``train_docs`` documents and ``train_bytes``
-bytes for a language (as means of a draw by hash); of a document that is drawn, all bytes
-are learned from. Every other step reads all rows and all bytes. The weights are a few KB.
+bytes for a language (as means of a draw by hash). Training draws 300 batches of 192
+segments of it with replacement, as many of each language; on 93,566 sampled segments that
+reaches 46 % of them once or more. Every other step reads all rows and all bytes. The weights
+are a few KB.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every
 row if no row can be learned from; NUL bytes count as padding; equal probabilities go to
