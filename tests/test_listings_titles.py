@@ -40,6 +40,13 @@ def test_search_hits_take_title_snippet_and_date_around(spark):
     assert got == {"http://s/p1": (2, "긴 제목입니다", "이것은 충분히 긴 요약입니다", dt.date(2024, 3, 5)), "http://s/p2": (7, "2024.3.5.", "", dt.date(2024, 3, 5))}
 
 
+def test_headlines_of_links_and_of_one_text(spark):
+    links = "국내 증시 상승 마감했다 → https://press/1\n국내 증시 상승 마감했다 → https://press/2\n블로그 글의 제목입니다 → http://blog.naver.com/a\nonly english headline → https://press/3\n짧은 제목 → https://press/4\n네이버 뉴스 기사 제목입니다 → https://news.naver.com/x\n네이버 뉴스 첫 화면입니다 → https://news.naver.com"
+    assert [(r["nth"], r["headline"]) for r in listings.linked_headlines(docs(spark, links, None)).collect()] == [(0, "국내 증시 상승 마감했다"), (1, "네이버 뉴스 기사 제목입니다")]
+    text = listings.ARTICLE_MARK.join(["코스피가 오늘 크게 올랐다. 이어지는 문장이 있다", "짧다", "마침표가 없는 기사 " + "가" * 120, "코스피가 오늘 크게 올랐다. 다른 문장이 이어진다", "english only text. and more of it"])
+    assert [r["headline"] for r in listings.split_headlines(docs(spark, text)).orderBy("nth").collect()] == ["코스피가 오늘 크게 올랐다", "마침표가 없는 기사 " + "가" * 89]
+
+
 def test_report_keys(spark):
     df = spark.createDataFrame([("한국 증권!", "2024-03-05", " 제목: (상)", None), (None, None, None, ""), ("a", None, "b", "77")], "b string, d string, t string, i string")
     got = [r[0] for r in df.select(listings.report_key("site", F.col("b"), F.col("d").cast("date"), F.col("t"), F.col("i"))).collect()]

@@ -51,6 +51,11 @@ def test_ragged_rows_and_alignment(spark):
     assert got == [(0, 0, "구분", "left"), (0, 1, "값", "right"), (1, 0, "a", "left"), (1, 1, "", "right"), (2, 0, "b", "left"), (2, 1, "2", "right")]
 
 
+def test_table_lines(spark):
+    got = [r["line"] for r in markdown.table_lines(cells(spark, "| a | b |\n|---|---|\n| x<br/>y | |")).orderBy("row").collect()]
+    assert got == ["a\tb", "x\ny\t"]
+
+
 def test_mismatches_of_shape_and_cell(spark):
     memo = "| **a** | `b` |\n|---|---|\n| [x](http://y) | 1<br>2 |\n\nt\n\n| c |\n|---|\n| d |\n"
     other = "| a | b |\n|---|---|\n| x (http://y) | 1 2 |\n"

@@ -22,13 +22,6 @@ def references(links: DataFrame, reserved: list[str], most: int = 3) -> DataFram
     return found.where((F.col("target") != "") & (F.col("target") != F.lower("source")) & ~F.col("target").isin(*reserved)).select("source", "target").distinct()
 
 
-def headlines(links: DataFrame, least: int = 10) -> DataFrame:
-    """Distinct texts of external links of at least so many characters, each with its first page and address."""
-    fit = links.where(F.col("href").rlike("^https?://") & (F.length("text") >= least))
-    first = F.row_number().over(W.partitionBy("text").orderBy("page_id", "nth"))
-    return fit.withColumn("k", first).where("k = 1").select("text", "page_id", "href")
-
-
 def merged_updates(old: DataFrame, new: DataFrame) -> DataFrame:
     """Update blocks keyed by (memo, day): new ones replace those of their day, and repeat no event of another day."""
     events = old.select("memo", F.col("day").alias("other"), "event")

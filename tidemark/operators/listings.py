@@ -111,3 +111,31 @@ def search_hits(pages: DataFrame, address: str, id_col: str = "doc_id", text_col
     published = F.concat_ws("-", day(1), F.lpad(day(2), 2, "0"), F.lpad(day(3), 2, "0")).try_cast("date")
     first = each.groupBy(id_col, "url").agg(F.min_by(F.struct("line", "title", "snippet", published.alias("published")), "line").alias("x"))
     return first.select(id_col, "x.line", "url", "x.title", "x.snippet", "x.published")
+
+
+# Fixed pattern of addresses inside the portal, and the mark between the articles of a page read as one text.
+INTERNAL = (
+    r"search\.naver\.com|help\.naver\.com|nid\.naver\.com|section\.(blog|cafe)\.naver\.com|pay\.naver\.com|mail\.naver\.com|comic\.naver\.com|book\.naver\.com|kin\.naver\.com|stock\.naver\.com|dict\.naver\.com|"
+    r"calendar\.naver\.com|blog\.naver\.com|cafe\.naver\.com|news\.naver\.com$|chzzk\.naver\.com|point\.pay\.naver\.com|m\.notify\.naver\.com|talks\.naver\.com"
+)
+ARTICLE_MARK = "Keep에 저장Keep에 바로가기"
+KOREAN = r"[\x{AC00}-\x{D7AF}]"
+
+
+def _numbered(pages: DataFrame, id_col: str, texts: Column) -> DataFrame:
+    fit = F.array_distinct(F.filter(texts, lambda x: (F.length(x) >= 10) & x.rlike(KOREAN)))
+    return pages.select(id_col, F.posexplode(fit).alias("nth", "headline"))
+
+
+def linked_headlines(pages: DataFrame, id_col: str = "doc_id", text_col: str = "text", internal: str = INTERNAL, arrow: str = " → ") -> DataFrame:
+    """(id_col, nth, headline): the distinct Korean texts, of ten characters or more, of a page's "text → address" lines that lead out of the portal."""
+    cut = lambda x: F.split(x, arrow, 2)
+    outside = F.filter(page_lines(F.col(text_col)), lambda x: F.contains(x, F.lit(arrow)) & trimmed(cut(x)[1]).rlike("^https?:") & ~trimmed(cut(x)[1]).rlike(internal))
+    return _numbered(pages, id_col, F.transform(outside, lambda x: trimmed(cut(x)[0])))
+
+
+def split_headlines(pages: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = ARTICLE_MARK) -> DataFrame:
+    """(id_col, nth, headline) of pages that are one text: of what stands between marks the first sentence of 10 to 150 characters, else the first 100."""
+    first = r"^(.{10,150}?)[.。]\s"
+    parts = F.filter(F.split(text_col, mark), lambda x: F.length(x) >= 20)
+    return _numbered(pages, id_col, F.transform(parts, lambda x: trimmed(F.when(x.rlike(first), F.regexp_extract(x, first, 1)).otherwise(F.substring(x, 1, 100)))))

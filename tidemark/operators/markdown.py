@@ -77,6 +77,13 @@ def table_cells(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return each.select(id_col, "table", "row", "col", F.col("c.text").alias("text"), alignment.alias("alignment"), "start_line")
 
 
+def table_lines(cells: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, table, row, line): the cells of a row set apart by tabs, with marked breaks as line ends."""
+    text = F.regexp_replace("text", r"(?i)<br\s*/?>", "\n")
+    own = F.array_sort(F.collect_list(F.struct("col", text.alias("text"))))
+    return cells.groupBy(id_col, "table", "row").agg(F.array_join(F.transform(own, lambda c: c["text"]), "\t").alias("line"))
+
+
 def shown_text(cell: Column) -> Column:
     """What a reader sees of a cell: breaks as lines, colours, bold and code without their marks, links as text and address."""
     for pattern, to in ((r"(?i)<br\s*/?>", "\n"), (r"\[(?:red|blue|brown):\s*([^\]]+)\]", "$1"), (r"\*\*([^*]+)\*\*", "$1"), ("`([^`]+)`", "$1"), (r"\[([^\]]+)\]\((https?://[^)]+)\)", "$1 ($2)")):

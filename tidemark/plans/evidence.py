@@ -27,11 +27,6 @@ def roundup_refs(spark, sf_dir):
     return ev.references(links(spark, sf_dir).withColumnRenamed("page_id", "page"), ["the", "and"])
 
 
-@query("headline_extract", f"WITH {A_SQL} SELECT text, page_id, href FROM b WHERE regexp_matches(href, '^https?://') AND length(text) >= 10 QUALIFY row_number() OVER (PARTITION BY text ORDER BY page_id, nth) = 1")
-def headline_extract(spark, sf_dir):
-    return ev.headlines(links(spark, sf_dir))
-
-
 @query("update_merge", """WITH o AS (SELECT o_custkey % 50 AS memo, CAST(o_orderdate AS DATE) AS day, o_orderpriority || (o_orderkey % 40) AS event, o_orderkey % 3 AS side FROM orders), k AS (SELECT memo, day, min(event) AS event FROM o WHERE side > 0 GROUP BY 1, 2), n AS (SELECT memo, day, min(event) AS event FROM o WHERE side = 0 GROUP BY 1, 2),
 f AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.memo = n.memo AND k.event = n.event AND k.day <> n.day)) SELECT * FROM f UNION ALL SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.memo = k.memo AND f.day = k.day)""")
 def update_merge(spark, sf_dir):

@@ -74,3 +74,23 @@ t AS (SELECT *, regexp_extract(around, '\\b20\\d{{2}}[./-]\\d{{1,2}}[./-]\\d{{1,
 SELECT doc_id, no AS line, url, coalesce(title, '') AS title, coalesce(snippet, '') AS snippet, try_cast(day AS DATE) AS published FROM t""")
 def search_hits(spark, sf_dir):
     return out(ls.search_hits(pages(table(spark, sf_dir, "documents")), ADDRESS), "doc_id", "line", "url", "title", "snippet", "published")
+
+
+HOSTS = ("https://press.example/", "https://search.naver.com/", "https://news.naver.com", "https://news.naver.com/a/", "ftp://press.example/", "http://m.blog.naver.com/")
+
+
+@query("headline_extract", f"""WITH x AS (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS j FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)),
+h AS (SELECT doc_id, j, {_TRIM("left(x, 40) || CASE WHEN j % 3 <> 1 THEN ' 기사' ELSE '' END")} AS t, (j + doc_id) % 6 IN (0, 3) AS outside, {_TRIM("CASE WHEN regexp_matches(y, '^(.{10,150}?)[.。][ ' || chr(10) || ']') THEN regexp_extract(y, '^(.{10,150}?)[.。][ ' || chr(10) || ']', 1) ELSE left(y, 100) END")} AS b, length(y) >= 20 AS long
+  FROM (SELECT *, replace(x, chr(10), ' ') || CASE WHEN j % 3 <> 1 THEN ' 기사' ELSE '' END || CASE WHEN j % 2 = 0 THEN '. 더 있음' ELSE '' END AS y FROM x)),
+f AS (SELECT 'link' AS kind, doc_id, t AS headline, min(j) AS j FROM h WHERE outside GROUP BY 2, 3 UNION ALL SELECT 'text', doc_id, b, min(j) FROM h WHERE long GROUP BY 2, 3)
+SELECT kind, doc_id, row_number() OVER (PARTITION BY kind, doc_id ORDER BY j) - 1 AS nth, headline FROM f WHERE length(headline) >= 10 AND regexp_matches(headline, '{ls.KOREAN}')""")
+def headline_extract(spark, sf_dir):
+    """Sentences as links, a third of them inside the portal or by another protocol, and as articles of one text; two of three get a Korean word."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split(F.replace(F.replace("text", F.lit("\r"), F.lit("")), F.lit(". "), F.lit(".\n")), "\n").alias("s"))
+    word = lambda j: F.when(j % 3 != 1, " 기사").otherwise("")
+    host = lambda j: F.element_at(F.array(*map(F.lit, HOSTS)), ((j + F.col("doc_id")) % 6 + 1).cast("int"))
+    address = lambda j: F.concat(host(j), F.when((j + F.col("doc_id")) % 6 == 2, "").otherwise(j.cast("string")))
+    links = F.array_join(F.transform("s", lambda x, j: F.concat(F.substring(x, 1, 40), word(j), F.lit(" → "), address(j))), "\n")
+    blob = F.array_join(F.transform("s", lambda x, j: F.concat(x, word(j), F.when(j % 2 == 0, ". 더 있음").otherwise(""))), ls.ARTICLE_MARK)
+    linked, split = (f(rows.select("doc_id", t.alias("text"))).withColumn("kind", F.lit(k)) for f, t, k in ((ls.linked_headlines, links, "link"), (ls.split_headlines, blob, "text")))
+    return out(linked.unionByName(split), "kind", "doc_id", "nth", "headline")
