@@ -28,6 +28,8 @@ FULL = r"[^\t-\r\p{Z}\x{FEFF}]"
 NUMBER = rf"\d[\d,]*(?:\.\d+)?(?:{BLANK}*(?:억원|백만원|천원|%|배|원))?"
 REVIEW_HEAVY = "재무|주석|손익|현금흐름|자본변동|재무상태|특수관계자|부문별보고|매출및수주|영업부문|우발부채|보고기간후사건"
 NO_PREVIEW = "본문 길이 부족"
+#: What a heading line begins with, and what parts sections while they are one text: no character of any text.
+MAYBE, PART = rf"^{BLANK}*(?:【|[IVX]+\.|\d)", "\uffff"
 
 
 def trimmed(x: Column) -> Column:
@@ -50,17 +52,21 @@ def heading(line: Column, no: Column) -> Column:
 
 
 def _parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, lines, contents, headings): headings up to the body's start, and those of the body that are no rows of figures.
+    """(id_col, contents, headings, bodies, n_lines): headings up to the body's start, those of the body that are no rows of figures, and the text below each.
 
-    What a lambda function uses of other columns would be computed anew for each element, so the start is found as a place among the headings.
+    What a lambda function uses of other columns would be computed anew for each element, and a slice copies its whole array, so the
+    start is found as a place among the headings, and the body is cut at its headings all at once.
     """
-    rows = docs.select(id_col, F.split(F.replace(text_col, F.lit("\r"), F.lit("")), "\n").alias("lines"))
-    numbered = F.transform("lines", lambda x, i: F.when(x.rlike(rf"^{BLANK}*(?:【|[IVX]+\.|\d)") | x.rlike(BODY_START), F.struct((i + 1).alias("no"), x.alias("line"))))
+    rows = docs.select(id_col, F.split(F.regexp_replace(text_col, f"[\r{PART}]", ""), "\n").alias("lines"))
+    numbered = F.transform("lines", lambda x, i: F.when(x.rlike(MAYBE) | x.rlike(BODY_START), F.struct((i + 1).alias("no"), x.alias("line"))))
     heads = F.transform(F.filter(numbered, lambda x: x.isNotNull()), lambda x: heading(x["line"], x["no"]))
     rows = rows.select(id_col, "lines", F.filter(heads, lambda x: x.isNotNull()).alias("heads"))
     rows = rows.select(id_col, "lines", "heads", F.array_position(F.transform("heads", lambda h: h["kind"]), F.lit("start")).cast("int").alias("start"))
     before, after = F.slice("heads", F.lit(1), F.greatest(F.col("start") - 1, F.lit(0))), F.slice("heads", F.col("start") + 1, F.size("heads"))
-    return rows.select(id_col, "lines", F.filter(before, lambda h: h["kind"] != "start").alias("contents"), F.filter(after, lambda h: ~h["tabular"]).alias("headings"))
+    body = F.slice("lines", F.coalesce(F.get("heads", F.col("start") - 1)["no"], F.lit(1)), F.size("lines"))
+    parts = F.filter(F.transform(body, lambda x: F.when(x.rlike(MAYBE) & F.coalesce(~heading(x, F.lit(0))["tabular"], F.lit(False)), PART).when(x.rlike(FULL) & ~x.rlike(LEADER), x)), lambda x: x.isNotNull())
+    bodies = F.split(F.array_join(parts, "\n"), PART)  # the first part stands above all headings
+    return rows.select(id_col, F.filter(before, lambda h: h["kind"] != "start").alias("contents"), F.filter(after, lambda h: ~h["tabular"]).alias("headings"), bodies.alias("bodies"), F.size("lines").alias("n_lines"))
 
 
 def contents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,10 +80,9 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A section runs to the line before the next heading, of whatever level.
     """
-    rows = _parsed(docs, id_col, text_col).select(id_col, "lines", "headings")
-    end = lambda i: F.coalesce(F.get("headings", i + 1)["no"] - 1, F.size("lines"))
-    body = lambda h, i: F.array_join(F.filter(F.slice("lines", h["no"] + 1, end(i) - h["no"]), lambda x: x.rlike(FULL) & ~x.rlike(LEADER)), "\n")
-    found = F.transform("headings", lambda h, i: F.struct((i + 1).alias("section"), h["title"].alias("title"), h["level"].alias("level"), h["kind"].alias("kind"), h["no"].alias("start_line"), end(i).alias("end_line"), body(h, i).alias("raw")))
+    rows = _parsed(docs, id_col, text_col).select(id_col, "headings", "bodies", "n_lines")
+    end = lambda i: F.coalesce(F.get("headings", i + 1)["no"] - 1, F.col("n_lines"))
+    found = F.transform("headings", lambda h, i: F.struct((i + 1).alias("section"), h["title"].alias("title"), h["level"].alias("level"), h["kind"].alias("kind"), h["no"].alias("start_line"), end(i).alias("end_line"), F.get("bodies", i + 1).alias("raw")))
     each = rows.select(id_col, F.inline(found))
     each = each.withColumn("content", trimmed(F.regexp_replace(F.regexp_replace("raw", "[\t ]+", " "), "\n{3,}", "\n\n"))).drop("raw")
     slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9가-힣]+", "-"), "^-+|-+$", ""), 1, 100)
