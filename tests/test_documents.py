@@ -164,3 +164,18 @@ def test_views_of_brokers_by_paragraph(spark):
     with pytest.raises(ValueError):
         evidence.broker_views_extract(docs, aliases, most_aliases=2)
     assert evidence.broker_views_extract(docs, aliases.limit(0)).count() == 0
+
+
+def test_the_place_of_a_broker_counts_characters(spark):
+    docs = spark.createDataFrame([(1, "😀😀😀 UBS 매수\n\n끝 2,000", None)], "article_id long, text string, published date")
+    got = evidence.broker_views_extract(docs, spark.createDataFrame([("UBS", "UBS")], "broker string, alias string")).first()
+    assert (got["thesis"], got["rating"], got["target_price"]) == ("😀😀😀 UBS 매수", "Buy", None)
+
+
+def test_what_a_form_needs_is_part_of_it(spark):
+    said = ["비중확대", "비중축소", "시장수익률 상회", "시장수익률하회", "시장수익률", "적극매수", "중립", "매수", "매도", "보유", "EQUAL-Weight", "Overweight", "UNDERweight", "outPerform", "underPERFORM", "STRONG BUY", "bUY", "Sell", "HOLD", "Neutral"]
+    prices = ["목표주가를 2,000원으로 상향", "목표주가 2,000원", "목표가 2,000원", "목표 가격 2,000원", "TP 2,000", "TARGET Price: 2,000", "목표주가 0.2 만원"]
+    df = spark.createDataFrame([(i, f"가 {x} 나") for i, x in enumerate([*said, *prices])], "i int, t string")
+    got = df.select(evidence.rating(F.col("t")).alias("r"), evidence.target_price(F.col("t")).alias("p")).orderBy("i").collect()
+    assert [r["r"] for r in got] == [label for _, label in evidence.RATING_FORMS] + [None] * len(prices)
+    assert [r["p"] for r in got] == [None] * len(said) + [2000] * len(prices)

@@ -100,33 +100,57 @@ DATE_FORMS = [r"(20[0-9]{2})\s*년\s*([0-9]{1,2})\s*월\s*([0-9]{1,2})\s*일", r
 PRICES = (100, 100_000_000)
 
 
+#: What each of these forms can't do without, in lower case for those that take either case; it is looked for first, as that costs far less than the pattern.
+PRICE_NEEDS = ["목표주가", "목표주가", "목표가", "목표", "TP", "target"]
+RATING_NEEDS = ["비중확대", "비중축소", "시장수익률", "시장수익률", "시장수익률", "적극매수", "중립", "매수", "매도", "보유", "equal", "overweight", "underweight", "outperform", "underperform", "strong", "buy", "sell", "hold", "neutral"]
+DATE_NEEDS = ["년", "20"]
+
+
 def ascii_bounds(pattern: str) -> str:
     r"""pattern with \b at ASCII letters, digits and _ alone: Hangul right beside a word does not continue it."""
     word = "[A-Za-z0-9_]"
     return pattern.replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))")
 
 
-def target_price(text: Column) -> Column:
-    """The price of the first form that is found and believed; the first place of a form alone counts."""
+def once(x: Column, f) -> Column:
+    """f of x, which is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def has(text: Column, pattern: str, need: str, low: Column) -> Column:
+    """Whether what a pattern needs occurs in the text, or in the text in lower case if it takes either case."""
+    return F.contains(low if pattern.startswith("(?i)") else text, F.lit(need))
+
+
+def target_price(text: Column, low: Column | None = None) -> Column:
+    """The price of the first form that is found and believed; the first place of a form alone counts. low: text in lower case, where it is known."""
     least, most = PRICES
-    believed = lambda v: F.when((v >= least) & (v < most), v)
-    whole = [believed(F.regexp_replace(F.regexp_extract(text, ascii_bounds(p), 1), ",", "").try_cast("bigint")) for p in PRICE_FORMS]
-    tens = F.regexp_extract(text, TEN_THOUSANDS_FORM, 1).try_cast("double") * 10_000
-    return F.coalesce(*whole, believed(F.round(tens).cast("bigint")))
 
+    def of(t: Column) -> Column:
+        number = lambda p: F.regexp_replace(F.regexp_extract(t["text"], ascii_bounds(p), 1), ",", "").try_cast("bigint")
+        whole = [F.when(has(t["text"], p, need, t["low"]), number(p)) for p, need in zip(PRICE_FORMS, PRICE_NEEDS, strict=True)]
+        tens = F.when(F.contains(t["text"], F.lit("목표주가")), F.regexp_extract(t["text"], TEN_THOUSANDS_FORM, 1).try_cast("double") * 10_000)
+        return F.get(F.filter(F.array(*whole, F.round(tens).cast("bigint")), lambda v: (v >= least) & (v < most)), F.lit(0))
+
+    return once(F.struct(text.alias("text"), (F.lower(text) if low is None else low).alias("low")), of)
 
-def rating(text: Column) -> Column:
-    return first_label(text, [(ascii_bounds(p), label) for p, label in RATING_FORMS])
+
+def rating(text: Column, low: Column | None = None) -> Column:
+    found = lambda t: F.coalesce(*(F.when(has(t["text"], p, need, t["low"]) & t["text"].rlike(ascii_bounds(p)), label) for (p, label), need in zip(RATING_FORMS, RATING_NEEDS, strict=True)))
+    return once(F.struct(text.alias("text"), (F.lower(text) if low is None else low).alias("low")), found)
 
 
 def stated_date(text: Column) -> Column:
     """The first full date, else null; one that the calendar lacks is null too."""
 
-    def of(p: str) -> Column:
-        part = lambda i: F.regexp_extract(text, ascii_bounds(p), i)
-        return F.when(part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
+    def of(p: str, need: str) -> Column:
+        def iso(x: Column) -> Column:
+            part = lambda i: F.regexp_extract(x, ascii_bounds(p), i)
+            return F.when(x != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
+
+        return F.when(F.contains(text, F.lit(need)), once(F.regexp_extract(text, ascii_bounds(p), 0), iso))
 
-    return F.coalesce(*map(of, DATE_FORMS)).try_cast("date")
+    return F.coalesce(*map(of, DATE_FORMS, DATE_NEEDS)).try_cast("date")
 
 
 def broker_views_extract(articles: DataFrame, aliases: DataFrame, around: int = 200, thesis: int = 240, most_aliases: int = 1000) -> DataFrame:
@@ -144,7 +168,10 @@ def broker_views_extract(articles: DataFrame, aliases: DataFrame, around: int =
     text = F.col("text")
 
     def place(alias: str) -> Column:
-        return F.regexp_instr(text, F.lit(rf"(?<![A-Za-z0-9])\Q{alias}\E(?![A-Za-z0-9])")) if alias.isascii() else F.instr(text, alias)
+        if not alias.isascii():
+            return F.instr(text, alias)
+        upto = F.regexp_extract(text, rf"(?s)^.*?\Q{alias}\E(?<![A-Za-z0-9]\Q{alias}\E)(?![A-Za-z0-9])", 0)
+        return F.when(F.contains(text, F.lit(alias)), once(F.length(upto), lambda n: F.when(n > 0, n - len(alias) + 1)))
 
     def first_place(broker: str) -> Column:
         own = [F.struct(place(a).alias("at"), F.lit(-len(a)).alias("shorter"), F.lit(a).alias("alias")) for b, a in sorted(known) if b == broker]
@@ -153,19 +180,23 @@ def broker_views_extract(articles: DataFrame, aliases: DataFrame, around: int =
     each = F.filter(F.array(*map(first_place, sorted({b for b, _ in known}))), lambda x: x["first"].isNotNull())
     if not known:
         each = F.array().cast("array<struct<broker:string,first:struct<at:int,shorter:int,alias:string>>>")
-    hits = articles.select("article_id", "text", "published", F.explode(each).alias("h")).select("article_id", "text", "published", "h.broker", "h.first.alias", "h.first.at")
+    # What is written of the text is read once for all its brokers. The outer explode is filtered after, as Spark would otherwise find the places twice.
+    named = articles.select("article_id", "text", "published", each.alias("each"))
+    named = named.select("*", F.when(F.size("each") > 0, F.struct("text", F.lower(text).alias("low"))).alias("t"))
+    whole, low = F.col("t.text"), F.col("t.low")
+    named = named.select("article_id", "text", "each", target_price(whole, low).alias("price"), rating(whole, low).alias("rated"), F.coalesce("published", stated_date(whole)).alias("dated"))
+    hits = named.select("article_id", "text", "price", "rated", "dated", F.explode_outer("each").alias("h")).where("h is not null").select("article_id", "text", "price", "rated", "dated", "h.broker", "h.first.alias", "h.first.at")
     at, blank = F.col("at"), "\n\n"
     before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length("alias"), F.length("text"))
     paragraph = F.concat(F.substring_index(before, blank, -1), "alias", F.substring_index(after, blank, 1))
     start = F.greatest(F.lit(1), at - around)
     near = F.when(F.contains(before, F.lit(blank)) | F.contains(after, F.lit(blank)), paragraph).otherwise(F.substring(text, start, at + around - start))
-    found = hits.withColumn("near", near)
-    flat = squeezed(F.col("near"))
+    found = hits.withColumn("near", near).withColumn("flat", squeezed(F.col("near")))
+    flat, near = F.col("flat"), F.col("near")
     short = F.when(F.length(flat) <= thesis, flat).otherwise(F.concat(F.trim(F.substring(flat, 1, thesis - 1)), F.lit("…")))
-    either = lambda rule: F.coalesce(rule(F.col("near")), rule(text))
     return found.select(
-        "article_id", "broker", "alias", either(target_price).alias("target_price"), either(rating).alias("rating"),
-        F.coalesce(stated_date(F.col("near")), "published", stated_date(text)).alias("report_date"), short.alias("thesis"),
+        "article_id", "broker", "alias", F.coalesce(target_price(near), "price").alias("target_price"), F.coalesce(rating(near), "rated").alias("rating"),
+        F.coalesce(stated_date(near), "dated").alias("report_date"), short.alias("thesis"),
     )
 
 
