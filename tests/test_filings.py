@@ -86,3 +86,22 @@ def test_a_text_of_many_headings_is_not_exchanged(spark):
     found = filings.sections(docs(spark, text))
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.agg(F.count("*"), F.max("end_line")).first()[:] == (3000, 6000)
+
+
+def test_the_outline_is_one_reading_of_contents_and_sections(spark):
+    d = docs(spark, FILING, "1. a\ntext\n2. b\n| 1 | 2 |\n|\n| x", None, "")
+    toc, found = filings.outline(d, ["content_length", "table_count", "numeric_count", "preview"])
+    assert sorted(map(tuple, toc.collect())) == sorted(map(tuple, filings.contents(d).select(*toc.columns).collect())) and toc.count() == 7
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, filings.sections(d).select(*found.columns).collect())) and found.count() == 10
+    assert "raw" not in toc.columns + found.columns and "content" not in found.columns
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (toc, found)]
+    assert all("Generate" not in p for p in plans)  # both read the written table, no text
+
+
+def test_blanks_at_the_ends_are_those_of_the_grammar(spark):
+    each = [c for c in map(chr, range(0xFFFF)) if not 0xD800 <= ord(c) < 0xE000]
+    df = spark.createDataFrame([(c, f"{c} a {c}") for c in each if c not in ("\x00",)], "c string, t string")
+    got = df.where(filings.trimmed(F.col("t")) == "a").select("c", F.col("c").rlike(filings.BLANK).alias("blank")).collect()
+    assert {r["c"] for r in got} == set(filings.BLANKS) and all(r["blank"] for r in got)
+    assert df.where(F.col("c").rlike(filings.BLANK)).count() == len(filings.BLANKS)
+    assert df.limit(1).select(filings.trimmed(F.lit("a \x85"))).first()[0] == "a \x85"  # before, a blank before such a line end went too, against the SQL
