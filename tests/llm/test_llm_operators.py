@@ -631,3 +631,12 @@ def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
     spark.createDataFrame([(1, "a b c d e")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_bpe_tables_last_as_long_as_a_task_or_a_worker(docs):
+    path, pattern = PATH, public_tokenizers.PATTERN
+    c = bpe.codec(path, pattern)
+    assert list(bpe.texts_of([], keep=True)) == [] and bpe.codec(path, pattern) is c
+    assert list(bpe.texts_of([])) == [] and bpe.codec(path, pattern) is not c
+    rows = lambda **how: sorted((tuple(r) for r in bpe.round_trip(docs, path, pattern, **how).collect()), key=repr)
+    assert rows(keep=True) == rows(keep=True) == rows()

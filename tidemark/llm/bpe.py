@@ -29,7 +29,7 @@ import codecs
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -343,21 +343,22 @@ def utf8_step(pending: bytes, more: bytes) -> tuple[str, bytes]:
     return machine.decode(more), machine.getstate()[0]
 
 
-@cache
+@lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
-    """One for each task. The rank file is part of every worker's Python installation."""
+    """One for each task, or for each worker if it keeps its tables. The rank file is part of every worker's Python installation."""
     with open(path, "rb") as f:
         return Codec({base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}, pattern)
 
 
-def texts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+def texts_of(batches: Iterable[pa.RecordBatch], keep: bool = False) -> Iterator[tuple[pa.Array, list[str]]]:
     """(ids, texts) of rows (id, text), as many at once as make up TOGETHER bytes.
 
-    The tables made for a task end with it, so that a worker that goes on to other work holds none.
+    The tables made for a task end with it, so that a worker that goes on to other work holds none, unless it is to keep them.
     """
     for rows, texts in text_parts(batches, TOGETHER):
         yield rows.column(0), [t.decode("utf-8", "surrogatepass") for t in texts]
-    codec.cache_clear()
+    if not keep:
+        codec.cache_clear()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,12 +385,16 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(rows, "id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded from the ids, in one pass."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded from the ids, in one pass.
+
+    keep: a worker keeps its states and moves from task to task, instead of making the same ones again. They are bounded by
+    ``STATES``, but held while the worker does other work.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for own, texts in texts_of(batches):
+        for own, texts in texts_of(batches, keep):
             found = c.encode_all(texts)
             columns = [
                 pa.array([len(x) for x in found], pa.int64()),

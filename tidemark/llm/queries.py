@@ -88,7 +88,7 @@ def op9_ppm_scores(spark, sf_dir):
 
 def op10_bpe_transducer(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=True)
 
 
 def repeating(docs):
