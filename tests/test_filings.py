@@ -105,3 +105,23 @@ def test_blanks_at_the_ends_are_those_of_the_grammar(spark):
     assert {r["c"] for r in got} == set(filings.BLANKS) and all(r["blank"] for r in got)
     assert df.where(F.col("c").rlike(filings.BLANK)).count() == len(filings.BLANKS)
     assert df.limit(1).select(filings.trimmed(F.lit("a \x85"))).first()[0] == "a \x85"  # before, a blank before such a line end went too, against the SQL
+
+
+def test_entries_find_their_section_without_a_join(spark):
+    head = "section int, title string, content_length int, table_count int, numeric_count int, status string"
+    toc = spark.createDataFrame([(1, 1, "1. A b ... 3", 2), (1, 2, "1. ab", 2), (1, 3, "2. c", 2), (2, 1, "1. Ab", 2), (None, 1, "1. ab", 2), (1, 2, "1. ab", 2)], "doc_id int, line_no int, title string, level int")
+    found = spark.createDataFrame([(1, 1, "1. ab", 5, 0, 1, "x"), (1, 2, "1. A-B", 9, 2, 0, "y"), (1, 3, "1. [ab]", 9, 0, 0, "z"), (1, 4, None, 99, 0, 0, "n"), (None, 1, "1. ab", 7, 0, 0, "w"), (3, 1, "2. c", 7, 0, 0, "v")], "doc_id int, " + head)
+    got = filings.toc_sections(toc, found)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    none = (None, 0, 0, 0, "missing")
+    best = (2, 9, 2, 0, "y")
+    rows = sorted((tuple(r) for r in got.collect()), key=str)
+    assert rows == sorted([(1, 1, "1. A b ... 3", 2, *best), (1, 2, "1. ab", 2, *best), (1, 2, "1. ab", 2, *best), (1, 3, "2. c", 2, *none), (2, 1, "1. Ab", 2, *none), (None, 1, "1. ab", 2, *none)], key=str)
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_title_keys_drop_page_leader_and_marks(spark):
+    titles = ["1. A b ..... 12", "1. Ab 12", "Ⅰ. x", "가 나　다 3", "(a)[b]【c】:;`'\"-.,", "12", "a12", "a..3", "x 1 2", "", None, "a 7\x85"]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    got = [r[0] for r in df.select(filings.normal_title(F.col("t"))).collect()]
+    assert got == ["1ab", "1ab", "ⅰx", "가나다", "abc", "12", "a12", "a", "x1", "", None, "a7\x85"]  # before, a page before such a line end went too, against the SQL
