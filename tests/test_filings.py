@@ -125,3 +125,15 @@ def test_title_keys_drop_page_leader_and_marks(spark):
     df = spark.createDataFrame([(t,) for t in titles], "t string")
     got = [r[0] for r in df.select(filings.normal_title(F.col("t"))).collect()]
     assert got == ["1ab", "1ab", "ⅰx", "가나다", "abc", "12", "a12", "a", "x1", "", None, "a7\x85"]  # before, a page before such a line end went too, against the SQL
+
+
+def test_a_first_character_rules_a_pattern_out_only_where_it_cannot_match(spark):
+    each = [c for c in map(chr, range(1, 0xFFFF)) if not 0xD800 <= ord(c) < 0xE000]
+    lines = [(c, c + rest) for c in each for rest in ("", "I. x", "1", "....12", "a")]
+    df = spark.createDataFrame(lines, "c string, x string")
+    x = F.col("x")
+    assert df.where(x.rlike(filings.MAYBE) & ~filings.begins(x, filings.BLANKS + filings.HEADERS)).count() == 0
+    assert df.where((~x.rlike(filings.FULL) | x.rlike(filings.LEADER)) & ~filings.begins(x, filings.BLANKS + ".")).count() == 0
+    body = ["1. a", "", "　", " ....12", "....12", "....x", ". b", " c", "d"]
+    got = filings.sections(docs(spark, "\n".join(body))).first()
+    assert got["content"].split("\n") == ["....x", ". b", " c", "d"]
