@@ -137,3 +137,10 @@ def test_a_first_character_rules_a_pattern_out_only_where_it_cannot_match(spark)
     body = ["1. a", "", "　", " ....12", "....12", "....x", ". b", " c", "d"]
     got = filings.sections(docs(spark, "\n".join(body))).first()
     assert got["content"].split("\n") == ["....x", ". b", " c", "d"]
+
+
+def test_rare_characters_are_searched_before_they_are_replaced(spark):
+    d = docs(spark, "1. a\r\nb￿\r\n2. c￿", "1. a\nb\n2. c", None)
+    got = sorted(tuple(r) for r in filings.sections(d).select("doc_id", "title", "content", "end_line").collect())
+    assert got == [(0, "1. a", "b", 2), (0, "2. c", "", 3), (1, "1. a", "b", 2), (1, "2. c", "", 3)]
+    assert filings.sections(d)._jdf.queryExecution().optimizedPlan().toString().count("Contains(text") == 2
